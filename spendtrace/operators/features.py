@@ -120,9 +120,8 @@ def feature_columns(is_home: Column) -> dict[str, Column]:
 def add_point_features(history: History, is_home: Column | None = None) -> History:
     """Adds the nine features and n_prior; a column of the same name is replaced.
 
-    One exchange on the customer. The four value windows come first, so that the
-    (time, id) sort of the amount window is still in place for whatever window
-    over the customer's features follows.
+    One exchange on the customer serves all windows: the customer is part of
+    each partition key.
     """
     is_home = home_city() if is_home is None else is_home
     history = history.derive(_without_features(history.whole),

@@ -62,6 +62,10 @@ class History:
     def derive(self, whole: DataFrame, cut: DataFrame | None) -> History:
         return replace(self, whole=whole, cut=cut)
 
+    def settled(self) -> History:
+        """Write the cut part once, before it is read for totals and for rows."""
+        return self if self.cut is None else replace(self, cut=materialize(self.cut, "runs"))
+
     def carried(self, aggregates: dict[str, Column], running: dict[str, Column],
                 by: tuple[str, ...] = (), source: DataFrame | None = None) -> DataFrame:
         """Totals of all runs before each run.
