@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def logistic(logit: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-logit))
 
 
+def number_array(values: list[float]) -> Column:
+    """A list of numbers as one literal array."""
+    return F.from_json(F.lit(json.dumps(values)), "array<double>")
+
+
 def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

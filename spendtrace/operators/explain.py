@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
-from spendtrace.functions.columns import display_name
+from spendtrace.functions.columns import display_name, number_array
 from spendtrace.operators.learn import TransactionModel, normalised_inputs
 
-ARRAY = "array<double>"
-
-
-def _numbers(values: list[float]) -> Column:
-    """A list of numbers as one literal array."""
-    return F.from_json(F.lit(json.dumps(values)), ARRAY)
-
-
 def logit_contributions(model: TransactionModel, background: list[list[float]]) -> list[Column]:
     """Exact contributions on the logit: weight times distance from the background mean."""
     means = [sum(column) / len(background) for column in zip(*background)]
@@ -42,7 +33,7 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
     """
     logits = [model.background_value(b) for b in background]
     probabilities = [1.0 / (1.0 + math.exp(-v)) for v in logits]
-    points = F.arrays_zip(_numbers(logits).alias("l"), _numbers(probabilities).alias("p"))
+    points = F.arrays_zip(number_array(logits).alias("l"), number_array(probabilities).alias("p"))
     inputs = normalised_inputs(model.scaler)
 
     def slope(point: Column) -> Column:
@@ -52,7 +43,7 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
                           point["p"] * (1 - point["p"]))
 
     def mean_product(column: list[float]) -> Column:
-        products = F.zip_with("_slopes", _numbers(column), lambda s, b: s * b)
+        products = F.zip_with("_slopes", number_array(column), lambda s, b: s * b)
         return F.aggregate(products, F.lit(0.0), lambda a, v: a + v) / len(background)
 
     wanted = F.lit(True) if when is None else when

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
-from spendtrace.functions.columns import clip, hash_bucket, logistic, total
+from spendtrace.functions.columns import clip, hash_bucket, logistic, number_array, total
 from spendtrace.operators.sequences import long_form, padded
 
 Scaler = list[tuple[float, float]]
@@ -90,15 +90,15 @@ class TrajectoryModel:
 
     def probability(self, steps: Column) -> Column:
         """From the steps before the row, padded when there are fewer than ten."""
-        window = padded(steps)
-        # fold the scaler into the weights: one product per step and feature
-        offset, terms = self.intercept, []
-        for k, row in enumerate(self.weights):
-            for j, w in enumerate(row):
-                mean, std = self.scaler[j]
+        # the scaler is folded into the weights: one product per step and feature
+        offset, weights = self.intercept, []
+        for row in self.weights:
+            for w, (mean, std) in zip(row, self.scaler):
                 offset -= w * mean / std
-                terms.append(F.get(F.get(window, F.lit(k)), F.lit(j)) * (w / std))
-        return logistic(F.lit(offset) + total(terms))
+                weights.append(w / std)
+        products = F.zip_with(F.flatten(padded(steps)), number_array(weights),
+                              lambda x, w: x * w)
+        return logistic(F.aggregate(products, F.lit(offset), lambda a, v: a + v))
 
     def risk_score(self, steps: Column) -> Column:
         return F.round(self.probability(steps) * 100, 2)

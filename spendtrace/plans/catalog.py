@@ -1,0 +1,498 @@
+"""Named queries over the given tables, one per operator or report."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendtrace import contract as C
+from spendtrace.functions.columns import (
+    alert_level, gauge_band, generated_transaction_id, sequential_transaction_id,
+)
+from spendtrace.operators import evaluate as E
+from spendtrace.operators import explain as X
+from spendtrace.operators import features as FT
+from spendtrace.operators import history as H
+from spendtrace.operators import learn as L
+from spendtrace.operators import profile as P
+from spendtrace.operators import rings as R
+from spendtrace.operators import sequences as S
+from spendtrace.operators import validate as V
+from spendtrace.plans import reports, scoring
+from spendtrace.plans.training import Trained, train
+from spendtrace.session import apply_settings, materialize
+from spendtrace.sources import fixtures as fx
+from spendtrace.sources.readers import scored_as_json, transactions_json
+from spendtrace.streaming import replay
+
+BATCH_CUT = "2024-01-25 00:00:00"
+TIMELINE_CUSTOMER = 8
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# --- tables several queries start from ------------------------------------------
+# Written once per session and folder, like the feature table of the training
+# chain, and read with only the columns a query needs.
+
+@dataclass
+class _Kept:
+    session: str
+    tables: dict
+
+
+_kept = _Kept("", {})
+
+
+def _keep(spark: SparkSession, folder: str, name: str, build: Callable):
+    session = spark.sparkContext.applicationId
+    if _kept.session != session:
+        _kept.session, _kept.tables = session, {}
+    key = (folder, name)
+    if key not in _kept.tables:
+        _kept.tables[key] = build()
+    return _kept.tables[key]
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Ramp log with features, n_prior and the fixed stage-1 risk score."""
+    return _keep(spark, folder, "features", lambda: materialize(scoring.with_risk(
+        fx.ramp_log(spark, folder), L.fixed_trajectory_model(), fx.ramp_home()), "features"))
+
+
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return L.add_split(scoring.hand_off(feature_table(spark, folder)))
+
+
+def fixed_models(spark: SparkSession, folder: str) -> L.RiskModels:
+    """Fixed coefficients with the scaler and background of the training rows."""
+    def build():
+        rows = training_rows(spark, folder).filter("not is_test")
+        scaler = L.read_scaler(L.scaler_stats(rows, C.MODEL_INPUTS), C.MODEL_INPUTS)
+        return L.RiskModels(
+            L.fixed_trajectory_model(), L.fixed_transaction_model(scaler),
+            L.read_background(L.background_sample(rows, scaler)))
+    return _keep(spark, folder, "fixed models", build)
+
+
+def scored_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ramp log scored with the fixed models, with reasons."""
+    return _keep(spark, folder, "scored", lambda: materialize(scoring.score_log(
+        fx.ramp_log(spark, folder), fixed_models(spark, folder), fx.ramp_home()), "scored"))
+
+
+def trained(spark: SparkSession, folder: str) -> Trained:
+    return _keep(spark, folder, "trained", lambda: train(
+        fx.ramp_log(spark, folder), fx.ramp_home()))
+
+
+def _test_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out rows with the evaluated probability: limited inputs, no cap."""
+    model = fixed_models(spark, folder).transaction
+    return training_rows(spark, folder).filter("is_test").withColumn(
+        "probability", model.probability(L.normalised_inputs(model.scaler)))
+
+
+def _served(spark: SparkSession, folder: str) -> DataFrame:
+    return feature_table(spark, folder).withColumn(
+        "_p", fixed_models(spark, folder).transaction.served_probability())
+
+
+def _rounded(rows: DataFrame, columns, digits: int = 6) -> DataFrame:
+    return rows.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# --- queries ----------------------------------------------------------------------
+
+def txn_canonical(spark, folder):
+    text = F.col("timestamp").cast("string")
+    return fx.ramp_log(spark, folder).select(
+        F.col("customer_id").cast("string").alias("customer_id"),
+        F.col("transaction_id").cast("string").alias("transaction_id"),
+        F.to_timestamp_ntz(text).alias("timestamp"), "amount", "merchant_category",
+        "device_id", "location", "failed_logins_24h", "is_fraud")
+
+
+def contract_violations(spark, folder):
+    return V.with_violations(fx.dirty_batch(spark, folder)).filter(F.size("violations") > 0).select(
+        "transaction_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def violation_counts(spark, folder):
+    return (V.check_rows(fx.dirty_batch(spark, folder)).quarantined
+            .select(F.explode("violations").alias("violation"))
+            .groupBy("violation").agg(F.count("*").alias("n")))
+
+
+def batch_defaults(spark, folder):
+    valid = V.check_rows(fx.dirty_batch(spark, folder)).valid
+    return V.with_defaults(valid).select(
+        "customer_id", "transaction_id", "timestamp", "amount", "merchant_category",
+        "device_id", "location", "failed_logins_24h")
+
+
+def generated_ids(spark, folder):
+    key = [F.col(c) for c in ("customer_id", "transaction_id", "merchant_category")]
+    return fx.ramp_log(spark, folder).select(
+        "transaction_id", generated_transaction_id(*key).alias("generated_id"))
+
+
+def sequential_ids(spark, folder):
+    log = fx.hot_log(spark, folder).select("customer_id", "timestamp", "transaction_id")
+    numbered = H.positions(H.split_history(
+        log.withColumn("_all", F.lit(0)), key="_all",
+        order=("customer_id", "timestamp", "transaction_id")), "_nth")
+    return numbered.rows().select(
+        "transaction_id", sequential_transaction_id(F.col("_nth")).alias("sequential_id"))
+
+
+def new_device_flags(spark, folder):
+    history = H.split_history(fx.hot_log(spark, folder))
+    return H.first_seen(history, "device_id", "is_new_device").rows().select(
+        "transaction_id", "is_new_device")
+
+
+def new_location_flags(spark, folder):
+    history = H.split_history(fx.hot_log(spark, folder))
+    return H.first_seen(history, "location", "is_new_location").rows().select(
+        "transaction_id", "is_new_location")
+
+
+def _ramp_features(spark, folder):
+    return FT.point_features(fx.ramp_log(spark, folder), fx.ramp_home())
+
+
+def feat_amount_zscore(spark, folder):
+    return _rounded(_ramp_features(spark, folder).select(
+        "transaction_id", "amount_zscore"), ["amount_zscore"])
+
+
+def feat_amount_pct(spark, folder):
+    return _rounded(_ramp_features(spark, folder).select(
+        "transaction_id", "amount_pct_of_avg"), ["amount_pct_of_avg"])
+
+
+def feat_hour_unusual(spark, folder):
+    return _ramp_features(spark, folder).select("transaction_id", "hour_is_unusual")
+
+
+def feat_category_unusual(spark, folder):
+    return _ramp_features(spark, folder).select("transaction_id", "category_is_unusual")
+
+
+def feat_foreign_location(spark, folder):
+    return FT.point_features(fx.orders_log(spark, folder), fx.orders_home()).select(
+        "transaction_id", "is_foreign_location")
+
+
+def feat_velocity_1h(spark, folder):
+    return _ramp_features(spark, folder).select("transaction_id", "txn_velocity_1h")
+
+
+def feat_velocity_1h_ties(spark, folder):
+    return FT.point_features(fx.orders_log(spark, folder), fx.orders_home()).select(
+        "transaction_id", "txn_velocity_1h")
+
+
+def failed_logins_24h_derived(spark, folder):
+    return FT.failed_logins_trailing(
+        fx.hot_log(spark, folder), F.col("merchant_category") == "error").select(
+            "transaction_id", "failed_logins_24h")
+
+
+def point_features(spark, folder):
+    return _rounded(_ramp_features(spark, folder).select(
+        "customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+        ["amount_zscore", "amount_pct_of_avg"])
+
+
+def point_features_orders(spark, folder):
+    rows = FT.point_features(fx.orders_log(spark, folder), fx.orders_home())
+    return _rounded(rows.select("customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+                    ["amount_zscore", "amount_pct_of_avg"])
+
+
+def point_features_hot(spark, folder):
+    rows = FT.point_features(fx.hot_log(spark, folder), fx.hot_home())
+    return _rounded(rows.select("customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+                    ["amount_zscore", "amount_pct_of_avg"])
+
+
+def feature_summary(spark, folder):
+    summary = E.feature_summary(feature_table(spark, folder), [*C.FEATURES, "is_fraud"])
+    return _rounded(summary, ["mean", "std", "min", "q25", "q50", "q75", "max"])
+
+
+def dataset_size(spark, folder):
+    return E.dataset_size(fx.ramp_log(spark, folder))
+
+
+def sequences_long(spark, folder):
+    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    return _rounded(S.long_form(S.sequences(history)), ["amount_zscore", "amount_pct_of_avg"])
+
+
+def sequences_long_orders(spark, folder):
+    history = FT.add_point_features(
+        FT.log_history(fx.orders_log(spark, folder)), fx.orders_home())
+    return _rounded(S.long_form(S.sequences(history)), ["amount_zscore", "amount_pct_of_avg"])
+
+
+def sequence_label_rate(spark, folder):
+    return scoring.hand_off(feature_table(spark, folder)).agg(
+        F.count("*").alias("n_sequences"), F.lit(C.SEQUENCE_LENGTH).alias("steps"),
+        F.lit(len(C.FEATURES)).alias("features"),
+        F.round(F.avg("is_fraud") * 100, 2).alias("fraud_rate_pct"))
+
+
+def latest_sequence_padded(spark, folder):
+    features = FT.point_features(fx.orders_log(spark, folder), fx.orders_home())
+    return _rounded(S.long_form(S.latest_sequence(features)),
+                    ["amount_zscore", "amount_pct_of_avg"])
+
+
+def customer_profile(spark, folder):
+    profile = P.long_profile(P.customer_profile(feature_table(spark, folder)))
+    return _rounded(profile, ["mean", "std"])
+
+
+def profile_prefix(spark, folder):
+    features = FT.point_features(fx.orders_log(spark, folder), fx.orders_home())
+    return _rounded(P.long_profile(P.customer_profile(features, first_rows=5)), ["mean", "std"])
+
+
+def similarity(spark, folder):
+    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    return P.add_similarity(P.add_profile(history.settled()).rows(), digits=6).select(
+        "transaction_id", "similarity_pct", "deviation_pct", "avg_z_deviation")
+
+
+def split_counts(spark, folder):
+    return training_rows(spark, folder).groupBy("is_test", "is_fraud").agg(F.count("*").alias("n"))
+
+
+def scaler_stats(spark, folder):
+    rows = training_rows(spark, folder).filter("not is_test")
+    return _rounded(L.scaler_stats(rows, C.MODEL_INPUTS), ["mean", "std"])
+
+
+def seq_scaler_stats(spark, folder):
+    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    train_windows = L.add_split(S.sequences(history)).filter("not is_test")
+    return _rounded(L.sequence_scaler_stats(train_windows), ["mean", "std"])
+
+
+def class_weights(spark, folder):
+    return _rounded(L.class_weights(training_rows(spark, folder).filter("not is_test")),
+                    ["weight_pos"])
+
+
+def background_sample(spark, folder):
+    rows = training_rows(spark, folder).filter("not is_test")
+    scaler = fixed_models(spark, folder).transaction.scaler
+    return _rounded(L.background_sample(rows, scaler), C.MODEL_INPUTS)
+
+
+def normalised_clipped(spark, folder):
+    scaler = fixed_models(spark, folder).transaction.scaler
+    inputs = [F.round(x, 6).alias(c)
+              for c, x in zip(C.MODEL_INPUTS, L.normalised_inputs(scaler))]
+    return feature_table(spark, folder).select("transaction_id", *inputs)
+
+
+def risk_scores_fixed(spark, folder):
+    return scoring.with_risk(
+        fx.ramp_log(spark, folder), L.fixed_trajectory_model(), fx.ramp_home()).select(
+            "transaction_id", "risk_score")
+
+
+def handoff_join(spark, folder):
+    """Features joined with the risk scores of the rows that have a full window."""
+    table = feature_table(spark, folder)
+    risk = scoring.hand_off(table).select("transaction_id", "risk_score")
+    features = table.drop("risk_score").select("transaction_id", *C.FEATURES, "is_fraud")
+    return _rounded(features.join(risk, "transaction_id"),
+                    ["amount_zscore", "amount_pct_of_avg"])
+
+
+def fraud_prob_fixed(spark, folder):
+    return _served(spark, folder).select(
+        "transaction_id", F.round(F.col("_p") * 100, 2).alias("fraud_probability"))
+
+
+def alert_levels(spark, folder):
+    return _served(spark, folder).select(
+        "transaction_id", alert_level(F.col("_p")).alias("alert_level"),
+        gauge_band(F.col("risk_score")).alias("risk_band"))
+
+
+def alert_summary(spark, folder):
+    return scoring.batch_summary(_served(spark, folder).withColumn(
+        "alert_level", alert_level(F.col("_p"))))
+
+
+def logit_contributions(spark, folder):
+    models = fixed_models(spark, folder)
+    parts = X.logit_contributions(models.transaction, models.background)
+    return feature_table(spark, folder).select(
+        "transaction_id", *[F.round(p, 6).alias(c) for c, p in zip(C.MODEL_INPUTS, parts)])
+
+
+def probability_contributions(spark, folder):
+    models = fixed_models(spark, folder)
+    rows = _served(spark, folder).filter(F.col("_p") >= C.REASON_THRESHOLD)
+    explained = X.add_probability_contributions(rows, models.transaction, models.background)
+    return explained.select("transaction_id", F.posexplode("contributions").alias(
+        "position", "value")).select(
+        "transaction_id", "position", F.round("value", 6).alias("contribution"))
+
+
+def reasons_topk(spark, folder):
+    return _rounded(X.reasons_long(scored_table(spark, folder)), ["attribution"])
+
+
+def reasons_display(spark, folder):
+    return X.reasons_for_display(scored_table(spark, folder))
+
+
+def confusion(spark, folder):
+    return E.confusion(_test_scores(spark, folder), "probability", "is_fraud")
+
+
+def prf1(spark, folder):
+    counts = E.confusion(_test_scores(spark, folder), "probability", "is_fraud")
+    return E.rates(counts).select(
+        "precision", "recall", "f1_score", "test_set_size", "fraud_rate_pct")
+
+
+def auc_roc(spark, folder):
+    return E.auc_roc(_test_scores(spark, folder), "probability", "is_fraud")
+
+
+def fraud_rings(spark, folder):
+    return _joined_list(R.rings(fx.ramp_log(spark, folder)))
+
+
+def fraud_rings_min_k(spark, folder):
+    return _joined_list(R.rings(fx.hot_log(spark, folder), min_customers=70))
+
+
+def fraud_rings_orders(spark, folder):
+    return _joined_list(R.rings(fx.orders_log(spark, folder)))
+
+
+def _joined_list(rings):
+    return rings.withColumn("customer_ids", F.array_join("customer_ids", ","))
+
+
+def ring_members(spark, folder):
+    return R.ring_members(R.device_counts(fx.hot_log(spark, folder)))
+
+
+def customers_list(spark, folder):
+    return reports.customers(fx.orders_log(spark, folder))
+
+
+def customer_timeline(spark, folder):
+    return reports.customer_timeline(scored_table(spark, folder), TIMELINE_CUSTOMER)
+
+
+def _batch_scored(spark, folder):
+    log = fx.ramp_log(spark, folder)
+    cut = F.to_timestamp_ntz(F.lit(BATCH_CUT))
+    stored = log.filter(F.col("timestamp") < cut)
+    batch = log.filter(F.col("timestamp") >= cut).drop("is_fraud")
+    return scoring.score_batch(stored, batch, fixed_models(spark, folder), fx.ramp_home(),
+                               with_reasons=False)
+
+
+def batch_score(spark, folder):
+    return _batch_scored(spark, folder).select(
+        "transaction_id", "customer_id", "amount", "risk_score", "fraud_probability",
+        "alert_level")
+
+
+def batch_score_summary(spark, folder):
+    return scoring.batch_summary(_batch_scored(spark, folder))
+
+
+def scored_log(spark, folder):
+    return scoring.score_log(fx.ramp_log(spark, folder), fixed_models(spark, folder),
+                             fx.ramp_home(), with_reasons=False)
+
+
+def report_rows(spark, folder):
+    return reports.report_rows(scored_table(spark, folder))
+
+
+def json_requests(spark, folder):
+    """Batch rows written as request bodies and read back."""
+    batch = fx.dirty_batch(spark, folder).select(
+        "customer_id", F.col("transaction_id").cast("string").alias("transaction_id"),
+        "amount", "merchant_category", "device_id", "location", "failed_logins_24h")
+    return transactions_json(batch.select(F.to_json(F.struct(*batch.columns)).alias("value"))
+                             ).drop("timestamp")
+
+
+def scored_json(spark, folder):
+    bodies = scored_as_json(scored_table(spark, folder))
+    reasons = "array<struct<feature:string,attribution:double>>"
+    parsed = F.from_json("body", f"transaction_id bigint, alert_level string, reasons {reasons}")
+    return bodies.select(parsed.alias("b")).select(
+        "b.transaction_id", "b.alert_level", F.size("b.reasons").alias("n_reasons"))
+
+
+def trained_metrics(spark, folder):
+    return trained(spark, folder).metrics()
+
+
+def trained_scores(spark, folder):
+    """The whole log scored and explained with the trained models."""
+    return scoring.score_log(fx.ramp_log(spark, folder), trained(spark, folder).models,
+                             fx.ramp_home())
+
+
+def stream_score(spark, folder):
+    return replay.scored(spark, folder, fixed_models(spark, folder)).select(
+        "transaction_id", "risk_score", "fraud_probability", "similarity_pct", "alert_level")
+
+
+def stream_alert_counts(spark, folder):
+    return replay.alert_counts(spark, folder, fixed_models(spark, folder))
+
+
+def stream_rings(spark, folder):
+    return _joined_list(replay.rings(spark, folder))
+
+
+QUERIES: list[Query] = [
+    txn_canonical, contract_violations, violation_counts, batch_defaults, generated_ids,
+    sequential_ids, new_device_flags, new_location_flags, feat_amount_zscore,
+    feat_amount_pct, feat_hour_unusual, feat_category_unusual, feat_foreign_location,
+    feat_velocity_1h, feat_velocity_1h_ties, failed_logins_24h_derived, point_features,
+    point_features_orders, point_features_hot, feature_summary, dataset_size,
+    sequences_long, sequences_long_orders, sequence_label_rate, latest_sequence_padded,
+    customer_profile, profile_prefix, similarity, split_counts, scaler_stats,
+    seq_scaler_stats, class_weights, background_sample, normalised_clipped,
+    risk_scores_fixed, handoff_join, fraud_prob_fixed, alert_levels, alert_summary,
+    logit_contributions, probability_contributions, reasons_topk, reasons_display,
+    confusion, prf1, auc_roc, fraud_rings, fraud_rings_min_k, fraud_rings_orders,
+    ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
+    scored_log, report_rows, json_requests, scored_json, trained_metrics, trained_scores,
+    stream_score, stream_alert_counts, stream_rings,
+]
+
+
+def _prepared(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(apply_settings(spark), folder)
+    run.__name__ = query.__name__
+    run.__doc__ = query.__doc__
+    return run
+
+
+def all_queries() -> dict[str, Query]:
+    return {q.__name__: _prepared(q) for q in QUERIES}

@@ -35,6 +35,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for name, value in RUNTIME_SETTINGS.items():

@@ -1,0 +1,2 @@
+def scored(*a): raise NotImplementedError
+alert_counts = rings = scored
