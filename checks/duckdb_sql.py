@@ -276,7 +276,7 @@ def violations() -> str:
     listed = ", ".join(f"case when {c} then '{n}' end" for n, c in rules)
     return f"""
 with b as ({BATCH}),
-v as (select *, list_filter([{listed}], e -> e is not null) as vs from b)"""
+v as (select *, concat_ws('; ', {listed}) as vs from b)"""
 
 
 SIMILARITY = RAMP_F + similarity_cte()
@@ -361,14 +361,16 @@ select customer_id::varchar as customer_id, transaction_id::varchar as transacti
  cast(cast(timestamp as varchar) as timestamp) as timestamp, amount, merchant_category,
  device_id, location, failed_logins_24h, is_fraud from ({RAMP})"""
     out["contract_violations"] = violations() + """
-select transaction_id, array_to_string(vs, '; ') as violations from v where len(vs) > 0"""
+select transaction_id, vs as violations from v where vs <> ''"""
     out["violation_counts"] = violations() + """
-select violation, count(*) as n from (select unnest(vs) as violation from v) group by violation"""
+select violation, count(*) as n 
+from (select unnest(string_split(vs, '; ')) as violation from v where vs <> '')
+group by violation"""
     out["batch_defaults"] = violations() + """
 select customer_id, transaction_id, timestamp, amount, merchant_category,
  coalesce(nullif(device_id, ''), 'DEV_' || customer_id || '_A') as device_id,
  coalesce(nullif(location, ''), 'Hyderabad') as location,
- coalesce(failed_logins_24h, 0) as failed_logins_24h from v where len(vs) = 0"""
+ coalesce(failed_logins_24h, 0) as failed_logins_24h from v where vs = ''"""
     out["generated_ids"] = f"""
 select transaction_id, 'TXN_' || upper(substr(md5(customer_id::varchar || '|' ||
  transaction_id::varchar || '|' || merchant_category), 1, 10)) as generated_id from ({RAMP})"""

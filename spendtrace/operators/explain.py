@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,28 +37,32 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
     points = F.arrays_zip(number_array(logits).alias("l"), number_array(probabilities).alias("p"))
     inputs = normalised_inputs(model.scaler)
 
-    def slope(point: Column) -> Column:
-        step = F.col("_logit") - point["l"]
-        return F.when(F.abs(step) > 1e-9,
-                      (F.col("_p") - point["p"]) / step).otherwise(
-                          point["p"] * (1 - point["p"]))
-
-    def mean_product(column: list[float]) -> Column:
-        products = F.zip_with("_slopes", number_array(column), lambda s, b: s * b)
-        return F.aggregate(products, F.lit(0.0), lambda a, v: a + v) / len(background)
-
-    wanted = F.lit(True) if when is None else when
-    mean_slope = F.aggregate("_slopes", F.lit(0.0), lambda a, v: a + v) / len(background)
-    parts = [(x * F.col("_slope") - mean_product([b[i] for b in background])) * w
-             for i, (x, w) in enumerate(zip(inputs, model.weights))]
-    return (
-        rows.withColumn("_logit", model.logit(inputs))
-        .withColumn("_p", model.probability(inputs))
-        .withColumn("_slopes", F.when(wanted, F.transform(points, slope)))
-        .withColumn("_slope", mean_slope)
-        .withColumn(name, F.when(wanted, F.array(*parts)))
-        .drop("_logit", "_p", "_slopes", "_slope")
-    )
+    def slopes(own: Column) -> Column:
+        def slope(point: Column) -> Column:
+            step = own["l"] - point["l"]
+            return F.when(F.abs(step) > 1e-9, (own["p"] - point["p"]) / step).otherwise(
+                point["p"] * (1 - point["p"]))
+        return F.transform(points, slope)
+
+    def mean(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / len(background)
+
+    def contributions(bound: Column) -> Column:
+        def weighted(column: list[float]) -> Column:
+            return mean(F.zip_with(bound["s"], number_array(column), lambda s, b: s * b))
+        return F.array(*[
+            (x * bound["m"] - weighted([b[i] for b in background])) * w
+            for i, (x, w) in enumerate(zip(inputs, model.weights))])
+
+    score = F.struct(model.logit(inputs).alias("l"), model.probability(inputs).alias("p"))
+    explained = _let(_let(score, slopes), lambda s: _let(
+        F.struct(s.alias("s"), mean(s).alias("m")), contributions))
+    return rows.withColumn(name, explained if when is None else F.when(when, explained))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, with `value` evaluated once per row however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def top_reasons(contributions: Column, top: int = C.TOP_REASONS) -> Column:
