@@ -139,7 +139,7 @@ class RiskModels:
 # scaled inputs in model order.
 FIXED_TRAJECTORY_INTERCEPT = -5.0
 FIXED_TRAJECTORY_WEIGHTS = [0.45, 0.2, 1.5, 0.8, 3.0, 1.2, 0.1, 0.05, 0.004]
-FIXED_TRANSACTION_INTERCEPT = -3.0
+FIXED_TRANSACTION_INTERCEPT = -4.5
 FIXED_TRANSACTION_WEIGHTS = [0.7, 0.1, 0.4, 0.35, 0.45, 0.6, 0.1, 0.05, 0.5, 0.4]
 
 

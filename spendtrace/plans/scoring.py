@@ -35,9 +35,12 @@ def hand_off(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("n_prior") >= C.SEQUENCE_LENGTH)
 
 
-def score_behaviour(rows: DataFrame, models: RiskModels,
-                    with_reasons: bool = True) -> DataFrame:
-    """Scores, alert level, similarity and reasons from `behaviour` columns."""
+def score_behaviour(rows: DataFrame, models: RiskModels, with_reasons: bool = True,
+                    extra: list[str] | None = None) -> DataFrame:
+    """Scores, alert level, similarity and reasons from `behaviour` columns.
+
+    `extra` names further columns to keep.
+    """
     scored = (
         rows.withColumn("risk_score", models.trajectory.risk_score(F.col("steps")))
         .withColumn("_probability", models.transaction.served_probability())
@@ -45,7 +48,7 @@ def score_behaviour(rows: DataFrame, models: RiskModels,
         .withColumn("fraud_probability", F.round(F.col("_probability") * 100, 2))
     )
     scored = add_similarity(scored)
-    columns = [*C.SCORED_COLUMNS]
+    columns = [*C.SCORED_COLUMNS, *(extra or [])]
     if with_reasons:
         elevated = F.col("_probability") >= C.REASON_THRESHOLD
         scored = add_probability_contributions(
@@ -78,9 +81,10 @@ def score_batch(stored: DataFrame, batch: DataFrame, models: RiskModels,
 
 def batch_summary(scored: DataFrame) -> DataFrame:
     """Rows per alert level, all four levels, most severe first."""
-    levels = scored.sparkSession.createDataFrame(
-        [(level, i) for i, level in enumerate(reversed(C.ALERT_LEVELS))],
-        "alert_level string, severity_order int")
+    names = F.array(*[F.lit(level) for level in reversed(C.ALERT_LEVELS)])
+    levels = scored.sparkSession.range(len(C.ALERT_LEVELS), numPartitions=1).select(
+        F.get(names, F.col("id").cast("int")).alias("alert_level"),
+        F.col("id").cast("int").alias("severity_order"))
     counts = scored.groupBy("alert_level").agg(F.count("*").alias("n"))
     return (levels.join(counts, "alert_level", "left")
             .select("alert_level", "severity_order", F.coalesce("n", F.lit(0)).alias("n"))

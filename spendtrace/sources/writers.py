@@ -54,8 +54,8 @@ def append_scored_jdbc(scored: DataFrame, url: str, table: str, **options: str)
 
 def save_models(spark: SparkSession, models: RiskModels, path: str) -> None:
     """Coefficients, scalers and background rows of both stages, as one small table."""
-    spark.createDataFrame([(to_json(models),)], "models string").write.mode(
-        "overwrite").parquet(path)
+    row = spark.range(1).select(F.lit(to_json(models)).alias("models"))
+    row.write.mode("overwrite").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> RiskModels:

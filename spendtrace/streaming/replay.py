@@ -1,2 +1,64 @@
-def scored(*a): raise NotImplementedError
-alert_counts = rings = scored
+"""Replay a stored log as a stream that arrives in slices of time.
+
+Each slice is one run of the streaming query on the same checkpoint, so every
+run after the first restores its state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spendtrace.operators.learn import RiskModels
+from spendtrace.session import materialize, new_folder
+from spendtrace.sources import fixtures as fx
+from spendtrace.streaming import sinks
+from spendtrace.streaming.behaviour import score_stream
+
+SLICES = 3
+SLICE_DAYS = 10
+
+
+def _arrivals(log: DataFrame, folder: str) -> Iterator[int]:
+    """Write the log to `folder` slice by slice, by day of the month."""
+    part = F.least(F.floor((F.dayofmonth("timestamp") - 1) / SLICE_DAYS), F.lit(SLICES - 1))
+    for i in range(SLICES):
+        log.filter(part == i).write.mode("append").parquet(folder)
+        yield i
+
+
+def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str], object]) -> None:
+    log = materialize(fx.ramp_log(spark, sf_dir), "log")
+    folder, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "stream")
+    for _ in _arrivals(log, folder):
+        stream = sinks.read_transactions(spark, folder, log.schema)
+        run(stream, checkpoint).awaitTermination()
+
+
+def _scored_folder(spark: SparkSession, sf_dir: str, models: RiskModels) -> str:
+    out = new_folder(spark, "scored")
+    _replayed(spark, sf_dir, lambda stream, checkpoint: sinks.write_scored(
+        score_stream(stream, models, fx.ramp_home(), with_reasons=False), out, checkpoint))
+    return out
+
+
+def scored(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
+    return spark.read.parquet(_scored_folder(spark, sf_dir, models))
+
+
+def alert_counts(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
+    folder = _scored_folder(spark, sf_dir, models)
+    out, checkpoint = new_folder(spark, "alerts"), new_folder(spark, "stream")
+    schema = spark.read.parquet(folder).schema
+    stream = sinks.read_transactions(spark, folder, schema)
+    sinks.count_alerts(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "devices")
+    _replayed(spark, sf_dir, lambda stream, checkpoint: sinks.count_devices(
+        stream, out, checkpoint))
+    return sinks.running_rings(spark, out)
