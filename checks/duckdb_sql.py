@@ -499,7 +499,7 @@ select transaction_id, customer_id, timestamp, amount, merchant_category, device
     out["report_rows"] = report()
     out["json_requests"] = f"""
 select customer_id, transaction_id::varchar as transaction_id, amount, merchant_category,
- device_id, location, failed_logins_24h from ({BATCH})"""
+ device_id, location, failed_logins_24h::varchar as failed_logins_24h from ({BATCH})"""
     out["scored_json"] = REASONS + f"""
 select p.transaction_id, {LEVEL} as alert_level,
  cast(count(top.transaction_id) as int) as n_reasons

@@ -433,8 +433,9 @@ def json_requests(spark, folder):
     batch = fx.dirty_batch(spark, folder).select(
         "customer_id", F.col("transaction_id").cast("string").alias("transaction_id"),
         "amount", "merchant_category", "device_id", "location", "failed_logins_24h")
-    return transactions_json(batch.select(F.to_json(F.struct(*batch.columns)).alias("value"))
-                             ).drop("timestamp")
+    bodies = batch.select(F.to_json(F.struct(*batch.columns)).alias("value"))
+    return transactions_json(bodies).drop("timestamp").withColumn(
+        "failed_logins_24h", F.col("failed_logins_24h").cast("string"))
 
 
 def scored_json(spark, folder):
