@@ -41,6 +41,11 @@ HOT = f"""
  from events
 """
 
+SKEWED = f"""
+ select case when customer_id % 3 = 0 then 0 else customer_id end as customer_id,
+  * exclude (customer_id) from ({HOT})
+"""
+
 ORDERS = """
  select o.o_custkey as customer_id, o.o_orderkey as transaction_id, o.o_orderdate as timestamp,
   o.o_totalprice as amount, o.o_orderpriority as merchant_category,
@@ -113,6 +118,7 @@ f as (select * exclude (failed_logins_24h),
 RAMP_F = features(RAMP, RAMP_HOME)
 ORDERS_F = features(ORDERS, ORDERS_HOME)
 HOT_F = features(HOT, HOT_HOME)
+SKEWED_F = features(SKEWED, HOT_HOME)
 
 OWN = "partition by customer_id order by timestamp, transaction_id"
 
@@ -395,8 +401,10 @@ select transaction_id, cast(count(*) filter (merchant_category = 'error') over (
  range between 86400000000 preceding and 1 preceding) as int) as failed_logins_24h
 from ({HOT})"""
     for name, cte in [("point_features", RAMP_F), ("point_features_orders", ORDERS_F),
-                      ("point_features_hot", HOT_F)]:
+                      ("point_features_hot", HOT_F), ("point_features_skewed", SKEWED_F)]:
         out[name] = cte + f" select customer_id, transaction_id, {FEATURE_OUT}, is_fraud from f"
+    out["scores_skewed"] = SKEWED_F + risk() + similarity_cte("r") + """
+select transaction_id, risk_score, similarity_pct, round(az, 6) as avg_z_deviation from sim"""
     out["feature_summary"] = summary_stats()
     out["dataset_size"] = f"""
 select count(*) as n_rows, count(distinct customer_id) as n_customers,
@@ -472,6 +480,18 @@ select round((sum(rank) filter (is_fraud = 1)
     out["fraud_rings"] = rings(RAMP, 2)
     out["fraud_rings_min_k"] = rings(HOT, 70)
     out["fraud_rings_orders"] = rings(ORDERS, 2)
+    out["fraud_rings_in_parts"] = f"""
+with c as (select device_id, customer_id, count(*) as n_txn from ({HOT})
+ where device_id is not null group by all),
+m as (select *, count(*) over (partition by device_id) as n_customers,
+ sum(n_txn) over (partition by device_id)::bigint as transaction_count from c),
+p as (select *, ceil(n_customers / 20)::int as parts from m where n_customers >= 2),
+q as (select *, case when parts > 1 then ((('0x' || substr(md5(customer_id::varchar), 1, 8))::bigint
+ % 1073741824) % parts)::int else 0 end as part from p)
+select 'shared_device' as ring_type, device_id as identifier,
+ string_agg(customer_id::varchar, ',' order by customer_id) as customer_ids,
+ n_customers, transaction_count, part, parts
+from q group by device_id, n_customers, transaction_count, part, parts"""
     out["ring_members"] = f"""
 with c as (select device_id, customer_id, count(*) as n_txn from ({HOT})
  where device_id is not null group by all)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
-from spendtrace.operators.history import RUN, split_history
+from spendtrace.operators.history import running_total, split_history
 
 
 def confusion(rows: DataFrame, probability: str, label: str,
@@ -50,24 +50,11 @@ def auc_roc(rows: DataFrame, probability: str, label: str,
         F.count_if(F.col(label) == 1).alias("_pos"),
         F.count_if(F.col(label) != 1).alias("_neg"),
     ).withColumn("_all", F.lit(0))
-    history = split_history(scores, key="_all", order=("_score",), max_rows=max_rows)
-    frame = (Window.unboundedPreceding, -1)
-    whole = history.whole.withColumn(
-        "_below", F.sum("_neg").over(history.ordered().rowsBetween(*frame)))
-    cut = history.cut
-    if cut is not None:
-        before = history.carried({"_sum": F.sum("_neg")}, {"_earlier": F.sum("_sum")})
-        cut = (
-            cut.withColumn("_below", F.coalesce(
-                F.sum("_neg").over(history.run_ordered().rowsBetween(*frame)), F.lit(0)))
-            .join(before, ["_all", RUN], "left")
-            .withColumn("_below", F.col("_below") + F.coalesce("_earlier", F.lit(0)))
-            .drop("_earlier")
-        )
-    below = F.coalesce(F.col("_below"), F.lit(0))
-    pairs = F.sum(F.col("_pos") * (below + F.col("_neg") / 2))
+    ranked = running_total(split_history(
+        scores, key="_all", order=("_score",), max_rows=max_rows), "_neg", "_below")
+    pairs = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     positives, negatives = F.sum("_pos"), F.sum("_neg")
-    return history.derive(whole, cut).rows().agg(
+    return ranked.rows().agg(
         F.when((positives > 0) & (negatives > 0),
                F.round(pairs / positives / negatives, 4)).alias("auc_roc"))
 
@@ -84,23 +71,45 @@ def metrics(rows: DataFrame, probability: str, label: str, model: str,
         "test_set_size", "fraud_rate_pct", F.lit(threshold).alias("threshold"))
 
 
-def feature_summary(features: DataFrame, columns: list[str]) -> DataFrame:
+def feature_summary(features: DataFrame, columns: list[str],
+                    max_rows: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column, one row each.
 
-    Quartiles are exact and interpolate. The exact percentile keeps one count
-    per distinct value and column, so columns of very many distinct values go
-    through `quartiles_by_rank` instead (see `feature_summary_large`).
+    Quartiles are exact and interpolate. They come from running counts over the
+    distinct values of a column, which are cut into ranges when there are many.
     """
-    def stat(c: str) -> Column:
-        x = F.col(c).cast("double")
-        quarters = F.percentile(x, [0.25, 0.5, 0.75])
-        return F.struct(
-            F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            F.get(quarters, F.lit(0)).alias("q25"), F.get(quarters, F.lit(1)).alias("q50"),
-            F.get(quarters, F.lit(2)).alias("q75"), F.max(x).alias("max"))
-    wide = features.agg(*[stat(c).alias(c) for c in columns])
-    return wide.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    long = features.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+        for c in columns])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
+    stats = long.groupBy("feature").agg(
+        F.count("*").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"))
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    ranked = running_total(split_history(
+        counts, key="feature", order=("value",), max_rows=max_rows), "_n", "_below").rows()
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= rank)
+                            & (rank < F.col("_below") + F.col("_n")), F.col("value")))
+
+    # one row per column of the table, so the list to broadcast is a short one
+    placed = ranked.join(F.broadcast(stats.select("feature", "count")), "feature")
+    quarters = []
+    for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        position = (F.col("count") - 1) * share
+        quarters += [value_at(F.floor(position)).alias(f"{name}_low"),
+                     value_at(F.ceil(position)).alias(f"{name}_high"),
+                     F.max(position - F.floor(position)).alias(f"{name}_part")]
+    found = placed.groupBy("feature").agg(*quarters)
+
+    def between(name: str) -> Column:
+        low, high, part = (F.col(f"{name}_{x}") for x in ("low", "high", "part"))
+        return (low + (high - low) * part).alias(name)
+
+    return stats.join(found, "feature").select(
+        "feature", "count", "mean", "std", "min",
+        between("q25"), between("q50"), between("q75"), "max")
 
 
 def dataset_size(log: DataFrame) -> DataFrame:

@@ -44,19 +44,18 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
                 point["p"] * (1 - point["p"]))
         return F.transform(points, slope)
 
-    def mean(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / len(background)
-
     def contributions(bound: Column) -> Column:
-        def weighted(column: list[float]) -> Column:
-            return mean(F.zip_with(bound["s"], number_array(column), lambda s, b: s * b))
-        return F.array(*[
-            (x * bound["m"] - weighted([b[i] for b in background])) * w
-            for i, (x, w) in enumerate(zip(inputs, model.weights))])
+        def contribution(i: int, weight: float) -> Column:
+            own = F.get(bound["x"], F.lit(i))
+            moved = F.zip_with(bound["s"], number_array([b[i] for b in background]),
+                               lambda s, b: s * (own - b))
+            total = F.aggregate(moved, F.lit(0.0), lambda a, v: a + v)
+            return total * (weight / len(background))
+        return F.array(*[contribution(i, w) for i, w in enumerate(model.weights)])
 
     score = F.struct(model.logit(inputs).alias("l"), model.probability(inputs).alias("p"))
-    explained = _let(_let(score, slopes), lambda s: _let(
-        F.struct(s.alias("s"), mean(s).alias("m")), contributions))
+    explained = _let(
+        F.struct(_let(score, slopes).alias("s"), F.array(*inputs).alias("x")), contributions)
     return rows.withColumn(name, explained if when is None else F.when(when, explained))
 
 

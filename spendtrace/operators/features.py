@@ -21,7 +21,8 @@ def home_city() -> Column:
     return F.col("location").isin(C.HOME_LOCATIONS)
 
 
-def log_history(log: DataFrame, max_rows: int | None = None) -> History:
+def log_history(log: DataFrame, max_rows: int | None = None,
+                sizes_from: DataFrame | None = None) -> History:
     """History of a transaction log in (time, transaction id) order.
 
     Customers that are cut also get one expiry mark per row, placed just after
@@ -38,7 +39,7 @@ def log_history(log: DataFrame, max_rows: int | None = None) -> History:
 
     return split_history(timed, order=("_t", "transaction_id"),
                          cut_order=("_t", "_kind", "transaction_id"),
-                         expand=with_marks, max_rows=max_rows)
+                         expand=with_marks, max_rows=max_rows, sizes_from=sizes_from)
 
 
 def add_amount_state(history: History) -> History:
@@ -152,10 +153,11 @@ def _without_features(rows: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in C.FEATURES if c != "failed_logins_24h"], "n_prior")
 
 
-def point_features(log: DataFrame, is_home: Column | None = None,
-                   max_rows: int | None = None) -> DataFrame:
+def point_features(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
+                   sizes_from: DataFrame | None = None) -> DataFrame:
     """Transaction log plus the nine feature columns."""
-    return add_point_features(log_history(log, max_rows), is_home).rows().drop("_t", "n_prior")
+    history = log_history(log, max_rows, sizes_from)
+    return add_point_features(history, is_home).rows().drop("_t", "n_prior")
 
 
 def failed_logins_trailing(log: DataFrame, failed: Column,

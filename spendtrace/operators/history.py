@@ -119,11 +119,13 @@ class History:
 def split_history(log: DataFrame, key: str = "customer_id",
                   order: tuple[str, ...] = ORDER, max_rows: int | None = None,
                   expand: Callable[[DataFrame], DataFrame] | None = None,
-                  cut_order: tuple[str, ...] | None = None) -> History:
+                  cut_order: tuple[str, ...] | None = None,
+                  sizes_from: DataFrame | None = None) -> History:
     """Check group sizes and cut the customers that are too large for one group.
 
     The check is a count per customer, combined before its shuffle, over the
-    key column alone. `expand` may add rows (for example expiry marks) to the
+    key column alone. It can be taken on `sizes_from` instead, a table with the
+    key that holds at least the rows of `log` and is cheaper to read. `expand` may add rows (for example expiry marks) to the
     customers that are cut; `cut_order` then orders those rows as well.
 
     The order has to be total within a customer, else rows that compare equal
@@ -131,7 +133,7 @@ def split_history(log: DataFrame, key: str = "customer_id",
     """
     max_rows = max_rows or MAX_ROWS_PER_RUN
     cut_order = cut_order or order
-    sizes = log.groupBy(key).agg(F.count("*").alias("_rows"))
+    sizes = (log if sizes_from is None else sizes_from).groupBy(key).agg(F.count("*").alias("_rows"))
     check = sizes.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
         F.count_if(F.col("_rows") > max_rows).alias("large"),
@@ -176,6 +178,26 @@ def positions(history: History, name: str = "n_prior") -> History:
     return history.derive(whole, cut)
 
 
+def running_total(history: History, column: str, name: str) -> History:
+    """Sum of `column` over the earlier rows of the same key, 0 on the first."""
+    frame = (Window.unboundedPreceding, -1)
+
+    def total(window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(*frame)), F.lit(0))
+
+    whole = history.whole.withColumn(name, total(history.ordered()))
+    cut = history.cut
+    if cut is not None:
+        before = history.carried({"_sum": F.sum(column)}, {"_before": F.sum("_sum")})
+        cut = (
+            cut.withColumn(name, total(history.run_ordered()))
+            .join(before, [history.key, RUN], "left")
+            .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+            .drop("_before")
+        )
+    return history.derive(whole, cut)
+
+
 def first_seen(history: History, column: str, name: str) -> History:
     """1 on the first row of a customer with this value of `column`, else 0."""
     whole = history.whole.withColumn(

@@ -221,6 +221,32 @@ def point_features_hot(spark, folder):
                     ["amount_zscore", "amount_pct_of_avg"])
 
 
+def _skewed_run(spark, folder):
+    """Run size that cuts the customer with a third of all rows and no other."""
+    return max(200, fx.table(spark, folder, "events").count() // 10)
+
+
+def point_features_skewed(spark, folder):
+    rows = FT.point_features(fx.skewed_log(spark, folder), fx.hot_home(),
+                             max_rows=_skewed_run(spark, folder))
+    return _rounded(rows.select("customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+                    ["amount_zscore", "amount_pct_of_avg"])
+
+
+def scores_skewed(spark, folder):
+    """Risk and similarity of every row where one customer has a third of all rows."""
+    rows = scoring.behaviour(fx.skewed_log(spark, folder), fx.hot_home(),
+                             max_rows=_skewed_run(spark, folder)).rows()
+    risk = L.fixed_trajectory_model().risk_score(F.col("steps"))
+    return P.add_similarity(rows.withColumn("risk_score", risk), digits=6).select(
+        "transaction_id", "risk_score", "similarity_pct", "avg_z_deviation")
+
+
+def fraud_rings_in_parts(spark, folder):
+    """Rings of any size, at most about twenty customers listed per row."""
+    return _joined_list(R.rings(fx.hot_log(spark, folder), list_size=20))
+
+
 def feature_summary(spark, folder):
     summary = E.feature_summary(feature_table(spark, folder), [*C.FEATURES, "is_fraud"])
     return _rounded(summary, ["mean", "std", "min", "q25", "q50", "q75", "max"])
@@ -474,14 +500,15 @@ QUERIES: list[Query] = [
     sequential_ids, new_device_flags, new_location_flags, feat_amount_zscore,
     feat_amount_pct, feat_hour_unusual, feat_category_unusual, feat_foreign_location,
     feat_velocity_1h, feat_velocity_1h_ties, failed_logins_24h_derived, point_features,
-    point_features_orders, point_features_hot, feature_summary, dataset_size,
+    point_features_orders, point_features_hot, point_features_skewed, scores_skewed,
+    feature_summary, dataset_size,
     sequences_long, sequences_long_orders, sequence_label_rate, latest_sequence_padded,
     customer_profile, profile_prefix, similarity, split_counts, scaler_stats,
     seq_scaler_stats, class_weights, background_sample, normalised_clipped,
     risk_scores_fixed, handoff_join, fraud_prob_fixed, alert_levels, alert_summary,
     logit_contributions, probability_contributions, reasons_topk, reasons_display,
     confusion, prf1, auc_roc, fraud_rings, fraud_rings_min_k, fraud_rings_orders,
-    ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
+    fraud_rings_in_parts, ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
     scored_log, report_rows, json_requests, scored_json, trained_metrics, trained_scores,
     stream_score, stream_alert_counts, stream_rings,
 ]

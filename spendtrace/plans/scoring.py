@@ -15,10 +15,10 @@ from spendtrace.operators.profile import add_profile, add_similarity
 from spendtrace.operators.sequences import add_steps
 
 
-def behaviour(log: DataFrame, is_home: Column | None = None,
-              max_rows: int | None = None) -> History:
+def behaviour(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
+              sizes_from: DataFrame | None = None) -> History:
     """Features, profile and earlier steps of every row: everything scoring reads."""
-    history = add_point_features(log_history(log, max_rows), is_home).settled()
+    history = add_point_features(log_history(log, max_rows, sizes_from), is_home).settled()
     return add_steps(add_profile(history))
 
 
@@ -75,7 +75,9 @@ def score_batch(stored: DataFrame, batch: DataFrame, models: RiskModels,
     customers = batch.select("customer_id").distinct()
     known = stored.join(customers, "customer_id", "left_semi").withColumn("_new", F.lit(False))
     log = known.unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
-    rows = behaviour(log, is_home, max_rows).rows().filter("_new")
+    # sizes over all stored customers: one column, without the join
+    sizes = stored.select("customer_id").unionByName(batch.select("customer_id"))
+    rows = behaviour(log, is_home, max_rows, sizes).rows().filter("_new")
     return score_behaviour(rows, models, with_reasons)
 
 

@@ -81,6 +81,15 @@ def hot_log(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("failed_logins_24h"), F.when(fraud, 1).otherwise(0).alias("is_fraud"))
 
 
+def skewed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The hot log with a third of all customers merged into one, and so for devices."""
+    log = hot_log(spark, folder)
+    merged = F.col("customer_id") % 3 == 0
+    return log.select(
+        F.when(merged, 0).otherwise(F.col("customer_id")).cast("bigint").alias("customer_id"),
+        *log.columns[1:])
+
+
 def orders_log(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as transactions: equal timestamps, short histories, null devices."""
     orders = table(spark, folder, "orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +31,25 @@ def append_scored(scored: DataFrame, path: str) -> None:
     """Append scored rows once per transaction id, partitioned by date.
 
     Rows whose id is already stored are left out, so a repeated write adds
-    nothing. Only the dates of the new rows are read for that check.
+    nothing. The check reads only the stored dates the new rows fall in.
     """
     spark = scored.sparkSession
     rows = scored.select(
         *C.SCORED_COLUMNS, F.lit(None).cast("boolean").alias("is_fraud_actual"),
         F.to_date("timestamp").alias("date")).dropDuplicates(["transaction_id"])
-    if path_exists(spark, path):
-        stored = read_scored(spark, path).select("transaction_id", "date")
-        rows = rows.join(stored, ["transaction_id", "date"], "left_anti")
-    rows.write.mode("append").partitionBy("date").parquet(path)
+    if not path_exists(spark, path):
+        rows.write.mode("append").partitionBy("date").parquet(path)
+        return
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read for its dates and its rows
+    try:
+        days = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+        stored = read_scored(spark, path).filter(
+            F.col("date").between(F.lit(days["first"]), F.lit(days["last"])))
+        keys = ["transaction_id", "date"]
+        (rows.join(stored.select(*keys), keys, "left_anti")
+         .write.mode("append").partitionBy("date").parquet(path))
+    finally:
+        rows.unpersist()
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
