@@ -170,18 +170,18 @@ def read_background(sample: DataFrame) -> list[list[float]]:
 # --- fitting --------------------------------------------------------------------
 
 def _fit_logistic(rows: DataFrame, features: Column, label: str, reg: float,
-                  max_iter: int) -> LogisticRegressionModel:
+                  max_iter: int, tol: float = 1e-5) -> LogisticRegressionModel:
     weight = class_weights(rows, label).first()["weight_pos"]
     table = rows.select(
         array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"),
         F.when(F.col(label) == 1, weight).otherwise(1.0).alias("weight"))
     return LogisticRegression(
-        weightCol="weight", maxIter=max_iter, regParam=reg, standardization=False,
+        weightCol="weight", maxIter=max_iter, tol=tol, regParam=reg, standardization=False,
         aggregationDepth=2).fit(table)
 
 
 def fit_trajectory_model(sequences: DataFrame, reg: float = 0.01,
-                         max_iter: int = 50) -> TrajectoryModel:
+                         max_iter: int = 30) -> TrajectoryModel:
     """Fit P(row is fraud | ten rows before it) on the training windows."""
     scaler = read_scaler(sequence_scaler_stats(sequences), C.FEATURES)
     flat = F.flatten("seq")
@@ -196,7 +196,7 @@ def fit_trajectory_model(sequences: DataFrame, reg: float = 0.01,
 
 
 def fit_transaction_model(train: DataFrame, reg: float = 0.01,
-                          max_iter: int = 50) -> TransactionModel:
+                          max_iter: int = 30) -> TransactionModel:
     """Fit the fraud probability on the ten inputs; training inputs are not limited."""
     scaler = read_scaler(scaler_stats(train, C.MODEL_INPUTS), C.MODEL_INPUTS)
     model = _fit_logistic(train, F.array(*normalised_inputs(scaler, None)), "is_fraud",

@@ -57,6 +57,11 @@ def _keep(spark: SparkSession, folder: str, name: str, build: Callable):
     return _kept.tables[key]
 
 
+def forget_tables() -> None:
+    """Make the next query build its inputs again."""
+    _kept.tables.clear()
+
+
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """Ramp log with features, n_prior and the fixed stage-1 risk score."""
     return _keep(spark, folder, "features", lambda: materialize(scoring.with_risk(

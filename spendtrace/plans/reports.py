@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.operators.evaluate import metrics
-from spendtrace.operators.learn import TrajectoryModel, TransactionModel, normalised_inputs
+from spendtrace.operators.learn import TransactionModel, normalised_inputs
 from spendtrace.sources.readers import path_exists
 from spendtrace.sources.writers import save_metrics
 
@@ -79,15 +79,13 @@ def report_rows(scored: DataFrame) -> DataFrame:
         "transaction_id", "l.*")
 
 
-def model_metrics(test_rows: DataFrame, trajectory: TrajectoryModel,
-                  transaction: TransactionModel) -> DataFrame:
-    """Metrics of both models on held-out rows with `steps`, features and `is_fraud`."""
-    scored = (
-        test_rows.withColumn("p_trajectory", trajectory.probability(F.col("steps")))
-        .withColumn("risk_score", F.round(F.col("p_trajectory") * 100, 2))
-        .withColumn("p_transaction", transaction.probability(
-            normalised_inputs(transaction.scaler)))
-    )
+def model_metrics(test_rows: DataFrame, transaction: TransactionModel) -> DataFrame:
+    """Metrics of both models on held-out rows with features, p_trajectory and is_fraud.
+
+    Inputs are limited as in scoring, the probability is not capped.
+    """
+    scored = test_rows.withColumn("p_transaction", transaction.probability(
+        normalised_inputs(transaction.scaler)))
     return metrics(scored, "p_trajectory", "is_fraud", "trajectory").unionByName(
         metrics(scored, "p_transaction", "is_fraud", "transaction"))
 

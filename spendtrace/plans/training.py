@@ -21,11 +21,10 @@ from spendtrace.session import materialize
 @dataclass(frozen=True)
 class Trained:
     models: RiskModels
-    table: DataFrame  # rows with a full window, is_test, features, steps, risk_score
+    table: DataFrame  # rows with a full window: features, is_test, p_trajectory, risk_score
 
     def metrics(self) -> DataFrame:
-        return model_metrics(self.table.filter("is_test"), self.models.trajectory,
-                             self.models.transaction)
+        return model_metrics(self.table.filter("is_test"), self.models.transaction)
 
 
 def training_table(log: DataFrame, is_home: Column | None = None,
@@ -43,8 +42,12 @@ def train(log: DataFrame, is_home: Column | None = None,
     windows = table.filter("not is_test").select(
         F.col("steps").alias("seq"), F.col("is_fraud").alias("label"))
     trajectory = fit_trajectory_model(windows)
-    table = table.withColumn("risk_score", trajectory.risk_score(F.col("steps")))
-    rows = table.filter("not is_test").drop("steps")
+    # the second fit and the metrics read narrow rows, without the windows
+    narrow = materialize(
+        table.withColumn("p_trajectory", trajectory.probability(F.col("steps")))
+        .withColumn("risk_score", F.round(F.col("p_trajectory") * 100, 2)).drop("steps"),
+        "stage2")
+    rows = narrow.filter("not is_test")
     transaction = fit_transaction_model(rows)
     background = read_background(background_sample(rows, transaction.scaler))
-    return Trained(RiskModels(trajectory, transaction, background), table)
+    return Trained(RiskModels(trajectory, transaction, background), narrow)

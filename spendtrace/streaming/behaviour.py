@@ -7,6 +7,7 @@ expressions the batch jobs use. Work per row does not grow with the history.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,6 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import flag, micros
 from spendtrace.operators.features import SECOND, home_city
 from spendtrace.operators.learn import RiskModels
-from spendtrace.operators.profile import profile_columns
 from spendtrace.plans.scoring import score_behaviour
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,8 +30,8 @@ STATS = ("n bigint, mean double, m2 double, last bigint, hours array<bigint>,"
          " f_mean array<double>, f_m2 array<double>")
 
 WIDTH = len(C.FEATURES)
-RAW = ["customer_id", "transaction_id", "timestamp", "amount", "merchant_category",
-       "device_id", "location", "failed_logins_24h"]
+KEPT = ["customer_id", "transaction_id", "event_micros", "amount", "merchant_category",
+        "device_id", "location", "failed_logins_24h"]
 
 
 class RunningBehaviour(StatefulProcessor):
@@ -48,7 +48,11 @@ class RunningBehaviour(StatefulProcessor):
         self.seen = handle.getMapState("seen", "kind string, value string", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["event_micros", "transaction_id"], kind="stable")
+        yield self._take(pd.concat(list(rows)))
+
+    def _take(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """The rows in event order, with what the customer did before each."""
+        batch = batch.sort_values(["event_micros", "transaction_id"], kind="stable")
         state = self._load()
         counts: dict[tuple[str, str], int] = {}
         changed: set[tuple[str, str]] = set()
@@ -76,8 +80,7 @@ class RunningBehaviour(StatefulProcessor):
             self.seen.updateValue(entry, (counts[entry],))
         self.stats.update(tuple(
             v.tolist() if isinstance(v, np.ndarray) else v for v in state.values()))
-        result = batch[RAW].reset_index(drop=True)
-        yield pd.concat([result, pd.DataFrame(out)], axis=1)
+        return pd.concat([batch[KEPT].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
     def close(self) -> None:
         pass
@@ -111,7 +114,8 @@ class RunningBehaviour(StatefulProcessor):
             float(row.foreign),
             float(row.failed_logins_24h),
             float(n == 0 or of_category / n < C.UNUSUAL_FREQUENCY),
-            float(sum(abs(row.event_micros - t) <= near for t in state["recent"])),
+            float(bisect_right(state["recent"], row.event_micros + near)
+                  - bisect_left(state["recent"], row.event_micros - near)),
             float(np.clip(amount / max(mean, 1e-6) * 100, 0.0, C.PCT_LIMIT)),
         ]
 
@@ -135,46 +139,101 @@ class RunningBehaviour(StatefulProcessor):
         state["f_m2"] = state["f_m2"] + gaps * (vector - state["f_mean"])
         state["hours"][row.event_hour] += 1
         state["last"] = max(state["last"], int(row.event_micros))
+        insort(state["recent"], int(row.event_micros))
         oldest = state["last"] - C.VELOCITY_SECONDS * SECOND
-        state["recent"] = [t for t in [*state["recent"], int(row.event_micros)] if t >= oldest]
+        del state["recent"][:bisect_left(state["recent"], oldest)]
         state["steps"] = [*state["steps"], features][-C.SEQUENCE_LENGTH:]
 
 
-def running_behaviour(stream: DataFrame, is_home: Column | None = None) -> DataFrame:
+class OrderedBehaviour(RunningBehaviour):
+    """Takes rows in event order across micro-batches.
+
+    A row waits until the watermark has passed its time, so rows that arrive
+    within the delay are taken in their place. A row behind the watermark is
+    taken at once.
+    """
+
+    def __init__(self, columns: T.StructType):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))[self.columns.names]
+        passed = batch["event_micros"] < timerValues.getCurrentWatermarkInMs() * 1000
+        later = batch[~passed]
+        if len(later):
+            self.waiting.appendList(_records(later))
+            for millis in sorted(set(later["event_micros"] // 1000 + 1)):
+                self.handle.registerTimer(int(millis))
+        if passed.any():
+            yield self._take(batch[passed])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names)
+        due = held["event_micros"] < expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if due.any():
+            rest = held[~due]
+            self.waiting.put(_records(rest)) if len(rest) else self.waiting.clear()
+            yield self._take(held[due])
+
+
+def _records(frame: pd.DataFrame) -> list[tuple]:
+    return [tuple(None if pd.isna(v) else v for v in r)
+            for r in frame.astype(object).itertuples(index=False, name=None)]
+
+
+def running_behaviour(stream: DataFrame, is_home: Column | None = None,
+                      delay: str | None = None) -> DataFrame:
     """Features, profile and earlier steps of each arriving transaction.
 
-    A customer's rows within one micro-batch are taken in event order. A row
-    older than one already taken from the customer is marked `is_late` and is
-    scored against the state as it is.
+    Without `delay` a row is taken when it arrives, rows of one micro-batch in
+    event order. With `delay` rows are held back until the watermark passes them
+    and are taken in event order across micro-batches. Either way a row older
+    than one already taken from the customer is marked `is_late` and is scored
+    against the state as it is.
+
+    One customer's rows of a micro-batch go to one task, so the bytes a trigger
+    takes (see `read_transactions`) bound what a very active customer can bring.
     """
     is_home = home_city() if is_home is None else is_home
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    at_type = stream.schema["timestamp"].dataType
+    if delay is not None:
+        stream = stream.withWatermark("timestamp", delay)
     prepared = stream.select(
-        *RAW, micros("timestamp").alias("event_micros"), F.hour("timestamp").alias("event_hour"),
+        *[c for c in KEPT if c != "event_micros"],
+        micros("timestamp").alias("event_micros"), F.hour("timestamp").alias("event_hour"),
         flag(~F.coalesce(is_home, F.lit(False))).alias("foreign"))
+    # without the watermarked column in its input the operator drops no late rows
+    columns = prepared.schema
     array = T.ArrayType(T.DoubleType())
     schema = T.StructType([
-        *[prepared.schema[c] for c in RAW],
+        *[columns[c] for c in KEPT],
         T.StructField("means", array), T.StructField("stds", array),
         T.StructField("is_late", T.BooleanType()), T.StructField("n_prior", T.LongType()),
         T.StructField("features", array), T.StructField("steps", T.ArrayType(array))])
     states = prepared.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=RunningBehaviour(), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=RunningBehaviour() if delay is None else OrderedBehaviour(columns),
+        outputStructType=schema, outputMode="Append",
+        timeMode="None" if delay is None else "EventTime")
+    states = states.withColumn(
+        "timestamp", F.timestamp_micros("event_micros").cast(at_type)).drop("event_micros")
     whole_numbers = set(C.FEATURES) - {"amount_zscore", "amount_pct_of_avg"}
-    columns = {}
+    named = {}
     for i, f in enumerate(C.FEATURES):
-        at = F.lit(i)
-        value = F.get("features", at)
-        columns[f] = value.cast("int") if f in whole_numbers else value
-        columns[f"mean_{f}"] = F.get("means", at)
-        columns[f"std_{f}"] = F.get("stds", at)
-    assert set(profile_columns()) < set(columns)
-    return states.withColumns(columns).drop("features", "means", "stds")
+        value = F.get("features", F.lit(i))
+        named[f] = value.cast("int") if f in whole_numbers else value
+        named[f"mean_{f}"] = F.get("means", F.lit(i))
+        named[f"std_{f}"] = F.get("stds", F.lit(i))
+    return states.withColumns(named).drop("features", "means", "stds")
 
 
 def score_stream(stream: DataFrame, models: RiskModels, is_home: Column | None = None,
-                 with_reasons: bool = True) -> DataFrame:
+                 with_reasons: bool = True, delay: str | None = None) -> DataFrame:
     """Scored transactions of a stream; the expressions are those of the batch jobs."""
-    return score_behaviour(running_behaviour(stream, is_home), models, with_reasons,
+    return score_behaviour(running_behaviour(stream, is_home, delay), models, with_reasons,
                            extra=["is_late"])

@@ -10,13 +10,14 @@ from spendtrace.operators.rings import device_counts, rings_from_counts
 from spendtrace.sources.writers import append_scored
 
 
-def read_transactions(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
+def read_transactions(spark: SparkSession, path: str, schema, bytes_per_trigger: str = "512m",
                       file_format: str = "parquet") -> DataFrame:
-    """Transaction files as a stream; with json, one request body per line."""
-    reader = spark.readStream.schema(schema).format(file_format)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    """Transaction files as a stream; with json, one request body per line.
+
+    A micro-batch takes at most about `bytes_per_trigger` of files.
+    """
+    return (spark.readStream.schema(schema).format(file_format)
+            .option("maxBytesPerTrigger", bytes_per_trigger).load(path))
 
 
 def distinct_transactions(stream: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -109,6 +109,26 @@ def test_late_row_is_marked(spark, tmp_path):
     assert seen == [("t00000", False, 0), ("t00001", True, 1), ("t00002", False, 2)]
 
 
+def test_rows_within_the_delay_are_taken_in_event_order(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    schema = log_of(spark, []).schema
+    seen = []
+    arrivals = [[(0, 5.0), (1, 5.4)], [(2, 5.2), (3, 6.5)], [(4, 5.1)], [(5, 30.0)], [(6, 60.0)]]
+    for part in arrivals:
+        log_of(spark, [row(number=i, at=START + timedelta(hours=h)) for i, h in part]).coalesce(
+            1).write.mode("append").parquet(folder)
+        stream = sinks.read_transactions(spark, folder, schema)
+        (B.running_behaviour(stream, delay="1 hour").writeStream
+         .option("checkpointLocation", str(tmp_path / "check"))
+         .foreachBatch(lambda batch, _: seen.extend(
+             (r.transaction_id[-1], r.is_late, r.n_prior) for r in batch.collect()))
+         .trigger(availableNow=True).start().awaitTermination())
+    in_order = [s[0] for s in seen if not s[1]]
+    assert in_order == ["0", "2", "1", "3", "5"]  # row 6 still waits
+    assert [s[:2] for s in seen if s[1]] == [("4", True)]
+    assert [s[2] for s in seen] == list(range(len(seen)))
+
+
 def test_repeated_ids_are_dropped_within_the_delay(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     log = log_of(spark, random_log(customers=1, rows=6))
