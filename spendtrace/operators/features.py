@@ -25,20 +25,25 @@ def log_history(log: DataFrame, max_rows: int | None = None,
                 sizes_from: DataFrame | None = None) -> History:
     """History of a transaction log in (time, transaction id) order.
 
+    Rows of a batch file carry `file_row`; at one instant they keep file order,
+    after stored rows.
+
     Customers that are cut also get one expiry mark per row, placed just after
     the row leaves the velocity window, so that the number of rows inside the
     window is a running sum: +1 at a row, -1 at its mark.
     """
     timed = log.withColumn("_t", micros("timestamp"))
 
+    at_once = ["file_row"] if "file_row" in log.columns else []
+
     def with_marks(rows: DataFrame) -> DataFrame:
         span = C.VELOCITY_SECONDS * SECOND + 1
         marks = rows.select("customer_id", "transaction_id",
                             (F.col("_t") + span).alias("_t"), F.lit(0).alias("_kind"))
         return rows.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
 
-    return split_history(timed, order=("_t", "transaction_id"),
-                         cut_order=("_t", "_kind", "transaction_id"),
+    return split_history(timed, order=("_t", *at_once, "transaction_id"),
+                         cut_order=("_t", "_kind", *at_once, "transaction_id"),
                          expand=with_marks, max_rows=max_rows, sizes_from=sizes_from)
 
 
@@ -121,8 +126,8 @@ def feature_columns(is_home: Column) -> dict[str, Column]:
 def add_point_features(history: History, is_home: Column | None = None) -> History:
     """Adds the nine features and n_prior; a column of the same name is replaced.
 
-    One exchange on the customer serves all windows: the customer is part of
-    each partition key.
+    One exchange on the customer serves all windows, since the customer is part
+    of each partition key.
     """
     is_home = home_city() if is_home is None else is_home
     history = history.derive(_without_features(history.whole),

@@ -10,7 +10,7 @@ from spendtrace.operators.rings import device_counts, rings_from_counts
 from spendtrace.sources.writers import append_scored
 
 
-def read_transactions(spark: SparkSession, path: str, schema, bytes_per_trigger: str = "512m",
+def read_transactions(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 512 << 20,
                       file_format: str = "parquet") -> DataFrame:
     """Transaction files as a stream; with json, one request body per line.
 

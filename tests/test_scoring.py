@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.operators import learn as L
+from spendtrace.operators import validate as V
 from spendtrace.plans import scoring
-from spendtrace.sources import writers
+from spendtrace.sources import readers, writers
 from spendtrace.streaming import behaviour as B
 from spendtrace.streaming import sinks
 from tests.helpers import SCHEMA, START, close, random_log, row
@@ -61,6 +62,19 @@ def test_suspicious_request_is_critical_with_reasons(spark):
     assert good.alert_level == "Low Risk" and good.reasons == []
 
 
+def test_batch_file_rows_see_earlier_rows_of_the_file(spark, tmp_path):
+    lines = ["customer_id,amount,merchant_category", *[f"a,{100 + i},fuel" for i in range(12)]]
+    (tmp_path / "b.csv").write_text("\n".join(lines) + "\n")
+    rows = readers.well_formed(readers.batch_csv(spark, str(tmp_path / "b.csv")))
+    batch = V.with_defaults(V.check_rows(rows).valid)
+    log = scoring.behaviour(batch).rows().orderBy("file_row")
+    assert [r.amount for r in log.collect()] == [100.0 + i for i in range(12)]
+    assert [r.txn_velocity_1h for r in log.collect()] == list(range(12))
+    stored = log_of(spark, [row("a", at=START)])
+    scored = scoring.score_batch(stored, batch, MODELS)
+    assert scored.count() == 12
+
+
 def test_summary_lists_all_levels(spark):
     rows = spark.createDataFrame([("Low Risk",), ("Low Risk",)], "alert_level string")
     got = [(r.alert_level, r.n) for r in scoring.batch_summary(rows).collect()]
