@@ -56,6 +56,7 @@ TOP_REASONS = 4
 SIMILARITY_DECAY = 2.9
 DECISION_THRESHOLD = 0.5
 TEST_PERCENT = 20
+VALIDATION_PERCENT = 15
 BACKGROUND_ROWS = 200
 MIN_RING_CUSTOMERS = 2
 CUSTOMER_LIST_LIMIT = 50

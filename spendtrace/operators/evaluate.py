@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.operators.history import running_total, split_history
+from spendtrace.session import materialize
 
 
 def confusion(rows: DataFrame, probability: str, label: str,
@@ -46,10 +47,10 @@ def auc_roc(rows: DataFrame, probability: str, label: str,
     Rows are combined per distinct score first. The running count over scores is
     one window while it is small and is cut into ranges of scores beyond that.
     """
-    scores = rows.groupBy(F.col(probability).alias("_score")).agg(
+    scores = materialize(rows.groupBy(F.col(probability).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"),
         F.count_if(F.col(label) != 1).alias("_neg"),
-    ).withColumn("_all", F.lit(0))
+    ), "scores").withColumn("_all", F.lit(0))
     ranked = running_total(split_history(
         scores, key="_all", order=("_score",), max_rows=max_rows), "_neg", "_below")
     pairs = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
@@ -85,7 +86,8 @@ def feature_summary(features: DataFrame, columns: list[str],
         F.count("*").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    counts = materialize(
+        long.groupBy("feature", "value").agg(F.count("*").alias("_n")), "values")
     ranked = running_total(split_history(
         counts, key="feature", order=("value",), max_rows=max_rows), "_n", "_below").rows()
 

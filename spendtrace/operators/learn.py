@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,38 +170,54 @@ def read_background(sample: DataFrame) -> list[list[float]]:
 
 # --- fitting --------------------------------------------------------------------
 
-def _fit_logistic(rows: DataFrame, features: Column, label: str, reg: float,
+def _fit_logistic(rows: DataFrame, features: Column, label: str, regs: tuple[float, ...],
                   max_iter: int, tol: float = 1e-5) -> LogisticRegressionModel:
+    """Class-weighted fit. Of several strengths of regularisation the one with the
+    best area under the curve on a validation part of the training rows is kept."""
     weight = class_weights(rows, label).first()["weight_pos"]
     table = rows.select(
         array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"),
-        F.when(F.col(label) == 1, weight).otherwise(1.0).alias("weight"))
-    return LogisticRegression(
-        weightCol="weight", maxIter=max_iter, tol=tol, regParam=reg, standardization=False,
-        aggregationDepth=2).fit(table)
+        F.when(F.col(label) == 1, weight).otherwise(1.0).alias("weight"),
+        (hash_bucket("transaction_id", 1 << 20) % 100 < C.VALIDATION_PERCENT).alias("held_out"))
 
+    def fit(part: DataFrame, reg: float) -> LogisticRegressionModel:
+        return LogisticRegression(
+            weightCol="weight", maxIter=max_iter, tol=tol, regParam=reg,
+            standardization=False, aggregationDepth=2).fit(part)
 
-def fit_trajectory_model(sequences: DataFrame, reg: float = 0.01,
+    best = regs[0]
+    if len(regs) > 1:
+        evaluator = BinaryClassificationEvaluator(numBins=0)
+        fitted, held_out = table.filter("not held_out"), table.filter("held_out")
+        best = max(regs, key=lambda reg: evaluator.evaluate(
+            fit(fitted, reg).transform(held_out)))
+    return fit(table, best)
+
+
+def fit_trajectory_model(sequences: DataFrame, regs: tuple[float, ...] = (0.01,),
                          max_iter: int = 30) -> TrajectoryModel:
-    """Fit P(row is fraud | ten rows before it) on the training windows."""
+    """Fit P(row is fraud | ten rows before it) on the training windows.
+
+    `sequences` has transaction_id, seq and label.
+    """
     scaler = read_scaler(sequence_scaler_stats(sequences), C.FEATURES)
     flat = F.flatten("seq")
     steps, width = C.SEQUENCE_LENGTH, len(C.FEATURES)
     scaled = F.array(*[normalised(F.get(flat, F.lit(i)), *scaler[i % width])
                        for i in range(steps * width)])
-    model = _fit_logistic(sequences, scaled, "label", reg, max_iter)
+    model = _fit_logistic(sequences, scaled, "label", regs, max_iter)
     values = [float(v) for v in model.coefficients]
     return TrajectoryModel(
         float(model.intercept),
         [values[k * width:(k + 1) * width] for k in range(steps)], scaler)
 
 
-def fit_transaction_model(train: DataFrame, reg: float = 0.01,
+def fit_transaction_model(train: DataFrame, regs: tuple[float, ...] = (0.01,),
                           max_iter: int = 30) -> TransactionModel:
     """Fit the fraud probability on the ten inputs; training inputs are not limited."""
     scaler = read_scaler(scaler_stats(train, C.MODEL_INPUTS), C.MODEL_INPUTS)
     model = _fit_logistic(train, F.array(*normalised_inputs(scaler, None)), "is_fraud",
-                          reg, max_iter)
+                          regs, max_iter)
     return TransactionModel(
         float(model.intercept), [float(v) for v in model.coefficients], scaler)
 

@@ -35,19 +35,22 @@ def training_table(log: DataFrame, is_home: Column | None = None,
     return materialize(add_split(full).drop("_t", "n_prior"), "training")
 
 
-def train(log: DataFrame, is_home: Column | None = None,
-          max_rows: int | None = None) -> Trained:
-    """Stage 1 on the windows, then stage 2 on the features and stage-1 scores."""
+def train(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
+          regs: tuple[float, ...] = (0.01,)) -> Trained:
+    """Stage 1 on the windows, then stage 2 on the features and stage-1 scores.
+
+    Several `regs` are compared on a validation part of the training rows.
+    """
     table = training_table(log, is_home, max_rows)
     windows = table.filter("not is_test").select(
-        F.col("steps").alias("seq"), F.col("is_fraud").alias("label"))
-    trajectory = fit_trajectory_model(windows)
+        "transaction_id", F.col("steps").alias("seq"), F.col("is_fraud").alias("label"))
+    trajectory = fit_trajectory_model(windows, regs)
     # the second fit and the metrics read narrow rows, without the windows
     narrow = materialize(
         table.withColumn("p_trajectory", trajectory.probability(F.col("steps")))
         .withColumn("risk_score", F.round(F.col("p_trajectory") * 100, 2)).drop("steps"),
         "stage2")
     rows = narrow.filter("not is_test")
-    transaction = fit_transaction_model(rows)
+    transaction = fit_transaction_model(rows, regs)
     background = read_background(background_sample(rows, transaction.scaler))
     return Trained(RiskModels(trajectory, transaction, background), narrow)

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from spendtrace.session import local_session  # noqa: E402
+from spendtrace.session import drop_intermediate, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=8, shuffle_partitions=4, memory="6g")
     yield session
+    drop_intermediate(session)
     session.stop()
 
 

@@ -170,6 +170,27 @@ def test_trained_models_find_the_ramps(spark):
     assert got["transaction"].test_set_size == got["trajectory"].test_set_size
 
 
+def test_regularisation_is_chosen_on_the_validation_part(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("transaction_id"),
+        *[F.randn(seed=i).alias(c) for i, c in enumerate(C.MODEL_INPUTS)])
+    rows = rows.withColumn("is_fraud", F.when(
+        F.col("amount_zscore") + 0.3 * F.col("risk_score") > 1.5, 1).otherwise(0))
+    weak = L.fit_transaction_model(rows, regs=(0.001,))
+    chosen = L.fit_transaction_model(rows, regs=(1000.0, 0.001))
+    assert chosen.weights == pytest.approx(weak.weights, rel=0.05, abs=0.05)
+
+
+def test_quartiles_interpolate_and_may_be_cut(spark):
+    values = [float(v * v % 37) for v in range(50)] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").withColumn("y", F.lit(2))
+    want = rows.select(F.percentile("x", [0.25, 0.5, 0.75])).first()[0]
+    for max_rows in (None, 5):
+        got = {r.feature: r for r in E.feature_summary(rows, ["x", "y"], max_rows).collect()}
+        assert [got["x"].q25, got["x"].q50, got["x"].q75] == pytest.approx(want)
+        assert (got["x"]["count"], got["y"]["q50"]) == (50, 2.0)
+
+
 def test_metrics_table_is_kept_until_refresh(spark, tmp_path):
     path, calls = str(tmp_path / "metrics"), []
 

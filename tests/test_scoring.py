@@ -1,3 +1,4 @@
+import json
 from datetime import timedelta
 
 import pytest
@@ -107,6 +108,21 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     assert all(close(got[k], want[k], 1e-6) for k in want)
 
 
+def test_json_bodies_are_checked_filled_and_scored_as_a_stream(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    bodies = [{"customer_id": "a", "amount": 50.0 + i, "merchant_category": "fuel",
+               "timestamp": f"2024-03-0{i + 1}T10:00:00Z"} for i in range(3)]
+    bodies.append({"customer_id": "a", "amount": -1.0, "merchant_category": "fuel"})
+    (folder / "one.json").write_text("\n".join(json.dumps(b) for b in bodies))
+    stream = sinks.read_transactions(spark, str(folder), C.BATCH_SCHEMA, file_format="json")
+    scored = B.score_stream(V.with_defaults(V.check_rows(stream).valid), MODELS)
+    sinks.write_scored(scored, out, str(tmp_path / "check")).awaitTermination()
+    got = writers.read_scored(spark, out).orderBy("timestamp").collect()
+    assert [r.amount for r in got] == [50.0, 51.0, 52.0]
+    assert {r.device_id for r in got} == {"DEV_a_A"} and got[0].location == "Hyderabad"
+
+
 def test_late_row_is_marked(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = log_of(spark, []).schema
