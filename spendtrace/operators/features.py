@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendtrace import contract as C
 from spendtrace.functions.columns import clip, flag, micros
 from spendtrace.operators.history import (
-    RUN, History, first_seen, merge_moments, seen_count, split_history,
+    RUN, History, LargeKeys, first_seen, merge_moments, seen_count, split_history,
 )
 
 SECOND = 1_000_000
@@ -22,7 +22,7 @@ def home_city() -> Column:
 
 
 def log_history(log: DataFrame, max_rows: int | None = None,
-                sizes_from: DataFrame | None = None) -> History:
+                large: LargeKeys | None = None) -> History:
     """History of a transaction log in (time, transaction id) order.
 
     Rows of a batch file carry `file_row`; at one instant they keep file order,
@@ -44,7 +44,7 @@ def log_history(log: DataFrame, max_rows: int | None = None,
 
     return split_history(timed, order=("_t", *at_once, "transaction_id"),
                          cut_order=("_t", "_kind", *at_once, "transaction_id"),
-                         expand=with_marks, max_rows=max_rows, sizes_from=sizes_from)
+                         expand=with_marks, max_rows=max_rows, large=large)
 
 
 def add_amount_state(history: History) -> History:
@@ -158,10 +158,10 @@ def _without_features(rows: DataFrame) -> DataFrame:
     return rows.drop(*[c for c in C.FEATURES if c != "failed_logins_24h"], "n_prior")
 
 
-def point_features(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
-                   sizes_from: DataFrame | None = None) -> DataFrame:
+def point_features(log: DataFrame, is_home: Column | None = None,
+                   max_rows: int | None = None) -> DataFrame:
     """Transaction log plus the nine feature columns."""
-    history = log_history(log, max_rows, sizes_from)
+    history = log_history(log, max_rows)
     return add_point_features(history, is_home).rows().drop("_t", "n_prior")
 
 

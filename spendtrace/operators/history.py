@@ -116,50 +116,77 @@ class History:
         return summed.select(self.key, RUN, *merged)
 
 
+@dataclass(frozen=True)
+class LargeKeys:
+    """Keys with more than `max_rows` rows, or None; short enough to broadcast."""
+
+    keys: DataFrame | None
+    total: int
+    max_rows: int
+
+    def only(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(self._list(key), F.col(key).eqNullSafe(F.col("_large")), "left_semi")
+
+    def without(self, rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(self._list(key), F.col(key).eqNullSafe(F.col("_large")), "left_anti")
+
+    def _list(self, key: str) -> DataFrame:
+        return F.broadcast(self.keys.select(F.col(key).alias("_large")))
+
+
+def find_large(rows: DataFrame, key: str, max_rows: int | None = None) -> LargeKeys:
+    """Count rows per key, combined before the shuffle, over the key column alone.
+
+    At most rows / limit keys can be above a limit, so the limit is raised when
+    the list could otherwise exceed `MAX_SPLIT_KEYS`.
+    """
+    max_rows = max_rows or MAX_ROWS_PER_RUN
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    check = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
+    limit = max(max_rows, math.ceil(check["rows"] / MAX_SPLIT_KEYS))
+    if check["most"] <= limit:
+        return LargeKeys(None, 0, max_rows)
+    keys = materialize(sizes.filter(F.col("_rows") > limit), "large-keys")
+    return LargeKeys(keys, keys.agg(F.sum("_rows")).first()[0], max_rows)
+
+
+def semi_join(rows: DataFrame, wanted: DataFrame, key: str, large: LargeKeys) -> DataFrame:
+    """Rows whose key is in `wanted`; rows of large keys are never shuffled for it."""
+    if large.keys is None:
+        return rows.join(wanted, key, "left_semi")
+    asked = replace(large, keys=large.keys.join(wanted, key, "left_semi"))
+    return large.without(rows, key).join(wanted, key, "left_semi").unionByName(
+        asked.only(rows, key))
+
+
 def split_history(log: DataFrame, key: str = "customer_id",
                   order: tuple[str, ...] = ORDER, max_rows: int | None = None,
                   expand: Callable[[DataFrame], DataFrame] | None = None,
                   cut_order: tuple[str, ...] | None = None,
-                  sizes_from: DataFrame | None = None) -> History:
+                  large: LargeKeys | None = None) -> History:
     """Check group sizes and cut the customers that are too large for one group.
 
-    The check is a count per customer, combined before its shuffle, over the
-    key column alone. It can be taken on `sizes_from` instead, a table with the
-    key that holds at least the rows of `log` and is cheaper to read. `expand` may add rows (for example expiry marks) to the
-    customers that are cut; `cut_order` then orders those rows as well.
+    `large` gives the outcome of the check where the caller has it, from the log
+    or from a table with at least its rows. `expand` may add rows (for example
+    expiry marks) to the customers that are cut; `cut_order` then orders those
+    rows as well.
 
     The order has to be total within a customer, else rows that compare equal
     may swap places.
     """
-    max_rows = max_rows or MAX_ROWS_PER_RUN
     cut_order = cut_order or order
-    sizes = (log if sizes_from is None else sizes_from).groupBy(key).agg(F.count("*").alias("_rows"))
-    check = sizes.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-        F.count_if(F.col("_rows") > max_rows).alias("large"),
-    ).first()
-    if check["large"] == 0:
-        return History(log, None, key, order, cut_order, max_rows)
-
-    # At most rows / limit keys can be above the limit, which bounds the list.
-    limit = max(max_rows, math.ceil(check["rows"] / MAX_SPLIT_KEYS))
-    large = materialize(sizes.filter(F.col("_rows") > limit), "large-keys")
-    in_large = large.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    if in_large == 0:
-        return History(log, None, key, order, cut_order, limit)
-
-    keys = F.broadcast(large.select(F.col(key).alias("_large")))
-    same = F.col(key).eqNullSafe(F.col("_large"))
-    whole = log.join(keys, same, "left_anti")
-    cut = log.join(keys, same, "left_semi")
+    large = large or find_large(log, key, max_rows)
+    if large.keys is None:
+        return History(log, None, key, order, cut_order, large.max_rows)
+    cut, rows = large.only(log, key), large.total
     if expand is not None:
-        cut = expand(cut)
-        in_large *= 2
-    runs = math.ceil(in_large / max_rows) + 1
+        cut, rows = expand(cut), 2 * rows
     # The range partitioner spreads the ordered rows evenly, so a partition is
     # a run. Written out once: every later read must see the same cuts.
-    cut = cut.repartitionByRange(runs, key, *cut_order).withColumn(RUN, F.spark_partition_id())
-    return History(whole, materialize(cut, "runs"), key, order, cut_order, max_rows)
+    cut = cut.repartitionByRange(math.ceil(rows / large.max_rows) + 1, key, *cut_order)
+    cut = materialize(cut.withColumn(RUN, F.spark_partition_id()), "runs")
+    return History(large.without(log, key), cut, key, order, cut_order, large.max_rows)
 
 
 def positions(history: History, name: str = "n_prior") -> History:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.functions.columns import hash_bucket
+from spendtrace.operators.history import find_large
+from spendtrace.session import materialize
 
 # Customers listed in one output row; a larger ring spans several rows.
 LIST_SIZE = 1000
@@ -29,15 +31,31 @@ def ring_sizes(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS) ->
     )
 
 
-def ring_members(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS) -> DataFrame:
-    """One row per ring and customer, for rings of any size."""
-    sizes = ring_sizes(counts, min_customers)
-    return counts.join(sizes, F.col("device_id") == F.col("identifier")).select(
+def ring_members(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
+                 max_rows: int | None = None) -> DataFrame:
+    """One row per ring and customer, for rings of any size.
+
+    The sizes of devices with very many customers are broadcast, so their rows
+    are not brought together for the join.
+    """
+    counts = materialize(counts, "device-counts")
+    large = find_large(counts, "device_id", max_rows)
+    sizes = materialize(ring_sizes(counts, min_customers), "ring-sizes")
+    same = F.col("device_id") == F.col("identifier")
+    if large.keys is None:
+        members = counts.join(sizes, same)
+    else:
+        # as many rows as there are large keys, at most
+        large_sizes = large.only(sizes.withColumn("device_id", F.col("identifier")), "device_id")
+        members = large.without(counts, "device_id").join(sizes, same).unionByName(
+            large.only(counts, "device_id").join(
+                F.broadcast(large_sizes.drop("device_id")), same))
+    return members.select(
         "ring_type", "identifier", "customer_id", "n_txn", "n_customers", "transaction_count")
 
 
 def rings(log: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
-          list_size: int = LIST_SIZE) -> DataFrame:
+          list_size: int = LIST_SIZE, max_rows: int | None = None) -> DataFrame:
     """Ring records, largest first.
 
     A ring of up to `list_size` customers is one row (part 0 of 1). The
@@ -45,12 +63,12 @@ def rings(log: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
     customer id, so no task ever collects a whole ring; the parts together hold
     every customer.
     """
-    return rings_from_counts(device_counts(log), min_customers, list_size)
+    return rings_from_counts(device_counts(log), min_customers, list_size, max_rows)
 
 
 def rings_from_counts(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
-                      list_size: int = LIST_SIZE) -> DataFrame:
-    members = ring_members(counts, min_customers)
+                      list_size: int = LIST_SIZE, max_rows: int | None = None) -> DataFrame:
+    members = ring_members(counts, min_customers, max_rows)
     parts = F.ceil(F.col("n_customers") / list_size).cast("int")
     placed = members.withColumn("parts", parts).withColumn(
         "part", F.when(parts > 1, hash_bucket("customer_id", 1 << 30) % parts).otherwise(0))
@@ -62,9 +80,3 @@ def rings_from_counts(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOME
                 "part", "parts")
         .orderBy(F.desc("n_customers"), F.desc("transaction_count"), "identifier", "part")
     )
-
-
-def merge_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Add the counts of newly scored rows to stored (device, customer) counts."""
-    return (stored.unionByName(new).groupBy("device_id", "customer_id")
-            .agg(F.sum("n_txn").alias("n_txn")))

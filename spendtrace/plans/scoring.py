@@ -9,16 +9,16 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import alert_level
 from spendtrace.operators.explain import add_probability_contributions, top_reasons
 from spendtrace.operators.features import add_point_features, log_history
-from spendtrace.operators.history import History
+from spendtrace.operators.history import History, LargeKeys, find_large, semi_join
 from spendtrace.operators.learn import RiskModels, TrajectoryModel
 from spendtrace.operators.profile import add_profile, add_similarity
 from spendtrace.operators.sequences import add_steps
 
 
 def behaviour(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
-              sizes_from: DataFrame | None = None) -> History:
+              large: LargeKeys | None = None) -> History:
     """Features, profile and earlier steps of every row: everything scoring reads."""
-    history = add_point_features(log_history(log, max_rows, sizes_from), is_home).settled()
+    history = add_point_features(log_history(log, max_rows, large), is_home).settled()
     return add_steps(add_profile(history))
 
 
@@ -73,11 +73,13 @@ def score_batch(stored: DataFrame, batch: DataFrame, models: RiskModels,
     event time, so a back-dated row is scored where it belongs.
     """
     customers = batch.select("customer_id").distinct()
-    known = stored.join(customers, "customer_id", "left_semi").withColumn("_new", F.lit(False))
-    log = known.unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
     # sizes over all stored customers: one column, without the join
-    sizes = stored.select("customer_id").unionByName(batch.select("customer_id"))
-    rows = behaviour(log, is_home, max_rows, sizes).rows().filter("_new")
+    large = find_large(stored.select("customer_id").unionByName(batch.select("customer_id")),
+                       "customer_id", max_rows)
+    known = semi_join(stored, customers, "customer_id", large)
+    log = known.withColumn("_new", F.lit(False)).unionByName(
+        batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    rows = behaviour(log, is_home, large=large).rows().filter("_new")
     return score_behaviour(rows, models, with_reasons)
 
 

@@ -159,9 +159,11 @@ def test_rings_list_sorted_customers_largest_first(spark):
     assert R.rings(ring_log(spark), min_customers=3).count() == 1
 
 
-def test_large_ring_is_spread_over_parts_and_complete(spark):
-    parts = [r for r in R.rings(ring_log(spark), list_size=4).collect()
-             if r.identifier == "shared"]
+@pytest.mark.parametrize("max_rows", [None, 10])
+def test_large_ring_is_spread_over_parts_and_complete(spark, max_rows):
+    got = R.rings(ring_log(spark), list_size=4, max_rows=max_rows).collect()
+    assert {r.identifier for r in got} == {"shared", "pair"}
+    parts = [r for r in got if r.identifier == "shared"]
     assert len(parts) > 1 and all(r.parts == 7 and r.n_customers == 25 for r in parts)
     assert sorted(c for r in parts for c in r.customer_ids) == [f"c{i:03d}" for i in range(25)]
 
