@@ -7,6 +7,7 @@ run after the first restores its state.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,25 @@ def _arrivals(log: DataFrame, folder: str) -> Iterator[int]:
         yield i
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """One state partition per core: streams do not merge small partitions."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str], object]) -> None:
     log = materialize(fx.ramp_log(spark, sf_dir), "log")
     folder, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "stream")
     for _ in _arrivals(log, folder):
-        stream = sinks.read_transactions(spark, folder, log.schema)
-        run(stream, checkpoint).awaitTermination()
+        with _state_partitions(spark):
+            stream = sinks.read_transactions(spark, folder, log.schema)
+            run(stream, checkpoint).awaitTermination()
 
 
 def _scored_folder(spark: SparkSession, sf_dir: str, models: RiskModels) -> str:
@@ -53,7 +67,8 @@ def alert_counts(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFr
     out, checkpoint = new_folder(spark, "alerts"), new_folder(spark, "stream")
     schema = spark.read.parquet(folder).schema
     stream = sinks.read_transactions(spark, folder, schema)
-    sinks.count_alerts(stream, out, checkpoint).awaitTermination()
+    with _state_partitions(spark):
+        sinks.count_alerts(stream, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
 
 
