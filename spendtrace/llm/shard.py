@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from spendtrace.llm.common import table
+from spendtrace.llm.common import free_name, table
 from spendtrace.session import materialize
 
 SHARDS = 24
@@ -72,31 +72,43 @@ def place(docs: DataFrame, shards: int = SHARDS, rows_per_run: int = ROWS_PER_RU
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn(
         "grown_shard", shard_of(F.col("doc_id"), shards + 1))
     rows = materialize(rows, "shard-rows")
-    return with_slots(rows, ["doc_id", "text_crc32", "size"], shards, rows_per_run).withColumn(
+    return with_slots(rows, [F.col(c) for c in ("doc_id", "text_crc32", "size")], shards, rows_per_run).withColumn(
         "law", F.lit("key")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def with_slots(rows: DataFrame, key: list[str], shards: int, rows_per_run: int) -> DataFrame:
+def with_slots(rows: DataFrame, key: list[Column], shards: int, rows_per_run: int) -> DataFrame:
     """Add `slot`, counting from 0 in each shard, in the order (run, key).
 
-    `rows` is read twice; hand in a written table.
+    `rows` is read more than once; hand in a written table.
     """
     runs = max(1, rows.count() // (shards * rows_per_run))
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64(*key), F.lit(runs)).cast("int"))
-    sizes = rows.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("shard").orderBy("_run").rowsBetween(
-        Window.unboundedPreceding, -1)
+    run, at, n, offset = (free_name(rows, c) for c in ("_run", "_at", "_n", "_offset"))
+    rows = rows.withColumn(run, F.pmod(F.xxhash64(*key), F.lit(runs)).cast("int"))
+    sizes = rows.groupBy("shard", run).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy("shard").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "shard", "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_run").orderBy(*key)
+        "shard", run, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(offset))
+    inside = Window.partitionBy("shard", run).orderBy(*key)
     return (
-        rows.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(offsets, ["shard", "_run"])
-        .withColumn("slot", (F.col("_offset") + F.col("_at")).cast("long"))
-        .drop("_run", "_at", "_offset")
+        rows.withColumn(at, F.row_number().over(inside) - 1)
+        .join(offsets, ["shard", run])
+        .withColumn("slot", (F.col(offset) + F.col(at)).cast("long"))
+        .drop(run, at, offset)
     )
 
 
+def place_rows(docs: DataFrame, shards: int = SHARDS,
+               rows_per_run: int = ROWS_PER_RUN // 20) -> DataFrame:
+    """All columns of `docs` with shard and slot (replaced where they exist).
+
+    Nulls, repeats and empty tables are treated as by `place`. Runs are shorter
+    here, since whole texts move with the rows.
+    """
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    rows = kept.withColumn("shard", shard_of(F.col("doc_id"), shards))
+    return with_slots(rows, [F.col("doc_id"), F.xxhash64("text")], shards, rows_per_run)
+
+
 def shard_query(spark, folder: str) -> DataFrame:
     return place(table(spark, folder, "documents").select("doc_id", "text"))
