@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    MAX_MEMO, byte_texts, crc_fold, mix, small_or_shuffled, table, text_chunks,
+    MAX_MEMO, byte_texts, crc_fold, mix, schema_with, small_or_shuffled, table, text_chunks,
 )
 
 SLOT_BITS = 18
@@ -189,8 +189,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 [*piece.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                 [*piece.schema.names, "score", "predicted"])
 
-    schema = rows.schema.add("score", "double").add("predicted", "int")
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(apply, schema_with(rows, "score double, predicted int"))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = HELD_OUT_FOLDS) -> DataFrame:

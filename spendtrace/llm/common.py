@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Java regex of a word where only ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +51,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """The columns of `df` and those of a DDL string behind them."""
+    return StructType(df.schema.fields + StructType.fromDDL(added).fields)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str,
                 limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece has about `limit` bytes of text.

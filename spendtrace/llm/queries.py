@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spendtrace.llm.chat import CHAT_SQL, chat_query
+from spendtrace.llm.classifier import classifier_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from spendtrace.llm.langid import langid_query
 from spendtrace.llm.mixture import MIXTURE_SQL, mixture_query
 from spendtrace.llm.shard import shard_query
 from spendtrace.llm.warc import WARC_SQL, warc_query
@@ -15,9 +17,11 @@ from spendtrace.llm.warc import WARC_SQL, warc_query
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": classifier_query,
         "op3_chat_format": chat_query,
         "op4_decontaminate": decontaminate_query,
         "op5_shard": shard_query,
+        "op6_language_id": langid_query,
         "op8_warc": warc_query,
         "op10_mixture": mixture_query,
     }
