@@ -8,13 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendtrace.llm.classifier import accepted
 from spendtrace.llm.common import table
 from spendtrace.llm.decontaminate import without_contaminated
+from spendtrace.llm.jaccard import one_of_each
 from spendtrace.llm.mixture import expand_copies, mix
 from spendtrace.llm.shard import place_rows
 from spendtrace.session import materialize
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of the benchmark's windows."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -31,6 +43,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("n-gram Jaccard join", different),
     ("benchmark decontamination", decontaminated),
     ("mixing sources to target weights", mixed),
     ("sharding", sharded),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spendtrace.llm.chat import CHAT_SQL, chat_query
 from spendtrace.llm.classifier import classifier_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from spendtrace.llm.jaccard import JACCARD_SQL, jaccard_query
 from spendtrace.llm.langid import langid_query
 from spendtrace.llm.mixture import MIXTURE_SQL, mixture_query
 from spendtrace.llm.shard import shard_query
@@ -22,6 +23,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate_query,
         "op5_shard": shard_query,
         "op6_language_id": langid_query,
+        "op7_jaccard_join": jaccard_query,
         "op8_warc": warc_query,
         "op10_mixture": mixture_query,
     }
@@ -36,6 +38,7 @@ def llm_sql() -> dict[str, str]:
     return {
         "op3_chat_format": CHAT_SQL,
         "op4_decontaminate": DECONTAMINATE_SQL,
+        "op7_jaccard_join": JACCARD_SQL,
         "op8_warc": WARC_SQL,
         "op10_mixture": MIXTURE_SQL,
     }
