@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spendtrace.llm.chat import CHAT_SQL, chat_query
 from spendtrace.llm.classifier import classifier_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
+from spendtrace.llm.divergence import divergence_query
+from spendtrace.llm.extract import extract_query
 from spendtrace.llm.jaccard import JACCARD_SQL, jaccard_query
 from spendtrace.llm.langid import langid_query
 from spendtrace.llm.mixture import MIXTURE_SQL, mixture_query
@@ -18,6 +20,7 @@ from spendtrace.llm.warc import WARC_SQL, warc_query
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_divergence": divergence_query,
         "op2_quality_classifier": classifier_query,
         "op3_chat_format": chat_query,
         "op4_decontaminate": decontaminate_query,
@@ -25,6 +28,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": langid_query,
         "op7_jaccard_join": jaccard_query,
         "op8_warc": warc_query,
+        "op9_html_extract": extract_query,
         "op10_mixture": mixture_query,
     }
 
