@@ -152,7 +152,8 @@ def contaminate(docs: DataFrame, items: DataFrame, span: int = SPAN,
             F.lit(0), F.size("_words") - F.col("span"))).alias("_at")).select(
         "doc_id", "_digest", "span", (F.col("place") + F.col("_at")).alias("place"),
         joined(F.col("_words"), F.col("_at") + 1, F.col("span")).alias("content")).distinct()
-    contents = windows.groupBy("span", "content").agg(F.collect_set("item_id").alias("_ids"))
+    contents = windows.groupBy("span", "content").agg(F.collect_set(
+        F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("_ids"))
     matched = materialize(tries.join(
         small_or_shuffled(contents), ["span", "content"]), "benchmark-matches")
 
@@ -163,8 +164,7 @@ def contaminate(docs: DataFrame, items: DataFrame, span: int = SPAN,
     # Windows of the same items say the same, so only distinct sets are opened.
     hit_items = matched.select(*key, "_ids").distinct().select(
         *key, F.explode("_ids").alias("_id")).groupBy(*key).agg(
-        F.sort_array(F.collect_set(F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-        .alias("_items"))
+        F.sort_array(F.collect_set("_id")).alias("_items"))
     result = hit_words.join(hit_items, (hit_words["doc_id"].eqNullSafe(hit_items["doc_id"]))
                             & (hit_words["_digest"] == hit_items["_digest"])).select(
         hit_words["doc_id"].alias("_d"), hit_words["_digest"].alias("_g"), "_n_hit", "_items")

@@ -157,7 +157,7 @@ class Keys:
             keys += key
             if units <= self.differ[i]:
                 own = self.member[np.searchsorted(self.owner, i):np.searchsorted(self.owner, i + 1)]
-                keys.append(mix(own + mix(np.array([self.band[i] + (2 << 60)], np.uint64))))
+                keys.append(mix(own + mix(np.array([int(self.band[i]) + (2 << 60)], np.uint64))))
             n = sum(map(len, keys)) - sum(map(len, of))
             of.append(np.full(n, i))
             kinds.append(np.full(n, 2))

@@ -191,7 +191,7 @@ def entropies(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Bits per character of each text in each language, and its folded length."""
     codes, text = fold(texts)
     n = np.bincount(text, minlength=len(texts))
-    if not len(codes):
+    if not len(codes) or not memo.models.names:
         return np.zeros((len(texts), len(memo.models.names))), n
     bits = memo.bits(runs(codes, text))
     total = np.stack([np.bincount(text, bits[:, i], len(texts)) for i in range(bits.shape[1])], 1)

@@ -95,6 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: int = LARGE
     """
     made = {"size", "source_size", "target", "copies", "taken"}
     kept = [c for c in keep or docs.columns if c.lower() not in made]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in made or c == doc_weight])
     weight = F.col(doc_weight).cast("double") if doc_weight else F.lit(1.0)
     counted = docs.withColumn("_w", weight).withColumn("size", n_words(F.col("text")))
     narrow = materialize(counted.select("doc_id", "source", "_w", "size"), "mixture-sizes")

@@ -35,6 +35,8 @@ CRLF = "\r\n"
 HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "", ""])
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+REQUIRED = frozenset(("warc-type", "warc-record-id", "content-length"))
+
 READ_SCHEMA = (
     "file string, start long, stop long, reason string, headers map<string,string>, "
     "record_type string, record_id string, payload binary")
@@ -114,8 +116,13 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Rejected("bad header line")
-        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode(
-            "utf-8", "replace")
+        key = name.strip().decode("utf-8", "replace").lower()
+        # A header cut off in the middle runs into the next record's.
+        if key in headers and key in REQUIRED:
+            raise Rejected("repeated header")
+        headers[key] = value.strip().decode("utf-8", "replace")
+    if not REQUIRED <= headers.keys():
+        raise Rejected("missing header")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Rejected("bad content length")
