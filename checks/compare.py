@@ -31,6 +31,8 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     for c in frame.columns:
         if frame[c].dtype.kind == "M":
             frame[c] = frame[c].astype("datetime64[us]")
+        elif str(frame[c].dtype) == "Int64" and frame[c].isna().any():
+            frame[c] = frame[c].astype("float64")  # as Spark hands over integers with nulls
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 

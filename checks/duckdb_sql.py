@@ -46,6 +46,10 @@ SKEWED = f"""
   * exclude (customer_id) from ({HOT})
 """
 
+SKEWED_NULL = f"""
+ select nullif(customer_id, 0) as customer_id, * exclude (customer_id) from ({SKEWED})
+"""
+
 ORDERS = """
  select o.o_custkey as customer_id, o.o_orderkey as transaction_id, o.o_orderdate as timestamp,
   o.o_totalprice as amount, o.o_orderpriority as merchant_category,
@@ -405,6 +409,10 @@ from ({HOT})"""
         out[name] = cte + f" select customer_id, transaction_id, {FEATURE_OUT}, is_fraud from f"
     out["scores_skewed"] = SKEWED_F + risk() + similarity_cte("r") + """
 select transaction_id, risk_score, similarity_pct, round(az, 6) as avg_z_deviation from sim"""
+    out["scores_skewed_null_key"] = (
+        features(SKEWED_NULL, HOT_HOME) + risk() + similarity_cte("r")) + f"""
+select customer_id, transaction_id, {FEATURE_OUT}, risk_score, similarity_pct,
+ round(az, 6) as avg_z_deviation from sim"""
     out["feature_summary"] = summary_stats()
     out["dataset_size"] = f"""
 select count(*) as n_rows, count(distinct customer_id) as n_customers,

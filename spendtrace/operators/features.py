@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spendtrace import contract as C
 from spendtrace.functions.columns import clip, flag, micros
 from spendtrace.operators.history import (
-    RUN, History, LargeKeys, first_seen, merge_moments, seen_count, split_history,
+    LEAD, History, LargeKeys, first_seen, join_carry, merge_moments, seen_count, split_history,
 )
 
 SECOND = 1_000_000
@@ -65,39 +65,44 @@ def add_amount_state(history: History) -> History:
     return history.derive(whole, history.cut)
 
 
-def add_cut_amount_state(history: History) -> History:
-    """The same columns for cut customers; removes the expiry marks."""
-    if history.cut is None:
-        return history
+def cut_state(history: History) -> History:
+    """All state columns of cut customers, from one pass; removes the expiry marks.
+
+    Lead rows bring in what was before a run, so every column is a running
+    total inside the run.
+    """
     row = F.col("_kind") == 1
-    step = F.when(row, 1).otherwise(-1)
-    prior = history.run_ordered().rowsBetween(*PRIOR)
-    inside = (
-        history.cut
-        .withColumn("_n", F.count(F.when(row, 1)).over(prior))
-        .withColumn("_cnt", F.count("amount").over(prior))
-        .withColumn("_mean", F.avg("amount").over(prior))
-        .withColumn("_var", F.var_pop("amount").over(prior))
-        .withColumn("_live", F.coalesce(F.sum(step).over(prior), F.lit(0)))
-        .filter(row)
-    )
-    before = history.carried(
-        {"_rows": F.count(F.when(row, 1)), "_live": F.sum(step)},
-        {"_n0": F.sum("_rows"), "_live0": F.sum("_live")})
-    joined = (inside.join(before, [history.key, RUN], "left")
-              .join(history.carried_moments(["amount"]), [history.key, RUN], "left"))
+    values = ["_hour", "merchant_category", "device_id", "location"]
+    runs = history.derive(history.whole, history.cut.withColumn(
+        "_step", F.when(row, 1).otherwise(-1)))
+    runs = runs.with_lead_rows(values, ["_step"], ["amount"], row)
+    prior = runs.run_ordered().rowsBetween(*PRIOR)
+    inside = {
+        "n_prior": F.sum("_w").over(prior),
+        "_live": F.sum("_step").over(prior),
+        "_cnt": F.count("amount").over(prior),
+        "_mean": F.avg("amount").over(prior),
+        "_var": F.var_pop("amount").over(prior),
+        **{f"_{x}": F.max(f"amount_{x}").over(prior) for x in ("n0", "mean0", "m20")},
+        **{f"_seen_{v}": F.coalesce(F.sum(f"_w_{v}").over(
+            runs.run_ordered(v).rowsBetween(*PRIOR)), F.lit(0)) for v in values},
+    }
     count, mean, m2 = merge_moments(
-        F.col("amount_n0"), F.col("amount_mean0"), F.col("amount_m20"),
+        F.col("_n0"), F.col("_mean0"), F.col("_m20"),
         F.col("_cnt"), F.col("_mean"), F.col("_var") * F.col("_cnt"))
     cut = (
-        joined
-        .withColumn("n_prior", F.col("_n") + F.coalesce("_n0", F.lit(0)))
-        .withColumn("prior_mean", mean)
-        .withColumn("prior_std", F.sqrt(m2 / count))
-        .withColumn("txn_velocity_1h",
-                    (F.col("_live") + F.coalesce("_live0", F.lit(0))).cast("int"))
-        .drop("_n", "_cnt", "_mean", "_var", "_live", "_n0", "_live0", "_kind",
-              "amount_n0", "amount_mean0", "amount_m20")
+        runs.cut.withColumns(inside).filter((F.col(LEAD) == 1) & row)
+        .withColumns({
+            "n_prior": F.coalesce("n_prior", F.lit(0)).cast("bigint"),
+            "prior_mean": mean, "prior_std": F.sqrt(m2 / count),
+            "txn_velocity_1h": F.coalesce("_live", F.lit(0)).cast("int"),
+            "_hour_seen": F.col("_seen__hour"),
+            "_category_seen": F.col("_seen_merchant_category"),
+            "is_new_device": F.when(F.col("_seen_device_id") == 0, 1).otherwise(0),
+            "is_new_location": F.when(F.col("_seen_location") == 0, 1).otherwise(0),
+        })
+        .drop(*[c for c in inside if c != "n_prior"], LEAD, "_w", "_step", "_kind",
+              *[f"_w_{v}" for v in values], *[f"amount_{x}" for x in ("n0", "mean0", "m20")])
     )
     return replace(history, cut=cut, cut_order=history.order)
 
@@ -132,16 +137,18 @@ def add_point_features(history: History, is_home: Column | None = None) -> Histo
     is_home = home_city() if is_home is None else is_home
     history = history.derive(_without_features(history.whole),
                              None if history.cut is None else _without_features(history.cut))
-    history = add_cut_amount_state(history)
     hour = F.hour("timestamp")
     history = history.derive(
         history.whole.withColumn("_hour", hour),
         None if history.cut is None else history.cut.withColumn("_hour", hour))
-    history = seen_count(history, "_hour", "_hour_seen")
-    history = seen_count(history, "merchant_category", "_category_seen")
-    history = first_seen(history, "device_id", "is_new_device")
-    history = first_seen(history, "location", "is_new_location")
-    history = add_amount_state(history)
+    own = history.derive(history.whole, None)
+    own = seen_count(own, "_hour", "_hour_seen")
+    own = seen_count(own, "merchant_category", "_category_seen")
+    own = first_seen(own, "device_id", "is_new_device")
+    own = first_seen(own, "location", "is_new_location")
+    own = add_amount_state(own)
+    history = history if history.cut is None else cut_state(history)
+    history = history.derive(own.whole, history.cut)
 
     columns = feature_columns(is_home)
     internal = ["prior_mean", "prior_std", "_hour", "_hour_seen", "_category_seen"]
@@ -200,7 +207,7 @@ def failed_logins_trailing(log: DataFrame, failed: Column,
         cut = (
             cut.withColumn("_live", F.coalesce(F.sum("_step").over(prior), F.lit(0)))
             .filter("_kind = 1")
-            .join(before, [history.key, RUN], "left")
+            .transform(join_carry, before, history.key)
             .withColumn("failed_logins_24h",
                         (F.col("_live") + F.coalesce("_before", F.lit(0))).cast("int"))
             .drop("_live", "_before", "_kind", "_step")

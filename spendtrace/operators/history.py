@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spendtrace.session import materialize
 
 RUN = "_run"
+LEAD = "_lead"
 ORDER = ("timestamp", "transaction_id")
 
 # Rows of one customer that one window task may hold; it sorts and spills well
@@ -67,53 +68,112 @@ class History:
         return self if self.cut is None else replace(self, cut=materialize(self.cut, "runs"))
 
     def carried(self, aggregates: dict[str, Column], running: dict[str, Column],
-                by: tuple[str, ...] = (), source: DataFrame | None = None) -> DataFrame:
+                by: tuple[str, ...] = ()) -> DataFrame:
         """Totals of all runs before each run.
 
         `aggregates` are taken per (customer, run, by); `running` are
         aggregates of those over the runs before the current one of the same
         (customer, by). The window holds one row per run.
         """
-        source = self.cut if source is None else source
-        per_run = source.groupBy(self.key, RUN, *by).agg(
+        per_run = self.cut.groupBy(self.key, RUN, *by).agg(
             *[a.alias(name) for name, a in aggregates.items()])
         before = (Window.partitionBy(self.key, *by).orderBy(RUN)
                   .rowsBetween(Window.unboundedPreceding, -1))
         return per_run.select(
             self.key, RUN, *by, *[e.over(before).alias(name) for name, e in running.items()])
 
-    def carried_moments(self, columns: list[str], source: DataFrame | None = None) -> DataFrame:
+    def carried_moments(self, columns: list[str]) -> DataFrame:
         """Count, mean and squared deviations of each column over the runs before.
 
-        Gives x_n0, x_mean0 and x_m20 for a column x. Deviations of the run
-        means are taken from the first run's mean, so no large sums cancel.
+        Gives x_n0, x_mean0 and x_m20 for a column x.
         """
-        source = self.cut if source is None else source
-        per_run = source.groupBy(self.key, RUN).agg(*[a for c in columns for a in (
-            F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"),
-            (F.var_pop(c) * F.count(c)).alias(f"{c}_m2"))])
-        runs = Window.partitionBy(self.key).orderBy(RUN)
-        first = per_run.select("*", *[
-            F.first(f"{c}_mean", ignorenulls=True)
-            .over(runs.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}_pivot")
-            for c in columns])
-        before = runs.rowsBetween(Window.unboundedPreceding, -1)
-        sums = []
-        for c in columns:
-            off = F.col(f"{c}_mean") - F.col(f"{c}_pivot")
-            sums += [F.sum(f"{c}_n").over(before).alias(f"{c}_n0"),
-                     F.sum(F.col(f"{c}_n") * off).over(before).alias(f"{c}_off"),
-                     F.sum(F.col(f"{c}_n") * off * off).over(before).alias(f"{c}_off2"),
-                     F.sum(f"{c}_m2").over(before).alias(f"{c}_m2s")]
-        summed = first.select(self.key, RUN, *[f"{c}_pivot" for c in columns], *sums)
-        merged = []
-        for c in columns:
-            n, off, off2 = (F.col(f"{c}_{x}") for x in ("n0", "off", "off2"))
-            merged += [n.alias(f"{c}_n0"),
-                       F.when(n > 0, F.col(f"{c}_pivot") + off / n).alias(f"{c}_mean0"),
-                       F.when(n > 0, F.col(f"{c}_m2s") + F.greatest(
-                           off2 - off * off / n, F.lit(0.0))).alias(f"{c}_m20")]
-        return summed.select(self.key, RUN, *merged)
+        per_run = self.cut.groupBy(self.key, RUN).agg(
+            *[a for c in columns for a in run_moments(c, F.col(c))])
+        return moments_before(per_run, columns, [self.key]).select(
+            self.key, RUN, *[f"{c}_{x}" for c in columns for x in ("n0", "mean0", "m20")])
+
+    def with_lead_rows(self, values: list[str], sums: list[str], moments: list[str],
+                       row: Column) -> History:
+        """The cut part with rows in front of each run that tell what came before it.
+
+        One row per run and one per run and value of each column in `values`;
+        `row` marks the rows that count. The lead rows have LEAD 0 and come
+        first in `cut_order`. `_w` is 1 on a row that counts and the number of
+        earlier ones on a run's lead row; `_w_x` likewise for the value of x.
+        `sums` hold the running sums on the run's lead row, and x_n0, x_mean0
+        and x_m20 the moments of earlier rows. Running sums over a run so start
+        where the run before ended, and windows need no join. All of it comes
+        from one pass over the written runs.
+        """
+        whole_run = len(values)
+        types = dict(self.cut.dtypes)
+        kinds = [F.struct(F.lit(i).alias("_of"), *[
+            (F.col(v) if i == j else F.lit(None).cast(types[v])).alias(f"_v{j}")
+            for j, v in enumerate(values)]) for i in range(whole_run + 1)]
+        stacked = self.cut.select(
+            self.key, RUN, row.alias("_row"), *sums, *moments,
+            F.explode(F.when(row, F.array(*kinds)).otherwise(F.array(kinds[-1]))).alias("_kinds")
+        ).select("*", "_kinds.*").drop("_kinds")
+        slots = [f"_v{j}" for j in range(whole_run)]
+        total = F.col("_of") == whole_run
+        per_run = stacked.groupBy(self.key, RUN, "_of", *slots).agg(
+            F.count_if("_row").alias("_n"),
+            *[F.sum(F.when(total, F.col(c))).alias(c) for c in sums],
+            *[a for c in moments for a in run_moments(c, F.when(total, F.col(c)))])
+        by = [self.key, "_of", *slots]
+        before = Window.partitionBy(*by).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
+        carried = [f"{c}_{x}" for c in moments for x in ("n0", "mean0", "m20")]
+        lead = moments_before(per_run, moments, by).select(
+            self.key, RUN, "_of", F.lit(0).alias(LEAD),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums], *carried,
+            *[F.col(f"_v{j}").alias(v) for j, v in enumerate(values)])
+        lead = lead.filter(total | (F.col("_n") > 0))
+
+        def weight(of: int) -> Column:
+            return F.when(F.col("_of") == of, F.col("_n")).otherwise(0)
+
+        lead = lead.withColumns({"_w": weight(whole_run)} | {
+            f"_w_{v}": weight(j) for j, v in enumerate(values)}).drop("_of", "_n")
+        counts = F.when(row, 1).otherwise(0).cast("bigint")
+        rows = self.cut.withColumns({LEAD: F.lit(1), "_w": counts} | {
+            f"_w_{v}": counts for v in values})
+        return replace(self, cut=rows.unionByName(lead, allowMissingColumns=True),
+                       cut_order=(LEAD, *self.cut_order))
+
+
+def run_moments(name: str, value: Column) -> list[Column]:
+    """Count, mean and squared deviations as aggregates."""
+    return [F.count(value).alias(f"{name}_n"), F.avg(value).alias(f"{name}_mean"),
+            (F.var_pop(value) * F.count(value)).alias(f"{name}_m2")]
+
+
+def moments_before(per_run: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """Adds x_n0, x_mean0 and x_m20, merged over the earlier runs of the same `by`.
+
+    Deviations of the run means are taken from the first run's mean, so no
+    large sums cancel.
+    """
+    runs = Window.partitionBy(*by).orderBy(RUN)
+    first = per_run.select("*", *[
+        F.first(f"{c}_mean", ignorenulls=True)
+        .over(runs.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}_pivot")
+        for c in columns])
+    before = runs.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {}
+    for c in columns:
+        off = F.col(f"{c}_mean") - F.col(f"{c}_pivot")
+        sums[f"{c}_n0"] = F.sum(f"{c}_n").over(before)
+        sums[f"{c}_off"] = F.sum(F.col(f"{c}_n") * off).over(before)
+        sums[f"{c}_off2"] = F.sum(F.col(f"{c}_n") * off * off).over(before)
+        sums[f"{c}_m2s"] = F.sum(f"{c}_m2").over(before)
+    merged = {}
+    for c in columns:
+        n, off, off2 = (F.col(f"{c}_{x}") for x in ("n0", "off", "off2"))
+        merged[f"{c}_mean0"] = F.when(n > 0, F.col(f"{c}_pivot") + off / n)
+        merged[f"{c}_m20"] = F.when(n > 0, F.col(f"{c}_m2s") + F.greatest(
+            off2 - off * off / n, F.lit(0.0)))
+    return first.withColumns(sums).withColumns(merged) if columns else first
 
 
 @dataclass(frozen=True)
@@ -198,7 +258,7 @@ def positions(history: History, name: str = "n_prior") -> History:
         before = history.carried({"_rows": F.count("*")}, {"_before": F.sum("_rows")})
         cut = (
             cut.withColumn(name, F.row_number().over(history.run_ordered()).cast("bigint") - 1)
-            .join(before, [history.key, RUN], "left")
+            .transform(join_carry, before, history.key)
             .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
             .drop("_before")
         )
@@ -218,7 +278,7 @@ def running_total(history: History, column: str, name: str) -> History:
         before = history.carried({"_sum": F.sum(column)}, {"_before": F.sum("_sum")})
         cut = (
             cut.withColumn(name, total(history.run_ordered()))
-            .join(before, [history.key, RUN], "left")
+            .transform(join_carry, before, history.key)
             .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
             .drop("_before")
         )
@@ -233,7 +293,7 @@ def first_seen(history: History, column: str, name: str) -> History:
     if cut is not None:
         before = history.carried(
             {"_rows": F.count("*")}, {"_before": F.sum("_rows")}, by=(column,))
-        cut = _join_carry(
+        cut = join_carry(
             cut.withColumn("_nth", F.row_number().over(history.run_ordered(column))),
             before, history.key, (column,),
         ).withColumn(
@@ -250,7 +310,7 @@ def seen_count(history: History, column: str, name: str) -> History:
     if cut is not None:
         before = history.carried(
             {"_rows": F.count("*")}, {"_before": F.sum("_rows")}, by=(column,))
-        cut = _join_carry(
+        cut = join_carry(
             cut.withColumn(
                 name, F.row_number().over(history.run_ordered(column)).cast("bigint") - 1),
             before, history.key, (column,),
@@ -271,13 +331,14 @@ def merge_moments(n_a: Column, mean_a: Column, m2_a: Column,
     return F.when(count > 0, count), mean, F.when(count > 0, m2)
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
-    """Attach carry rows; a null value of a `by` column is a value like any other."""
+def join_carry(rows: DataFrame, carry: DataFrame, key: str,
+               by: tuple[str, ...] = ()) -> DataFrame:
+    """Attach carry rows; a null key or `by` value is a value like any other."""
     names = (key, RUN, *by)
     renamed = carry.select(
         *[F.col(n).alias(f"_c{i}") for i, n in enumerate(names)],
         *[c for c in carry.columns if c not in names])
-    same = (F.col(key) == F.col("_c0")) & (F.col(RUN) == F.col("_c1"))
+    same = F.col(key).eqNullSafe(F.col("_c0")) & (F.col(RUN) == F.col("_c1"))
     for i, n in enumerate(by, start=2):
         same = same & F.col(n).eqNullSafe(F.col(f"_c{i}"))
     return rows.join(renamed, same, "left").drop(*[f"_c{i}" for i in range(len(names))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.functions.columns import total
-from spendtrace.operators.history import RUN, History, merge_moments
+from spendtrace.operators.history import History, join_carry, merge_moments
 
 
 def add_profile(history: History) -> History:
@@ -39,7 +39,7 @@ def add_profile(history: History) -> History:
             merged[f"_std_{f}"] = F.sqrt(m2 / count)
         cut = (
             cut.withColumns(inside)
-            .join(history.carried_moments(C.FEATURES), [history.key, RUN], "left")
+            .transform(join_carry, history.carried_moments(C.FEATURES), history.key)
             .withColumns(merged)
             .drop(*inside, *[f"{f}_{x}" for f in C.FEATURES for x in ("n0", "mean0", "m20")])
         )

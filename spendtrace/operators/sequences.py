@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
-from spendtrace.operators.history import RUN, History
+from spendtrace.operators.history import RUN, History, join_carry
 
 
 def vector(columns: list[str] | None = None) -> Column:
@@ -48,7 +48,7 @@ def add_steps(history: History, length: int = C.SEQUENCE_LENGTH) -> History:
         cut = (
             cut.withColumn("steps", F.collect_list(vector())
                            .over(history.run_ordered().rowsBetween(*frame)))
-            .join(before, [history.key, RUN], "left")
+            .transform(join_carry, before, history.key)
             .withColumn("steps", last_steps(F.concat(
                 F.coalesce("_earlier", F.array().cast("array<array<double>>")), "steps"), length))
             .drop("_earlier")

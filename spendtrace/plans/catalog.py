@@ -247,6 +247,17 @@ def scores_skewed(spark, folder):
         "transaction_id", "risk_score", "similarity_pct", "avg_z_deviation")
 
 
+def scores_skewed_null_key(spark, folder):
+    """Features, risk and similarity where the customer with a third of all rows is null."""
+    rows = scoring.behaviour(fx.skewed_null_log(spark, folder), fx.hot_home(),
+                             max_rows=_skewed_run(spark, folder)).rows()
+    risk = L.fixed_trajectory_model().risk_score(F.col("steps"))
+    return _rounded(P.add_similarity(rows.withColumn("risk_score", risk), digits=6), [
+        "amount_zscore", "amount_pct_of_avg"]).select(
+        "customer_id", "transaction_id", *C.FEATURES, "risk_score", "similarity_pct",
+        "avg_z_deviation")
+
+
 def fraud_rings_in_parts(spark, folder):
     """Rings of any size, at most about twenty customers listed per row."""
     return _joined_list(R.rings(fx.hot_log(spark, folder), list_size=20))
@@ -506,6 +517,7 @@ QUERIES: list[Query] = [
     feat_amount_pct, feat_hour_unusual, feat_category_unusual, feat_foreign_location,
     feat_velocity_1h, feat_velocity_1h_ties, failed_logins_24h_derived, point_features,
     point_features_orders, point_features_hot, point_features_skewed, scores_skewed,
+    scores_skewed_null_key,
     feature_summary, dataset_size,
     sequences_long, sequences_long_orders, sequence_label_rate, latest_sequence_padded,
     customer_profile, profile_prefix, similarity, split_counts, scaler_stats,

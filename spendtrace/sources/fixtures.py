@@ -90,6 +90,12 @@ def skewed_log(spark: SparkSession, folder: str) -> DataFrame:
         *log.columns[1:])
 
 
+def skewed_null_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The skewed log in which the merged customer is null."""
+    log = skewed_log(spark, folder)
+    return log.withColumn("customer_id", F.nullif("customer_id", F.lit(0)))
+
+
 def orders_log(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as transactions: equal timestamps, short histories, null devices."""
     orders = table(spark, folder, "orders")
