@@ -257,9 +257,7 @@ with txn as ({log}),
 c as (select device_id, customer_id, count(*) as n_txn from txn
  where device_id is not null group by all)
 select 'shared_device' as ring_type, device_id as identifier,
- string_agg(customer_id::varchar, ',' order by customer_id) as customer_ids,
- count(*) as n_customers, sum(n_txn)::bigint as transaction_count,
- 0::int as part, 1::int as parts
+ count(*) as n_customers, sum(n_txn)::bigint as transaction_count
 from c group by device_id having count(*) >= {minimum}"""
 
 
@@ -488,25 +486,19 @@ select round((sum(rank) filter (is_fraud = 1)
     out["fraud_rings"] = rings(RAMP, 2)
     out["fraud_rings_min_k"] = rings(HOT, 70)
     out["fraud_rings_orders"] = rings(ORDERS, 2)
-    out["fraud_rings_in_parts"] = f"""
+    members = f"""
 with c as (select device_id, customer_id, count(*) as n_txn from ({HOT})
  where device_id is not null group by all),
-m as (select *, count(*) over (partition by device_id) as n_customers,
- sum(n_txn) over (partition by device_id)::bigint as transaction_count from c),
-p as (select *, ceil(n_customers / 20)::int as parts from m where n_customers >= 2),
-q as (select *, case when parts > 1 then ((('0x' || substr(md5(customer_id::varchar), 1, 8))::bigint
- % 1073741824) % parts)::int else 0 end as part from p)
-select 'shared_device' as ring_type, device_id as identifier,
- string_agg(customer_id::varchar, ',' order by customer_id) as customer_ids,
- n_customers, transaction_count, part, parts
-from q group by device_id, n_customers, transaction_count, part, parts"""
-    out["ring_members"] = f"""
-with c as (select device_id, customer_id, count(*) as n_txn from ({HOT})
- where device_id is not null group by all)
-select * from (select 'shared_device' as ring_type, device_id as identifier, customer_id, n_txn,
+m as (select 'shared_device' as ring_type, device_id as identifier,
+ row_number() over (partition by device_id order by customer_id) - 1 as position, customer_id, n_txn,
  count(*) over (partition by device_id) as n_customers,
  sum(n_txn) over (partition by device_id)::bigint as transaction_count from c)
-where n_customers >= 2"""
+"""
+    out["fraud_rings_in_parts"] = members + """
+select ring_type, identifier, n_customers, transaction_count, (position // 20)::int as page,
+ string_agg(customer_id::varchar, ',' order by customer_id) as customer_ids
+from m where n_customers >= 2 group by all"""
+    out["ring_members"] = members + "select * from m where n_customers >= 2"
     out["customers_list"] = """
 select customer_id, n_customers from (select customer_id, count(*) over () as n_customers
  from (select distinct o_custkey as customer_id from orders join customer on c_custkey = o_custkey))

@@ -29,6 +29,10 @@ MAX_ROWS_PER_RUN = 2_000_000
 # Most keys a broadcast list of split customers may hold.
 MAX_SPLIT_KEYS = 500_000
 
+# Most partitions of one range exchange: its sampler takes at most a million
+# rows, and the driver holds all bounds.
+MAX_RANGES = 10_000
+
 
 @dataclass(frozen=True)
 class History:
@@ -178,11 +182,16 @@ def moments_before(per_run: DataFrame, columns: list[str], by: list[str]) -> Dat
 
 @dataclass(frozen=True)
 class LargeKeys:
-    """Keys with more than `max_rows` rows, or None; short enough to broadcast."""
+    """Keys with more than `max_rows` rows, or None.
+
+    A list of up to `MAX_SPLIT_KEYS` is broadcast; a longer one is joined with a
+    shuffle, whose large partitions adaptive execution splits.
+    """
 
     keys: DataFrame | None
     total: int
     max_rows: int
+    count: int = 0
 
     def only(self, rows: DataFrame, key: str) -> DataFrame:
         return rows.join(self._list(key), F.col(key).eqNullSafe(F.col("_large")), "left_semi")
@@ -191,24 +200,22 @@ class LargeKeys:
         return rows.join(self._list(key), F.col(key).eqNullSafe(F.col("_large")), "left_anti")
 
     def _list(self, key: str) -> DataFrame:
-        return F.broadcast(self.keys.select(F.col(key).alias("_large")))
+        listed = self.keys.select(F.col(key).alias("_large"))
+        return F.broadcast(listed) if self.count <= MAX_SPLIT_KEYS else listed
 
 
 def find_large(rows: DataFrame, key: str, max_rows: int | None = None) -> LargeKeys:
-    """Count rows per key, combined before the shuffle, over the key column alone.
-
-    At most rows / limit keys can be above a limit, so the limit is raised when
-    the list could otherwise exceed `MAX_SPLIT_KEYS`.
-    """
-    max_rows = max_rows or MAX_ROWS_PER_RUN
+    """Count rows per key, combined before the shuffle, over the key column alone."""
+    limit = max_rows or MAX_ROWS_PER_RUN
     sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
-    check = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-                      F.coalesce(F.max("_rows"), F.lit(0)).alias("most")).first()
-    limit = max(max_rows, math.ceil(check["rows"] / MAX_SPLIT_KEYS))
-    if check["most"] <= limit:
-        return LargeKeys(None, 0, max_rows)
-    keys = materialize(sizes.filter(F.col("_rows") > limit), "large-keys")
-    return LargeKeys(keys, keys.agg(F.sum("_rows")).first()[0], max_rows)
+    above = F.col("_rows") > limit
+    check = sizes.agg(
+        F.count_if(above).alias("keys"),
+        F.coalesce(F.sum(F.when(above, F.col("_rows"))), F.lit(0)).alias("rows")).first()
+    if not check["keys"]:
+        return LargeKeys(None, 0, limit)
+    keys = materialize(sizes.filter(above).select(key), "large-keys")
+    return LargeKeys(keys, check["rows"], limit, check["keys"])
 
 
 def semi_join(rows: DataFrame, wanted: DataFrame, key: str, large: LargeKeys) -> DataFrame:
@@ -243,9 +250,16 @@ def split_history(log: DataFrame, key: str = "customer_id",
     if expand is not None:
         cut, rows = expand(cut), 2 * rows
     # The range partitioner spreads the ordered rows evenly, so a partition is
-    # a run. Written out once: every later read must see the same cuts.
-    cut = cut.repartitionByRange(math.ceil(rows / large.max_rows) + 1, key, *cut_order)
-    cut = materialize(cut.withColumn(RUN, F.spark_partition_id()), "runs")
+    # a run, or several where there would be too many partitions. Written out
+    # once: every later read must see the same cuts.
+    runs = math.ceil(rows / large.max_rows) + 1
+    cut = cut.repartitionByRange(min(runs, MAX_RANGES), key, *cut_order)
+    run = F.spark_partition_id().cast("bigint")
+    if runs > MAX_RANGES:
+        cut = cut.sortWithinPartitions(key, *cut_order)
+        place = F.monotonically_increasing_id() % (1 << 33)
+        run = run * (1 << 32) + F.floor(place / large.max_rows).cast("bigint")
+    cut = materialize(cut.withColumn(RUN, run), "runs")
     return History(large.without(log, key), cut, key, order, cut_order, large.max_rows)
 
 

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.functions.columns import total
-from spendtrace.operators.history import History, join_carry, merge_moments
+from spendtrace.operators.history import (
+    History, join_carry, merge_moments, positions, split_history,
+)
+
+# Spark's own default for limiting the rows of a window before its shuffle.
+GROUP_LIMIT = 1000
 
 
 def add_profile(history: History) -> History:
@@ -79,13 +84,18 @@ def add_similarity(rows: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def customer_profile(features: DataFrame, first_rows: int | None = None,
-                     order: tuple[str, ...] = ("timestamp", "transaction_id")) -> DataFrame:
+                     order: tuple[str, ...] = ("timestamp", "transaction_id"),
+                     max_rows: int | None = None) -> DataFrame:
     """Profile per customer: n_rows, mean_x and sample std_x of each feature.
 
-    `first_rows` keeps the earliest rows of each customer only; the filter on
-    the row number limits rows before the shuffle.
+    `first_rows` keeps the earliest rows of each customer only. Up to
+    `GROUP_LIMIT` the filter on the row number limits rows before the shuffle;
+    beyond it large customers are cut into runs.
     """
-    if first_rows is not None:
+    if first_rows is not None and first_rows > GROUP_LIMIT:
+        numbered = positions(split_history(features, order=order, max_rows=max_rows), "_nth")
+        features = numbered.rows().filter(F.col("_nth") < first_rows)
+    elif first_rows is not None:
         oldest = Window.partitionBy("customer_id").orderBy(*order)
         features = (features.withColumn("_nth", F.row_number().over(oldest))
                     .filter(F.col("_nth") <= first_rows))

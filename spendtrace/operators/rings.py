@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
-from spendtrace.functions.columns import hash_bucket
-from spendtrace.operators.history import find_large
+from spendtrace.operators.history import find_large, positions, split_history
 from spendtrace.session import materialize
 
-# Customers listed in one output row; a larger ring spans several rows.
-LIST_SIZE = 1000
-
 
 def device_counts(log: DataFrame) -> DataFrame:
     """Transactions per (device, customer); rows without a device do not count."""
@@ -35,7 +31,8 @@ def ring_members(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
                  max_rows: int | None = None) -> DataFrame:
     """One row per ring and customer, for rings of any size.
 
-    The sizes of devices with very many customers are broadcast, so their rows
+    `position` counts the customers of a ring from 0 in the order of their ids;
+    a very large ring is cut into runs for that. The sizes of devices with very many customers are broadcast, so their rows
     are not brought together for the join.
     """
     counts = materialize(counts, "device-counts")
@@ -50,33 +47,26 @@ def ring_members(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
         members = large.without(counts, "device_id").join(sizes, same).unionByName(
             large.only(counts, "device_id").join(
                 F.broadcast(large_sizes.drop("device_id")), same))
-    return members.select(
-        "ring_type", "identifier", "customer_id", "n_txn", "n_customers", "transaction_count")
+    placed = positions(split_history(
+        materialize(members, "ring-members"), key="identifier", order=("customer_id",),
+        max_rows=max_rows), "position").rows()
+    return placed.select("ring_type", "identifier", "position", "customer_id", "n_txn",
+                         "n_customers", "transaction_count")
 
 
-def rings(log: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
-          list_size: int = LIST_SIZE, max_rows: int | None = None) -> DataFrame:
-    """Ring records, largest first.
+def rings(log: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS) -> DataFrame:
+    """One record per ring of any size, largest first; `ring_members` lists the customers."""
+    return largest_first(ring_sizes(device_counts(log), min_customers))
 
-    A ring of up to `list_size` customers is one row (part 0 of 1). The
-    customers of a larger one are spread over `parts` rows by a hash of the
-    customer id, so no task ever collects a whole ring; the parts together hold
-    every customer.
-    """
-    return rings_from_counts(device_counts(log), min_customers, list_size, max_rows)
+
+def largest_first(sizes: DataFrame) -> DataFrame:
+    return sizes.orderBy(F.desc("n_customers"), F.desc("transaction_count"), "identifier")
 
 
-def rings_from_counts(counts: DataFrame, min_customers: int = C.MIN_RING_CUSTOMERS,
-                      list_size: int = LIST_SIZE, max_rows: int | None = None) -> DataFrame:
-    members = ring_members(counts, min_customers, max_rows)
-    parts = F.ceil(F.col("n_customers") / list_size).cast("int")
-    placed = members.withColumn("parts", parts).withColumn(
-        "part", F.when(parts > 1, hash_bucket("customer_id", 1 << 30) % parts).otherwise(0))
+def ring_pages(members: DataFrame, page_size: int) -> DataFrame:
+    """The customers of each ring as lists of `page_size`, in order across pages."""
     return (
-        placed.groupBy("ring_type", "identifier", "n_customers", "transaction_count",
-                       "part", "parts")
+        members.withColumn("page", F.floor(F.col("position") / page_size).cast("int"))
+        .groupBy("ring_type", "identifier", "n_customers", "transaction_count", "page")
         .agg(F.sort_array(F.collect_list("customer_id")).alias("customer_ids"))
-        .select("ring_type", "identifier", "customer_ids", "n_customers", "transaction_count",
-                "part", "parts")
-        .orderBy(F.desc("n_customers"), F.desc("transaction_count"), "identifier", "part")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.operators.history import RUN, History, join_carry
+from spendtrace.operators.profile import GROUP_LIMIT
 
 
 def vector(columns: list[str] | None = None) -> Column:
@@ -76,8 +77,11 @@ def latest_sequence(features: DataFrame, length: int = C.SEQUENCE_LENGTH,
     """The latest window per customer, newest row included, padded in front.
 
     The row-number filter limits rows per customer before the shuffle, so a
-    customer of any size sends a few rows per task.
+    customer of any size sends a few rows per task. That holds up to
+    `GROUP_LIMIT` steps; longer windows are refused.
     """
+    if length > GROUP_LIMIT:
+        raise ValueError(f"a window of the latest rows has at most {GROUP_LIMIT} steps")
     newest = Window.partitionBy("customer_id").orderBy(*[F.col(c).desc() for c in order])
     latest = (
         features.withColumn("_back", F.row_number().over(newest))

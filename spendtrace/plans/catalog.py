@@ -259,8 +259,9 @@ def scores_skewed_null_key(spark, folder):
 
 
 def fraud_rings_in_parts(spark, folder):
-    """Rings of any size, at most about twenty customers listed per row."""
-    return _joined_list(R.rings(fx.hot_log(spark, folder), list_size=20))
+    """The customers of each ring in lists of twenty, in order across lists."""
+    members = R.ring_members(R.device_counts(fx.hot_log(spark, folder)))
+    return R.ring_pages(members, 20).withColumn("customer_ids", F.array_join("customer_ids", ","))
 
 
 def feature_summary(spark, folder):
@@ -415,19 +416,15 @@ def auc_roc(spark, folder):
 
 
 def fraud_rings(spark, folder):
-    return _joined_list(R.rings(fx.ramp_log(spark, folder)))
+    return R.rings(fx.ramp_log(spark, folder))
 
 
 def fraud_rings_min_k(spark, folder):
-    return _joined_list(R.rings(fx.hot_log(spark, folder), min_customers=70))
+    return R.rings(fx.hot_log(spark, folder), min_customers=70)
 
 
 def fraud_rings_orders(spark, folder):
-    return _joined_list(R.rings(fx.orders_log(spark, folder)))
-
-
-def _joined_list(rings):
-    return rings.withColumn("customer_ids", F.array_join("customer_ids", ","))
+    return R.rings(fx.orders_log(spark, folder))
 
 
 def ring_members(spark, folder):
@@ -508,7 +505,7 @@ def stream_alert_counts(spark, folder):
 
 
 def stream_rings(spark, folder):
-    return _joined_list(replay.rings(spark, folder))
+    return replay.rings(spark, folder)
 
 
 QUERIES: list[Query] = [

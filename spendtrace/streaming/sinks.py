@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spendtrace.operators.rings import device_counts, rings_from_counts
+from spendtrace.operators.rings import device_counts, largest_first, ring_sizes
 from spendtrace.sources.writers import append_scored
 
 
@@ -45,20 +45,31 @@ def count_alerts(scored: DataFrame, path: str, checkpoint: str,
 
 
 def count_devices(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Add each micro-batch's (device, customer) counts as a folder of its own.
+    """Running transactions per (device, customer), kept as one table.
 
-    A batch that is run again replaces its folder, and no batch rewrites the
-    counts of another.
+    The counts are the state of the stream, so a batch that is run again counts
+    once, a table from an earlier checkpoint is replaced, and a report reads one
+    row per pair. Each micro-batch writes a version of the table beside the one
+    before and then names it the current one.
     """
-    def add(batch: DataFrame, number: int) -> None:
-        device_counts(batch).write.mode("overwrite").parquet(f"{path}/batch_number={number}")
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number % 2}")
+        batch.sparkSession.range(1).select(F.lit(number % 2).alias("current")).write.mode(
+            "overwrite").parquet(f"{path}/pointer")
+
+    log.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    counts = device_counts(log)
+    return (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+            .foreachBatch(replace).trigger(availableNow=True).start())
+
 
-    return (log.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(add).trigger(availableNow=True).start())
+def stored_device_counts(spark: SparkSession, path: str) -> DataFrame:
+    current = spark.read.parquet(f"{path}/pointer").first()["current"]
+    return spark.read.parquet(f"{path}/version={current}")
 
 
 def running_rings(spark: SparkSession, path: str, min_customers: int = 2) -> DataFrame:
     """Rings over all device counts stored so far."""
-    counts = (spark.read.parquet(path).groupBy("device_id", "customer_id")
-              .agg(F.sum("n_txn").alias("n_txn")))
-    return rings_from_counts(counts, min_customers)
+    return largest_first(ring_sizes(stored_device_counts(spark, path), min_customers))

@@ -151,21 +151,29 @@ def ring_log(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_rings_list_sorted_customers_largest_first(spark):
+def test_rings_are_one_record_each_largest_first(spark):
     got = R.rings(ring_log(spark)).collect()
     assert [(r.identifier, r.n_customers, r.transaction_count) for r in got] == [
         ("shared", 25, 25), ("pair", 2, 3)]
-    assert got[0].customer_ids == [f"c{i:03d}" for i in range(25)]
     assert R.rings(ring_log(spark), min_customers=3).count() == 1
 
 
 @pytest.mark.parametrize("max_rows", [None, 10])
-def test_large_ring_is_spread_over_parts_and_complete(spark, max_rows):
-    got = R.rings(ring_log(spark), list_size=4, max_rows=max_rows).collect()
-    assert {r.identifier for r in got} == {"shared", "pair"}
-    parts = [r for r in got if r.identifier == "shared"]
-    assert len(parts) > 1 and all(r.parts == 7 and r.n_customers == 25 for r in parts)
-    assert sorted(c for r in parts for c in r.customer_ids) == [f"c{i:03d}" for i in range(25)]
+def test_members_and_pages_in_order(spark, max_rows):
+    members = R.ring_members(R.device_counts(ring_log(spark)), max_rows=max_rows)
+    shared = members.filter("identifier = 'shared'").orderBy("position").collect()
+    assert [(r.position, r.customer_id) for r in shared] == [(i, f"c{i:03d}") for i in range(25)]
+    pages = R.ring_pages(members, 4).filter("identifier = 'shared'").orderBy("page").collect()
+    assert [c for r in pages for c in r.customer_ids] == [f"c{i:03d}" for i in range(25)]
+    assert [r.page for r in pages] == list(range(7))
+
+
+def test_ring_of_more_than_a_thousand_customers(spark):
+    log = spark.range(1500).select(
+        F.format_string("c%05d", "id").alias("customer_id"), F.lit("big").alias("device_id"))
+    assert [(r.identifier, r.n_customers) for r in R.rings(log).collect()] == [("big", 1500)]
+    members = R.ring_members(R.device_counts(log), max_rows=400).orderBy("position").collect()
+    assert [(r.position, r.customer_id) for r in members] == [(i, f"c{i:05d}") for i in range(1500)]
 
 
 def test_report_has_fallback_sentence(spark):
