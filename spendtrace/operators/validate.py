@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
@@ -77,12 +77,18 @@ def check_rows(batch: DataFrame) -> Checked:
 
 
 def with_defaults(rows: DataFrame, device_pattern: str = C.DEFAULT_DEVICE_PATTERN,
-                  location: str = C.DEFAULT_LOCATION) -> DataFrame:
+                  location: str = C.DEFAULT_LOCATION, request: str = "") -> DataFrame:
     """Fill what a caller may leave out.
 
     A missing device becomes the customer's presumed device, a missing location
-    the home city, missing login failures 0, a missing time now, and a missing
-    id one made from the row.
+    the home city, missing login failures 0 and a missing time now.
+
+    A missing id is made from the row as it was given, its place in the input
+    (`file_row`, where the reader adds it) and the name of the `request`; never
+    from the time of the run, so a job that runs again gives the same ids.
+    Without a place, equal rows of a batch are numbered, so each is a request of
+    its own; give `request` to tell equal rows of different requests apart. A
+    stream has no places; there the ids are drawn at random.
     """
     before, after = device_pattern.split("{}")
     own_device = F.concat(F.lit(before), F.col("customer_id").cast("string"), F.lit(after))
@@ -90,15 +96,21 @@ def with_defaults(rows: DataFrame, device_pattern: str = C.DEFAULT_DEVICE_PATTER
     def given(column: str) -> Column:
         return F.nullif(F.col(column), F.lit(""))
 
-    filled = rows.withColumns({
+    as_given = [F.lit(request), *[F.col(c) for c in C.BATCH_SCHEMA.fieldNames()
+                                  if c != "transaction_id"]]
+    if "file_row" in rows.columns:
+        as_given.append(F.to_json(F.struct("file_row")))
+    elif rows.isStreaming:
+        as_given.append(F.uuid())
+    else:
+        own = Window.partitionBy(*as_given[1:], F.col("transaction_id").isNull())
+        rows = rows.withColumn("_nth", F.row_number().over(own.orderBy(F.lit(0))))
+        as_given.append(F.col("_nth"))
+    rows = rows.withColumn("transaction_id", F.coalesce(
+        F.col("transaction_id"), generated_transaction_id(*as_given)))
+    return rows.drop("_nth").withColumns({
         "device_id": F.coalesce(given("device_id"), own_device),
         "location": F.coalesce(given("location"), F.lit(location)),
         "failed_logins_24h": F.coalesce("failed_logins_24h", F.lit(0)),
         "timestamp": F.coalesce("timestamp", F.current_timestamp()),
     })
-    key = [F.col(c) for c in ("customer_id", "timestamp", "amount", "merchant_category",
-                              "device_id", "location")]
-    if "file_row" in rows.columns:
-        key.append(F.col("file_row"))
-    return filled.withColumn(
-        "transaction_id", F.coalesce(F.col("transaction_id"), generated_transaction_id(*key)))

@@ -38,22 +38,65 @@ def stored_history(spark: SparkSession, path: str,
     return spark.createDataFrame([], schema)
 
 
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a path: itself, or those in the folder, by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for s in system.listStatus(where) if s.isFile()]
+    names = sorted((s.getPath().getName(), s.getPath().toString()) for s in found)
+    return [full for name, full in names if not name.startswith(("_", "."))]
+
+
+def first_line(spark: SparkSession, file: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        reader = spark._jvm.java.io.BufferedReader(
+            spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return reader.readLine() or ""
+    finally:
+        stream.close()
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Adds `file_row`: file, start of the block, and a number that grows inside it.
+
+    The same files read in the same way give the same places.
+    """
+    place = [F.col("_metadata.file_path").alias("file"),
+             F.col("_metadata.file_block_start").alias("block")]
+    return rows.withColumn("file_row", F.struct(
+        *place, F.monotonically_increasing_id().alias("row")))
+
+
 def batch_csv(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """An uploaded batch: columns by header name, all as text, plus `file_row`.
 
-    The header decides the columns and their order, so optional columns may be
-    absent; types are applied by `validate.conform`, which reports values that
-    do not parse. Lines with the wrong number of fields keep their text in
-    `_corrupt_record`. `file_row` grows in file order.
+    Each file's own header decides its columns and their order, so files of a
+    folder may differ and optional columns may be absent; types are applied by
+    `validate.conform`, which reports values that do not parse. Lines with the
+    wrong number of fields keep their text in `_corrupt_record`. `file_row`
+    grows in file order.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    alike: dict[str, list[str]] = {}
+    for file in files_in(spark, path):  # uploads are few; only their first lines are read here
+        alike.setdefault(first_line(spark, file), []).append(file)
+    parts = [_one_header(spark, files, numbered) for files in alike.values()]
+    rows = parts[0] if parts else spark.createDataFrame([], C.BATCH_SCHEMA)
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows
+
+
+def _one_header(spark: SparkSession, files: list[str], numbered: bool) -> DataFrame:
+    header = spark.read.option("header", True).csv(files[0]).columns
     check_columns(header)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
     # a line counts as malformed whichever columns a later query needs
     rows = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-            .csv(path))
-    return rows.withColumn("file_row", F.monotonically_increasing_id()) if numbered else rows
+            .csv(files))
+    return with_place(rows) if numbered else rows
 
 
 def well_formed(batch: DataFrame) -> DataFrame:

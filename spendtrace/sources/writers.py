@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
+from spendtrace.functions.columns import hash_bucket
 from spendtrace.operators.learn import RiskModels, from_json, to_json
 from spendtrace.sources.readers import path_exists
 
+# Folders of the scored store; a customer is in one of them.
+CUSTOMER_BUCKETS = 64
+
 
 def write_features(features: DataFrame, path: str, files: int | None = None) -> None:
     """Feature table in (customer, time) order, so customer filters skip row groups.
@@ -28,36 +31,60 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
 
 
 def append_scored(scored: DataFrame, path: str) -> None:
-    """Append scored rows once per transaction id, partitioned by date.
-
-    Rows whose id is already stored are left out, so a repeated write adds
-    nothing. The check reads only the stored dates the new rows fall in.
+    """Append scored rows once per transaction id.
+
+    An id that is stored already, whatever its date, is left out, so a repeated
+    write adds nothing; only the id column of the store is read for that. Of new
+    rows with one id the earliest stays, then the smallest by content
+    (`conflicting_ids` reports them). Files hold one bucket of customers each,
+    in (customer, time) order, so reading a customer touches one bucket and few
+    row groups.
     """
     spark = scored.sparkSession
     rows = scored.select(
         *C.SCORED_COLUMNS, F.lit(None).cast("boolean").alias("is_fraud_actual"),
-        F.to_date("timestamp").alias("date")).dropDuplicates(["transaction_id"])
-    if not path_exists(spark, path):
-        rows.write.mode("append").partitionBy("date").parquet(path)
-        return
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read for its dates and its rows
-    try:
-        days = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-        stored = read_scored(spark, path).filter(
-            F.col("date").between(F.lit(days["first"]), F.lit(days["last"])))
-        keys = ["transaction_id", "date"]
-        (rows.join(stored.select(*keys), keys, "left_anti")
-         .write.mode("append").partitionBy("date").parquet(path))
-    finally:
-        rows.unpersist()
+        F.to_date("timestamp").alias("date"),
+        customer_bucket(F.col("customer_id")).alias("customer_bucket"))
+    first = Window.partitionBy("transaction_id").orderBy("timestamp", _content())
+    rows = rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    if path_exists(spark, path):
+        stored = read_scored(spark, path).select(F.col("transaction_id").alias("_stored"))
+        rows = rows.join(stored, F.col("transaction_id") == F.col("_stored"), "left_anti")
+    keys = ["customer_bucket", "customer_id", "timestamp", "transaction_id"]
+    (rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.mode("append").partitionBy("customer_bucket").parquet(path))
+
+
+def customer_bucket(customer: Column) -> Column:
+    return F.coalesce(hash_bucket(customer, CUSTOMER_BUCKETS), F.lit(0))
+
+
+def conflicting_ids(scored: DataFrame) -> DataFrame:
+    """Ids that come with different content, and how many contents."""
+    return scored.groupBy("transaction_id").agg(
+        F.countDistinct(_content()).alias("n_contents")).filter("n_contents > 1")
+
+
+def _content() -> Column:
+    return F.xxhash64(*C.SCORED_COLUMNS)
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scored_of_customer(spark: SparkSession, path: str, customer_id) -> DataFrame:
+    """One customer's stored rows: their bucket only, filtered at the scan."""
+    return read_scored(spark, path).filter(
+        (F.col("customer_bucket") == customer_bucket(F.lit(customer_id)))
+        & (F.col("customer_id") == F.lit(customer_id)))
+
+
 def append_scored_jdbc(scored: DataFrame, url: str, table: str, **options: str) -> None:
-    """The same table in a database, for installations that want one there."""
+    """Append to a table in a database; a repeated batch is the caller's to prevent.
+
+    Spark's JDBC sink has no insert-if-absent. Not tested here: no database.
+    """
     writer = scored.select(*C.SCORED_COLUMNS).write.format("jdbc").mode("append")
     writer.option("url", url).option("dbtable", table).options(**options).save()
 

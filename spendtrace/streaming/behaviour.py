@@ -60,7 +60,8 @@ class RunningBehaviour(StatefulProcessor):
         def count(kind: str, value) -> int:
             entry = (kind, "" if pd.isna(value) else "=" + str(value))
             if entry not in counts:
-                counts[entry] = self.seen.getValue(entry)[0] if self.seen.containsKey(entry) else 0
+                held = self.seen.getValue(entry)
+                counts[entry] = 0 if held is None else held[0]
             found = counts[entry]
             counts[entry] += 1
             changed.add(entry)
@@ -149,8 +150,9 @@ class OrderedBehaviour(RunningBehaviour):
     """Takes rows in event order across micro-batches.
 
     A row waits until the watermark has passed its time, so rows that arrive
-    within the delay are taken in their place. A row behind the watermark is
-    taken at once.
+    within the delay are taken in their place. Waiting rows are map entries by
+    time, one timer stands at the earliest of them, and whatever is due is taken
+    before a row that arrives behind the watermark.
     """
 
     def __init__(self, columns: T.StructType):
@@ -159,26 +161,56 @@ class OrderedBehaviour(RunningBehaviour):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
+        rows = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in self.columns)
+        self.waiting = handle.getMapState(
+            "waiting", "at bigint", f"rows array<struct<{rows}>>")
+        self.times = handle.getValueState("times", "at array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self._release(passed)
         batch = pd.concat(list(rows))[self.columns.names]
-        passed = batch["event_micros"] < timerValues.getCurrentWatermarkInMs() * 1000
-        later = batch[~passed]
+        late = batch["event_micros"] < passed
+        if late.any():
+            yield self._take(batch[late])
+        later = batch[~late]
         if len(later):
-            self.waiting.appendList(_records(later))
-            for millis in sorted(set(later["event_micros"] // 1000 + 1)):
-                self.handle.registerTimer(int(millis))
-        if passed.any():
-            yield self._take(batch[passed])
+            times = self._waiting_times()
+            known = set(times)
+            for at, group in later.groupby("event_micros"):
+                at = int(at)
+                held = list(self.waiting.getValue((at,))[0]) if at in known else []
+                self.waiting.updateValue((at,), ([tuple(r) for r in held] + _records(group),))
+                if at not in known:
+                    insort(times, at)
+            self.times.update((times,))
+            self._wake(times)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names)
-        due = held["event_micros"] < expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if due.any():
-            rest = held[~due]
-            self.waiting.put(_records(rest)) if len(rest) else self.waiting.clear()
-            yield self._take(held[due])
+        yield from self._release(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _waiting_times(self) -> list[int]:
+        return [int(t) for t in self.times.get()[0]] if self.times.exists() else []
+
+    def _release(self, passed: int) -> Iterator[pd.DataFrame]:
+        """Take all waiting rows before `passed`, in order; the rest stay where they are."""
+        times = self._waiting_times()
+        due = bisect_left(times, passed)
+        if not due:
+            self._wake(times)
+            return
+        held: list[tuple] = []
+        for at in times[:due]:
+            held += [tuple(r) for r in self.waiting.getValue((at,))[0]]
+            self.waiting.removeKey((at,))
+        self.times.update((times[due:],))
+        self._wake(times[due:])
+        yield self._take(pd.DataFrame(held, columns=self.columns.names))
+
+    def _wake(self, times: list[int]) -> None:
+        """Keep a timer just after the earliest waiting row."""
+        if times:
+            self.handle.registerTimer(times[0] // 1000 + 1)
 
 
 def _records(frame: pd.DataFrame) -> list[tuple]:
