@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,28 +77,26 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered; forgets all when it gets large."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of words per text.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def word_hashes(texts: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words per text.
-
-    `bytes.split` cuts at exactly the six ASCII white-space characters.
+    Words are cut at the six ASCII white-space characters. A word's hash is the
+    sum of its bytes' random values times random odd numbers by position.
     """
-    words: list[bytes] = []
-    counts = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = text.split()
-        counts[i] = len(found)
-        words += found
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), counts
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = np.flatnonzero(~_WHITE[data])
+    first = np.ones(len(inside), bool)
+    first[1:] = inside[1:] != inside[:-1] + 1
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    lengths = np.diff(starts, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(starts, lengths)
+    by_place = mix(np.arange(1, lengths.max() + 1)) | np.uint64(1)
+    sums = np.add.reduceat(_BYTE_VALUES[data[inside]] * by_place[place], starts)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    counts = np.diff(np.searchsorted(inside[starts], ends), prepend=0)
+    return mix(sums + lengths.astype(np.uint64)), counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,3 +122,8 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for i in range(width):
         out = mix(out + padded[i:i + len(words)])
     return out
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE_VALUES = mix(np.arange(1, 257) << 20)

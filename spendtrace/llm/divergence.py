@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    MAX_MEMO, WordHashes, mix, owners, run_hashes, schema_with, table, text_chunks, word_hashes,
+    MAX_MEMO, mix, owners, run_hashes, schema_with, table, text_chunks, word_hashes,
 )
 
 # Fixed values of the base rules.
@@ -230,11 +230,11 @@ def judge(docs: DataFrame, references: References, limits: Limits = Limits()) ->
         every = sorted({w.encode() for words in known.words for w in words})
         place = {w: i for i, w in enumerate(every)}
         columns = [[place[w.encode()] for w in words] for words in known.words]
-        ids, memo = CommonIds(place), WordHashes()
+        ids = CommonIds(place)
         for piece in text_chunks(batches, "text"):
             texts = [t or "" for t in piece.column("text").to_pylist()]
             raw = [t.encode() for t in texts]
-            hashes, n = word_hashes(raw, memo)
+            hashes, n = word_hashes(raw)
             symbols = np.array([sum(map(t.count, SYMBOLS)) for t in texts], np.int64)
             chars = np.array([len(t) - sum(map(t.count, WHITE)) for t in texts], np.int64)
             lines = np.array([repeated_lines(t) for t in texts], np.int64)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    WordHashes, byte_texts, free_name, mix, run_hashes, small_or_shuffled, table, text_chunks,
+    byte_texts, free_name, mix, run_hashes, small_or_shuffled, table, text_chunks,
     word_hashes,
 )
 from spendtrace.llm.components import connected_components
@@ -78,8 +78,8 @@ def segments_of_band(band: int, percent: int = PERCENT) -> int:
 class Sets:
     """The shingle sets of a piece of documents, one after the other, each ascending."""
 
-    def __init__(self, texts: list[bytes], memo: WordHashes, width: int) -> None:
-        words, counts = word_hashes([t.lower() for t in texts], memo)
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        words, counts = word_hashes([t.lower() for t in texts])
         hashed = run_hashes(words, width)
         ends = np.cumsum(counts)
         parts = []
@@ -174,9 +174,8 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     segments = band_segments(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for piece in text_chunks(batches, "text"):
-            sets = Sets(byte_texts(piece.column("text")), memo, width)
+            sets = Sets(byte_texts(piece.column("text")), width)
             own, lower = (Keys(sets, role, percent, segments) for role in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(sets.low.view(np.int64)),
@@ -195,9 +194,9 @@ def index_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     segments = band_segments(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHashes(), set()
+        seen: set[int] = set()
         for piece in text_chunks(batches, "text"):
-            sets = Sets(byte_texts(piece.column("text")), memo, width)
+            sets = Sets(byte_texts(piece.column("text")), width)
             new = np.zeros(len(sets.sizes), bool)
             for i, name in enumerate(sets.low.tolist()):
                 new[i] = sets.sizes[i] > 0 and name not in seen
@@ -218,9 +217,8 @@ def read_sets(docs: DataFrame, width: int) -> DataFrame:
     """(low, members) of each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for piece in text_chunks(batches, "text"):
-            sets = Sets(byte_texts(piece.column("text")), memo, width)
+            sets = Sets(byte_texts(piece.column("text")), width)
             ends = np.append(sets.starts, len(sets.members)).astype(np.int32)
             members = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.members.view(np.int64)))
             yield pa.RecordBatch.from_arrays(

@@ -281,7 +281,7 @@ def test_similar_sets_share_a_key():
             same = len(np.intersect1d(a, b))
             if 100 * same < 75 * (len(a) + len(b) - same) or not len(b):
                 continue
-            sets = jaccard.Sets([], jaccard.WordHashes(), 5)
+            sets = jaccard.Sets([], 5)
             sets.sizes = np.array([len(a), len(b)])
             sets.members, sets.owner = np.concatenate([a, b]), np.repeat([0, 1], sets.sizes)
             keys = [set(), set()]

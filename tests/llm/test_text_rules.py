@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendtrace.llm import classifier, divergence, extract, langid
-from spendtrace.llm.common import let
+from spendtrace.llm.common import let, word_hashes
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 LONG = "The quick brown fox was not in the house of the king. " * 4000
@@ -303,3 +303,15 @@ def test_extract_table(spark):
 def test_let_computes_once(spark):
     got = spark.range(3).select(let(F.col("id") * 2, lambda x: x + x).alias("v")).collect()
     assert [r.v for r in got] == [0, 4, 8]
+
+
+def test_word_hashes_follow_words():
+    texts = [b"", b" a bb\x0bccc\n", "é é\x1c \xa0".encode(), b"x" * 5000, b"bb", b"\t", b"ab ba"]
+    hashes, counts = word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert len(set(words)) == len(set(hashes.tolist()))
+    by_word = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert word_hashes([])[0].tolist() == []
