@@ -21,10 +21,12 @@ others; with more than H of them it has no partner. The rest of a set's keys are
 taken from the rarest on, and H + 1 of them, the single ones counted, suffice
 for any partner, so frequent passages hardly ever become candidates.
 
-Verification is exact, on the sets themselves. Large groups of near copies are
-not expanded into pairs: a group is compared with one of its sets, and by the
-triangle inequality of the Jaccard distance only pairs that this leaves open
-are compared further.
+Verification is exact, on the sets themselves. Each set has a sketch of 512
+bits, the parities of its members by a hash; two sets differ in at least as many
+members as their sketches in bits, so most pairs are ruled out by their
+sketches. Large groups of near copies are not expanded into pairs: a group is
+compared with its most typical set, and sets linked with that one need no
+comparison among each other.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
@@ -48,6 +50,7 @@ WORDS_PER_SHINGLE = 5
 PERCENT = 75
 STAR_ROUNDS = 3
 _SPARE = 4.0  # standard deviations of filled segments
+SKETCH_LONGS = 8
 _WIDEST = 40  # bands: sets of up to 2 ** 40 members
 
 
@@ -75,6 +78,14 @@ def segments_of_band(band: int, percent: int = PERCENT) -> int:
     return 0
 
 
+def ascending(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 class Sets:
     """The shingle sets of a piece of documents, one after the other, each ascending."""
 
@@ -86,7 +97,7 @@ class Sets:
         for start, end in zip(ends - counts, ends):
             n = end - start
             if n >= width:
-                parts.append(np.unique(hashed[start:end - width + 1]))
+                parts.append(ascending(hashed[start:end - width + 1]))
             elif n:  # the whole sequence, told apart from longer ones by its length
                 parts.append(run_hashes(np.append(words[start:end], np.uint64(n)), n + 1)[:1])
             else:
@@ -213,22 +224,38 @@ def index_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, low long, kind int")
 
 
+def parities(sets: Sets) -> np.ndarray:
+    """The sketch of each set, SKETCH_LONGS signed 64-bit numbers."""
+    bits = SKETCH_LONGS * 64
+    bit = (mix(sets.members ^ np.uint64(0x5555)) % np.uint64(bits)).astype(np.int64)
+    counts = np.bincount(sets.owner * bits + bit, minlength=len(sets.sizes) * bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(-1, SKETCH_LONGS)
+
+
 def read_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(low, members) of each row of `docs`."""
+    """(low, members, sketch) of each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_chunks(batches, "text"):
             sets = Sets(byte_texts(piece.column("text")), width)
             ends = np.append(sets.starts, len(sets.members)).astype(np.int32)
             members = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.members.view(np.int64)))
+            sketch = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sets.sizes) + 1, dtype=np.int32) * SKETCH_LONGS),
+                pa.array(parities(sets).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.low.view(np.int64)), members], ["low", "members"])
+                [pa.array(sets.low.view(np.int64)), members, sketch], ["low", "members", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "low long, members array<long>")
+    return docs.select("text").mapInArrow(run, "low long, members array<long>, sketch array<long>")
 
 
-def candidates(described: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, low): which sets meet under which key, after pruning."""
+def candidates(described: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, low): which sets meet under which key, after pruning; and (key, c).
+
+    The second table names for each key the set to compare the others with: the
+    one whose keys are on the whole held most often, so of near copies the one
+    that has least of its own.
+    """
     dealt = keys.repartition("key").dropDuplicates(["key", "low"])
     shared = dealt.withColumn("held", F.count("*").over(Window.partitionBy("key"))).filter(
         F.col("held") > 1)
@@ -236,20 +263,28 @@ def candidates(described: DataFrame, keys: DataFrame) -> DataFrame:
 
     sizes = described.filter("n > 0").groupBy("low").agg(
         *[F.max(c).alias(c) for c in ("filled0", "filled1", "differ0", "differ1")])
-    per_set = shared.filter("kind < 2").groupBy("low", "kind").agg(F.count("*").alias("with_others"))
+    own = F.col("kind") == 0
+    per_set = shared.filter("kind < 2").groupBy("low", "kind").agg(
+        F.count("*").alias("with_others"), F.sum("held").alias("held_all"))
     per_set = (
         per_set.join(sizes, "low")
-        .withColumn("differ", F.when(F.col("kind") == 0, F.col("differ0")).otherwise(F.col("differ1")))
-        .withColumn("filled", F.when(F.col("kind") == 0, F.col("filled0")).otherwise(F.col("filled1")))
+        .withColumn("differ", F.when(own, F.col("differ0")).otherwise(F.col("differ1")))
+        .withColumn("filled", F.when(own, F.col("filled0")).otherwise(F.col("filled1")))
         .withColumn("alone", F.col("filled") - F.col("with_others"))
         .filter(F.col("alone") <= F.col("differ"))
-        .select("low", "kind", (F.col("differ") + 1 - F.col("alone")).alias("wanted"))
+        .select("low", "kind", (F.col("differ") + 1 - F.col("alone")).alias("wanted"),
+                (F.col("held_all") / F.col("filled")).alias("typical"))
     )
     rarest = Window.partitionBy("low", "kind").orderBy("held", "key")
-    first = shared.join(per_set, ["low", "kind"]).withColumn(
-        "at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("wanted"))
-    met = first.select("key", "low").unionByName(shared.filter("kind = 2").select("key", "low"))
-    return met.distinct()
+    left = shared.join(per_set, ["low", "kind"]).withColumn("at", F.row_number().over(rarest)).select(
+        "key", "low", "typical", (F.col("at") <= F.col("wanted")).alias("first")).unionByName(
+        shared.filter("kind = 2").select("key", "low", F.lit(0.0).alias("typical"), F.lit(True).alias("first")))
+    left = materialize(left, "left-keys")
+    groups = left.groupBy("key").agg(
+        F.count_if("first").alias("n"), F.max(F.struct("typical", "low")).alias("best")).filter("n > 1")
+    groups = materialize(groups.select("key", F.col("best.low").alias("c")), "groups")
+    met = left.filter("first").select("key", "low").distinct().join(groups.select("key"), "key")
+    return materialize(met, "met"), groups
 
 
 def linked(percent: int):
@@ -266,39 +301,57 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "a", "b", "same", (F.col("_both") - F.col("same")).alias("union"))
 
 
-def links_of(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def may_link(percent: int) -> Column:
+    """Whether the sketches of (n, sketch) and (n_, sketch_) leave a link possible."""
+    apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_")[k]))
+                 for k in range(SKETCH_LONGS)), F.lit(0))
+    return apart <= F.floor((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent))
+
+
+def in_order() -> list[Column]:
+    return [F.least("low", "low_").alias("a"), F.greatest("low", "low_").alias("b")]
+
+
+def links_of(met: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between sets that meet under a key, enough to connect all that are similar.
 
-    Per round a key's sets are compared with the smallest of them, c. Sets
-    linked with c need no comparison among each other. A set x farther than the
-    threshold distance D from c but not farther than 2 D may be similar to a set
-    y linked with c, if y is at least d(x, c) - D from c; those pairs are
-    compared. Sets not linked with c go to the next round. After the last round
-    whatever is left under a key is compared in pairs.
+    Per round the sets of a key are compared with its centre, at first the given
+    one, later the smallest set left. Those linked with it are connected
+    through it. The others are compared with the linked ones and go to the next
+    round; what is left after the last round is compared in pairs. Pairs that
+    the sketches rule out are never formed.
     """
-    limit = 1 - percent / 100
+    facts = sets.select("low", F.size("members").alias("n"), "sketch")
+
+    def other(rows: DataFrame, *keep: str) -> DataFrame:
+        return rows.select(*keep, *[F.col(c).alias(f"{c}_") for c in ("low", "n", "sketch")])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return materialize(verify(pairs.select(*in_order()), sets).filter(
+            linked(percent)).select("a", "b"), "compared")
+
     found = []
-    for round_ in range(STAR_ROUNDS):
-        centres = met.groupBy("key").agg(F.min("low").alias("c"), F.count("*").alias("n")).filter("n > 1")
-        rays = materialize(met.join(centres.drop("n"), "key").filter("low <> c"), "rays")
-        if rays.isEmpty():
+    for _ in range(STAR_ROUNDS):
+        # Keys often have the same centre; their sets are then one group.
+        placed = materialize(met.join(centres, "key"), "placed")
+        groups = materialize(placed.select("c", "low").distinct().join(facts, "low"), "groups")
+        around = other(facts.join(centres.select(F.col("c").alias("low")).distinct(), "low"))
+        pairs = materialize(groups.join(around.withColumn("c", F.col("low_")), "c").filter(
+            "low <> c").filter(may_link(percent)).select("c", "low", "low_"), "rays")
+        joined = compared(pairs)
+        on = materialize(pairs.withColumns(dict(zip("ab", in_order()))).join(
+            joined, ["a", "b"], "left_semi").select("c", "low").unionByName(
+            centres.select("c", F.col("c").alias("low")).distinct()), "joined")
+        near = groups.join(on, ["c", "low"], "left_semi")
+        far = groups.join(on, ["c", "low"], "left_anti")
+        found += [joined, compared(far.join(other(near, "c"), "c").filter(may_link(percent)))]
+        met = materialize(placed.join(on, ["c", "low"], "left_anti").select("key", "low"), "met")
+        centres = met.groupBy("key").agg(F.min("low").alias("c"), F.count("*").alias("_k")).filter(
+            "_k > 1").select("key", "c")
+        if centres.isEmpty():
             return _all(found, met)
-        checked = materialize(verify(
-            rays.select(F.col("c").alias("a"), F.col("low").alias("b")), sets), "checked")
-        found.append(checked.filter(linked(percent)).select("a", "b"))
-        state = materialize(rays.join(checked.select(
-            F.col("a").alias("c"), F.col("b").alias("low"), linked(percent).alias("on"),
-            (1 - F.col("same") / F.col("union")).alias("far")), ["c", "low"]), "rays")
-        near = state.filter(F.col("on")).select("key", F.col("low").alias("b"), F.col("far").alias("_b"))
-        open_ = state.filter(~F.col("on") & (F.col("far") <= 2 * limit + 1e-9)).select(
-            "key", F.col("low").alias("a"), F.col("far").alias("_a"))
-        shell = open_.join(near, "key").filter(
-            F.col("_b") >= F.col("_a") - limit - 1e-9).select("a", "b")
-        found.append(verify(shell, sets).filter(linked(percent)).select("a", "b"))
-        met = materialize(state.filter(~F.col("on")).select("key", "low"), "met")
-    rest = met.join(met.select("key", F.col("low").alias("b")), "key").filter("low < b").select(
-        F.col("low").alias("a"), "b")
-    found.append(verify(rest, sets).filter(linked(percent)).select("a", "b"))
+    rest = met.join(facts, "low")
+    found.append(compared(rest.join(other(rest, "key"), "key").filter("low < low_").filter(may_link(percent))))
     return _all(found, met)
 
 
@@ -320,8 +373,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
     gives none. Other columns are not used.
     """
     described = materialize(describe(docs, width, percent), "sets")
-    met = materialize(candidates(described, index_keys(docs, width, percent)), "met")
-    wanted = materialize(met.select("low").distinct(), "wanted")
+    met, centres = candidates(described, index_keys(docs, width, percent))
+    wanted = materialize(met.select("low").unionByName(
+        centres.select(F.col("c").alias("low"))).distinct(), "wanted")
     holders = materialize(described.join(wanted, "low").groupBy("low", "high").agg(
         F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "holders")
     some = docs.select("doc_id", "text").join(
@@ -329,7 +383,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
         F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
     sets = materialize(read_sets(some, width).join(wanted, "low", "left_semi").dropDuplicates(
         ["low"]), "members")
-    labels = connected_components(links_of(met, sets, percent))
+    labels = connected_components(links_of(met, centres, sets, percent))
     labels = materialize(labels.withColumnRenamed("node", "low"), "labels")
 
     classes = described.filter("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("_least"))
