@@ -483,6 +483,86 @@ rk as (select is_fraud, avg(i) over (partition by prob) as rank
 select round((sum(rank) filter (is_fraud = 1)
   - count(*) filter (is_fraud = 1) * (count(*) filter (is_fraud = 1) + 1) / 2)
  / count(*) filter (is_fraud = 1) / count(*) filter (is_fraud <> 1), 4) as auc_roc from rk"""
+    out["csv_log_round_trip"] = f"""
+select customer_id::varchar as customer_id, transaction_id::varchar as transaction_id, timestamp, amount,
+ merchant_category, device_id, location, failed_logins_24h::int as failed_logins_24h, is_fraud::int as is_fraud
+from ({HOT})"""
+    for name in ("feature_store_round_trip", "features_recomputed"):
+        out[name] = RAMP_F + (
+            f" select customer_id, transaction_id, {FEATURE_OUT}, is_fraud from f")
+    out["sequence_store_round_trip"] = RAMP_F + """
+select customer_id, transaction_id, 10 as steps, sum_v as velocity_sum, is_fraud as label from (
+ select *, sum(txn_velocity_1h::double) over (partition by customer_id order by timestamp, transaction_id
+  rows between 10 preceding and 1 preceding) as sum_v from f) where n >= 10"""
+    out["batch_csv_mixed_headers"] = f"""
+select transaction_id::varchar as transaction_id, customer_id, amount, merchant_category,
+ nullif(device_id, '') as device_id, location from ({BATCH})"""
+    unparsed = ("case when transaction_id % 7 = 0 then 'amount does not parse' end,"
+                " case when transaction_id % 11 = 0 then 'failed_logins_24h does not parse' end")
+    out["batch_unparsed_values"] = f"""
+with b as (select * replace (case when transaction_id % 7 = 0 then null else amount end as amount,
+  case when transaction_id % 11 = 0 then null else failed_logins_24h end as failed_logins_24h)
+ from ({BATCH})),
+v as (select transaction_id, concat_ws('; ',
+ case when customer_id is null then 'customer_id is missing' end,
+ case when amount is null then 'amount is missing' end,
+ case when amount <= 0 then 'amount must be positive' end,
+ case when failed_logins_24h < 0 then 'failed_logins_24h must not be negative' end, {unparsed})
+ as violations from b)
+select transaction_id::varchar as transaction_id, violations from v where violations <> ''"""
+    message = "input is missing required columns: "
+    out["missing_columns"] = " union all ".join(
+        f"select '{t}' as table_name, '{(message + m).replace(chr(39), chr(39) * 2)}' as message,"
+        f" count(*) as n_rows from {t}" for t, m in [
+            ("events", "['merchant_category']"), ("orders", "['amount', 'merchant_category']"),
+            ("customer", "['amount', 'customer_id', 'merchant_category']"),
+            ("lineitem", "['amount', 'customer_id', 'merchant_category']")])
+    out["models_round_trip"] = SCORED + """
+select transaction_id, round(prob * 100, 2) as fraud_probability from p"""
+    sums = ", ".join(f"round(sum({c}), 4) as sum_{c}" for c in F10)
+    out["background_stored"] = RISK + BG + f"""
+select (select count(*) from r) as n_rows, count(*)::int as n_background, {sums} from bg"""
+    versions = []
+    for version, share in (("first", 2), ("kept", 2), ("refreshed", 1)):
+        versions.append(f"""select '{version}' as version, * from (
+ with q as (select * from t where transaction_id % {share} = 0),
+ c as (select count(*) filter (is_fraud <> 1 and prob < 0.5) as tn,
+  count(*) filter (is_fraud <> 1 and prob >= 0.5) as fp,
+  count(*) filter (is_fraud = 1 and prob < 0.5) as fn,
+  count(*) filter (is_fraud = 1 and prob >= 0.5) as tp from q),
+ a as (select sum(case when x.prob > y.prob then 1.0::double when x.prob = y.prob then 0.5 else 0 end)
+  / count(*) as auc from q x, q y where x.is_fraud = 1 and y.is_fraud <> 1)
+ select 'transaction' as model,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) as f1_score,
+  round(auc, 4) as auc_roc, tn as true_negative, fp as false_positive, fn as false_negative,
+  tp as true_positive, tn + fp + fn + tp as test_set_size,
+  round((tp + fn) * 100 / (tn + fp + fn + tp), 3) as fraud_rate_pct, 0.5::double as threshold
+ from c, a)""")
+    out["metrics_refresh"] = SCORED + f""",
+t as (select transaction_id, {PROBABILITY} as prob, is_fraud from j, sc where is_test)
+""" + " union all ".join(versions)
+    out["history_from_nothing"] = f"""
+select customer_id::varchar as customer_id, count(*) as n_rows from ({HOT}) group by all"""
+    out["batch_default_time"] = violations() + """
+select transaction_id, transaction_id % 3 = 0 as is_now from v where vs = ''"""
+    out["generated_ids_of_requests"] = """
+select event_type as merchant_category, count(*) as n_rows, count(*) as n_ids, count(*) as n_again
+from events group by all"""
+    out["append_scored_twice"] = SCORED + f"""
+select transaction_id, customer_id,
+ case when transaction_id % 2 = 0 then timestamp else timestamp + interval 3 days end as timestamp,
+ round(prob * 100, 2) as fraud_probability, {LEVEL} as alert_level from p"""
+    out["customer_timeline_stored"] = SCORED + f"""
+select transaction_id, timestamp, risk_score, round(prob * 100, 2) as fraud_probability,
+ {LEVEL} as alert_level from p where customer_id = {TIMELINE_CUSTOMER}
+order by timestamp, transaction_id limit 100"""
+    out["conflicting_ids"] = f"""
+select transaction_id, 2::bigint as n_contents from ({RAMP}) where transaction_id % 5 = 0"""
+    out["stream_score_delayed"] = SCORED_SIM + f"""
+select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, similarity_pct,
+ {LEVEL} as alert_level, false as is_late from sim"""
     out["fraud_rings"] = rings(RAMP, 2)
     out["fraud_rings_min_k"] = rings(HOT, 70)
     out["fraud_rings_orders"] = rings(ORDERS, 2)

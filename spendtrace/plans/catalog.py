@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,9 @@ from spendtrace.operators import sequences as S
 from spendtrace.operators import validate as V
 from spendtrace.plans import reports, scoring
 from spendtrace.plans.training import Trained, train
-from spendtrace.session import apply_settings, materialize
+from spendtrace.session import apply_settings, materialize, new_folder
 from spendtrace.sources import fixtures as fx
+from spendtrace.sources import readers, writers
 from spendtrace.sources.readers import scored_as_json, transactions_json
 from spendtrace.streaming import replay
 
@@ -508,7 +511,225 @@ def stream_rings(spark, folder):
     return replay.rings(spark, folder)
 
 
+# --- tables written and read back through the real readers and writers ------------
+
+LOG_COLUMNS = ["customer_id", "transaction_id", "timestamp", "amount", "merchant_category",
+               "device_id", "location", "failed_logins_24h", "is_fraud"]
+
+
+def csv_log_round_trip(spark, folder):
+    """The log as a CSV file with its header, read with the schema of the log."""
+    log = fx.hot_log(spark, folder)
+    path = new_folder(spark, "log-csv")
+    log.select(*[
+        (F.lit(0) if c not in log.columns else F.col(c)).alias(c) for c in C.TRANSACTION_SCHEMA.names
+    ]).write.option("header", True).option(
+        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    return readers.transactions_csv(spark, path).select(
+        *[F.col(c).cast("timestamp_ntz") if c == "timestamp" else F.col(c) for c in LOG_COLUMNS])
+
+
+def feature_store_round_trip(spark, folder):
+    """The feature table written in customer order and read back."""
+    path = new_folder(spark, "feature-store")
+    writers.write_features(feature_table(spark, folder), path)
+    return _rounded(readers.transactions_parquet(spark, path).select(
+        "customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+        ["amount_zscore", "amount_pct_of_avg"])
+
+
+def sequence_store_round_trip(spark, folder):
+    """Windows, labels and keys in one stored table."""
+    path = new_folder(spark, "sequence-store")
+    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    writers.write_sequences(S.sequences(history), path)
+    return spark.read.parquet(path).select(
+        "customer_id", "transaction_id", F.size("seq").alias("steps"),
+        F.round(F.aggregate("seq", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(7))), 6)
+        .alias("velocity_sum"), "label")
+
+
+def _as_text(batch):
+    return batch.select(*[F.col(c).cast("string").alias(c) for c in batch.columns])
+
+
+def batch_csv_mixed_headers(spark, folder):
+    """Files of one folder whose headers differ in order and in optional columns."""
+    batch = _as_text(fx.dirty_batch(spark, folder).select(
+        "customer_id", "amount", "merchant_category", "device_id", "location", "transaction_id"))
+    path = new_folder(spark, "batch-csv")
+    even = F.col("transaction_id") % 2 == 0
+    orders = [batch.filter(even), batch.filter(~even).select(
+        "location", "transaction_id", "device_id", "customer_id", "merchant_category", "amount"),
+        batch.filter(even).select("merchant_category", "amount", "customer_id").limit(0)]
+    for part in orders:
+        part.write.mode("append").option("header", True).csv(path)
+    rows = readers.well_formed(readers.batch_csv(spark, path))
+    return rows.select("transaction_id", "customer_id", F.col("amount").cast("double").alias("amount"),
+                       "merchant_category", F.nullif("device_id", F.lit("")).alias("device_id"),
+                       "location")
+
+
+def batch_unparsed_values(spark, folder):
+    """Values of an uploaded file that do not parse, beside the rules that rows break."""
+    batch = fx.dirty_batch(spark, folder)
+    odd = F.col("transaction_id") % 7 == 0
+    text = _as_text(batch.drop("timestamp")).withColumn(
+        "amount", F.when(odd, "ten").otherwise(F.col("amount"))).withColumn(
+        "failed_logins_24h", F.when(F.col("transaction_id") % 11 == 0, "many").otherwise(
+            F.col("failed_logins_24h")))
+    path = new_folder(spark, "batch-csv")
+    text.write.option("header", True).csv(path)
+    rows = V.with_violations(readers.well_formed(readers.batch_csv(spark, path)))
+    return rows.filter(F.size("violations") > 0).select(
+        "transaction_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def missing_columns(spark, folder):
+    """Required batch columns that each table lacks, with the rows that would be refused."""
+    parts = []
+    for name in ("events", "orders", "customer", "lineitem"):
+        rows = fx.table(spark, folder, name).withColumnsRenamed(
+            {"user_id": "customer_id", "o_custkey": "customer_id", "value": "amount"})
+        try:
+            V.check_columns(rows.columns)
+            message = ""
+        except ValueError as error:
+            message = str(error)
+        parts.append(rows.agg(F.lit(name).alias("table_name"), F.lit(message).alias("message"),
+                              F.count("*").alias("n_rows")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def features_recomputed(spark, folder):
+    """Features of a table that has them already: the columns are replaced."""
+    wrong = feature_table(spark, folder).withColumns(
+        {c: F.lit(-1) for c in C.FEATURES if c != "failed_logins_24h"})
+    return _rounded(FT.point_features(wrong, fx.ramp_home()).select(
+        "customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
+        ["amount_zscore", "amount_pct_of_avg"])
+
+
+def models_round_trip(spark, folder):
+    """Both models with scaler and background stored, loaded and used for scoring."""
+    path = new_folder(spark, "models")
+    writers.save_models(spark, fixed_models(spark, folder), path)
+    loaded = writers.load_models(spark, path)
+    return feature_table(spark, folder).select(
+        "transaction_id",
+        F.round(loaded.transaction.served_probability() * 100, 2).alias("fraud_probability"))
+
+
+def background_stored(spark, folder):
+    """The background rows as they are in a stored model."""
+    path = new_folder(spark, "models")
+    writers.save_models(spark, fixed_models(spark, folder), path)
+    rows = writers.load_models(spark, path).background
+    numbers = F.from_json(F.lit(json.dumps([list(map(float, r)) for r in rows])), "array<array<double>>")
+    return feature_table(spark, folder).agg(F.count("*").alias("n_rows")).select(
+        "n_rows", F.size(numbers).alias("n_background"),
+        *[F.round(F.aggregate(F.transform(numbers, _at(i)), F.lit(0.0), lambda a, v: a + v), 4)
+          .alias(f"sum_{c}") for i, c in enumerate(C.MODEL_INPUTS)])
+
+
+def _at(i):
+    return lambda row: F.get(row, F.lit(i))
+
+
+def metrics_refresh(spark, folder):
+    """Stored metrics stay until a refresh: computed on a part, kept, then refreshed."""
+    path = new_folder(spark, "metrics")
+
+    def compute(share):
+        rows = _test_scores(spark, folder).filter(F.pmod("transaction_id", F.lit(share)) == 0)
+        return lambda: E.metrics(rows, "probability", "is_fraud", "transaction")
+
+    first = reports.stored_metrics(spark, path, compute(2)).withColumn("version", F.lit("first"))
+    first = materialize(first, "metrics")
+    kept = reports.stored_metrics(spark, path, compute(1)).withColumn("version", F.lit("kept"))
+    kept = materialize(kept, "metrics")
+    fresh = reports.stored_metrics(spark, path, compute(1), refresh=True).withColumn(
+        "version", F.lit("refreshed"))
+    return first.unionByName(kept).unionByName(fresh).select(
+        "version", "model", "precision", "recall", "f1_score", "auc_roc", "confusion_matrix.*",
+        "test_set_size", "fraud_rate_pct", "threshold")
+
+
+def history_from_nothing(spark, folder):
+    """A first batch against a history that has not been stored yet."""
+    empty = readers.stored_history(spark, new_folder(spark, "no-history"))
+    batch = fx.hot_log(spark, folder).select(
+        *[F.col(c).cast("string") if c in ("customer_id", "transaction_id") else F.col(c)
+          for c in LOG_COLUMNS])
+    return empty.select(*LOG_COLUMNS).unionByName(
+        batch.withColumn("timestamp", F.col("timestamp").cast("timestamp"))).groupBy(
+        "customer_id").agg(F.count("*").alias("n_rows"))
+
+
+def batch_default_time(spark, folder):
+    """Rows without a time are placed at the time of the run."""
+    batch = fx.dirty_batch(spark, folder)
+    gone = batch.withColumn("timestamp", F.when(
+        F.col("transaction_id") % 3 > 0, F.col("timestamp").cast("timestamp")))
+    filled = V.with_defaults(V.check_rows(gone).valid)
+    recent = F.col("timestamp") > F.current_timestamp() - F.expr("interval 1 day")
+    return filled.select("transaction_id", recent.alias("is_now"))
+
+
+def generated_ids_of_requests(spark, folder):
+    """Equal rows without an id and a time get ids of their own, the same in every run."""
+    requests = fx.dirty_batch(spark, folder).select(
+        F.lit("C1").alias("customer_id"), F.lit(10.0).alias("amount"), "merchant_category")
+
+    def ids():
+        return V.with_defaults(V.check_rows(requests).valid).select("transaction_id", "merchant_category")
+
+    again = ids().select("transaction_id").distinct().withColumn("again", F.lit(1))
+    return ids().join(again, "transaction_id", "left").groupBy("merchant_category").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("transaction_id").alias("n_ids"),
+        F.sum("again").alias("n_again"))
+
+
+def append_scored_twice(spark, folder):
+    """A scored store that gets every row again, on another date, beside rows sent twice."""
+    path = new_folder(spark, "scored-store")
+    rows = scored_table(spark, folder).select(*C.SCORED_COLUMNS)
+    early = F.col("transaction_id") % 2 == 0
+    writers.append_scored(rows.filter(early).unionByName(rows.filter(early)), path)
+    later = rows.withColumn("timestamp", F.col("timestamp") + F.expr("interval 3 days"))
+    writers.append_scored(later.unionByName(later.filter(~early)), path)
+    return writers.read_scored(spark, path).select(
+        "transaction_id", "customer_id", "timestamp", "fraud_probability", "alert_level")
+
+
+def customer_timeline_stored(spark, folder):
+    """A customer's timeline from the store, which reads that customer's bucket only."""
+    path = new_folder(spark, "scored-store")
+    writers.append_scored(scored_table(spark, folder), path)
+    return reports.customer_timeline(
+        writers.scored_of_customer(spark, path, TIMELINE_CUSTOMER), TIMELINE_CUSTOMER)
+
+
+def conflicting_ids(spark, folder):
+    """Ids that a batch brings with different content."""
+    rows = scored_table(spark, folder).select(*C.SCORED_COLUMNS)
+    other = rows.filter(F.col("transaction_id") % 5 == 0).withColumn("amount", F.col("amount") + 1)
+    return writers.conflicting_ids(rows.unionByName(rows).unionByName(other))
+
+
+def stream_score_delayed(spark, folder):
+    """Shuffled arrivals over several micro-batches, taken in event order within a delay."""
+    return replay.scored_in_order(spark, folder, fixed_models(spark, folder)).select(
+        "transaction_id", "risk_score", "fraud_probability", "similarity_pct", "alert_level",
+        "is_late")
+
+
 QUERIES: list[Query] = [
+    csv_log_round_trip, feature_store_round_trip, sequence_store_round_trip,
+    batch_csv_mixed_headers, batch_unparsed_values, missing_columns, features_recomputed,
+    models_round_trip, background_stored, metrics_refresh, history_from_nothing,
+    batch_default_time, generated_ids_of_requests, append_scored_twice,
+    customer_timeline_stored, conflicting_ids, stream_score_delayed,
     txn_canonical, contract_violations, violation_counts, batch_defaults, generated_ids,
     sequential_ids, new_device_flags, new_location_flags, feat_amount_zscore,
     feat_amount_pct, feat_hour_unusual, feat_category_unusual, feat_foreign_location,

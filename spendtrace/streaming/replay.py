@@ -19,12 +19,14 @@ from spendtrace.streaming import sinks
 from spendtrace.streaming.behaviour import score_stream
 
 SLICES = 3
-SLICE_DAYS = 10
 
 
 def _arrivals(log: DataFrame, folder: str) -> Iterator[int]:
-    """Write the log to `folder` slice by slice, by day of the month."""
-    part = F.least(F.floor((F.dayofmonth("timestamp") - 1) / SLICE_DAYS), F.lit(SLICES - 1))
+    """Write the log to `folder` in slices of equal spans of time."""
+    seconds = F.unix_seconds(F.col("timestamp").cast("timestamp"))
+    ends = log.agg(F.min(seconds).alias("first"), F.max(seconds).alias("last")).first()
+    span = (ends["last"] - ends["first"]) / SLICES + 1
+    part = F.floor((seconds - ends["first"]) / span)
     for i in range(SLICES):
         log.filter(part == i).write.mode("append").parquet(folder)
         yield i
@@ -62,6 +64,32 @@ def scored(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
     return spark.read.parquet(_scored_folder(spark, sf_dir, models))
 
 
+def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
+                    parts: int = 4) -> DataFrame:
+    """The log in shuffled files, one per micro-batch, scored in event order.
+
+    The delay covers the whole log; a last file far in the future moves the
+    watermark past every row.
+    """
+    log = fx.ramp_log(spark, sf_dir)
+    log = materialize(log.withColumn("timestamp", F.col("timestamp").cast("timestamp")), "log")
+    folder, out, checkpoint = (new_folder(spark, n) for n in ("arrivals", "scored", "stream"))
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(parts))
+    for i in range(parts):
+        log.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    end = log.limit(1).withColumns({
+        "timestamp": F.col("timestamp") + F.expr("interval 4000 days"),
+        "transaction_id": F.lit(-1).cast("bigint"), "customer_id": F.lit(-1).cast("bigint")})
+    end.coalesce(1).write.mode("append").parquet(folder)
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+              .parquet(folder))
+    with _state_partitions(spark):
+        scored = score_stream(stream, models, fx.ramp_home(), with_reasons=False, delay="400 days")
+        (scored.writeStream.option("checkpointLocation", checkpoint).option("path", out)
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out).filter(F.col("customer_id") >= 0)
+
+
 def alert_counts(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
     folder = _scored_folder(spark, sf_dir, models)
     out, checkpoint = new_folder(spark, "alerts"), new_folder(spark, "stream")
