@@ -166,9 +166,9 @@ def _without_features(rows: DataFrame) -> DataFrame:
 
 
 def point_features(log: DataFrame, is_home: Column | None = None,
-                   max_rows: int | None = None) -> DataFrame:
+                   max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
     """Transaction log plus the nine feature columns."""
-    history = log_history(log, max_rows)
+    history = log_history(log, max_rows, large)
     return add_point_features(history, is_home).rows().drop("_t", "n_prior")
 
 

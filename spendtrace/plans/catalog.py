@@ -65,10 +65,26 @@ def forget_tables() -> None:
     _kept.tables.clear()
 
 
+def _ramp(spark: SparkSession, folder: str) -> tuple[DataFrame, H.LargeKeys]:
+    """The ramp log and the one check of its customers' sizes."""
+    large = _keep(spark, folder, "ramp sizes", lambda: fx.ramp_sizes(spark, folder))
+    return fx.ramp_log(spark, folder, large=large), large
+
+
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """Ramp log with features, n_prior and the fixed stage-1 risk score."""
-    return _keep(spark, folder, "features", lambda: materialize(scoring.with_risk(
-        fx.ramp_log(spark, folder), L.fixed_trajectory_model(), fx.ramp_home()), "features"))
+    def build():
+        log, large = _ramp(spark, folder)
+        return materialize(scoring.with_risk(
+            log, L.fixed_trajectory_model(), fx.ramp_home(), large=large), "features")
+    return _keep(spark, folder, "features", build)
+
+
+def _scored(spark: SparkSession, folder: str, with_reasons: bool) -> DataFrame:
+    """The ramp log scored with the fixed models, from its feature table."""
+    models, large = fixed_models(spark, folder), _ramp(spark, folder)[1]
+    return scoring.score_features(
+        feature_table(spark, folder), models, large, with_reasons=with_reasons)
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,8 +104,8 @@ def fixed_models(spark: SparkSession, folder: str) -> L.RiskModels:
 
 def scored_table(spark: SparkSession, folder: str) -> DataFrame:
     """The whole ramp log scored with the fixed models, with reasons."""
-    return _keep(spark, folder, "scored", lambda: materialize(scoring.score_log(
-        fx.ramp_log(spark, folder), fixed_models(spark, folder), fx.ramp_home()), "scored"))
+    return _keep(spark, folder, "scored", lambda: materialize(
+        _scored(spark, folder, True), "scored"))
 
 
 def trained(spark: SparkSession, folder: str) -> Trained:
@@ -170,7 +186,8 @@ def new_location_flags(spark, folder):
 
 
 def _ramp_features(spark, folder):
-    return FT.point_features(fx.ramp_log(spark, folder), fx.ramp_home())
+    log, large = _ramp(spark, folder)
+    return FT.point_features(log, fx.ramp_home(), large=large)
 
 
 def feat_amount_zscore(spark, folder):
@@ -277,7 +294,8 @@ def dataset_size(spark, folder):
 
 
 def sequences_long(spark, folder):
-    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    log, large = _ramp(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
     return _rounded(S.long_form(S.sequences(history)), ["amount_zscore", "amount_pct_of_avg"])
 
 
@@ -311,7 +329,8 @@ def profile_prefix(spark, folder):
 
 
 def similarity(spark, folder):
-    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    log, large = _ramp(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
     return P.add_similarity(P.add_profile(history.settled()).rows(), digits=6).select(
         "transaction_id", "similarity_pct", "deviation_pct", "avg_z_deviation")
 
@@ -326,7 +345,8 @@ def scaler_stats(spark, folder):
 
 
 def seq_scaler_stats(spark, folder):
-    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    log, large = _ramp(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
     train_windows = L.add_split(S.sequences(history)).filter("not is_test")
     return _rounded(L.sequence_scaler_stats(train_windows), ["mean", "std"])
 
@@ -350,8 +370,9 @@ def normalised_clipped(spark, folder):
 
 
 def risk_scores_fixed(spark, folder):
+    log, large = _ramp(spark, folder)
     return scoring.with_risk(
-        fx.ramp_log(spark, folder), L.fixed_trajectory_model(), fx.ramp_home()).select(
+        log, L.fixed_trajectory_model(), fx.ramp_home(), large=large).select(
             "transaction_id", "risk_score")
 
 
@@ -443,7 +464,7 @@ def customer_timeline(spark, folder):
 
 
 def _batch_scored(spark, folder):
-    log = fx.ramp_log(spark, folder)
+    log, _ = _ramp(spark, folder)
     cut = F.to_timestamp_ntz(F.lit(BATCH_CUT))
     stored = log.filter(F.col("timestamp") < cut)
     batch = log.filter(F.col("timestamp") >= cut).drop("is_fraud")
@@ -462,8 +483,7 @@ def batch_score_summary(spark, folder):
 
 
 def scored_log(spark, folder):
-    return scoring.score_log(fx.ramp_log(spark, folder), fixed_models(spark, folder),
-                             fx.ramp_home(), with_reasons=False)
+    return _scored(spark, folder, False)
 
 
 def report_rows(spark, folder):
@@ -541,7 +561,8 @@ def feature_store_round_trip(spark, folder):
 def sequence_store_round_trip(spark, folder):
     """Windows, labels and keys in one stored table."""
     path = new_folder(spark, "sequence-store")
-    history = FT.add_point_features(FT.log_history(fx.ramp_log(spark, folder)), fx.ramp_home())
+    log, large = _ramp(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
     writers.write_sequences(S.sequences(history), path)
     return spark.read.parquet(path).select(
         "customer_id", "transaction_id", F.size("seq").alias("steps"),

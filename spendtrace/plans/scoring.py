@@ -9,7 +9,9 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import alert_level
 from spendtrace.operators.explain import add_probability_contributions, top_reasons
 from spendtrace.operators.features import add_point_features, log_history
-from spendtrace.operators.history import History, LargeKeys, find_large, semi_join
+from spendtrace.operators.history import (
+    History, LargeKeys, find_large, semi_join, split_history,
+)
 from spendtrace.operators.learn import RiskModels, TrajectoryModel
 from spendtrace.operators.profile import add_profile, add_similarity
 from spendtrace.operators.sequences import add_steps
@@ -23,11 +25,13 @@ def behaviour(log: DataFrame, is_home: Column | None = None, max_rows: int | Non
 
 
 def with_risk(log: DataFrame, model: TrajectoryModel, is_home: Column | None = None,
-              max_rows: int | None = None) -> DataFrame:
-    """Log plus features, n_prior and the trajectory risk_score of each row."""
-    history = add_steps(add_point_features(log_history(log, max_rows), is_home).settled())
-    return (history.rows().withColumn("risk_score", model.risk_score(F.col("steps")))
-            .drop("steps", "_t"))
+              max_rows: int | None = None, large: LargeKeys | None = None) -> DataFrame:
+    """Log plus features, n_prior and the trajectory risk_score of each row.
+
+    `_t`, the event time in microseconds, stays: `score_features` orders by it.
+    """
+    history = add_steps(add_point_features(log_history(log, max_rows, large), is_home).settled())
+    return history.rows().withColumn("risk_score", model.risk_score(F.col("steps"))).drop("steps")
 
 
 def hand_off(rows: DataFrame) -> DataFrame:
@@ -58,6 +62,14 @@ def score_behaviour(rows: DataFrame, models: RiskModels, with_reasons: bool = Tr
     return scored.select(*columns)
 
 
+def score_features(features: DataFrame, models: RiskModels, large: LargeKeys | None = None,
+                   max_rows: int | None = None, with_reasons: bool = True) -> DataFrame:
+    """Scores from a stored table of `with_risk`, whose features are not built again."""
+    history = split_history(features, order=("_t", "transaction_id"), max_rows=max_rows,
+                            large=large)
+    return score_behaviour(add_steps(add_profile(history)).rows(), models, with_reasons)
+
+
 def score_log(log: DataFrame, models: RiskModels, is_home: Column | None = None,
               max_rows: int | None = None, with_reasons: bool = True) -> DataFrame:
     """Every row of a log, scored as it would have been on arrival."""

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtrace.operators.history import History, positions, split_history
+from spendtrace.operators.history import (
+    History, LargeKeys, find_large, positions, split_history,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,10 +41,16 @@ def _with_totals(history: History) -> History:
     return history.derive(whole, cut)
 
 
-def ramp_log(spark: SparkSession, folder: str, max_rows: int | None = None) -> DataFrame:
+def ramp_sizes(spark: SparkSession, folder: str, max_rows: int | None = None) -> LargeKeys:
+    """The check of customer sizes that the ramp log and all that is built on it share."""
+    return find_large(_events(spark, folder), "customer_id", max_rows)
+
+
+def ramp_log(spark: SparkSession, folder: str, max_rows: int | None = None,
+             large: LargeKeys | None = None) -> DataFrame:
     """Events in which every eighth customer has a ramp of eight fraud rows in mid-history."""
     history = _with_totals(positions(
-        split_history(_events(spark, folder), max_rows=max_rows), "n"))
+        split_history(_events(spark, folder), max_rows=max_rows, large=large), "n"))
     half = F.floor(F.col("cnt") / 2).cast("int")
     rows = history.rows().withColumn("pos", F.col("n") - half)
     ramp = (F.col("customer_id") % 8 == 0) & F.col("pos").between(0, 7)
