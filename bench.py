@@ -13,7 +13,7 @@ import os
 import sys
 import time
 
-from spendtrace.plans import catalog
+from checks import catalog
 from spendtrace.session import drop_intermediate, local_session
 
 HEADLINE = [

@@ -26,10 +26,10 @@ from spendtrace.operators import validate as V
 from spendtrace.plans import reports, scoring
 from spendtrace.plans.training import Trained, train
 from spendtrace.session import apply_settings, materialize, new_folder
-from spendtrace.sources import fixtures as fx
+from checks import fixtures as fx
 from spendtrace.sources import readers, writers
 from spendtrace.sources.readers import scored_as_json, transactions_json
-from spendtrace.streaming import replay
+from checks import replay
 
 BATCH_CUT = "2024-01-25 00:00:00"
 TIMELINE_CUSTOMER = 8
@@ -65,24 +65,24 @@ def forget_tables() -> None:
     _kept.tables.clear()
 
 
-def _ramp(spark: SparkSession, folder: str) -> tuple[DataFrame, H.LargeKeys]:
-    """The ramp log and the one check of its customers' sizes."""
-    large = _keep(spark, folder, "ramp sizes", lambda: fx.ramp_sizes(spark, folder))
-    return fx.ramp_log(spark, folder, large=large), large
+def _episodes(spark: SparkSession, folder: str) -> tuple[DataFrame, H.LargeKeys]:
+    """The episode log and the one check of its customers' sizes."""
+    log = fx.episode_log(spark, folder)
+    return log, _keep(spark, folder, "episode sizes", lambda: H.find_large(log, "customer_id"))
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Ramp log with features, n_prior and the fixed stage-1 risk score."""
+    """Episode log with features, n_prior and the fixed stage-1 risk score."""
     def build():
-        log, large = _ramp(spark, folder)
+        log, large = _episodes(spark, folder)
         return materialize(scoring.with_risk(
-            log, L.fixed_trajectory_model(), fx.ramp_home(), large=large), "features")
+            log, L.fixed_trajectory_model(), fx.episode_home(), large=large), "features")
     return _keep(spark, folder, "features", build)
 
 
 def _scored(spark: SparkSession, folder: str, with_reasons: bool) -> DataFrame:
-    """The ramp log scored with the fixed models, from its feature table."""
-    models, large = fixed_models(spark, folder), _ramp(spark, folder)[1]
+    """The episode log scored with the fixed models, from its feature table."""
+    models, large = fixed_models(spark, folder), _episodes(spark, folder)[1]
     return scoring.score_features(
         feature_table(spark, folder), models, large, with_reasons=with_reasons)
 
@@ -103,14 +103,14 @@ def fixed_models(spark: SparkSession, folder: str) -> L.RiskModels:
 
 
 def scored_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole ramp log scored with the fixed models, with reasons."""
+    """The whole episode log scored with the fixed models, with reasons."""
     return _keep(spark, folder, "scored", lambda: materialize(
         _scored(spark, folder, True), "scored"))
 
 
 def trained(spark: SparkSession, folder: str) -> Trained:
     return _keep(spark, folder, "trained", lambda: train(
-        fx.ramp_log(spark, folder), fx.ramp_home()))
+        fx.episode_log(spark, folder), fx.episode_home()))
 
 
 def _test_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +133,7 @@ def _rounded(rows: DataFrame, columns, digits: int = 6) -> DataFrame:
 
 def txn_canonical(spark, folder):
     text = F.col("timestamp").cast("string")
-    return fx.ramp_log(spark, folder).select(
+    return fx.episode_log(spark, folder).select(
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("transaction_id").cast("string").alias("transaction_id"),
         F.to_timestamp_ntz(text).alias("timestamp"), "amount", "merchant_category",
@@ -160,7 +160,7 @@ def batch_defaults(spark, folder):
 
 def generated_ids(spark, folder):
     key = [F.col(c) for c in ("customer_id", "transaction_id", "merchant_category")]
-    return fx.ramp_log(spark, folder).select(
+    return fx.episode_log(spark, folder).select(
         "transaction_id", generated_transaction_id(*key).alias("generated_id"))
 
 
@@ -185,27 +185,27 @@ def new_location_flags(spark, folder):
         "transaction_id", "is_new_location")
 
 
-def _ramp_features(spark, folder):
-    log, large = _ramp(spark, folder)
-    return FT.point_features(log, fx.ramp_home(), large=large)
+def _episode_features(spark, folder):
+    log, large = _episodes(spark, folder)
+    return FT.point_features(log, fx.episode_home(), large=large)
 
 
 def feat_amount_zscore(spark, folder):
-    return _rounded(_ramp_features(spark, folder).select(
+    return _rounded(_episode_features(spark, folder).select(
         "transaction_id", "amount_zscore"), ["amount_zscore"])
 
 
 def feat_amount_pct(spark, folder):
-    return _rounded(_ramp_features(spark, folder).select(
+    return _rounded(_episode_features(spark, folder).select(
         "transaction_id", "amount_pct_of_avg"), ["amount_pct_of_avg"])
 
 
 def feat_hour_unusual(spark, folder):
-    return _ramp_features(spark, folder).select("transaction_id", "hour_is_unusual")
+    return _episode_features(spark, folder).select("transaction_id", "hour_is_unusual")
 
 
 def feat_category_unusual(spark, folder):
-    return _ramp_features(spark, folder).select("transaction_id", "category_is_unusual")
+    return _episode_features(spark, folder).select("transaction_id", "category_is_unusual")
 
 
 def feat_foreign_location(spark, folder):
@@ -214,7 +214,7 @@ def feat_foreign_location(spark, folder):
 
 
 def feat_velocity_1h(spark, folder):
-    return _ramp_features(spark, folder).select("transaction_id", "txn_velocity_1h")
+    return _episode_features(spark, folder).select("transaction_id", "txn_velocity_1h")
 
 
 def feat_velocity_1h_ties(spark, folder):
@@ -229,7 +229,7 @@ def failed_logins_24h_derived(spark, folder):
 
 
 def point_features(spark, folder):
-    return _rounded(_ramp_features(spark, folder).select(
+    return _rounded(_episode_features(spark, folder).select(
         "customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
         ["amount_zscore", "amount_pct_of_avg"])
 
@@ -290,12 +290,12 @@ def feature_summary(spark, folder):
 
 
 def dataset_size(spark, folder):
-    return E.dataset_size(fx.ramp_log(spark, folder))
+    return E.dataset_size(fx.episode_log(spark, folder))
 
 
 def sequences_long(spark, folder):
-    log, large = _ramp(spark, folder)
-    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
+    log, large = _episodes(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.episode_home())
     return _rounded(S.long_form(S.sequences(history)), ["amount_zscore", "amount_pct_of_avg"])
 
 
@@ -329,8 +329,8 @@ def profile_prefix(spark, folder):
 
 
 def similarity(spark, folder):
-    log, large = _ramp(spark, folder)
-    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
+    log, large = _episodes(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.episode_home())
     return P.add_similarity(P.add_profile(history.settled()).rows(), digits=6).select(
         "transaction_id", "similarity_pct", "deviation_pct", "avg_z_deviation")
 
@@ -345,8 +345,8 @@ def scaler_stats(spark, folder):
 
 
 def seq_scaler_stats(spark, folder):
-    log, large = _ramp(spark, folder)
-    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
+    log, large = _episodes(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.episode_home())
     train_windows = L.add_split(S.sequences(history)).filter("not is_test")
     return _rounded(L.sequence_scaler_stats(train_windows), ["mean", "std"])
 
@@ -370,9 +370,9 @@ def normalised_clipped(spark, folder):
 
 
 def risk_scores_fixed(spark, folder):
-    log, large = _ramp(spark, folder)
+    log, large = _episodes(spark, folder)
     return scoring.with_risk(
-        log, L.fixed_trajectory_model(), fx.ramp_home(), large=large).select(
+        log, L.fixed_trajectory_model(), fx.episode_home(), large=large).select(
             "transaction_id", "risk_score")
 
 
@@ -440,7 +440,7 @@ def auc_roc(spark, folder):
 
 
 def fraud_rings(spark, folder):
-    return R.rings(fx.ramp_log(spark, folder))
+    return R.rings(fx.episode_log(spark, folder))
 
 
 def fraud_rings_min_k(spark, folder):
@@ -464,11 +464,11 @@ def customer_timeline(spark, folder):
 
 
 def _batch_scored(spark, folder):
-    log, _ = _ramp(spark, folder)
+    log, _ = _episodes(spark, folder)
     cut = F.to_timestamp_ntz(F.lit(BATCH_CUT))
     stored = log.filter(F.col("timestamp") < cut)
     batch = log.filter(F.col("timestamp") >= cut).drop("is_fraud")
-    return scoring.score_batch(stored, batch, fixed_models(spark, folder), fx.ramp_home(),
+    return scoring.score_batch(stored, batch, fixed_models(spark, folder), fx.episode_home(),
                                with_reasons=False)
 
 
@@ -514,8 +514,25 @@ def trained_metrics(spark, folder):
 
 def trained_scores(spark, folder):
     """The whole log scored and explained with the trained models."""
-    return scoring.score_log(fx.ramp_log(spark, folder), trained(spark, folder).models,
-                             fx.ramp_home())
+    return scoring.score_log(fx.episode_log(spark, folder), trained(spark, folder).models,
+                             fx.episode_home())
+
+
+def trained_optimum(spark, folder):
+    """Whether each coefficient of the fitted transaction model is at its optimum."""
+    fitted = trained(spark, folder)
+    rows = fitted.table.filter("not is_test")
+    return L.stationarity(rows, fitted.models.transaction).select(
+        "position", "input", (F.col("gradient") < 1e-3).alias("at_optimum")).join(
+        rows.agg(F.count("*").alias("n_rows")))
+
+
+def trained_held_out(spark, folder):
+    """Size, labels and fraud rate of the held-out rows, and whether the models rank them well."""
+    return trained(spark, folder).metrics().select(
+        "model", "test_set_size", "fraud_rate_pct", "threshold",
+        (F.col("confusion_matrix.false_negative") + F.col("confusion_matrix.true_positive"))
+        .alias("n_fraud"), (F.col("auc_roc") > 0.7).alias("ranks_well"))
 
 
 def stream_score(spark, folder):
@@ -561,8 +578,8 @@ def feature_store_round_trip(spark, folder):
 def sequence_store_round_trip(spark, folder):
     """Windows, labels and keys in one stored table."""
     path = new_folder(spark, "sequence-store")
-    log, large = _ramp(spark, folder)
-    history = FT.add_point_features(FT.log_history(log, large=large), fx.ramp_home())
+    log, large = _episodes(spark, folder)
+    history = FT.add_point_features(FT.log_history(log, large=large), fx.episode_home())
     writers.write_sequences(S.sequences(history), path)
     return spark.read.parquet(path).select(
         "customer_id", "transaction_id", F.size("seq").alias("steps"),
@@ -626,7 +643,7 @@ def features_recomputed(spark, folder):
     """Features of a table that has them already: the columns are replaced."""
     wrong = feature_table(spark, folder).withColumns(
         {c: F.lit(-1) for c in C.FEATURES if c != "failed_logins_24h"})
-    return _rounded(FT.point_features(wrong, fx.ramp_home()).select(
+    return _rounded(FT.point_features(wrong, fx.episode_home()).select(
         "customer_id", "transaction_id", *C.FEATURES, "is_fraud"),
         ["amount_zscore", "amount_pct_of_avg"])
 
@@ -765,7 +782,7 @@ QUERIES: list[Query] = [
     logit_contributions, probability_contributions, reasons_topk, reasons_display,
     confusion, prf1, auc_roc, fraud_rings, fraud_rings_min_k, fraud_rings_orders,
     fraud_rings_in_parts, ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
-    scored_log, report_rows, json_requests, scored_json, trained_metrics, trained_scores,
+    scored_log, report_rows, json_requests, scored_json, trained_optimum, trained_held_out, trained_metrics, trained_scores,
     stream_score, stream_alert_counts, stream_rings,
 ]
 

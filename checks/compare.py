@@ -12,7 +12,7 @@ import duckdb
 import pandas as pd
 
 from checks.duckdb_sql import all_sql
-from spendtrace.plans.catalog import all_queries
+from checks.catalog import all_queries
 from spendtrace.session import drop_intermediate, local_session
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "

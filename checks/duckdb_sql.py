@@ -4,33 +4,26 @@ from __future__ import annotations
 
 from spendtrace import contract as C
 from spendtrace.operators import learn as L
-from spendtrace.plans.catalog import BATCH_CUT, TIMELINE_CUSTOMER
+from checks.catalog import BATCH_CUT, TIMELINE_CUSTOMER
 
 F9 = C.FEATURES
 F10 = C.MODEL_INPUTS
 
 K = "cast(json_extract_string(props,'$.k') as int)"
 
-RAMP = """
- select customer_id, event_id as transaction_id, ts as timestamp,
-  case when ramp then round(floor(ua) * (3 + 5 * sev), 2) else value end as amount,
+EPISODES = f"""
+ select user_id as customer_id, event_id as transaction_id, ts as timestamp,
+  case when marked then round(value * (k + 50) / 25, 2) else value end as amount,
   event_type as merchant_category,
-  case when ramp and k < 80 then 'DEV_UNKNOWN_' || cast(1000 + event_id % 20 as varchar)
-   else 'DEV_' || cast(customer_id as varchar) || case when k < 85 then '_A' else '_B' end
+  case when marked and k < 80 then 'SHARED_' || cast(event_id % 20 as varchar)
+   else 'DEV_' || cast(user_id as varchar) || case when k < 85 then '_A' else '_B' end
    end as device_id,
-  case when ramp and k % 2 = 0 then 'FOREIGN_' || cast(k % 5 as varchar)
-   else 'CITY_' || cast(customer_id % 10 as varchar) end as location,
-  cast(case when ramp then 2 + floor(4 * sev) when k % 10 = 0 then 1 else 0 end as int)
+  case when marked and k % 2 = 0 then 'ABROAD_' || cast(k % 5 as varchar)
+   else 'CITY_' || cast(user_id % 10 as varchar) end as location,
+  cast(case when marked then 2 + k % 4 when k % 10 = 0 then 1 else 0 end as int)
    as failed_logins_24h,
-  case when ramp then 1 else 0 end as is_fraud
- from (select *, case when pos < 4 then 0.15::double + 0.25::double * pos / 3
-   else 0.7::double + 0.3::double * (pos - 4) / 3 end as sev
-  from (select *, n - (cnt//2) as pos,
-    (customer_id % 8 = 0 and n >= (cnt//2) and n < (cnt//2) + 8) as ramp
-   from (select event_id, user_id as customer_id, ts, value, event_type, """ + K + """ as k,
-     row_number() over (partition by user_id order by ts, event_id) - 1 as n,
-     count(*) over (partition by user_id) as cnt,
-     avg(value) over (partition by user_id) as ua from events)))
+  case when marked then 1 else 0 end as is_fraud
+ from (select *, {K} as k, user_id % 8 = 0 and day(ts) between 14 and 17 as marked from events)
 """
 
 HOT = f"""
@@ -76,7 +69,7 @@ BATCH = f"""
  from events
 """
 
-RAMP_HOME = "location like 'CITY_%'"
+EPISODE_HOME = "location like 'CITY_%'"
 HOT_HOME = "cast(substr(location, 5) as int) < 10"
 ORDERS_HOME = "home_region = 'ASIA'"
 
@@ -119,7 +112,7 @@ f as (select * exclude (failed_logins_24h),
  from st)"""
 
 
-RAMP_F = features(RAMP, RAMP_HOME)
+EPISODE_F = features(EPISODES, EPISODE_HOME)
 ORDERS_F = features(ORDERS, ORDERS_HOME)
 HOT_F = features(HOT, HOT_HOME)
 SKEWED_F = features(SKEWED, HOT_HOME)
@@ -151,7 +144,7 @@ tr as (select * from j where not is_test),
 sc as (select {stats} from tr)"""
 
 
-RISK = RAMP_F + risk() + scaler()
+RISK = EPISODE_F + risk() + scaler()
 
 
 def x(c: str, limited: bool = True) -> str:
@@ -287,7 +280,7 @@ with b as ({BATCH}),
 v as (select *, concat_ws('; ', {listed}) as vs from b)"""
 
 
-SIMILARITY = RAMP_F + similarity_cte()
+SIMILARITY = EPISODE_F + similarity_cte()
 SCORED_SIM = SCORED + similarity_cte("p")
 
 TEST = SCORED + f""",
@@ -301,7 +294,7 @@ cm as (select count(*) filter (is_fraud <> 1 and prob < 0.5) as true_negative,
 def summary_stats() -> str:
     rows = unpivot("f", "select '{c}' as feature, {c}::double as v from {source}",
                    [*F9, "is_fraud"])
-    return RAMP_F + f"""
+    return EPISODE_F + f"""
 select feature, count(v) as count, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std,
  round(min(v), 6) as min, round(quantile_cont(v, 0.25), 6) as q25,
  round(quantile_cont(v, 0.5), 6) as q50, round(quantile_cont(v, 0.75), 6) as q75,
@@ -367,7 +360,7 @@ def all_sql() -> dict[str, str]:
     out["txn_canonical"] = f"""
 select customer_id::varchar as customer_id, transaction_id::varchar as transaction_id,
  cast(cast(timestamp as varchar) as timestamp) as timestamp, amount, merchant_category,
- device_id, location, failed_logins_24h, is_fraud from ({RAMP})"""
+ device_id, location, failed_logins_24h, is_fraud from ({EPISODES})"""
     out["contract_violations"] = violations() + """
 select transaction_id, vs as violations from v where vs <> ''"""
     out["violation_counts"] = violations() + """
@@ -381,7 +374,7 @@ select customer_id, transaction_id, timestamp, amount, merchant_category,
  coalesce(failed_logins_24h, 0) as failed_logins_24h from v where vs = ''"""
     out["generated_ids"] = f"""
 select transaction_id, 'TXN_' || upper(substr(md5(customer_id::varchar || '|' ||
- transaction_id::varchar || '|' || merchant_category), 1, 10)) as generated_id from ({RAMP})"""
+ transaction_id::varchar || '|' || merchant_category), 1, 10)) as generated_id from ({EPISODES})"""
     out["sequential_ids"] = f"""
 select transaction_id, 'TXN_' || lpad((row_number() over (
  order by customer_id, timestamp, transaction_id) - 1)::varchar, 7, '0') as sequential_id
@@ -389,12 +382,12 @@ from ({HOT})"""
     out["new_device_flags"] = HOT_F + " select transaction_id, is_new_device from f"
     out["new_location_flags"] = HOT_F + " select transaction_id, is_new_location from f"
     for name, column, cte in [
-            ("feat_amount_zscore", "round(amount_zscore, 6) as amount_zscore", RAMP_F),
-            ("feat_amount_pct", "round(amount_pct_of_avg, 6) as amount_pct_of_avg", RAMP_F),
-            ("feat_hour_unusual", "hour_is_unusual", RAMP_F),
-            ("feat_category_unusual", "category_is_unusual", RAMP_F),
+            ("feat_amount_zscore", "round(amount_zscore, 6) as amount_zscore", EPISODE_F),
+            ("feat_amount_pct", "round(amount_pct_of_avg, 6) as amount_pct_of_avg", EPISODE_F),
+            ("feat_hour_unusual", "hour_is_unusual", EPISODE_F),
+            ("feat_category_unusual", "category_is_unusual", EPISODE_F),
             ("feat_foreign_location", "is_foreign_location", ORDERS_F),
-            ("feat_velocity_1h", "txn_velocity_1h", RAMP_F),
+            ("feat_velocity_1h", "txn_velocity_1h", EPISODE_F),
             ("feat_velocity_1h_ties", "txn_velocity_1h", ORDERS_F)]:
         out[name] = cte + f" select transaction_id, {column} from f"
     out["failed_logins_24h_derived"] = f"""
@@ -402,7 +395,7 @@ select transaction_id, cast(count(*) filter (merchant_category = 'error') over (
  partition by customer_id order by epoch_us(timestamp)
  range between 86400000000 preceding and 1 preceding) as int) as failed_logins_24h
 from ({HOT})"""
-    for name, cte in [("point_features", RAMP_F), ("point_features_orders", ORDERS_F),
+    for name, cte in [("point_features", EPISODE_F), ("point_features_orders", ORDERS_F),
                       ("point_features_hot", HOT_F), ("point_features_skewed", SKEWED_F)]:
         out[name] = cte + f" select customer_id, transaction_id, {FEATURE_OUT}, is_fraud from f"
     out["scores_skewed"] = SKEWED_F + risk() + similarity_cte("r") + """
@@ -414,14 +407,14 @@ select customer_id, transaction_id, {FEATURE_OUT}, risk_score, similarity_pct,
     out["feature_summary"] = summary_stats()
     out["dataset_size"] = f"""
 select count(*) as n_rows, count(distinct customer_id) as n_customers,
- round(avg(is_fraud) * 100, 3) as fraud_rate_pct from ({RAMP})"""
-    out["sequences_long"] = sequences(RAMP_F)
+ round(avg(is_fraud) * 100, 3) as fraud_rate_pct from ({EPISODES})"""
+    out["sequences_long"] = sequences(EPISODE_F)
     out["sequences_long_orders"] = sequences(ORDERS_F)
-    out["sequence_label_rate"] = RAMP_F + """
+    out["sequence_label_rate"] = EPISODE_F + """
 select count(*) as n_sequences, 10 as steps, 9 as features,
  round(avg(is_fraud) * 100, 2) as fraud_rate_pct from f where n >= 10"""
     out["latest_sequence_padded"] = latest()
-    out["customer_profile"] = profile(RAMP_F)
+    out["customer_profile"] = profile(EPISODE_F)
     out["profile_prefix"] = profile(ORDERS_F, where="n < 5")
     out["similarity"] = SIMILARITY + """
 select transaction_id, similarity_pct, round(100 - similarity_pct, 2) as deviation_pct,
@@ -483,14 +476,22 @@ rk as (select is_fraud, avg(i) over (partition by prob) as rank
 select round((sum(rank) filter (is_fraud = 1)
   - count(*) filter (is_fraud = 1) * (count(*) filter (is_fraud = 1) + 1) / 2)
  / count(*) filter (is_fraud = 1) / count(*) filter (is_fraud <> 1), 4) as auc_roc from rk"""
+    names = ["intercept", *F10]
+    out["trained_optimum"] = EPISODE_F + risk() + """
+select unnest(range(11))::int as position, unnest([""" + ", ".join(f"'{n}'" for n in names) + """])
+ as input, true as at_optimum, (select count(*) from j where not is_test) as n_rows"""
+    out["trained_held_out"] = EPISODE_F + risk() + """,
+q as (select count(*) as n, count(*) filter (is_fraud = 1) as p from j where is_test)
+select unnest(['trajectory', 'transaction']) as model, n as test_set_size,
+ round(p * 100 / n, 3) as fraud_rate_pct, 0.5::double as threshold, p as n_fraud, true as ranks_well from q"""
     out["csv_log_round_trip"] = f"""
 select customer_id::varchar as customer_id, transaction_id::varchar as transaction_id, timestamp, amount,
  merchant_category, device_id, location, failed_logins_24h::int as failed_logins_24h, is_fraud::int as is_fraud
 from ({HOT})"""
     for name in ("feature_store_round_trip", "features_recomputed"):
-        out[name] = RAMP_F + (
+        out[name] = EPISODE_F + (
             f" select customer_id, transaction_id, {FEATURE_OUT}, is_fraud from f")
-    out["sequence_store_round_trip"] = RAMP_F + """
+    out["sequence_store_round_trip"] = EPISODE_F + """
 select customer_id, transaction_id, 10 as steps, sum_v as velocity_sum, is_fraud as label from (
  select *, sum(txn_velocity_1h::double) over (partition by customer_id order by timestamp, transaction_id
   rows between 10 preceding and 1 preceding) as sum_v from f) where n >= 10"""
@@ -559,11 +560,11 @@ select transaction_id, timestamp, risk_score, round(prob * 100, 2) as fraud_prob
  {LEVEL} as alert_level from p where customer_id = {TIMELINE_CUSTOMER}
 order by timestamp, transaction_id limit 100"""
     out["conflicting_ids"] = f"""
-select transaction_id, 2::bigint as n_contents from ({RAMP}) where transaction_id % 5 = 0"""
+select transaction_id, 2::bigint as n_contents from ({EPISODES}) where transaction_id % 5 = 0"""
     out["stream_score_delayed"] = SCORED_SIM + f"""
 select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, similarity_pct,
  {LEVEL} as alert_level, false as is_late from sim"""
-    out["fraud_rings"] = rings(RAMP, 2)
+    out["fraud_rings"] = rings(EPISODES, 2)
     out["fraud_rings_min_k"] = rings(HOT, 70)
     out["fraud_rings_orders"] = rings(ORDERS, 2)
     members = f"""
@@ -611,5 +612,5 @@ select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, si
     out["stream_alert_counts"] = SCORED + f"""
 select date_trunc('day', timestamp) as day, {LEVEL} as alert_level, count(*) as n
 from p group by all"""
-    out["stream_rings"] = rings(RAMP, 2)
+    out["stream_rings"] = rings(EPISODES, 2)
     return out

@@ -1,4 +1,4 @@
-"""Transaction logs derived from the given test tables.
+"""Transaction logs derived from the given test tables, for checks and tests.
 
 Each view has the columns of the transaction log: customer_id, transaction_id,
 timestamp, amount, merchant_category, device_id, location, failed_logins_24h,
@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtrace.operators.history import (
-    History, LargeKeys, find_large, positions, split_history,
-)
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -27,55 +23,28 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def _with_totals(history: History) -> History:
-    """Row count and mean value of the whole customer on each of its rows."""
-    group = history.group()
-    whole = (history.whole.withColumn("cnt", F.count("*").over(group))
-             .withColumn("mean_value", F.avg("value").over(group)))
-    cut = history.cut
-    if cut is not None:
-        # one row per customer that was cut, a bounded list
-        totals = cut.groupBy(history.key).agg(
-            F.count("*").alias("cnt"), F.avg("value").alias("mean_value"))
-        cut = cut.join(F.broadcast(totals), history.key)
-    return history.derive(whole, cut)
-
-
-def ramp_sizes(spark: SparkSession, folder: str, max_rows: int | None = None) -> LargeKeys:
-    """The check of customer sizes that the ramp log and all that is built on it share."""
-    return find_large(_events(spark, folder), "customer_id", max_rows)
-
-
-def ramp_log(spark: SparkSession, folder: str, max_rows: int | None = None,
-             large: LargeKeys | None = None) -> DataFrame:
-    """Events in which every eighth customer has a ramp of eight fraud rows in mid-history."""
-    history = _with_totals(positions(
-        split_history(_events(spark, folder), max_rows=max_rows, large=large), "n"))
-    half = F.floor(F.col("cnt") / 2).cast("int")
-    rows = history.rows().withColumn("pos", F.col("n") - half)
-    ramp = (F.col("customer_id") % 8 == 0) & F.col("pos").between(0, 7)
-    severity = (F.when(F.col("pos") < 4, 0.15 + 0.25 * F.col("pos") / 3)
-                .otherwise(0.7 + 0.3 * (F.col("pos") - 4) / 3))
-    customer = F.col("customer_id").cast("string")
-    own_device = F.concat(
-        F.lit("DEV_"), customer, F.when(F.col("k") < 85, "_A").otherwise("_B"))
-    unknown_device = F.concat(
-        F.lit("DEV_UNKNOWN_"), (1000 + F.col("transaction_id") % 20).cast("string"))
-    return rows.withColumn("ramp", ramp).withColumn("severity", severity).select(
+def episode_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in which every eighth customer has four days of marked rows.
+
+    All columns follow from the event: marked rows have a raised amount, mostly
+    one of twenty devices that customers share, and half of them a place abroad.
+    """
+    k, customer = F.col("k"), F.col("customer_id").cast("string")
+    marked = (F.col("customer_id") % 8 == 0) & F.dayofmonth("timestamp").between(14, 17)
+    own_device = F.concat(F.lit("DEV_"), customer, F.when(k < 85, "_A").otherwise("_B"))
+    shared_device = F.concat(F.lit("SHARED_"), (F.col("transaction_id") % 20).cast("string"))
+    home = F.concat(F.lit("CITY_"), (F.col("customer_id") % 10).cast("string"))
+    abroad = F.concat(F.lit("ABROAD_"), (k % 5).cast("string"))
+    return _events(spark, folder).select(
         "customer_id", "transaction_id", "timestamp",
-        F.when(F.col("ramp"), F.round(
-            F.floor("mean_value") * (3 + 5 * F.col("severity")), 2))
-        .otherwise(F.col("value")).alias("amount"),
+        F.when(marked, F.round(F.col("value") * (k + 50) / 25, 2)).otherwise(F.col("value"))
+        .alias("amount"),
         "merchant_category",
-        F.when(F.col("ramp") & (F.col("k") < 80), unknown_device)
-        .otherwise(own_device).alias("device_id"),
-        F.when(F.col("ramp") & (F.col("k") % 2 == 0),
-               F.concat(F.lit("FOREIGN_"), (F.col("k") % 5).cast("string")))
-        .otherwise(F.concat(F.lit("CITY_"), (F.col("customer_id") % 10).cast("string")))
-        .alias("location"),
-        F.when(F.col("ramp"), 2 + F.floor(4 * F.col("severity")))
-        .when(F.col("k") % 10 == 0, 1).otherwise(0).cast("int").alias("failed_logins_24h"),
-        F.when(F.col("ramp"), 1).otherwise(0).alias("is_fraud"))
+        F.when(marked & (k < 80), shared_device).otherwise(own_device).alias("device_id"),
+        F.when(marked & (k % 2 == 0), abroad).otherwise(home).alias("location"),
+        F.when(marked, 2 + k % 4).when(k % 10 == 0, 1).otherwise(0).cast("int")
+        .alias("failed_logins_24h"),
+        F.when(marked, 1).otherwise(0).alias("is_fraud"))
 
 
 def hot_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +116,7 @@ def dirty_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 # Home test of each log, in place of the fixed list of home cities.
 
-def ramp_home():
+def episode_home():
     return F.col("location").startswith("CITY_")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spendtrace.operators.learn import RiskModels
 from spendtrace.session import materialize, new_folder
-from spendtrace.sources import fixtures as fx
+from checks import fixtures as fx
 from spendtrace.streaming import sinks
 from spendtrace.streaming.behaviour import score_stream
 
@@ -45,7 +45,7 @@ def _state_partitions(spark: SparkSession) -> Iterator[None]:
 
 
 def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str], object]) -> None:
-    log = materialize(fx.ramp_log(spark, sf_dir), "log")
+    log = materialize(fx.episode_log(spark, sf_dir), "log")
     folder, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "stream")
     for _ in _arrivals(log, folder):
         with _state_partitions(spark):
@@ -56,7 +56,7 @@ def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str],
 def _scored_folder(spark: SparkSession, sf_dir: str, models: RiskModels) -> str:
     out = new_folder(spark, "scored")
     _replayed(spark, sf_dir, lambda stream, checkpoint: sinks.write_scored(
-        score_stream(stream, models, fx.ramp_home(), with_reasons=False), out, checkpoint))
+        score_stream(stream, models, fx.episode_home(), with_reasons=False), out, checkpoint))
     return out
 
 
@@ -71,7 +71,7 @@ def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
     The delay covers the whole log; a last file far in the future moves the
     watermark past every row.
     """
-    log = fx.ramp_log(spark, sf_dir)
+    log = fx.episode_log(spark, sf_dir)
     log = materialize(log.withColumn("timestamp", F.col("timestamp").cast("timestamp")), "log")
     folder, out, checkpoint = (new_folder(spark, n) for n in ("arrivals", "scored", "stream"))
     part = F.pmod(F.xxhash64("transaction_id"), F.lit(parts))
@@ -84,7 +84,7 @@ def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
     stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
               .parquet(folder))
     with _state_partitions(spark):
-        scored = score_stream(stream, models, fx.ramp_home(), with_reasons=False, delay="400 days")
+        scored = score_stream(stream, models, fx.episode_home(), with_reasons=False, delay="400 days")
         (scored.writeStream.option("checkpointLocation", checkpoint).option("path", out)
          .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out).filter(F.col("customer_id") >= 0)

@@ -1,4 +1,4 @@
-"""Column expressions used across the jobs; all of them stay in generated code."""
+"""Column expressions used across the jobs."""
 
 from __future__ import annotations
 

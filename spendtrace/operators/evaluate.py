@@ -82,10 +82,16 @@ def feature_summary(features: DataFrame, columns: list[str],
     long = features.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
         for c in columns])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    stats = long.groupBy("feature").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    # One row of moments for the whole table, then one row per column.
+    wide = features.agg(*[F.struct(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max")).alias(f"_{i}")
+        for i, v in enumerate(F.col(c).cast("double") for c in columns)])
+    stats = materialize(wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}.{x}").alias(x)
+            for x in ("count", "mean", "std", "min", "max")])
+        for i, c in enumerate(columns)])).alias("s")).select("s.*").filter(
+        F.col("count") > 0), "moments")
     counts = materialize(
         long.groupBy("feature", "value").agg(F.count("*").alias("_n")), "values")
     ranked = running_total(split_history(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from spendtrace import contract as C
-from spendtrace.functions.columns import display_name, number_array
+from spendtrace.functions.columns import display_name
 from spendtrace.operators.learn import TransactionModel, normalised_inputs
 
+
 def logit_contributions(model: TransactionModel, background: list[list[float]]) -> list[Column]:
     """Exact contributions on the logit: weight times distance from the background mean."""
     means = [sum(column) / len(background) for column in zip(*background)]
@@ -27,41 +28,39 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
 
     The contribution of input i is the mean over background rows b of
     (x_i - b_i) times the gradient of the probability, averaged along the line
-    from b to x. For a logistic model that average has a closed form: the
-    weight times (p(x) - p(b)) / (logit(x) - logit(b)). So there is no sampling,
-    and the contributions add up to p(x) minus the mean background probability.
-    `when` limits the work to the rows it holds for; others get null.
+    from b to x. For a logistic model that average has a closed form, the
+    weight times the slope s_b = (p(x) - p(b)) / (logit(x) - logit(b)). So there
+    is no sampling, the contributions add up to p(x) minus the mean background
+    probability, and a row needs eleven sums over the background: of s_b, and
+    of s_b * b_i for each input, one matrix product per batch of rows. Rows for
+    which `when` does not hold, or with a null input, get null.
     """
-    logits = [model.background_value(b) for b in background]
-    probabilities = [1.0 / (1.0 + math.exp(-v)) for v in logits]
-    points = F.arrays_zip(number_array(logits).alias("l"), number_array(probabilities).alias("p"))
-    inputs = normalised_inputs(model.scaler)
+    base = np.array(background, dtype=float)
+    logits = np.array([model.background_value(b) for b in background])
+    probabilities = 1.0 / (1.0 + np.exp(-logits))
+    scale = np.array(model.weights) / len(background)
+
+    @pandas_udf("array<double>")
+    def explained(logit: pd.Series, probability: pd.Series, wanted: pd.Series,
+                  *inputs: pd.Series) -> pd.Series:
+        x = np.column_stack([i.to_numpy(dtype=float, na_value=np.nan) for i in inputs])
+        out = np.full(len(logit), None, dtype=object)
+        use = wanted.fillna(False).to_numpy(dtype=bool) & ~np.isnan(x).any(axis=1)
+        if use.any():
+            step = logit.to_numpy(dtype=float)[use, None] - logits
+            rise = probability.to_numpy(dtype=float)[use, None] - probabilities
+            flat = np.abs(step) <= 1e-9
+            slopes = np.where(flat, probabilities * (1 - probabilities),
+                              rise / np.where(flat, 1.0, step))
+            moved = (x[use] * slopes.sum(axis=1, keepdims=True) - slopes @ base) * scale
+            for i, values in zip(np.flatnonzero(use), moved):
+                out[i] = values
+        return pd.Series(out)
 
-    def slopes(own: Column) -> Column:
-        def slope(point: Column) -> Column:
-            step = own["l"] - point["l"]
-            return F.when(F.abs(step) > 1e-9, (own["p"] - point["p"]) / step).otherwise(
-                point["p"] * (1 - point["p"]))
-        return F.transform(points, slope)
-
-    def contributions(bound: Column) -> Column:
-        def contribution(i: int, weight: float) -> Column:
-            own = F.get(bound["x"], F.lit(i))
-            moved = F.zip_with(bound["s"], number_array([b[i] for b in background]),
-                               lambda s, b: s * (own - b))
-            total = F.aggregate(moved, F.lit(0.0), lambda a, v: a + v)
-            return total * (weight / len(background))
-        return F.array(*[contribution(i, w) for i, w in enumerate(model.weights)])
-
-    score = F.struct(model.logit(inputs).alias("l"), model.probability(inputs).alias("p"))
-    explained = _let(
-        F.struct(_let(score, slopes).alias("s"), F.array(*inputs).alias("x")), contributions)
-    return rows.withColumn(name, explained if when is None else F.when(when, explained))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, with `value` evaluated once per row however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    inputs = normalised_inputs(model.scaler)
+    wanted = F.lit(True) if when is None else when
+    return rows.withColumn(name, explained(
+        model.logit(inputs), model.probability(inputs), wanted, *inputs))
 
 
 def top_reasons(contributions: Column, top: int = C.TOP_REASONS) -> Column:

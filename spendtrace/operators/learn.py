@@ -222,6 +222,32 @@ def fit_transaction_model(train: DataFrame, regs: tuple[float, ...] = (0.01,),
         float(model.intercept), [float(v) for v in model.coefficients], scaler)
 
 
+def stationarity(train: DataFrame, model: TransactionModel,
+                 regs: tuple[float, ...] = (0.01,)) -> DataFrame:
+    """(position, input, gradient) of the fitted objective at the model's coefficients.
+
+    The objective is the class-weighted mean loss plus reg / 2 times the squared
+    weights; its gradient vanishes at the optimum only. Of several `regs` the
+    one with the smallest gradients is taken.
+    """
+    inputs = normalised_inputs(model.scaler, None)
+    weight = class_weights(train, "is_fraud").select("weight_pos")
+    rows = train.join(F.broadcast(weight)).withColumn(
+        "_w", F.when(F.col("is_fraud") == 1, F.col("weight_pos")).otherwise(1.0)).withColumn(
+        "_off", F.col("_w") * (model.probability(inputs) - F.col("is_fraud")))
+    names = ["intercept", *C.MODEL_INPUTS]
+    sums = rows.agg(F.sum("_w").alias("w"), *[
+        F.sum(F.col("_off") * x).alias(f"g{i}") for i, x in enumerate([F.lit(1.0), *inputs])])
+    found = []
+    for reg in regs:
+        pull = [0.0, *[reg * v for v in model.weights]]
+        gradient = F.array(*[F.abs(F.col(f"g{i}") / F.col("w") + v) for i, v in enumerate(pull)])
+        found.append(F.struct(F.array_max(gradient).alias("most"), gradient.alias("g")))
+    best = sums.select(F.least(*found).alias("b") if len(found) > 1 else found[0].alias("b"))
+    return best.select(F.posexplode("b.g").alias("position", "gradient")).select(
+        "position", F.get(F.array(*map(F.lit, names)), F.col("position")).alias("input"), "gradient")
+
+
 def to_json(models: RiskModels) -> str:
     return json.dumps({
         "trajectory": vars(models.trajectory), "transaction": vars(models.transaction),

@@ -1,11 +1,15 @@
+import random
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.operators import features as FT
 from spendtrace.operators import history as H
+from spendtrace.operators.profile import profile_columns
+from spendtrace.plans.scoring import behaviour
 from tests.helpers import SCHEMA, START, by_id, close, plain_features, random_log, row
 
 
@@ -128,3 +132,40 @@ def test_positions_number_a_whole_table(spark, max_rows):
     got = by_id(H.positions(history).rows(), ["n_prior"])
     ordered = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
     assert all(got[r[1]] == [i] for i, r in enumerate(ordered))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("max_rows", [1, 7, 40])
+def test_cut_equals_whole_for_any_key(spark, seed, max_rows):
+    """Null keys and values, equal times, runs of one row."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(90):
+        at = START + timedelta(hours=rng.randint(0, 60))
+        rows.append((
+            rng.choice([None, None, "a", "b"]), f"t{i:03d}", at, rng.choice([5.0, 7.5, 900.0]),
+            rng.choice(["fuel", None, "food"]), rng.choice([None, "d1", "d2"]),
+            rng.choice(["Pune", "Lagos", None]), rng.randint(0, 3), 0))
+    log = spark.createDataFrame(rows, (
+        "customer_id string, transaction_id string, timestamp timestamp, amount double,"
+        " merchant_category string, device_id string, location string, failed_logins_24h int,"
+        " is_fraud int"))
+    whole = behaviour(log).rows().orderBy("transaction_id").collect()
+    cut = {r.transaction_id: r for r in behaviour(log, max_rows=max_rows).rows().collect()}
+    for r in whole:
+        for c in [*C.FEATURES, "n_prior", *profile_columns()]:
+            assert cut[r.transaction_id][c] == pytest.approx(r[c], abs=1e-9), (r.transaction_id, c)
+        assert np.allclose(np.array(cut[r.transaction_id].steps), np.array(r.steps))
+    failed = F.col("merchant_category") == "fuel"
+    one = FT.failed_logins_trailing(log, failed).orderBy("transaction_id").collect()
+    two = FT.failed_logins_trailing(log, failed, max_rows).orderBy("transaction_id").collect()
+    assert [r.failed_logins_24h for r in one] == [r.failed_logins_24h for r in two]
+
+
+def test_more_runs_than_ranges(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_RANGES", 3)
+    monkeypatch.setattr(H, "MAX_SPLIT_KEYS", 0)
+    rows = spark.createDataFrame([(None if i % 2 else "k", i) for i in range(200)], "k string, v int")
+    history = H.positions(H.split_history(rows, key="k", order=("v",), max_rows=5), "at")
+    assert history.cut.select(H.RUN).distinct().count() > 20
+    assert all(r["at"] == r.v // 2 for r in history.rows().collect())

@@ -9,7 +9,8 @@ from spendtrace.functions.columns import alert_level, gauge_band
 from spendtrace.operators import evaluate as E
 from spendtrace.operators import explain as X
 from spendtrace.operators import learn as L
-from spendtrace.plans import catalog, reports
+from checks import catalog
+from spendtrace.plans import reports
 
 PLAIN = [(0.0, 1.0)] * 10
 
@@ -162,7 +163,7 @@ def test_threshold_is_inclusive(spark):
         "true_negative": 1, "false_positive": 0, "false_negative": 0, "true_positive": 1}
 
 
-def test_trained_models_find_the_ramps(spark):
+def test_trained_models_find_the_episodes(spark):
     trained = catalog.trained(spark, "/root/testdata/sf0.01")
     got = {r.model: r for r in trained.metrics().collect()}
     assert got["trajectory"].auc_roc > 0.8

@@ -171,5 +171,32 @@ def test_repeated_ids_are_dropped_within_the_delay(spark, tmp_path):
 
 
 def test_fixed_values():
-    assert len(C.FEATURES) == 9 and C.MODEL_INPUTS[-1] == "risk_score"
+    """The domain constants, written out here so that a changed value is noticed."""
+    assert C.SEQUENCE_LENGTH == 10
+    assert C.FEATURES == [
+        "amount_zscore", "hour_is_unusual", "is_new_device", "is_new_location",
+        "is_foreign_location", "failed_logins_24h", "category_is_unusual", "txn_velocity_1h",
+        "amount_pct_of_avg"]
+    assert C.MODEL_INPUTS == [*C.FEATURES, "risk_score"]
     assert set(C.DISPLAY_NAMES) == set(C.MODEL_INPUTS)
+    assert C.HOME_LOCATIONS == ("Hyderabad Mumbai Delhi Bangalore Chennai Kolkata Pune Ahmedabad "
+                                "Jaipur Lucknow").split()
+    assert (C.UNUSUAL_FREQUENCY, C.VELOCITY_SECONDS, C.FAILED_LOGIN_SECONDS) == (0.05, 3600, 86400)
+    assert (C.ZSCORE_LIMIT, C.PCT_LIMIT, C.INPUT_LIMIT, C.PROBABILITY_CAP) == (10, 1000, 6, 0.999)
+    assert (C.REASON_THRESHOLD, C.TOP_REASONS, C.SIMILARITY_DECAY) == (0.05, 4, 2.9)
+    assert (C.DECISION_THRESHOLD, C.TEST_PERCENT, C.MIN_RING_CUSTOMERS) == (0.5, 20, 2)
+    assert (C.CUSTOMER_LIST_LIMIT, C.TIMELINE_LIMIT, C.BACKGROUND_ROWS) == (50, 100, 200)
+    assert C.ALERT_CUTS == [25, 50, 80] and C.DEFAULT_LOCATION == "Hyderabad"
+    assert C.ALERT_LEVELS == ["Low Risk", "Medium Risk", "High Risk", "Critical Risk"]
+
+
+def test_timeline_of_the_store_reads_one_bucket(spark, tmp_path):
+    log = log_of(spark, random_log(customers=8, rows=6))
+    path = str(tmp_path / "scored")
+    writers.append_scored(scoring.score_log(log, MODELS, with_reasons=False), path)
+    customer = log.first().customer_id
+    found = writers.scored_of_customer(spark, path, customer)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(customer_bucket" in plan
+    assert f"EqualTo(customer_id,{customer})" in plan
+    assert found.count() == 6
