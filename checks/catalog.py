@@ -14,6 +14,7 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import (
     alert_level, gauge_band, generated_transaction_id, sequential_transaction_id,
 )
+from spendtrace.operators import boosted as BT
 from spendtrace.operators import evaluate as E
 from spendtrace.operators import explain as X
 from spendtrace.operators import features as FT
@@ -527,6 +528,21 @@ def trained_optimum(spark, folder):
         rows.agg(F.count("*").alias("n_rows")))
 
 
+def boosted_attribution(spark, folder):
+    """Reasons of the marked held-out rows under boosted trees: they add up to the score."""
+    rows = training_rows(spark, folder)
+    model = BT.fit_boosted_model(rows.filter("not is_test"), max_iter=5, depth=3)
+    asked = rows.filter("is_test and is_fraud = 1").select("transaction_id", *C.MODEL_INPUTS)
+    background = [[float(r[c]) for c in C.MODEL_INPUTS] for r in rows.filter("not is_test").orderBy(
+        F.md5(F.col("transaction_id").cast("string"))).limit(20).collect()]
+    base = model.score(spark.createDataFrame(background, C.MODEL_INPUTS)).agg(F.avg("score")).first()[0]
+    parts = BT.coalition_attribution(asked, "transaction_id", C.MODEL_INPUTS, model.score, background)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    return model.score(asked).join(parts, "transaction_id").select(
+        "transaction_id", F.size("contributions").alias("n_inputs"),
+        (F.abs(total - (F.col("score") - base)) < 1e-6).alias("adds_up"))
+
+
 def trained_held_out(spark, folder):
     """Size, labels and fraud rate of the held-out rows, and whether the models rank them well."""
     return trained(spark, folder).metrics().select(
@@ -782,7 +798,8 @@ QUERIES: list[Query] = [
     logit_contributions, probability_contributions, reasons_topk, reasons_display,
     confusion, prf1, auc_roc, fraud_rings, fraud_rings_min_k, fraud_rings_orders,
     fraud_rings_in_parts, ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
-    scored_log, report_rows, json_requests, scored_json, trained_optimum, trained_held_out, trained_metrics, trained_scores,
+    scored_log, report_rows, json_requests, scored_json, trained_optimum, trained_held_out,
+    boosted_attribution, trained_metrics, trained_scores,
     stream_score, stream_alert_counts, stream_rings,
 ]
 

@@ -480,6 +480,8 @@ select round((sum(rank) filter (is_fraud = 1)
     out["trained_optimum"] = EPISODE_F + risk() + """
 select unnest(range(11))::int as position, unnest([""" + ", ".join(f"'{n}'" for n in names) + """])
  as input, true as at_optimum, (select count(*) from j where not is_test) as n_rows"""
+    out["boosted_attribution"] = EPISODE_F + risk() + """
+select transaction_id, 10 as n_inputs, true as adds_up from j where is_test and is_fraud = 1"""
     out["trained_held_out"] = EPISODE_F + risk() + """,
 q as (select count(*) as n, count(*) filter (is_fraud = 1) as p from j where is_test)
 select unnest(['trajectory', 'transaction']) as model, n as test_set_size,

@@ -8,6 +8,7 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import alert_level, gauge_band
 from spendtrace.operators import evaluate as E
 from spendtrace.operators import explain as X
+from spendtrace.operators import boosted as B
 from spendtrace.operators import learn as L
 from checks import catalog
 from spendtrace.plans import reports
@@ -214,3 +215,44 @@ def test_splits(spark):
     cut = F.to_timestamp(F.lit("2024-01-02"))
     assert [r.is_test for r in L.add_time_split(timed, cut).orderBy("timestamp").collect()] == [
         False, True]
+
+
+def _inputs(spark, n):
+    rows = spark.range(n).select(
+        F.col("id").alias("transaction_id"),
+        *[F.randn(seed=i).alias(c) for i, c in enumerate(C.MODEL_INPUTS)])
+    near = (F.col("amount_zscore") > 0.5) & (F.col("risk_score") > 0)
+    return rows.withColumn("is_fraud", F.when(near, 1).otherwise(0))
+
+
+def test_coalitions_of_a_linear_score_are_its_terms(spark):
+    rows, weights = _inputs(spark, 5), [0.5 * i - 2 for i in range(10)]
+    background = [[float(i * j % 7) for i in range(10)] for j in range(6)]
+
+    def score(table):
+        return table.withColumn("score", sum(F.col(c) * w for c, w in zip(C.MODEL_INPUTS, weights)))
+
+    got = {r.transaction_id: r.contributions for r in B.coalition_attribution(
+        rows, "transaction_id", C.MODEL_INPUTS, score, background).collect()}
+    means = [sum(b[i] for b in background) / 6 for i in range(10)]
+    for r in rows.collect():
+        assert got[r.transaction_id] == pytest.approx(
+            [w * (r[c] - m) for c, w, m in zip(C.MODEL_INPUTS, weights, means)])
+
+
+def test_boosted_trees_find_an_interaction_and_its_reasons(spark):
+    rows = _inputs(spark, 3000).cache()
+    model = B.fit_boosted_model(rows.filter("transaction_id % 4 > 0"), max_iter=5)
+    test = model.score(rows.filter("transaction_id % 4 = 0"))
+    right = test.filter((F.col("score") >= 0.5) == (F.col("is_fraud") == 1)).count() / test.count()
+    assert right > 0.95
+    some = test.filter("is_fraud = 1").limit(5)
+    background = [[float(v) for v in r] for r in rows.select(*C.MODEL_INPUTS).limit(8).collect()]
+    raw = spark.createDataFrame(background, C.MODEL_INPUTS)
+    mean = model.score(raw).agg(F.avg("score")).first()[0]
+    found = B.coalition_attribution(some.drop("score"), "transaction_id", C.MODEL_INPUTS,
+                                    model.score, background)
+    for r in found.join(some, "transaction_id").collect():
+        assert sum(r.contributions) == pytest.approx(r.score - mean, abs=1e-9)
+        strongest = sorted(range(10), key=lambda i: -r.contributions[i])[:2]
+        assert C.MODEL_INPUTS[strongest[0]] in ("amount_zscore", "risk_score")
