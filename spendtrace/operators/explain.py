@@ -35,7 +35,10 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
     of s_b * b_i for each input, one matrix product per batch of rows. Rows for
     which `when` does not hold, or with a null input, get null.
     """
-    base = np.array(background, dtype=float)
+    # Measured from the first background row, so that an input on which all rows
+    # agree moves nothing at all.
+    start = np.array(background[0], dtype=float)
+    base = np.array(background, dtype=float) - start
     logits = np.array([model.background_value(b) for b in background])
     probabilities = 1.0 / (1.0 + np.exp(-logits))
     scale = np.array(model.weights) / len(background)
@@ -52,7 +55,7 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
             flat = np.abs(step) <= 1e-9
             slopes = np.where(flat, probabilities * (1 - probabilities),
                               rise / np.where(flat, 1.0, step))
-            moved = (x[use] * slopes.sum(axis=1, keepdims=True) - slopes @ base) * scale
+            moved = ((x[use] - start) * slopes.sum(axis=1, keepdims=True) - slopes @ base) * scale
             for i, values in zip(np.flatnonzero(use), moved):
                 out[i] = values
         return pd.Series(out)
