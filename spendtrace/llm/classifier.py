@@ -132,33 +132,45 @@ def leader(z: np.ndarray, squares: np.ndarray, how: Ftrl) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, how: Ftrl = Ftrl(), rows_per_shard: int = ROWS_PER_SHARD) -> np.ndarray:
-    """Weights from rows with text and label (0 or 1).
+    """Weights from rows with text and label (0 or 1), and doc_id where there is one.
 
     Null labels are left out, null texts are empty. Rows are dealt and ordered
-    by a hash of their content, so repeats do not change the result of a rerun.
+    by a hash of their content and id, so that a rerun gives the same result and
+    copies of a text are spread over the shards. The id serves for that alone.
     Without rows all weights are zero and every score is one half. The result
     has 2**18 numbers whatever the input.
     """
+    ids = [c for c in ("doc_id",) if c in labelled.columns]
     rows = labelled.filter(F.col("label").isNotNull()).select(
-        F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label"))
+        F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label"),
+        F.xxhash64("text", "label", *ids).alias("deal"))
     shards = max(1, -(-rows.count() // rows_per_shard))
-    deal = F.xxhash64("text", "label")
+
+    def fitted(kept: list) -> pa.RecordBatch:
+        w = fit_shard(kept, how)
+        used = np.flatnonzero(w)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(used, -1)), pa.array(np.append(w[used], 1.0))], ["slot", "w"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kept = WordViews(), []
+        memo, kept, now = WordViews(), [], None
         for piece in text_chunks(batches, "text"):
+            owner = piece.column("shard").to_pylist()
             labels = piece.column("label").to_numpy(zero_copy_only=False)
             doc, slot, value = features(byte_texts(piece.column("text")), memo)
             ends = np.searchsorted(doc, np.arange(len(labels) + 1))
-            kept += [(slot[a:b].astype(np.int32), value[a:b].astype(np.float32), labels[i])
-                     for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                if owner[i] != now and kept:
+                    yield fitted(kept)
+                    kept = []
+                now = owner[i]
+                kept.append((slot[a:b].astype(np.int32), value[a:b].astype(np.float32), labels[i]))
         if kept:
-            w = fit_shard(kept, how)
-            used = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(used, -1)), pa.array(np.append(w[used], 1.0))], ["slot", "w"])
+            yield fitted(kept)
 
-    dealt = rows.repartition(shards, deal).sortWithinPartitions(deal)
+    # A shard is whole in one task, however many tasks there are.
+    dealt = rows.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")).repartition(
+        shards, "shard").sortWithinPartitions("shard", "deal").select("shard", "text", "label")
     sums = dealt.mapInArrow(train, "slot long, w double").groupBy("slot").agg(F.sum("w").alias("w"))
     got = sums.toPandas()
     weights = np.zeros(1 << SLOT_BITS)
@@ -193,14 +205,14 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = HELD_OUT_FOLDS) -> DataFrame:
-    """(text, label) of the documents of the training folds that have a label.
+    """(doc_id, text, label) of the documents of the training folds that have a label.
 
     A document labelled more than once takes the smallest label.
     """
     known = labels.filter(F.col("quality").isNotNull()).groupBy(
         F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("label"))
     return docs.filter(crc_fold(F.col("doc_id"), folds) != 0).join(
-        small_or_shuffled(known), F.col("doc_id") == F.col("_labelled")).select("text", "label")
+        small_or_shuffled(known), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "label")
 
 
 def classifier_query(spark, folder: str) -> DataFrame:
