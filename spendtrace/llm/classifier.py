@@ -168,8 +168,8 @@ def fit(labelled: DataFrame, how: Ftrl = Ftrl(), rows_per_shard: int = ROWS_PER_
         if kept:
             yield fitted(kept)
 
-    # A shard is whole in one task, however many tasks there are.
-    dealt = rows.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")).repartition(
+    # Each shard is one task's; a task that had several would fit them one by one.
+    dealt = rows.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")).repartitionById(
         shards, "shard").sortWithinPartitions("shard", "deal").select("shard", "text", "label")
     sums = dealt.mapInArrow(train, "slot long, w double").groupBy("slot").agg(F.sum("w").alias("w"))
     got = sums.toPandas()
