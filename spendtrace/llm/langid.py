@@ -26,9 +26,6 @@ ORDER = 4
 BITS = 16  # of a folded character
 FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
-# A run rarer than this share of a language's runs is left out of its model,
-# which so has at most one entry per share.
-LEAST_SHARE = 1 / 4_000_000
 CALIBRATION_ROWS = 4_000
 EVIDENCE_CHARS = 50  # more characters than this add no certainty to the score
 MEMO_BITS = 18
@@ -236,20 +233,16 @@ def counted(lang: str, run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         [pa.array([lang] * len(run)), pa.array(run.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
 
 
-def fit(rows: DataFrame, least_share: float = LEAST_SHARE,
-        calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
+def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
     """Models from rows of (text, lang); null or empty languages and null texts are left out.
 
-    Counts cover all rows. Runs below `least_share` of their language's count
-    are left out of the model. The limits of rejection come from about
+    Counts cover all rows, and a model has every run met, however rare, at any
+    size of the input: models grow with the number of distinct runs, which all
+    reach the driver and each task. The limits of rejection come from about
     `calibration_rows` rows chosen by a hash. Without rows there are no models.
     """
     rows = rows.filter((F.col("lang") != "") & F.col("text").isNotNull()).select("text", "lang")
-    grams = count_runs(rows)
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("_all"), F.count("*").alias("_distinct"))
-    kept = grams.join(F.broadcast(totals), "lang").filter(
-        F.col("n") >= F.col("_all") * least_share).select("lang", "run", "n")
-    got = kept.toPandas()
+    got = count_runs(rows).toPandas()
     names = sorted(got["lang"].unique())
     run = got["run"].to_numpy().astype(np.int64).view(np.uint64)
     alphabet = len(np.unique(tail(run, 1))) + 1

@@ -246,6 +246,21 @@ def test_language_of_odd_texts(spark, odd):
     assert langid.identify(odd.limit(0), fitted).count() == 0
 
 
+def test_models_have_every_run_at_any_size(spark):
+    def fitted(copies):
+        rare = spark.createDataFrame([("quartz vows jump", "en")], "text string, lang string")
+        return langid.fit(spark.range(copies).select(
+            F.lit("the cat sat on the mat and the hat was on that flat").alias("text"),
+            F.lit("en").alias("lang")).unionByName(rare)).models[0]
+
+    few, many = fitted(1), fitted(100_000)
+    for a, b in zip(few.seen + few.weights, many.seen + many.weights):
+        assert np.array_equal(a.keys, b.keys)
+    # orders below the highest count distinct runs, so copies do not change them
+    for a, b in zip(few.seen[:-1], many.seen[:-1]):
+        assert np.array_equal(a.values, b.values)
+
+
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><script>if (a < b) document.write("<p>no</p>")
 </script><style>p{}</style></head><body class="has-sidebar"><header>Site name</header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-notice"><p>We use cookies.</div>
