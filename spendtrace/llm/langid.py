@@ -26,7 +26,6 @@ ORDER = 4
 BITS = 16  # of a folded character
 FOLDS, HELD_OUT = 3, 1
 UNDETERMINED = "und"
-CALIBRATION_ROWS = 4_000
 EVIDENCE_CHARS = 50  # more characters than this add no certainty to the score
 MEMO_BITS = 18
 
@@ -233,13 +232,13 @@ def counted(lang: str, run: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         [pa.array([lang] * len(run)), pa.array(run.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
 
 
-def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels:
+def fit(rows: DataFrame) -> LanguageModels:
     """Models from rows of (text, lang); null or empty languages and null texts are left out.
 
     Counts cover all rows, and a model has every run met, however rare, at any
     size of the input: models grow with the number of distinct runs, which all
-    reach the driver and each task. The limits of rejection come from about
-    `calibration_rows` rows chosen by a hash. Without rows there are no models.
+    reach the driver and each task. The limits of rejection come from all rows
+    with a letter. Without rows there are no models.
     """
     rows = rows.filter((F.col("lang") != "") & F.col("text").isNotNull()).select("text", "lang")
     got = count_runs(rows).toPandas()
@@ -253,14 +252,16 @@ def fit(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> LanguageMo
         models.append(CharModel.fit(run[own][order], got["n"].to_numpy()[own][order], alphabet))
     fitted = LanguageModels(names, models, np.full(len(names), np.inf))
     if names:
-        fitted.limits = limits(rows, fitted, calibration_rows)
+        fitted.limits = limits(rows, fitted)
     return fitted
 
 
-def limits(rows: DataFrame, fitted: LanguageModels, sample: int) -> np.ndarray:
-    """Per language the bits per character that one training text in 200 exceeds, and a tenth."""
-    part = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000))
+def limits(rows: DataFrame, fitted: LanguageModels) -> np.ndarray:
+    """Per language the bits per character that one training text in 200 exceeds, and a tenth.
+
+    All rows with a letter take part, short ones too, since texts of any length
+    are held against the limit.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def own_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +270,13 @@ def limits(rows: DataFrame, fitted: LanguageModels, sample: int) -> np.ndarray:
         for piece in text_chunks(batches, "text"):
             langs = piece.column("lang").to_pylist()
             bits, n = entropies(plain_texts(piece.column("text")), memo)
-            at = [i for i, x in enumerate(langs) if x in place and n[i] >= EVIDENCE_CHARS]
+            at = [i for i, x in enumerate(langs) if x in place and n[i] > 0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([langs[i] for i in at], pa.string()),
                  pa.array([float(bits[i, place[langs[i]]]) for i in at], pa.float64())],
                 ["lang", "bits"])
 
-    edges = chosen.mapInArrow(own_bits, "lang string, bits double").groupBy("lang").agg(
+    edges = rows.mapInArrow(own_bits, "lang string, bits double").groupBy("lang").agg(
         F.percentile_approx("bits", 0.995, 10_000).alias("edge")).collect()
     found = {r["lang"]: r["edge"] * 1.1 for r in edges}
     return np.array([found.get(name, np.inf) for name in fitted.names])

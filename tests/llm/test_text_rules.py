@@ -261,6 +261,15 @@ def test_models_have_every_run_at_any_size(spark):
         assert np.array_equal(a.values, b.values)
 
 
+def test_a_rare_language_and_short_texts_have_a_limit(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("the cat sat "), F.col("id")).alias("text"),
+                                       F.lit("en").alias("lang")).unionByName(spark.createDataFrame(
+        [("der hund lief durch den wald und kam erst am abend wieder nach hause", "de"),
+         ("le chat dort", "fr"), ("123", "fr")], "text string, lang string"))
+    fitted = langid.fit(rows)
+    assert fitted.names == ["de", "en", "fr"] and np.isfinite(fitted.limits).all()
+
+
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><script>if (a < b) document.write("<p>no</p>")
 </script><style>p{}</style></head><body class="has-sidebar"><header>Site name</header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-notice"><p>We use cookies.</div>
