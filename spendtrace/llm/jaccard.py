@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    byte_texts, free_name, mix, run_hashes, small_or_shuffled, table, text_chunks,
+    byte_texts, free_name, mix, run_hashes, schema_with, small_or_shuffled, table, text_chunks,
     word_hashes,
 )
 from spendtrace.llm.components import connected_components
@@ -181,7 +181,8 @@ def band_segments(percent: int) -> np.ndarray:
 
 def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Name (low, high) and size n of the set of each row of `docs`, and for both roles
-    its filled segments and the H of its possible partners."""
+    its filled segments and the H of its possible partners. Columns but the text stay."""
+    kept = [c for c in docs.columns if c != "text"]
     segments = band_segments(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,15 +190,14 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
             sets = Sets(byte_texts(piece.column("text")), width)
             own, lower = (Keys(sets, role, percent, segments) for role in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(sets.low.view(np.int64)),
+                [*(piece.column(c) for c in kept), pa.array(sets.low.view(np.int64)),
                  pa.array(sets.high.view(np.int64)), pa.array(sets.sizes),
                  *map(pa.array, (own.filled, lower.filled, own.differ, lower.differ))],
-                ["doc_id", "low", "high", "n", "filled0", "filled1", "differ0", "differ1"])
+                [*kept, "low", "high", "n", "filled0", "filled1", "differ0", "differ1"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, low long, high long, n long, filled0 long, filled1 long, "
-        "differ0 long, differ1 long")
+    return docs.select(*kept, "text").mapInArrow(run, schema_with(
+        docs.select(*kept), "low long, high long, n long, filled0 long, filled1 long, "
+        "differ0 long, differ1 long"))
 
 
 def index_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -372,6 +372,22 @@ def near_duplicates(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
     component are null. Repeated rows give repeated results; an empty table
     gives none. Other columns are not used.
     """
+    described, named = named_sets(docs.select("doc_id", "text"), width, percent)
+    reached = named.filter(F.col("component").isNotNull()).groupBy("component").agg(
+        F.min("_least").alias("_reached"))
+    final = named.join(reached, "component", "left").select(
+        "low", "high", F.coalesce("_reached", "_least").alias("component_id"))
+    return described.filter("n > 0").join(final, ["low", "high"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
+        described.filter("n = 0").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def named_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The description of each row of `docs`, and per distinct set (low, high, _least, component).
+
+    `_least` is the smallest doc_id of the set; `component` is null for a set without links.
+    """
     described = materialize(describe(docs, width, percent), "sets")
     met, centres = candidates(described, index_keys(docs, width, percent))
     wanted = materialize(met.select("low").unionByName(
@@ -387,30 +403,42 @@ def near_duplicates(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
     labels = materialize(labels.withColumnRenamed("node", "low"), "labels")
 
     classes = described.filter("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("_least"))
-    named = classes.join(labels, "low", "left")
-    reached = named.filter(F.col("component").isNotNull()).groupBy("component").agg(
-        F.min("_least").alias("_reached"))
-    final = named.join(reached, "component", "left").select(
-        "low", "high", F.coalesce("_reached", "_least").alias("component_id"))
-    return described.filter("n > 0").join(final, ["low", "high"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        described.filter("n = 0").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return described, classes.join(labels, "low", "left")
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
                 percent: int = PERCENT) -> DataFrame:
-    """Rows of `docs` whose id is that of their component, one row per id.
+    """One row of `docs` per component of similar texts, and every row without words.
 
-    Rows with a null id are kept one per component of null ids only.
+    Of a component the row with the smallest doc_id stays, null ids last, then
+    the one with the smallest digest of the text; of rows equal in both, any one.
+    Rows are told apart by id and text, so equal or null ids do not shrink.
     """
-    name = free_name(docs, "_kept")
-    kept = near_duplicates(docs, width, percent).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(name)).distinct()
-    kept = materialize(kept, "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name))).dropDuplicates(
-        ["doc_id"]).select(*docs.columns)
+    columns, names = docs.columns, []
+    for wanted in ("_text1", "_text2", "_id", "_low", "_high", "_row"):
+        names.append(free_name(docs, wanted))
+    text1, text2, own, low, high, row = names
+    marked = docs.withColumns({
+        text1: F.xxhash64("text"), text2: F.xxhash64(F.lit(1), "text")})
+    described, named = named_sets(marked.select(
+        "doc_id", "text", F.col(text1).alias("text1"), F.col(text2).alias("text2")), width, percent)
+    # A set without links is a component by its whole name.
+    placed = described.filter("n > 0").join(named.select(
+        "low", "high", F.coalesce("component", "low").alias("_c"),
+        F.when(F.col("component").isNull(), F.col("high")).alias("_d")), ["low", "high"])
+    first = placed.groupBy("_c", "_d").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "text1", "text2")).alias("_f")).select(
+        F.col("_f.doc_id").alias(own), F.col("_f.text1").alias(text1), F.col("_f.text2").alias(text2),
+        F.col("_c").alias(low), F.col("_d").alias(high), F.lit(True).alias(row))
+    wordless = described.filter("n = 0").select(
+        F.col("doc_id").alias(own), F.col("text1").alias(text1), F.col("text2").alias(text2)).distinct()
+    kept = materialize(first.unionByName(wordless, allowMissingColumns=True), "kept").alias("k")
+    found = marked.alias("m").join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (
+        F.col(f"m.{text1}") == F.col(f"k.{text1}")) & (F.col(f"m.{text2}") == F.col(f"k.{text2}")))
+    # Rows without words are numbered, so that each stays.
+    return found.select(*columns, low, high, F.when(
+        F.col(row).isNull(), F.monotonically_increasing_id()).alias(row)).dropDuplicates(
+        [low, high, row]).select(*columns)
 
 
 def jaccard_query(spark, folder: str) -> DataFrame:

@@ -304,6 +304,20 @@ def test_one_of_each_and_empty_tables(spark):
     assert jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_tells_rows_apart_by_id_and_text(spark):
+    copied, alone = "a b c d e f g h", "q w e r t y u i"
+    rows = [(7, copied), (3, copied), (7, alone), (None, copied), (None, "one two three four five six"),
+            (None, "red green blue white black grey"), (None, "red green blue white black grey"),
+            (None, None), (None, None), (8, ""), (8, ""), (8, "m n o p q r s"), (8, "z y x w v u t")]
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id long, text string")
+        got = sorted(map(tuple, jaccard.one_of_each(docs).collect()), key=repr)
+        assert got == sorted([
+            (3, copied), (7, alone), (None, "one two three four five six"),
+            (None, "red green blue white black grey"), (None, None), (None, None), (8, ""), (8, ""),
+            (8, "m n o p q r s"), (8, "z y x w v u t")], key=repr)
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [(5000, 5000), (None, 1)]
