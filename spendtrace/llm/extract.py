@@ -4,8 +4,11 @@ A page is cut into blocks at block-level tags. The first pass decides blocks by
 where they stand (navigation, adverts, forms and the like), by the share of
 their text inside links, by their length and by the density of stop words.
 Blocks it cannot decide take, in the second pass, the label of the nearest
-decided neighbours. Inside an article element a block needs no stop words: the
-page itself says what it is.
+decided neighbours. Where article elements hold most of the running text, a block
+inside them needs no stop words: the page itself says what it is.
+
+Class names and ids only suggest. What they suggest of an element is dropped if it
+is an article or holds one, or has a long text that is most of the page's running text.
 
 A page is one row and is read whole; nothing is shared between pages.
 """
@@ -57,6 +60,8 @@ BAD_NAMES = re.compile(
     r"commentlist|disqus|replies|reviews|respond|footer|foot|copyright|share|sharing|social|related|"
     r"recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)"
     r"(?:$|[\s_-])", re.I)
+# Names that tell what is beside or about an element, not what it is.
+ABOUT = re.compile(r"(?:has|have|with|without|no|not|hide|tag|category|cat)[-_]", re.I)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 
 TAG = re.compile(
@@ -80,11 +85,20 @@ class Rules:
     stops_high: float = 0.25
 
 
+@dataclass(eq=False)
+class Named:
+    """An element that its class or id suggests is not part of the text."""
+
+    article: bool = False  # holds one
+    running: int = 0  # characters of running text
+
+
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
     bad: bool = False
+    named: tuple[Named, ...] = ()
     landmark: bool = False
     heading: bool = False
     text: str = ""
@@ -94,8 +108,9 @@ class Block:
 def blocks_of(page: str) -> tuple[list[Block], str]:
     """Blocks with text, in page order, and the language that the page names."""
     found: list[Block] = []
-    # Open elements: name, whether bad, number of landmarks around, number of links around.
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    # Open elements: name, whether bad, number of landmarks around, number of links around,
+    # elements around with a name that suggests to leave them out.
+    stack: list[tuple[str, bool, int, int, tuple[Named, ...]]] = [("", False, 0, 0, ())]
     now, at, lang = Block(), 0, ""
 
     def close() -> Block:
@@ -104,8 +119,8 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
             now.link_chars = len(" ".join(html.unescape(" ".join(now.link_parts)).split()))
             if now.text:
                 found.append(now)
-        _, bad, landmark, _ = stack[-1]
-        return Block(bad=bad, landmark=landmark > 0, heading=stack[-1][0] in HEADINGS)
+        _, bad, landmark, _, named = stack[-1]
+        return Block(bad=bad, named=named, landmark=landmark > 0, heading=stack[-1][0] in HEADINGS)
 
     def say(text: str) -> None:
         if text:
@@ -165,12 +180,18 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
         if name == "html":
             lang = values.get("lang", "")[:2].lower()
         bad = parent[1] or is_bad(name, values, attributes, parent[2] > 0)
-        landmark = parent[2] + (name in LANDMARKS or values.get("role", "").lower() == "main")
+        is_landmark = name in LANDMARKS or values.get("role", "").lower() == "main"
+        landmark, named = parent[2] + is_landmark, parent[4]
+        if is_landmark:
+            for x in named:
+                x.article = True
+        elif not bad and is_named(name, values, parent[2] > 0):
+            named = (*named, Named())
         if not attributes.rstrip().endswith("/") or name in BLOCK_TAGS:
-            stack.append((name, bad, landmark, parent[3] + (name == "a")))
+            stack.append((name, bad, landmark, parent[3] + (name == "a"), named))
         if name in BLOCK_TAGS:
             now = close()
-        elif bad and not parent[1]:
+        elif bad and not parent[1] or len(named) > len(parent[4]):
             # A bad inline element stands apart from the block it is in.
             now = close()
     close()
@@ -189,23 +210,53 @@ def is_bad(name: str, values: dict[str, str], attributes: str, in_landmark: bool
         return True
     if name == "header" and not in_landmark:
         return True
-    if attributes and HIDDEN.search(attributes):
-        return True
-    labels = f"{values.get('class', '')} {values.get('id', '')}".strip()
+    return bool(attributes and HIDDEN.search(attributes))
+
+
+def is_named(name: str, values: dict[str, str], in_landmark: bool) -> bool:
+    """Whether the class or id of an element suggests that it is not part of the text."""
+    if name in ("html", "body"):
+        return False
+    labels = " ".join(x for x in f"{values.get('class', '')} {values.get('id', '')}".split()
+                      if not ABOUT.match(x))
     return bool(labels) and bool(BAD_NAMES.search(labels) or (
         not in_landmark and PAGE_HEADER.search(labels)))
 
 
+def density_of(block: Block, stops: frozenset[str]) -> float:
+    words = [w.strip(".,;:!?\"'()#*$%&") for w in block.text.lower().split()]
+    return sum(w in stops for w in words) / len(words)
+
+
+def weigh(blocks: list[Block], stops: frozenset[str], rules: Rules) -> bool:
+    """Decide the named elements; whether the landmarks hold most of the running text.
+
+    Running text is that of blocks outside bad elements with few links and with
+    stop words. Landmarks without any count if nothing else has some.
+    """
+    counted = [(b, len(b.text)) for b in blocks
+               if not b.bad and b.link_chars <= rules.link_share * len(b.text)
+               and density_of(b, stops) >= rules.stops_low]
+    for b, n in counted:
+        for x in b.named:
+            x.running += n
+    most = max(rules.long, sum(n for _, n in counted) / 2)
+    for b in blocks:
+        b.bad = b.bad or any(not x.article and x.running <= most for x in b.named)
+    left = [(b, n) for b, n in counted if not b.bad]
+    inside = sum(n for b, n in left if b.landmark)
+    return any(b.landmark and not b.bad for b in blocks) and 2 * inside >= sum(n for _, n in left)
+
+
 def first_pass(block: Block, stops: frozenset[str], landmarks: bool, rules: Rules) -> str:
     length = len(block.text)
     if block.bad or (landmarks and not block.landmark):
         return BAD
     if block.link_chars > rules.link_share * length:
         return BAD
-    if block.landmark:
+    if landmarks:
         return GOOD
-    words = [w.strip(".,;:!?\"'()#*$%&") for w in block.text.lower().split()]
-    density = sum(w in stops for w in words) / len(words)
+    density = density_of(block, stops)
     if length < rules.short:
         return BAD if block.link_chars else SHORT
     if density >= rules.stops_high:
@@ -249,7 +300,7 @@ def main_text(page: str, rules: Rules = Rules()) -> str:
     """The good blocks of a page, one to a line."""
     blocks, lang = blocks_of(page)
     stops = _STOPS.get(lang) or _STOPS[""]
-    landmarks = any(b.landmark and not b.bad for b in blocks)
+    landmarks = weigh(blocks, stops, rules)
     labels = [first_pass(b, stops, landmarks, rules) for b in blocks]
     return "\n".join(b.text for b, x in zip(blocks, second_pass(labels)) if x == GOOD)
 

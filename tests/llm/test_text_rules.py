@@ -286,6 +286,24 @@ def test_article_without_its_surroundings():
         "Fish & chips\nOne two three four <b>\nFive six\nSeven\nEight")
 
 
+BODY = "The house of the king was in the middle of the town and it was not as old as the one by the river. " * 4
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="category-social">', "</div>"),
+    ('<article class="post type-post tag-search">', "</article>"), ('<div id="no-comments">', "</div>"),
+    ('<article class="related">', "</article>"), ('<div class="sidebar"><article>', "</article></div>"),
+    ('<div class="social">', "</div>")])
+def test_a_name_alone_does_not_condemn_the_article(open_, close):
+    page = f"<body>{open_}<p>{BODY}</p>{close}<div class='sidebar'><p>{BODY[:99]}</p></div></body>"
+    assert extract.main_text(page) == BODY.strip()
+
+
+def test_a_teaser_article_does_not_stand_for_the_page():
+    page = f"<body><article><p>Read more soon</p></article><div><p>{BODY}</p></div></body>"
+    assert BODY.strip() in extract.main_text(page).split("\n")
+
+
 def test_two_passes_without_an_article():
     good = "The house of the king was in the middle of the town and it was not as old as the one by the river. " * 3
     near = "It was one of the first that had been built there by the people."
