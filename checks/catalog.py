@@ -528,21 +528,54 @@ def trained_optimum(spark, folder):
         rows.agg(F.count("*").alias("n_rows")))
 
 
-def boosted_attribution(spark, folder):
-    """Reasons of the marked held-out rows under boosted trees: they add up to the score."""
-    rows = training_rows(spark, folder)
-    model = BT.fit_boosted_model(rows.filter("not is_test"), max_iter=5, depth=3)
-    asked = rows.filter("is_test and is_fraud = 1").select("transaction_id", *C.MODEL_INPUTS)
-    background = [[float(r[c]) for c in C.MODEL_INPUTS] for r in rows.filter("not is_test").orderBy(
-        F.md5(F.col("transaction_id").cast("string"))).limit(20).collect()]
-    base = model.score(spark.createDataFrame(background, C.MODEL_INPUTS)).agg(F.avg("score")).first()[0]
-    parts = BT.coalition_attribution(asked, "transaction_id", C.MODEL_INPUTS, model.score, background)
+def boosted(spark: SparkSession, folder: str) -> tuple[BT.BoostedModel, list[list[float]]]:
+    """The boosted model of the training rows and its scaled background rows."""
+    def build():
+        rows = training_rows(spark, folder).filter("not is_test")
+        model = BT.fit_boosted_model(rows)
+        return model, L.read_background(L.background_sample(rows, model.scaler))
+    return _keep(spark, folder, "boosted", build)
+
+
+def boosted_parts(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """The rows `asked`, which have scaled inputs and a score, and whether their reasons add up to it."""
+    model, background = boosted(spark, folder)
+
+    def score(rows):
+        return model.score(rows, scaled=True)
+
+    base = score(spark.createDataFrame(background, C.MODEL_INPUTS)).agg(F.avg("score")).first()[0]
+    parts = BT.coalition_attribution(asked, "transaction_id", C.MODEL_INPUTS, score, background)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
-    return model.score(asked).join(parts, "transaction_id").select(
-        "transaction_id", F.size("contributions").alias("n_inputs"),
+    return asked.select("transaction_id", "score").join(parts, "transaction_id").select(
+        "transaction_id", "score", "contributions",
         (F.abs(total - (F.col("score") - base)) < 1e-6).alias("adds_up"))
 
 
+def boosted_rows(spark: SparkSession, folder: str, condition: str) -> DataFrame:
+    """Rows of the log that meet the condition, with scaled inputs and their boosted score."""
+    model, _ = boosted(spark, folder)
+    scaled = [x.alias(c) for c, x in zip(C.MODEL_INPUTS, L.normalised_inputs(model.scaler, None))]
+    rows = training_rows(spark, folder).select("transaction_id", "is_test", "is_fraud", *scaled)
+    return model.score(rows, scaled=True).filter(condition).select(
+        "transaction_id", "score", *C.MODEL_INPUTS)
+
+
+def boosted_attribution(spark, folder):
+    """Reasons of the marked held-out rows under boosted trees: they add up to the score.
+
+    The rows are those that SQL can name; `boosted_reasons` has all that need reasons.
+    """
+    return boosted_parts(spark, folder, boosted_rows(spark, folder, "is_test and is_fraud = 1")).select(
+        "transaction_id", F.size("contributions").alias("n_inputs"), "adds_up")
+
+
+def boosted_reasons(spark, folder):
+    """Reasons of every row whose boosted score reaches the threshold, whatever its label."""
+    asked = materialize(boosted_rows(spark, folder, f"score >= {C.REASON_THRESHOLD}"), "boosted-asked")
+    return boosted_parts(spark, folder, asked)
+
+
 def trained_held_out(spark, folder):
     """Size, labels and fraud rate of the held-out rows, and whether the models rank them well."""
     return trained(spark, folder).metrics().select(
@@ -799,7 +832,7 @@ QUERIES: list[Query] = [
     confusion, prf1, auc_roc, fraud_rings, fraud_rings_min_k, fraud_rings_orders,
     fraud_rings_in_parts, ring_members, customers_list, customer_timeline, batch_score, batch_score_summary,
     scored_log, report_rows, json_requests, scored_json, trained_optimum, trained_held_out,
-    boosted_attribution, trained_metrics, trained_scores,
+    boosted_attribution, boosted_reasons, trained_metrics, trained_scores,
     stream_score, stream_alert_counts, stream_rings,
 ]
 

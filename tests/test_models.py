@@ -240,6 +240,16 @@ def test_coalitions_of_a_linear_score_are_its_terms(spark):
             [w * (r[c] - m) for c, w, m in zip(C.MODEL_INPUTS, weights, means)])
 
 
+def test_boosted_reasons_of_all_rows_above_the_threshold(spark, small):
+    model, background = catalog.boosted(spark, small)
+    assert len(background) == C.BACKGROUND_ROWS
+    asked = {r.transaction_id for r in model.score(catalog.training_rows(spark, small)).filter(
+        F.col("score") >= C.REASON_THRESHOLD).collect()}
+    got = catalog.boosted_reasons(spark, small).select("transaction_id", "adds_up").collect()
+    assert len(got) == len(asked) and {r.transaction_id for r in got} == asked
+    assert all(r.adds_up for r in got)
+
+
 def test_boosted_trees_find_an_interaction_and_its_reasons(spark):
     rows = _inputs(spark, 3000).cache()
     model = B.fit_boosted_model(rows.filter("transaction_id % 4 > 0"), max_iter=5)
