@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 MAX_BROADCAST_ROWS = 1_000_000
+# Rows of a few numbers or one digest each, so some 20 MB at most when broadcast.
+MAX_LOOKUP_ROWS = 200_000
 CHUNK_BYTES = 1 << 20
 MAX_MEMO = 300_000
 
@@ -34,6 +36,26 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def join_frequent(rows: DataFrame, lookup: DataFrame, key: str, holders: str,
+                  limit: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Left join of `rows` with `lookup`, which has one short row per key.
+
+    `holders`, a column of `lookup` that is not returned, is at least the number
+    of rows with that key. A lookup of at most `limit` rows is broadcast. From a
+    longer one the keys with more than the `limit`-th part of all rows are, and
+    those are fewer than `limit`; the rest is joined with a shuffle, in which no
+    key is frequent any more. Rows without a partner should have keys of their
+    own, since nulls would meet in one task. `lookup` is read several times.
+    """
+    size = lookup.agg(F.count("*").alias("rows"), F.sum(holders).alias("holders")).first()
+    if size["rows"] <= limit:
+        return rows.join(F.broadcast(lookup.drop(holders)), key, "left")
+    frequent = lookup.filter(F.col(holders) > size["holders"] / limit).drop(holders)
+    rare = lookup.filter(F.col(holders) <= size["holders"] / limit).drop(holders)
+    return rows.join(F.broadcast(frequent), key).unionByName(
+        rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(rare, key, "left"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once.
 

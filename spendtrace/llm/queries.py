@@ -11,6 +11,7 @@ from spendtrace.llm.classifier import classifier_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from spendtrace.llm.divergence import divergence_query
 from spendtrace.llm.extract import extract_query
+from spendtrace.llm.importance import importance_query
 from spendtrace.llm.jaccard import JACCARD_SQL, jaccard_query
 from spendtrace.llm.langid import langid_query
 from spendtrace.llm.mixture import MIXTURE_SQL, mixture_query
@@ -30,6 +31,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc_query,
         "op9_html_extract": extract_query,
         "op10_mixture": mixture_query,
+        "op12_importance": importance_query,
     }
 
 
