@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendtrace.llm.alignment import alignment_query
 from spendtrace.llm.chat import CHAT_SQL, chat_query
 from spendtrace.llm.classifier import classifier_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
@@ -31,6 +32,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc_query,
         "op9_html_extract": extract_query,
         "op10_mixture": mixture_query,
+        "op11_alignment": alignment_query,
         "op12_importance": importance_query,
     }
 
