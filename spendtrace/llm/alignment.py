@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +131,7 @@ def lockstep(ends_a: np.ndarray, starts_a: np.ndarray, ends_b: np.ndarray,
     return document[order], np.concatenate(found_a)[order], np.concatenate(found_b)[order]
 
 
-def _tokens(coder, lengths: np.ndarray, texts: list[str],
-            wanted: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
+def _tokens(coder, texts: list[str], wanted: list[bytes]) -> tuple[list[list[int]], np.ndarray]:
     """Ids of each text, and whether their bytes are the wanted ones."""
     ids = coder.encode(texts)
     same = [b"".join(map(coder.bytes.__getitem__, i)) == w for i, w in zip(ids, wanted)]
@@ -141,7 +141,7 @@ def _tokens(coder, lengths: np.ndarray, texts: list[str],
 def _flat(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids, the start of each document, and the byte end of each token in its document."""
     starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-    flat = np.fromiter((t for i in ids for t in i), np.int64, starts[-1])
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, starts[-1])
     running = np.concatenate([[0], np.cumsum(lengths[flat])])
     return flat, starts, running[1:] - np.repeat(running[starts[:-1]], np.diff(starts))
 
@@ -162,8 +162,8 @@ def _align(path_a: str, path_b: str):
             data = byte_texts(batch.column("text"))
             texts = [t.decode() for t in data]
             wanted = [b" " + t for t in data]
-            ids_a, same_a = _tokens(coder_a, lengths_a, [" " + t for t in texts], wanted)
-            ids_b, same_b = _tokens(coder_b, lengths_b, texts, wanted)
+            ids_a, same_a = _tokens(coder_a, [" " + t for t in texts], wanted)
+            ids_b, same_b = _tokens(coder_b, texts, wanted)
             whole = same_a & same_b & np.array([len(t) > 0 for t in data], bool)
             ids_a = [i if ok else [] for i, ok in zip(ids_a, whole)]
             ids_b = [i if ok else [] for i, ok in zip(ids_b, whole)]
@@ -177,13 +177,15 @@ def _align(path_a: str, path_b: str):
                 cut = slice(stops[i], stops[i + 1])
                 words.append(_written(ids_a[i], (a[cut] - starts_a[i] + 1).tolist(), names_a,
                                       ids_b[i], (b[cut] - starts_b[i] + 1).tolist(), names_b))
-            pairs, times = np.unique(
-                np.stack([document, flat_a[a], flat_b[b]]), axis=1, return_counts=True) if len(a) else (
-                np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
+            # Document and both ids in one number, which sorts far faster than rows of three.
+            packed = (document * len(lengths_a) + flat_a[a]) * len(lengths_b) + flat_b[b]
+            pairs, times = np.unique(packed, return_counts=True)
+            owner, pair = np.divmod(pairs, len(lengths_a) * len(lengths_b))
+            id_a, id_b = np.divmod(pair, len(lengths_b))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(starts_a)), pa.array(np.diff(starts_b)),
                  pa.array(words, pa.large_string()).cast(pa.string()), _lists(links, ("ends", ends_a[a])),
-                 _lists(np.bincount(pairs[0], minlength=len(texts)), ("a", pairs[1]), ("b", pairs[2]),
+                 _lists(np.bincount(owner, minlength=len(texts)), ("a", id_a), ("b", id_b),
                         ("times", times))],
                 ["doc_id", "n_a", "n_b", "groups", "cuts", "links"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spendtrace.llm.alignment import alignment_query
 from spendtrace.llm.chat import CHAT_SQL, chat_query
 from spendtrace.llm.classifier import classifier_query
+from spendtrace.llm.covertree import TOP_K_SQL, top_k_query
 from spendtrace.llm.decontaminate import DECONTAMINATE_SQL, decontaminate_query
 from spendtrace.llm.divergence import divergence_query
 from spendtrace.llm.extract import extract_query
@@ -34,6 +35,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixture": mixture_query,
         "op11_alignment": alignment_query,
         "op12_importance": importance_query,
+        "op13_top_k": top_k_query,
     }
 
 
@@ -49,4 +51,5 @@ def llm_sql() -> dict[str, str]:
         "op7_jaccard_join": JACCARD_SQL,
         "op8_warc": WARC_SQL,
         "op10_mixture": MIXTURE_SQL,
+        "op13_top_k": TOP_K_SQL,
     }
