@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spendtrace.operators.learn import RiskModels
 from spendtrace.session import materialize, new_folder
+from spendtrace.sources.writers import read_scored
 from checks import fixtures as fx
 from spendtrace.streaming import sinks
 from spendtrace.streaming.behaviour import score_stream
@@ -61,7 +62,7 @@ def _scored_folder(spark: SparkSession, sf_dir: str, models: RiskModels) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
-    return spark.read.parquet(_scored_folder(spark, sf_dir, models))
+    return read_scored(spark, _scored_folder(spark, sf_dir, models))
 
 
 def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
@@ -91,13 +92,13 @@ def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
 
 
 def alert_counts(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
-    folder = _scored_folder(spark, sf_dir, models)
-    out, checkpoint = new_folder(spark, "alerts"), new_folder(spark, "stream")
-    schema = spark.read.parquet(folder).schema
-    stream = sinks.read_transactions(spark, folder, schema)
-    with _state_partitions(spark):
-        sinks.count_alerts(stream, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    rows = scored(spark, sf_dir, models)
+    folder, out, checkpoint = (new_folder(spark, n) for n in ("scored-rows", "alerts", "stream"))
+    for _ in _arrivals(rows, folder):
+        stream = sinks.read_transactions(spark, folder, rows.schema)
+        with _state_partitions(spark):
+            sinks.count_alerts(stream, out, checkpoint).awaitTermination()
+    return sinks.stored_alert_counts(spark, out)
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:

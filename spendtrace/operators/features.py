@@ -128,19 +128,18 @@ def feature_columns(is_home: Column) -> dict[str, Column]:
     }
 
 
-def add_point_features(history: History, is_home: Column | None = None) -> History:
-    """Adds the nine features and n_prior; a column of the same name is replaced.
+def add_state(history: History) -> History:
+    """What the features of a row are made of: counts and moments of the earlier rows.
 
     One exchange on the customer serves all windows, since the customer is part
     of each partition key.
     """
-    is_home = home_city() if is_home is None else is_home
-    history = history.derive(_without_features(history.whole),
-                             None if history.cut is None else _without_features(history.cut))
     hour = F.hour("timestamp")
-    history = history.derive(
-        history.whole.withColumn("_hour", hour),
-        None if history.cut is None else history.cut.withColumn("_hour", hour))
+
+    def prepared(rows: DataFrame) -> DataFrame:
+        return _without_features(rows).withColumn("_hour", hour)
+
+    history = history.map(prepared)
     own = history.derive(history.whole, None)
     own = seen_count(own, "_hour", "_hour_seen")
     own = seen_count(own, "merchant_category", "_category_seen")
@@ -148,16 +147,19 @@ def add_point_features(history: History, is_home: Column | None = None) -> Histo
     own = first_seen(own, "location", "is_new_location")
     own = add_amount_state(own)
     history = history if history.cut is None else cut_state(history)
-    history = history.derive(own.whole, history.cut)
+    return history.derive(own.whole, history.cut)
 
-    columns = feature_columns(is_home)
+
+def features_of_state(history: History, is_home: Column | None = None) -> History:
+    """The nine features from the columns of `add_state`, which leave; n_prior stays."""
+    columns = feature_columns(home_city() if is_home is None else is_home)
     internal = ["prior_mean", "prior_std", "_hour", "_hour_seen", "_category_seen"]
+    return history.map(lambda rows: rows.withColumns(columns).drop(*internal))
 
-    def finish(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(columns).drop(*internal)
 
-    return history.derive(finish(history.whole),
-                          None if history.cut is None else finish(history.cut))
+def add_point_features(history: History, is_home: Column | None = None) -> History:
+    """Adds the nine features and n_prior; a column of the same name is replaced."""
+    return features_of_state(add_state(history), is_home)
 
 
 def _without_features(rows: DataFrame) -> DataFrame:

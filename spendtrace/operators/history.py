@@ -67,6 +67,10 @@ class History:
     def derive(self, whole: DataFrame, cut: DataFrame | None) -> History:
         return replace(self, whole=whole, cut=cut)
 
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> History:
+        """The same change of the rows of both parts."""
+        return self.derive(change(self.whole), None if self.cut is None else change(self.cut))
+
     def settled(self) -> History:
         """Write the cut part once, before it is read for totals and for rows."""
         return self if self.cut is None else replace(self, cut=materialize(self.cut, "runs"))

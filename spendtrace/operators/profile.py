@@ -15,12 +15,8 @@ from spendtrace.operators.history import (
 GROUP_LIMIT = 1000
 
 
-def add_profile(history: History) -> History:
-    """mean_x and std_x (population) of each feature over the rows before.
-
-    No earlier row gives mean 0 and deviation 1, one earlier row deviation 1.
-    """
-    n = F.col("n_prior")
+def prior_profile(history: History) -> History:
+    """_mean_x and _std_x (population) of each feature over the rows before; null without any."""
     prior = history.ordered().rowsBetween(Window.unboundedPreceding, -1)
     raw = {}
     for f in C.FEATURES:
@@ -48,15 +44,26 @@ def add_profile(history: History) -> History:
             .withColumns(merged)
             .drop(*inside, *[f"{f}_{x}" for f in C.FEATURES for x in ("n0", "mean0", "m20")])
         )
+    return history.derive(whole, cut)
 
-    def finish(rows: DataFrame) -> DataFrame:
-        final = {}
-        for f in C.FEATURES:
-            final[f"mean_{f}"] = F.when(n > 0, F.col(f"_mean_{f}")).otherwise(0.0)
-            final[f"std_{f}"] = F.when(n > 1, F.col(f"_std_{f}")).otherwise(1.0)
-        return rows.withColumns(final).drop(*raw)
 
-    return history.derive(finish(whole), None if cut is None else finish(cut))
+def settle_profile(history: History) -> History:
+    """mean_x and std_x from the columns of `prior_profile`, which leave."""
+    n = F.col("n_prior")
+    final = {}
+    for f in C.FEATURES:
+        final[f"mean_{f}"] = F.when(n > 0, F.col(f"_mean_{f}")).otherwise(0.0)
+        final[f"std_{f}"] = F.when(n > 1, F.col(f"_std_{f}")).otherwise(1.0)
+    raw = [f"_{kind}_{f}" for f in C.FEATURES for kind in ("mean", "std")]
+    return history.map(lambda rows: rows.withColumns(final).drop(*raw))
+
+
+def add_profile(history: History) -> History:
+    """mean_x and std_x (population) of each feature over the rows before.
+
+    No earlier row gives mean 0 and deviation 1, one earlier row deviation 1.
+    """
+    return settle_profile(prior_profile(history))
 
 
 def profile_columns() -> list[str]:

@@ -43,9 +43,8 @@ def conform(batch: DataFrame) -> DataFrame:
     return batch.select(*out, *rest, unparsed.alias("_unparsed"))
 
 
-def violation_list() -> Column:
-    """Names of the row rules a conformed row breaks."""
-    rules = {
+def _rules() -> dict[str, Column]:
+    return {
         "customer_id is missing": F.coalesce(
             F.trim(F.col("customer_id").cast("string")) == "", F.lit(True)),
         "amount is missing": F.col("amount").isNull() | F.isnan("amount"),
@@ -53,7 +52,17 @@ def violation_list() -> Column:
         "merchant_category is missing": F.col("merchant_category").isNull(),
         "failed_logins_24h must not be negative": F.col("failed_logins_24h") < 0,
     }
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+
+
+# The row rules by name.
+RULES = ("customer_id is missing", "amount is missing", "amount must be positive",
+         "merchant_category is missing", "failed_logins_24h must not be negative")
+
+
+def violation_list() -> Column:
+    """Names of the row rules a conformed row breaks."""
+    rules = _rules()
+    return F.array_compact(F.array(*[F.when(rules[n], F.lit(n)) for n in RULES]))
 
 
 def with_violations(batch: DataFrame) -> DataFrame:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendtrace import contract as C
 from spendtrace.functions.columns import hash_bucket
 from spendtrace.operators.learn import RiskModels, from_json, to_json
-from spendtrace.sources.readers import path_exists
+from spendtrace.session import materialize
+from spendtrace.sources.manifest import commit, new_run, newest, schema_of, to_merge
+
+# Ids per file of the store's index, and how many of a batch are looked up one by one.
+IDS_PER_FILE = 5_000_000
+LISTED_IDS = 10_000
 
 # Folders of the scored store; a customer is in one of them.
 CUSTOMER_BUCKETS = 64
@@ -34,25 +43,121 @@ def append_scored(scored: DataFrame, path: str) -> None:
     """Append scored rows once per transaction id.
 
     An id that is stored already, whatever its date, is left out, so a repeated
-    write adds nothing; only the id column of the store is read for that. Of new
-    rows with one id the earliest stays, then the smallest by content
-    (`conflicting_ids` reports them). Files hold one bucket of customers each,
-    in (customer, time) order, so reading a customer touches one bucket and few
-    row groups.
+    write adds nothing. Of new rows with one id the earliest stays, then the
+    smallest by content (`conflicting_ids` reports them). Files hold one bucket
+    of customers each, in (customer, time) order, so reading a customer touches
+    one bucket and few row groups.
+
+    Rows and an index of their ids are named by one manifest, so a job that ends
+    half-way has appended nothing. The index lies in runs of files in the order
+    of the ids' hashes, and the manifest has the first and last hash of each
+    file: looking up a few ids opens one file per run and id at most. Runs of
+    similar size are merged, and so are the files of the rows.
     """
     spark = scored.sparkSession
+    seen = newest(spark, path)
     rows = scored.select(
         *C.SCORED_COLUMNS, F.lit(None).cast("boolean").alias("is_fraud_actual"),
         F.to_date("timestamp").alias("date"),
         customer_bucket(F.col("customer_id")).alias("customer_bucket"))
+    if seen:
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(seen)])
     first = Window.partitionBy("transaction_id").orderBy("timestamp", _content())
     rows = rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    if path_exists(spark, path):
-        stored = read_scored(spark, path).select(F.col("transaction_id").alias("_stored"))
-        rows = rows.join(stored, F.col("transaction_id") == F.col("_stored"), "left_anti")
-    keys = ["customer_bucket", "customer_id", "timestamp", "transaction_id"]
+    rows = materialize(rows.withColumn("_hash", F.xxhash64("transaction_id")), "to-append")
+    parts = {"rows": [], "ids": []}
+    if seen:
+        parts = {name: list(runs) for name, runs in seen["parts"].items()}
+        stored = stored_ids(spark, path, rows.select("_hash"), seen)
+        if stored is not None:
+            rows = rows.join(stored, ["_hash", "transaction_id"], "left_anti")
+    schema = rows.drop("_hash", "customer_bucket").schema
+    told = {"schema": json.loads(T.StructType([*schema, rows.schema["customer_bucket"]]).json())}
+    run = _write_rows(rows.drop("_hash"), path)
+    if run["rows"]:
+        added = _run_rows(spark, path, [run], told).select(
+            F.xxhash64("transaction_id").alias("_hash"), "transaction_id")
+        parts["rows"].append(run)
+        parts["ids"].append(_write_ids(added, path, run["rows"]))
+    elif seen:
+        return
+    for name, merged in (("rows", _merged_rows), ("ids", _merged_ids)):
+        count = to_merge([r["rows"] for r in parts[name]])
+        if count:
+            parts[name] = [*parts[name][:-count], merged(spark, path, parts[name][-count:], told)]
+    commit(spark, path, {**told, "parts": parts}, seen)
+
+
+def stored_ids(spark: SparkSession, path: str, hashes: DataFrame, told: dict) -> DataFrame | None:
+    """(_hash, transaction_id) of the index files that can hold one of the hashes."""
+    files = index_files(path, told, _listed(hashes))
+    if not files:
+        return None
+    return spark.read.schema(_id_schema(told)).parquet(*files)
+
+
+def index_files(path: str, told: dict, listed: list[int] | tuple[int, int]) -> list[str]:
+    """Files of the index that may hold a hash: of a sorted list, or of a pair's range."""
+    found = []
+    for run in told["parts"]["ids"]:
+        for name, low, high in run["files"]:
+            if isinstance(listed, tuple):
+                wanted = low <= listed[1] and high >= listed[0]
+            else:
+                wanted = bisect_left(listed, low) < bisect_right(listed, high)
+            if wanted:
+                found.append(f"{path}/{run['folder']}/{name}")
+    return found
+
+
+def _listed(hashes: DataFrame) -> list[int] | tuple[int, int]:
+    """The hashes in order, if they are few; else their least and greatest one."""
+    few = [r[0] for r in hashes.limit(LISTED_IDS + 1).collect()]
+    if len(few) <= LISTED_IDS:
+        return sorted(few)
+    ends = hashes.agg(F.min("_hash"), F.max("_hash")).first()
+    return ends[0], ends[1]
+
+
+def _id_schema(told: dict) -> T.StructType:
+    return T.StructType([T.StructField("_hash", T.LongType()), schema_of(told)["transaction_id"]])
+
+
+def _write_rows(rows: DataFrame, path: str) -> dict:
+    folder, keys = new_run("rows"), ["customer_bucket", "customer_id", "timestamp", "transaction_id"]
     (rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .write.mode("append").partitionBy("customer_bucket").parquet(path))
+     .write.partitionBy("customer_bucket").parquet(f"{path}/{folder}"))
+    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{folder}")
+    return {"folder": folder, "rows": written.count()}
+
+
+def _run_rows(spark: SparkSession, path: str, runs: list[dict], told: dict) -> DataFrame:
+    schema = T.StructType([*schema_of(told), T.StructField("run", T.StringType())])
+    if not runs:
+        return spark.createDataFrame([], schema).drop("run")
+    return (spark.read.schema(schema).option("basePath", f"{path}/rows")
+            .parquet(*[f"{path}/{run['folder']}" for run in runs]).drop("run"))
+
+
+def _merged_rows(spark: SparkSession, path: str, runs: list[dict], told: dict) -> dict:
+    return _write_rows(_run_rows(spark, path, runs, told), path)
+
+
+def _write_ids(ids: DataFrame, path: str, rows: int) -> dict:
+    """One run of the index: files in the order of the hashes, and the ends of each."""
+    folder = new_run("ids")
+    ids.repartitionByRange(max(1, -(-rows // IDS_PER_FILE)), "_hash").sortWithinPartitions(
+        "_hash").write.parquet(f"{path}/{folder}")
+    spark = ids.sparkSession
+    ends = spark.read.schema(ids.schema).parquet(f"{path}/{folder}").groupBy(
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(
+        F.min("_hash").alias("low"), F.max("_hash").alias("high")).collect()
+    return {"folder": folder, "rows": rows, "files": sorted([r["file"], r["low"], r["high"]] for r in ends)}
+
+
+def _merged_ids(spark: SparkSession, path: str, runs: list[dict], told: dict) -> dict:
+    ids = spark.read.schema(_id_schema(told)).parquet(*[f"{path}/{run['folder']}" for run in runs])
+    return _write_ids(ids, path, sum(run["rows"] for run in runs))
 
 
 def customer_bucket(customer: Column) -> Column:
@@ -70,7 +175,11 @@ def _content() -> Column:
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows that the store's newest manifest names."""
+    told = newest(spark, path)
+    if told is None:
+        raise FileNotFoundError(path)
+    return _run_rows(spark, path, told["parts"]["rows"], told)
 
 
 def scored_of_customer(spark: SparkSession, path: str, customer_id) -> DataFrame:

@@ -21,6 +21,8 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import flag, micros
 from spendtrace.operators.features import SECOND, home_city
 from spendtrace.operators.learn import RiskModels
+from spendtrace.operators.snapshot import Snapshot
+from spendtrace.operators.validate import RULES, violation_list, with_defaults, with_violations
 from spendtrace.plans.scoring import score_behaviour
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,8 +49,22 @@ class RunningBehaviour(StatefulProcessor):
         self.stats = handle.getValueState("stats", STATS)
         self.seen = handle.getMapState("seen", "kind string, value string", "n bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows of `initial_rows`: one with what is bounded, the others one value each."""
+        for row in initialState.itertuples(index=False):
+            if row.kind is not None:
+                self.seen.updateValue((row.kind, _entry(row.value)), (int(row.n),))
+            else:
+                steps = [[float(v) for v in step] for step in row.steps]
+                self.stats.update((
+                    int(row.n), float(row.mean), float(row.m2), int(row.last),
+                    [int(v) for v in row.hours], sorted(int(v) for v in row.recent), steps,
+                    [float(v) for v in row.f_mean], [float(v) for v in row.f_m2]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield self._take(pd.concat(list(rows)))
+        batch = pd.concat(list(rows))
+        if len(batch):
+            yield self._take(batch)
 
     def _take(self, batch: pd.DataFrame) -> pd.DataFrame:
         """The rows in event order, with what the customer did before each."""
@@ -58,7 +74,7 @@ class RunningBehaviour(StatefulProcessor):
         changed: set[tuple[str, str]] = set()
 
         def count(kind: str, value) -> int:
-            entry = (kind, "" if pd.isna(value) else "=" + str(value))
+            entry = (kind, _entry(value))
             if entry not in counts:
                 held = self.seen.getValue(entry)
                 counts[entry] = 0 if held is None else held[0]
@@ -213,15 +229,39 @@ class OrderedBehaviour(RunningBehaviour):
             self.handle.registerTimer(times[0] // 1000 + 1)
 
 
+def _entry(value) -> str:
+    """A value as it is written in the map; null is a value of its own."""
+    return "" if pd.isna(value) else "=" + str(value)
+
+
+def initial_rows(snapshot: Snapshot) -> DataFrame:
+    """A snapshot as rows per customer: one of its customers table, and one per value."""
+    values = snapshot.values.select("customer_id", "n", "kind", "value")
+    return snapshot.customers.withColumns({
+        "kind": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}).unionByName(
+        values, allowMissingColumns=True)
+
+
 def _records(frame: pd.DataFrame) -> list[tuple]:
     return [tuple(None if pd.isna(v) else v for v in r)
             for r in frame.astype(object).itertuples(index=False, name=None)]
 
 
-def running_behaviour(stream: DataFrame, is_home: Column | None = None,
-                      delay: str | None = None) -> DataFrame:
+def takeable() -> Column:
+    """Whether a row can enter the state: it breaks no row rule and has a time."""
+    whole = F.coalesce("failed_logins_24h", F.lit(-1)) >= 0
+    return (F.size(violation_list()) == 0) & F.col("timestamp").isNotNull() & whole
+
+
+def running_behaviour(stream: DataFrame, is_home: Column | None = None, delay: str | None = None,
+                      snapshot: Snapshot | None = None) -> DataFrame:
     """Features, profile and earlier steps of each arriving transaction.
 
+    With a `snapshot` the first micro-batch of a new checkpoint starts from it,
+    so customers it knows are no newcomers; later runs go on from the
+    checkpoint. Rows that are not `takeable` never reach the state and are not
+    returned; `score_checked_stream` returns them with the rules they break.
+
     Without `delay` a row is taken when it arrives, rows of one micro-batch in
     event order. With `delay` rows are held back until the watermark passes them
     and are taken in event order across micro-batches. Either way a row older
@@ -236,7 +276,7 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None,
     at_type = stream.schema["timestamp"].dataType
     if delay is not None:
         stream = stream.withWatermark("timestamp", delay)
-    prepared = stream.select(
+    prepared = stream.filter(takeable()).select(
         *[c for c in KEPT if c != "event_micros"],
         micros("timestamp").alias("event_micros"), F.hour("timestamp").alias("event_hour"),
         flag(~F.coalesce(is_home, F.lit(False))).alias("foreign"))
@@ -251,7 +291,8 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None,
     states = prepared.groupBy("customer_id").transformWithStateInPandas(
         statefulProcessor=RunningBehaviour() if delay is None else OrderedBehaviour(columns),
         outputStructType=schema, outputMode="Append",
-        timeMode="None" if delay is None else "EventTime")
+        timeMode="None" if delay is None else "EventTime",
+        initialState=None if snapshot is None else _initial_state(snapshot, columns))
     states = states.withColumn(
         "timestamp", F.timestamp_micros("event_micros").cast(at_type)).drop("event_micros")
     whole_numbers = set(C.FEATURES) - {"amount_zscore", "amount_pct_of_avg"}
@@ -264,8 +305,37 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None,
     return states.withColumns(named).drop("features", "means", "stds")
 
 
+def _initial_state(snapshot: Snapshot, columns: T.StructType):
+    rows = initial_rows(snapshot).withColumn(
+        "customer_id", F.col("customer_id").cast(columns["customer_id"].dataType))
+    return rows.groupBy("customer_id")
+
+
 def score_stream(stream: DataFrame, models: RiskModels, is_home: Column | None = None,
-                 with_reasons: bool = True, delay: str | None = None) -> DataFrame:
+                 with_reasons: bool = True, delay: str | None = None,
+                 snapshot: Snapshot | None = None) -> DataFrame:
     """Scored transactions of a stream; the expressions are those of the batch jobs."""
-    return score_behaviour(running_behaviour(stream, is_home, delay), models, with_reasons,
+    return score_behaviour(running_behaviour(stream, is_home, delay, snapshot), models, with_reasons,
                            extra=["is_late"])
+
+
+def score_checked_stream(stream: DataFrame, models: RiskModels, is_home: Column | None = None,
+                         with_reasons: bool = True, delay: str | None = None,
+                         snapshot: Snapshot | None = None, request: str = "") -> DataFrame:
+    """All rows of a raw stream: valid ones scored, the others with the rules they break.
+
+    `violations` is null for a scored row. A rejected row keeps its values as
+    far as they parse, in the columns of the contract, and `given`, the row as
+    it came. Rules come before defaults and state, so a rejected row leaves no
+    trace in either. The counts of rows and of broken rules are observed as
+    `rules` in the progress of the query.
+    """
+    given = F.to_json(F.struct(*stream.columns))
+    rows = with_violations(stream.withColumn("given", given)).observe(
+        "rules", F.count("*").alias("rows"), F.count_if(F.size("violations") > 0).alias("rejected"),
+        *[F.count_if(F.array_contains("violations", name)).alias(name) for name in RULES])
+    valid = with_defaults(rows.filter(F.size("violations") == 0).drop("violations", "given"), request=request)
+    scored = score_stream(valid, models, is_home, with_reasons, delay, snapshot)
+    rejected = rows.filter(F.size("violations") > 0)
+    kept = [c for c in C.SCORED_COLUMNS if c in rejected.columns]
+    return scored.unionByName(rejected.select(*kept, "violations", "given"), allowMissingColumns=True)
