@@ -23,6 +23,7 @@ from spendtrace.operators import learn as L
 from spendtrace.operators import profile as P
 from spendtrace.operators import rings as R
 from spendtrace.operators import sequences as S
+from spendtrace.operators import snapshot as SN
 from spendtrace.operators import validate as V
 from spendtrace.plans import reports, scoring
 from spendtrace.plans.training import Trained, train
@@ -585,16 +586,17 @@ def trained_held_out(spark, folder):
 
 
 def stream_score(spark, folder):
-    return replay.scored(spark, folder, fixed_models(spark, folder)).select(
+    log = fx.episode_log(spark, folder)
+    return replay.scored(spark, log, fixed_models(spark, folder)).select(
         "transaction_id", "risk_score", "fraud_probability", "similarity_pct", "alert_level")
 
 
 def stream_alert_counts(spark, folder):
-    return replay.alert_counts(spark, folder, fixed_models(spark, folder))
+    return replay.alert_counts(spark, fx.episode_log(spark, folder), fixed_models(spark, folder))
 
 
 def stream_rings(spark, folder):
-    return replay.rings(spark, folder)
+    return replay.rings(spark, fx.episode_log(spark, folder))
 
 
 # --- tables written and read back through the real readers and writers ------------
@@ -811,7 +813,105 @@ def stream_score_delayed(spark, folder):
         "is_late")
 
 
+# --- behaviour carried forward: batches and streams that start from a snapshot ---------
+
+HALF = "2024-01-16 00:00:00"
+
+
+def _before(at: str):
+    return F.col("timestamp") < F.to_timestamp_ntz(F.lit(at))
+
+
+def _snapshot(spark, log, path, home, max_rows=None):
+    """The snapshot of a log, written to the store of snapshots and read back."""
+    writers.put_snapshot(SN.snapshot_of(scoring.behaviour(log, home, max_rows).rows()), path)
+    return writers.read_snapshot(spark, path)
+
+
+BATCH_SHOWN = ["transaction_id", "customer_id", "amount", "risk_score", "fraud_probability",
+               "similarity_pct", "alert_level"]
+
+
+def batch_score_from_snapshot(spark, folder):
+    """A batch scored from the stored snapshot; a fifth of its customers also bring back-dated rows."""
+    log = fx.episode_log(spark, folder)
+    held = (F.col("customer_id") % 5 == 0) & F.dayofmonth("timestamp").between(9, 10)
+    in_batch = ~_before(BATCH_CUT) | held
+    stored, batch = log.filter(~in_batch), log.filter(in_batch).drop("is_fraud")
+    home = fx.episode_home()
+    snapshot = _snapshot(spark, stored, new_folder(spark, "snapshots"), home)
+    return scoring.score_batch(stored, batch, fixed_models(spark, folder), home, with_reasons=False,
+                               snapshot=snapshot).select(*BATCH_SHOWN)
+
+
+def batch_score_carried(spark, folder):
+    """Two batches in a row; the first one's snapshot is written and the second starts from it."""
+    log, home, path = fx.episode_log(spark, folder), fx.episode_home(), new_folder(spark, "snapshots")
+    models, parts = fixed_models(spark, folder), []
+    stored = log.filter(_before(HALF))
+    snapshot = _snapshot(spark, stored, path, home)
+    for number, arrived in enumerate((_before(BATCH_CUT) & ~_before(HALF), ~_before(BATCH_CUT))):
+        carried = scoring.carry_batch(snapshot, stored, log.filter(arrived).drop("is_fraud"), models, home,
+                                      with_reasons=False)
+        parts.append(materialize(carried.scored, "scored"))
+        writers.put_snapshot(carried.changed, path, number, "batches")
+        snapshot, stored = writers.read_snapshot(spark, path), log.filter(_before(BATCH_CUT))
+    return parts[0].unionByName(parts[1]).select(*BATCH_SHOWN)
+
+
+def customer_snapshots(spark, folder):
+    """The merged snapshot of two halves of the skewed log, the large customer cut into runs."""
+    log = fx.skewed_log(spark, folder)
+    rows = materialize(scoring.behaviour(log, fx.hot_home(), _skewed_run(spark, folder)).rows(), "behaviour")
+    both = SN.merge_snapshots(SN.snapshot_of(rows.filter(_before(HALF))), SN.snapshot_of(rows.filter(~_before(HALF))))
+    used = both.values.groupBy("customer_id").agg(
+        F.count("*").alias("n_values"), F.sum("n").alias("n_uses"))
+    # The small number keeps exact halves away from the rounding.
+    parts = [F.round(F.get("f_mean", F.lit(i)) + 1e-9, 6).alias(f"mean_{f}") for i, f in enumerate(C.FEATURES)]
+    return both.customers.join(used, "customer_id").select(
+        "customer_id", "n", F.round(F.col("mean") + 1e-9, 6).alias("mean"),
+        F.round(F.sqrt(F.col("m2") / F.col("n")) + 1e-9, 6).alias("std"),
+        "last", F.size("recent").alias("n_recent"), F.size("steps").alias("n_steps"),
+        F.get("hours", F.lit(12)).alias("n_at_noon"), "n_values", "n_uses", *parts)
+
+
+def stream_score_continued(spark, folder):
+    """The second half of the log as a stream that starts from the snapshot of the first."""
+    log, home = fx.episode_log(spark, folder), fx.episode_home()
+    snapshot = _snapshot(spark, log.filter(_before(HALF)), new_folder(spark, "snapshots"), home)
+    return replay.scored(spark, log.filter(~_before(HALF)), fixed_models(spark, folder), snapshot).select(
+        "transaction_id", "risk_score", "fraud_probability", "similarity_pct", "alert_level")
+
+
+def stream_behaviour_continued(spark, folder):
+    """Likewise where one customer, cut into runs for the snapshot, has a third of all rows."""
+    log, home = fx.skewed_log(spark, folder), fx.hot_home()
+    snapshot = _snapshot(spark, log.filter(_before(HALF)), new_folder(spark, "snapshots"), home,
+                         _skewed_run(spark, folder))
+    rows = replay.behaviour(spark, log.filter(~_before(HALF)), home, snapshot)
+    risk = L.fixed_trajectory_model().risk_score(F.col("steps"))
+    return _rounded(P.add_similarity(rows.withColumn("risk_score", risk), digits=6), [
+        "amount_zscore", "amount_pct_of_avg"]).select(
+        "customer_id", "transaction_id", *C.FEATURES, "risk_score", "similarity_pct")
+
+
+def stream_checked_scored(spark, folder):
+    """The valid rows of a raw stream; broken ones among them leave no trace in the state."""
+    return replay.checked(spark, fx.dirty_batch(spark, folder), fixed_models(spark, folder))[0].select(
+        "customer_id", "transaction_id", "device_id", "location", "failed_logins_24h", "risk_score",
+        "similarity_pct")
+
+
+def stream_rejected(spark, folder):
+    """The broken rows of a raw stream with their rules, as the sink beside the scores has them."""
+    return replay.checked(spark, fx.dirty_batch(spark, folder), fixed_models(spark, folder))[1].select(
+        "transaction_id", F.array_join("violations", "; ").alias("violations"),
+        F.get_json_object("given", "$.merchant_category").alias("given_category"))
+
+
 QUERIES: list[Query] = [
+    batch_score_from_snapshot, batch_score_carried, customer_snapshots, stream_score_continued,
+    stream_behaviour_continued, stream_checked_scored, stream_rejected,
     csv_log_round_trip, feature_store_round_trip, sequence_store_round_trip,
     batch_csv_mixed_headers, batch_unparsed_values, missing_columns, features_recomputed,
     models_round_trip, background_stored, metrics_refresh, history_from_nothing,

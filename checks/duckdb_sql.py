@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from spendtrace import contract as C
 from spendtrace.operators import learn as L
-from checks.catalog import BATCH_CUT, TIMELINE_CUSTOMER
+from spendtrace.operators import snapshot as SN
+from checks.catalog import BATCH_CUT, HALF, TIMELINE_CUSTOMER
 
 F9 = C.FEATURES
 F10 = C.MODEL_INPUTS
@@ -611,6 +612,37 @@ group by p.transaction_id, prob"""
     out["stream_score"] = SCORED_SIM + f"""
 select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, similarity_pct,
  {LEVEL} as alert_level from sim"""
+    shown = ("transaction_id, customer_id, amount, risk_score, round(prob * 100, 2) as fraud_probability,"
+             f" similarity_pct, {LEVEL} as alert_level")
+    half = f"timestamp >= timestamp '{HALF}'"
+    out["batch_score_from_snapshot"] = SCORED_SIM + f"""
+select {shown} from sim where {late} or (customer_id % 5 = 0 and day(timestamp) between 9 and 10)"""
+    out["batch_score_carried"] = SCORED_SIM + f"select {shown} from sim where {half}"
+    means = ", ".join(f"round(avg({f}::double) + 1e-9, 6) as mean_{f}" for f in F9)
+    used = " union all ".join(f"select customer_id, '{k}' as kind, {c} as value from f"
+                              for k, c in SN.KINDS.items())
+    out["customer_snapshots"] = SKEWED_F + f""",
+ends as (select customer_id, max(epoch_us(timestamp)) as last from f group by customer_id),
+uses as (select customer_id, kind, value, count(*) as n from ({used}) group by all),
+v as (select customer_id, count(*) as n_values, sum(n)::bigint as n_uses from uses group by customer_id)
+select f.customer_id, count(*) as n, round(avg(amount) + 1e-9, 6) as mean, round(stddev_pop(amount) + 1e-9, 6) as std, last,
+ cast(count(*) filter (epoch_us(timestamp) >= last - 3600000000) as int) as n_recent,
+ cast(least(count(*), 10) as int) as n_steps, count(*) filter (hour(timestamp) = 12) as n_at_noon,
+ any_value(n_values) as n_values, any_value(n_uses) as n_uses, {means}
+from f join ends using (customer_id) join v using (customer_id) group by f.customer_id, last"""
+    out["stream_score_continued"] = out["stream_score"] + f" where {half}"
+    out["stream_behaviour_continued"] = SKEWED_F + risk() + similarity_cte("r") + f"""
+select customer_id, transaction_id, {FEATURE_OUT}, risk_score, similarity_pct from sim where {half}"""
+    valid = f"""
+select * replace (coalesce(nullif(device_id, ''), 'DEV_' || customer_id || '_A') as device_id,
+  coalesce(nullif(location, ''), '{C.DEFAULT_LOCATION}') as location,
+  cast(coalesce(failed_logins_24h, 0) as int) as failed_logins_24h), 0 as is_fraud
+from ({BATCH}) where customer_id is not null and amount > 0 and merchant_category is not null
+ and coalesce(failed_logins_24h, 0) >= 0"""
+    out["stream_checked_scored"] = features(valid, EPISODE_HOME) + risk() + similarity_cte("r") + """
+select customer_id, transaction_id, device_id, location, failed_logins_24h, risk_score, similarity_pct from sim"""
+    out["stream_rejected"] = violations() + """
+select transaction_id, vs as violations, merchant_category as given_category from v where vs <> ''"""
     out["stream_alert_counts"] = SCORED + f"""
 select date_trunc('day', timestamp) as day, {LEVEL} as alert_level, count(*) as n
 from p group by all"""

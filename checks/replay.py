@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtrace.operators.learn import RiskModels
+from spendtrace.operators.snapshot import Snapshot
 from spendtrace.session import materialize, new_folder
 from spendtrace.sources.writers import read_scored
 from checks import fixtures as fx
 from spendtrace.streaming import sinks
-from spendtrace.streaming.behaviour import score_stream
+from spendtrace.streaming.behaviour import (
+    running_behaviour, score_checked_stream, score_stream,
+)
 
 SLICES = 3
 
@@ -45,8 +48,8 @@ def _state_partitions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str], object]) -> None:
-    log = materialize(fx.episode_log(spark, sf_dir), "log")
+def _replayed(spark: SparkSession, log: DataFrame, run: Callable[[DataFrame, str], object]) -> None:
+    log = materialize(log, "log")
     folder, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "stream")
     for _ in _arrivals(log, folder):
         with _state_partitions(spark):
@@ -54,15 +57,31 @@ def _replayed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame, str],
             run(stream, checkpoint).awaitTermination()
 
 
-def _scored_folder(spark: SparkSession, sf_dir: str, models: RiskModels) -> str:
+def scored(spark: SparkSession, log: DataFrame, models: RiskModels,
+           snapshot: Snapshot | None = None) -> DataFrame:
     out = new_folder(spark, "scored")
-    _replayed(spark, sf_dir, lambda stream, checkpoint: sinks.write_scored(
-        score_stream(stream, models, fx.episode_home(), with_reasons=False), out, checkpoint))
-    return out
+    _replayed(spark, log, lambda stream, checkpoint: sinks.write_scored(
+        score_stream(stream, models, fx.episode_home(), with_reasons=False, snapshot=snapshot),
+        out, checkpoint))
+    return read_scored(spark, out)
 
 
-def scored(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
-    return read_scored(spark, _scored_folder(spark, sf_dir, models))
+def behaviour(spark: SparkSession, log: DataFrame, home: Column, snapshot: Snapshot) -> DataFrame:
+    """Features, profile and steps of a log as a stream that starts from a snapshot."""
+    out = new_folder(spark, "behaviour")
+    _replayed(spark, log, lambda stream, checkpoint: running_behaviour(
+        stream, home, snapshot=snapshot).writeStream.option(
+        "checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+def checked(spark: SparkSession, rows: DataFrame, models: RiskModels) -> tuple[DataFrame, DataFrame]:
+    """Scored and rejected rows of a raw stream."""
+    out, dead = new_folder(spark, "scored"), new_folder(spark, "rejected")
+    _replayed(spark, rows, lambda stream, checkpoint: sinks.write_checked(
+        score_checked_stream(stream, models, fx.episode_home(), with_reasons=False),
+        out, dead, checkpoint))
+    return read_scored(spark, out), sinks.read_rejected(spark, dead)
 
 
 def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
@@ -91,18 +110,14 @@ def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
     return spark.read.parquet(out).filter(F.col("customer_id") >= 0)
 
 
-def alert_counts(spark: SparkSession, sf_dir: str, models: RiskModels) -> DataFrame:
-    rows = scored(spark, sf_dir, models)
-    folder, out, checkpoint = (new_folder(spark, n) for n in ("scored-rows", "alerts", "stream"))
-    for _ in _arrivals(rows, folder):
-        stream = sinks.read_transactions(spark, folder, rows.schema)
-        with _state_partitions(spark):
-            sinks.count_alerts(stream, out, checkpoint).awaitTermination()
+def alert_counts(spark: SparkSession, log: DataFrame, models: RiskModels) -> DataFrame:
+    rows = scored(spark, log, models)
+    out = new_folder(spark, "alerts")
+    _replayed(spark, rows, lambda stream, checkpoint: sinks.count_alerts(stream, out, checkpoint))
     return sinks.stored_alert_counts(spark, out)
 
 
-def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rings(spark: SparkSession, log: DataFrame) -> DataFrame:
     out = new_folder(spark, "devices")
-    _replayed(spark, sf_dir, lambda stream, checkpoint: sinks.count_devices(
-        stream, out, checkpoint))
+    _replayed(spark, log, lambda stream, checkpoint: sinks.count_devices(stream, out, checkpoint))
     return sinks.running_rings(spark, out)

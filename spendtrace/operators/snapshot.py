@@ -118,6 +118,20 @@ def merge_snapshots(earlier: Snapshot, later: Snapshot) -> Snapshot:
     return Snapshot(customers, values.select(*VALUE_COLUMNS))
 
 
+def one_table(snapshot: Snapshot) -> DataFrame:
+    """Both tables as one: a customer's row has no kind, the rows of its values have one."""
+    values = snapshot.values.select("customer_id", "n", "kind", "value")
+    return snapshot.customers.withColumns({
+        "kind": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}).unionByName(
+        values, allowMissingColumns=True)
+
+
+def from_rows(rows: DataFrame) -> Snapshot:
+    """A snapshot from the rows of `one_table`."""
+    return Snapshot(rows.filter(F.col("kind").isNull()).select(*CUSTOMER_COLUMNS),
+                    rows.filter(F.col("kind").isNotNull()).select(*VALUE_COLUMNS))
+
+
 def _joined(history: History, table: DataFrame, large: LargeKeys | None) -> History:
     """Snapshot columns beside the rows of their customer.
 

@@ -16,12 +16,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendtrace.session import materialize
+
+# How many values are looked up one by one on the driver.
+LISTED = 10_000
 # Runs up to this many rows take part in merging; larger ones have large files anyway.
 MERGED_ROWS = 50_000_000
 # A run is merged with the newer ones once these have a half of its rows.
@@ -114,32 +119,108 @@ def to_merge(rows: list[int], most: int | None = None) -> int:
     return count if count > 1 else 0
 
 
+def told_schema(schema: T.StructType) -> dict:
+    """A schema for a manifest; later rows may have nulls wherever a type allows them."""
+    text = schema.json()
+    for flag in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{flag}":false', f'"{flag}":true')
+    return json.loads(text)
+
+
 def schema_of(told: dict) -> T.StructType:
     return T.StructType.fromJson(told["schema"])
 
 
+# --- runs in the order of a hash ----------------------------------------------------
+
+def write_by_hash(rows: DataFrame, path: str, part: str, keys: list[str], rows_per_file: int) -> dict:
+    """One run of rows with `_hash`, in its order; its manifest entry has the ends of each file."""
+    spark, folder, schema = rows.sparkSession, new_run(part), rows.schema
+    rows = materialize(rows, "run")
+    count = rows.count()
+    order = ["_hash", *keys]
+    rows.repartitionByRange(max(1, -(-count // rows_per_file)), *order).sortWithinPartitions(
+        *order).write.parquet(f"{path}/{folder}")
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    ends = spark.read.schema(schema).parquet(f"{path}/{folder}").groupBy(name.alias("file")).agg(
+        F.min("_hash").alias("low"), F.max("_hash").alias("high")).collect()
+    return {"folder": folder, "rows": count, "files": sorted([r["file"], r["low"], r["high"]] for r in ends)}
+
+
+def listed_hashes(hashes: DataFrame) -> list[int] | tuple[int, int]:
+    """The values of the one column in order, if they are few; else the least and the greatest."""
+    few = [r[0] for r in hashes.limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        return sorted(few)
+    name = hashes.columns[0]
+    ends = hashes.agg(F.min(name), F.max(name)).first()
+    return ends[0], ends[1]
+
+
+def files_with(path: str, run: dict, listed: list[int] | tuple[int, int] | None) -> list[str]:
+    """Files of a run that may hold a hash: of a sorted list, or of a pair's range."""
+    found = []
+    for name, low, high in run["files"]:
+        if listed is None:
+            wanted = True
+        elif isinstance(listed, tuple):
+            wanted = low <= listed[1] and high >= listed[0]
+        else:
+            wanted = bisect_left(listed, low) < bisect_right(listed, high)
+        if wanted:
+            found.append(f"{path}/{run['folder']}/{name}")
+    return found
+
+
 @dataclass(frozen=True)
 class KeyedTable:
-    """Rows by key at a path; a later row of a key replaces the earlier one."""
+    """Rows by key at a path; a later row of a key replaces the earlier one.
+
+    Runs are in the order of a hash of the first key, so rows of a few of its
+    values are read from a few files.
+    """
 
     path: str
     keys: tuple[str, ...]
+    rows_per_file: int = 1_000_000
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def exists(self, spark: SparkSession) -> bool:
+        return newest(spark, self.path) is not None
+
+    def read(self, spark: SparkSession, only: DataFrame | None = None) -> DataFrame:
+        """All rows, or those whose first key is in the one column of `only`."""
         told = newest(spark, self.path)
         if told is None:
             raise FileNotFoundError(self.path)
-        return self._rows(spark, told, told["parts"]["rows"])
+        listed = None
+        if only is not None:
+            # hashed as the type that the keys are stored in
+            only = only.select(F.col(only.columns[0]).cast(schema_of(told)[self.keys[0]].dataType).alias(
+                self.keys[0])).distinct()
+            listed = listed_hashes(only.select(self._hash().alias("_hash")))
+        rows = self._rows(spark, told, told["parts"]["rows"], listed).drop("_hash")
+        if only is None:
+            return rows
+        wanted = only.withColumnRenamed(self.keys[0], "_wanted")
+        return rows.join(wanted, F.col(self.keys[0]).eqNullSafe(F.col("_wanted")), "left_semi")
+
+    def files(self, spark: SparkSession, only: DataFrame) -> list[str]:
+        """The files that `read` opens for the values of `only`."""
+        told = newest(spark, self.path)
+        listed = listed_hashes(only.select(F.xxhash64(F.col(only.columns[0]).cast(
+            schema_of(told)[self.keys[0]].dataType))))
+        return [f for run in told["parts"]["rows"] for f in files_with(self.path, run, listed)]
 
-    def exists(self, spark: SparkSession) -> bool:
-        return newest(spark, self.path) is not None
+    def _hash(self):
+        return F.xxhash64(self.keys[0])
 
-    def _rows(self, spark: SparkSession, told: dict, runs: list[dict]) -> DataFrame:
+    def _rows(self, spark: SparkSession, told: dict, runs: list[dict], listed=None) -> DataFrame:
         schema = schema_of(told)
-        if not runs:
-            return spark.createDataFrame([], schema)
-        parts = [spark.read.schema(schema).parquet(f"{self.path}/{run['folder']}").withColumn(
-            "_age", F.lit(i)) for i, run in enumerate(runs)]
+        stored = T.StructType([T.StructField("_hash", T.LongType()), *schema])
+        found = [(i, files) for i, run in enumerate(runs) if (files := files_with(self.path, run, listed))]
+        if not found:
+            return spark.createDataFrame([], stored)
+        parts = [spark.read.schema(stored).parquet(*files).withColumn("_age", F.lit(i)) for i, files in found]
         rows = parts[0]
         if len(parts) == 1:
             return rows.drop("_age")
@@ -147,7 +228,8 @@ class KeyedTable:
             rows = rows.unionByName(part)
         others = [c for c in schema.names if c not in self.keys]
         latest = F.max_by(F.struct(*others), "_age").alias("_row")
-        return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "_row.*").select(*schema.names)
+        return rows.groupBy("_hash", *self.keys).agg(latest).select(
+            "_hash", *self.keys, "_row.*").select(*stored.names)
 
     def put(self, rows: DataFrame, batch: int | None = None, source: str = "") -> bool:
         """Write changed rows, one per key; whether anything was done.
@@ -160,12 +242,12 @@ class KeyedTable:
         if seen and batch is not None and seen["source"] == source and seen["batch"] >= batch:
             return False
         runs = list(seen["parts"]["rows"]) if seen and (batch is None or seen["source"] == source) else []
-        told = {"schema": json.loads(rows.schema.json()), "source": source,
+        told = {"schema": told_schema(rows.schema), "source": source,
                 "batch": -1 if batch is None else batch}
-        if seen and runs:
+        if runs:
             told["schema"] = seen["schema"]
             rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema_of(seen)])
-        run = self._write(rows)
+        run = self._write(rows.select(self._hash().alias("_hash"), "*"))
         if run["rows"]:
             runs.append(run)
         count = to_merge([r["rows"] for r in runs])
@@ -175,7 +257,4 @@ class KeyedTable:
         return True
 
     def _write(self, rows: DataFrame) -> dict:
-        spark, folder = rows.sparkSession, new_run("rows")
-        rows.write.parquet(f"{self.path}/{folder}")
-        written = spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
-        return {"folder": folder, "rows": written.count()}
+        return write_by_hash(rows, self.path, "rows", list(self.keys), self.rows_per_file)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_left, bisect_right
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +10,14 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import hash_bucket
 from spendtrace.operators.learn import RiskModels, from_json, to_json
 from spendtrace.session import materialize
-from spendtrace.sources.manifest import commit, new_run, newest, schema_of, to_merge
+from spendtrace.operators.snapshot import Snapshot, from_rows, one_table
+from spendtrace.sources.manifest import (
+    KeyedTable, commit, files_with, listed_hashes, new_run, newest, schema_of, to_merge,
+    told_schema, write_by_hash,
+)
 
-# Ids per file of the store's index, and how many of a batch are looked up one by one.
+# Ids per file of the store's index.
 IDS_PER_FILE = 5_000_000
-LISTED_IDS = 10_000
 
 # Folders of the scored store; a customer is in one of them.
 CUSTOMER_BUCKETS = 64
@@ -72,13 +72,13 @@ def append_scored(scored: DataFrame, path: str) -> None:
         if stored is not None:
             rows = rows.join(stored, ["_hash", "transaction_id"], "left_anti")
     schema = rows.drop("_hash", "customer_bucket").schema
-    told = {"schema": json.loads(T.StructType([*schema, rows.schema["customer_bucket"]]).json())}
+    told = {"schema": told_schema(T.StructType([*schema, rows.schema["customer_bucket"]]))}
     run = _write_rows(rows.drop("_hash"), path)
     if run["rows"]:
         added = _run_rows(spark, path, [run], told).select(
             F.xxhash64("transaction_id").alias("_hash"), "transaction_id")
         parts["rows"].append(run)
-        parts["ids"].append(_write_ids(added, path, run["rows"]))
+        parts["ids"].append(_write_ids(added, path))
     elif seen:
         return
     for name, merged in (("rows", _merged_rows), ("ids", _merged_ids)):
@@ -90,33 +90,9 @@ def append_scored(scored: DataFrame, path: str) -> None:
 
 def stored_ids(spark: SparkSession, path: str, hashes: DataFrame, told: dict) -> DataFrame | None:
     """(_hash, transaction_id) of the index files that can hold one of the hashes."""
-    files = index_files(path, told, _listed(hashes))
-    if not files:
-        return None
-    return spark.read.schema(_id_schema(told)).parquet(*files)
-
-
-def index_files(path: str, told: dict, listed: list[int] | tuple[int, int]) -> list[str]:
-    """Files of the index that may hold a hash: of a sorted list, or of a pair's range."""
-    found = []
-    for run in told["parts"]["ids"]:
-        for name, low, high in run["files"]:
-            if isinstance(listed, tuple):
-                wanted = low <= listed[1] and high >= listed[0]
-            else:
-                wanted = bisect_left(listed, low) < bisect_right(listed, high)
-            if wanted:
-                found.append(f"{path}/{run['folder']}/{name}")
-    return found
-
-
-def _listed(hashes: DataFrame) -> list[int] | tuple[int, int]:
-    """The hashes in order, if they are few; else their least and greatest one."""
-    few = [r[0] for r in hashes.limit(LISTED_IDS + 1).collect()]
-    if len(few) <= LISTED_IDS:
-        return sorted(few)
-    ends = hashes.agg(F.min("_hash"), F.max("_hash")).first()
-    return ends[0], ends[1]
+    listed = listed_hashes(hashes)
+    files = [f for run in told["parts"]["ids"] for f in files_with(path, run, listed)]
+    return spark.read.schema(_id_schema(told)).parquet(*files) if files else None
 
 
 def _id_schema(told: dict) -> T.StructType:
@@ -143,21 +119,13 @@ def _merged_rows(spark: SparkSession, path: str, runs: list[dict], told: dict) -
     return _write_rows(_run_rows(spark, path, runs, told), path)
 
 
-def _write_ids(ids: DataFrame, path: str, rows: int) -> dict:
-    """One run of the index: files in the order of the hashes, and the ends of each."""
-    folder = new_run("ids")
-    ids.repartitionByRange(max(1, -(-rows // IDS_PER_FILE)), "_hash").sortWithinPartitions(
-        "_hash").write.parquet(f"{path}/{folder}")
-    spark = ids.sparkSession
-    ends = spark.read.schema(ids.schema).parquet(f"{path}/{folder}").groupBy(
-        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(
-        F.min("_hash").alias("low"), F.max("_hash").alias("high")).collect()
-    return {"folder": folder, "rows": rows, "files": sorted([r["file"], r["low"], r["high"]] for r in ends)}
+def _write_ids(ids: DataFrame, path: str) -> dict:
+    return write_by_hash(ids, path, "ids", ["transaction_id"], IDS_PER_FILE)
 
 
 def _merged_ids(spark: SparkSession, path: str, runs: list[dict], told: dict) -> dict:
     ids = spark.read.schema(_id_schema(told)).parquet(*[f"{path}/{run['folder']}" for run in runs])
-    return _write_ids(ids, path, sum(run["rows"] for run in runs))
+    return _write_ids(ids, path)
 
 
 def customer_bucket(customer: Column) -> Column:
@@ -210,3 +178,21 @@ def load_models(spark: SparkSession, path: str) -> RiskModels:
 
 def save_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").parquet(path)
+
+
+# --- snapshots of behaviour ------------------------------------------------------------
+
+def snapshot_table(path: str) -> KeyedTable:
+    """Customers and the values they used in one table, so both change in one step."""
+    return KeyedTable(path, ("customer_id", "kind", "value"))
+
+
+def put_snapshot(changed: Snapshot, path: str, batch: int | None = None, source: str = "") -> bool:
+    """Store the snapshots of some customers in place of their earlier ones."""
+    return snapshot_table(path).put(one_table(changed), batch, source)
+
+
+def read_snapshot(spark: SparkSession, path: str, customers: DataFrame | None = None) -> Snapshot:
+    """The stored snapshot, or that of the `customers` in a table; few ones open few files."""
+    only = None if customers is None else customers.select("customer_id")
+    return from_rows(snapshot_table(path).read(spark, only))

@@ -21,7 +21,7 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import flag, micros
 from spendtrace.operators.features import SECOND, home_city
 from spendtrace.operators.learn import RiskModels
-from spendtrace.operators.snapshot import Snapshot
+from spendtrace.operators.snapshot import Snapshot, one_table
 from spendtrace.operators.validate import RULES, violation_list, with_defaults, with_violations
 from spendtrace.plans.scoring import score_behaviour
 
@@ -50,7 +50,7 @@ class RunningBehaviour(StatefulProcessor):
         self.seen = handle.getMapState("seen", "kind string, value string", "n bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows of `initial_rows`: one with what is bounded, the others one value each."""
+        """Rows of `snapshot.one_table`: one with what is bounded, the others one value each."""
         for row in initialState.itertuples(index=False):
             if row.kind is not None:
                 self.seen.updateValue((row.kind, _entry(row.value)), (int(row.n),))
@@ -234,14 +234,6 @@ def _entry(value) -> str:
     return "" if pd.isna(value) else "=" + str(value)
 
 
-def initial_rows(snapshot: Snapshot) -> DataFrame:
-    """A snapshot as rows per customer: one of its customers table, and one per value."""
-    values = snapshot.values.select("customer_id", "n", "kind", "value")
-    return snapshot.customers.withColumns({
-        "kind": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}).unionByName(
-        values, allowMissingColumns=True)
-
-
 def _records(frame: pd.DataFrame) -> list[tuple]:
     return [tuple(None if pd.isna(v) else v for v in r)
             for r in frame.astype(object).itertuples(index=False, name=None)]
@@ -306,7 +298,7 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None, delay: s
 
 
 def _initial_state(snapshot: Snapshot, columns: T.StructType):
-    rows = initial_rows(snapshot).withColumn(
+    rows = one_table(snapshot).withColumn(
         "customer_id", F.col("customer_id").cast(columns["customer_id"].dataType))
     return rows.groupBy("customer_id")
 

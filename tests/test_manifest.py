@@ -102,22 +102,20 @@ def test_few_ids_open_few_index_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(writers, "IDS_PER_FILE", 100)
     path = str(tmp_path / "store")
     writers.append_scored(scored_rows(spark, 0, 4000), path)
-    told = M.newest(spark, path)
-    assert len(told["parts"]["ids"][0]["files"]) > 20
-    hashes = scored_rows(spark, 3998, 4002).select(F.xxhash64("transaction_id").alias("_hash"))
-    assert 2 <= len(writers.index_files(path, told, writers._listed(hashes))) <= 4
+    run = M.newest(spark, path)["parts"]["ids"][0]
+    assert len(run["files"]) > 20
     opened = []
-    real = writers.index_files
-    monkeypatch.setattr(writers, "index_files", lambda *a: opened.append(found := real(*a)) or found)
+    real = writers.files_with
+    monkeypatch.setattr(writers, "files_with", lambda *a: opened.append(found := real(*a)) or found)
     writers.append_scored(scored_rows(spark, 3998, 4002, day=3), path)  # two stored on another date
-    assert len(opened[0]) <= 4
+    assert 2 <= len(opened[0]) <= 4
     stored = writers.read_scored(spark, path)
     assert stored.count() == 4002 and stored.filter("date = '2024-01-03'").count() == 2
 
 
 @pytest.mark.parametrize("listed", [10_000, 3])
 def test_ids_are_found_in_every_run(spark, tmp_path, monkeypatch, listed):
-    monkeypatch.setattr(writers, "LISTED_IDS", listed)
+    monkeypatch.setattr(M, "LISTED", listed)
     monkeypatch.setattr(writers, "IDS_PER_FILE", 16)
     path = str(tmp_path / "store")
     for i in range(6):
@@ -131,6 +129,18 @@ def test_ids_are_found_in_every_run(spark, tmp_path, monkeypatch, listed):
     assert M.newest(spark, path)["number"] == told["number"]
 
 
+@pytest.mark.parametrize("listed", [10_000, 2])
+def test_few_keys_open_few_files(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(M, "LISTED", listed)
+    table = KeyedTable(str(tmp_path / "t"), ("k",), rows_per_file=50)
+    table.put(pairs(spark, 0, 2000, 1))
+    table.put(pairs(spark, 5, 8, 2))
+    asked = spark.createDataFrame([("k6",), ("k99",), ("none",), (None,)], "name string")
+    assert {(r.k, r.n) for r in table.read(spark, asked).collect()} == {("k6", 2), ("k99", 1)}
+    if listed > 2:
+        assert len(table.files(spark, asked)) <= 6
+
+
 def test_empty_first_append(spark, tmp_path):
     path = str(tmp_path / "store")
     writers.append_scored(scored_rows(spark, 0, 0), path)
