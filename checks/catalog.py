@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +25,7 @@ from spendtrace.operators import profile as P
 from spendtrace.operators import rings as R
 from spendtrace.operators import sequences as S
 from spendtrace.operators import snapshot as SN
+from spendtrace.operators import trees as TR
 from spendtrace.operators import validate as V
 from spendtrace.plans import reports, scoring
 from spendtrace.plans.training import Trained, train
@@ -529,39 +531,60 @@ def trained_optimum(spark, folder):
         rows.agg(F.count("*").alias("n_rows")))
 
 
-def boosted(spark: SparkSession, folder: str) -> tuple[BT.BoostedModel, list[list[float]]]:
+def boosted(spark: SparkSession, folder: str) -> tuple[TR.TreeModel, list[list[float]]]:
     """The boosted model of the training rows and its scaled background rows."""
     def build():
         rows = training_rows(spark, folder).filter("not is_test")
-        model = BT.fit_boosted_model(rows)
+        model = BT.fit_boosted_model(rows).portable()
         return model, L.read_background(L.background_sample(rows, model.scaler))
     return _keep(spark, folder, "boosted", build)
 
 
 def boosted_parts(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
-    """The rows `asked`, which have scaled inputs and a score, and whether their reasons add up to it."""
+    """Contributions to the boosted score of the rows `asked`, and whether they add up to it."""
     model, background = boosted(spark, folder)
-
-    def score(rows):
-        return model.score(rows, scaled=True)
-
-    base = score(spark.createDataFrame(background, C.MODEL_INPUTS)).agg(F.avg("score")).first()[0]
-    parts = BT.coalition_attribution(asked, "transaction_id", C.MODEL_INPUTS, score, background)
+    rows = X.add_probability_contributions(asked, model, background)
+    base = sum(1 / (1 + math.exp(-model.background_value(b))) for b in background) / len(background)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
-    return asked.select("transaction_id", "score").join(parts, "transaction_id").select(
-        "transaction_id", "score", "contributions",
-        (F.abs(total - (F.col("score") - base)) < 1e-6).alias("adds_up"))
+    return rows.select("transaction_id", "score", "contributions",
+                       (F.abs(total - (F.col("score") - base)) < 1e-6).alias("adds_up"))
 
 
 def boosted_rows(spark: SparkSession, folder: str, condition: str) -> DataFrame:
-    """Rows of the log that meet the condition, with scaled inputs and their boosted score."""
+    """Rows of the log that meet the condition, with their boosted score."""
     model, _ = boosted(spark, folder)
-    scaled = [x.alias(c) for c, x in zip(C.MODEL_INPUTS, L.normalised_inputs(model.scaler, None))]
-    rows = training_rows(spark, folder).select("transaction_id", "is_test", "is_fraud", *scaled)
-    return model.score(rows, scaled=True).filter(condition).select(
+    score = model.probability(L.normalised_inputs(model.scaler))
+    return training_rows(spark, folder).withColumn("score", score).filter(condition).select(
         "transaction_id", "score", *C.MODEL_INPUTS)
 
 
+def tree_models(spark: SparkSession, folder: str) -> L.RiskModels:
+    """The fixed models with trees as the second stage."""
+    models = fixed_models(spark, folder)
+    return L.RiskModels(models.trajectory, TR.fixed_tree_model(models.transaction.scaler), models.background)
+
+
+def tree_models_round_trip(spark, folder):
+    """A tree model stored, loaded and used by the scoring of a log."""
+    path = new_folder(spark, "models")
+    writers.save_models(spark, tree_models(spark, folder), path)
+    return scoring.score_features(
+        feature_table(spark, folder), writers.load_models(spark, path), _episodes(spark, folder)[1],
+        with_reasons=False).select("transaction_id", "risk_score", "fraud_probability", "similarity_pct",
+                                   "alert_level")
+
+
+def tree_attribution(spark, folder):
+    """Every input's part in the probability of the fixed trees, for every row above the threshold."""
+    models = tree_models(spark, folder)
+    rows = training_rows(spark, folder).filter("is_test").withColumn(
+        "_p", models.transaction.served_probability()).filter(F.col("_p") >= C.REASON_THRESHOLD)
+    got = X.add_probability_contributions(rows, models.transaction, models.background)
+    return got.select("transaction_id", F.round(F.col("_p") + 1e-9, 6).alias("probability"), *[
+        F.round(F.get("contributions", F.lit(i)) + 1e-9, 6).alias(f"by_{c}")
+        for i, c in enumerate(C.MODEL_INPUTS)])
+
+
 def boosted_attribution(spark, folder):
     """Reasons of the marked held-out rows under boosted trees: they add up to the score.
 
@@ -912,6 +935,7 @@ def stream_rejected(spark, folder):
 QUERIES: list[Query] = [
     batch_score_from_snapshot, batch_score_carried, customer_snapshots, stream_score_continued,
     stream_behaviour_continued, stream_checked_scored, stream_rejected,
+    tree_models_round_trip, tree_attribution,
     csv_log_round_trip, feature_store_round_trip, sequence_store_round_trip,
     batch_csv_mixed_headers, batch_unparsed_values, missing_columns, features_recomputed,
     models_round_trip, background_stored, metrics_refresh, history_from_nothing,

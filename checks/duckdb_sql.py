@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from spendtrace import contract as C
 from spendtrace.operators import learn as L
 from spendtrace.operators import snapshot as SN
+from spendtrace.operators import trees as TR
 from checks.catalog import BATCH_CUT, HALF, TIMELINE_CUSTOMER
 
 F9 = C.FEATURES
@@ -321,6 +324,46 @@ select s.customer_id, cast(s.i as int) as step, {steps}
 from s join f b on b.customer_id = s.customer_id and b.n = greatest(cnt - 10 + i, 0)"""
 
 
+def _tree_logit(value) -> str:
+    """The fixed trees in SQL; `value` names the scaled input of a number."""
+    def of(tree, at):
+        if len(tree[at]) == 1:
+            return f"{tree[at][0]}::double"
+        i, threshold, left, right = tree[at]
+        return f"case when {value(i)} <= {threshold}::double then {of(tree, left)} else {of(tree, right)} end"
+    return f"{TR.FIXED_TREE_INTERCEPT}::double + " + " + ".join(of(t, 0) for t in TR.FIXED_TREES)
+
+
+def _coalitions() -> str:
+    """Shapley values by definition: every set of inputs from the row, the others from a background row."""
+    used = sorted({int(n[0]) for t in TR.FIXED_TREES for n in t if len(n) > 1})
+    m = len(used)
+    mixed = _tree_logit(lambda i: f"(case when (s >> {used.index(i)}) & 1 = 1 then x{i} else b{i} end)")
+    own = ", ".join(f"{x(F10[i])} as x{i}" for i in used)
+    base = ", ".join(f"{F10[i]} as b{i}" for i in used)
+    weights = ", ".join(f"{math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m)}::double"
+                        for k in range(m))
+    values = ", ".join(
+        f"sum(case when (s >> {k}) & 1 = 1 then w[bit_count(s)] else -w[bit_count(s) + 1] end * f) as v{i}"
+        for k, i in enumerate(used))
+    parts = ", ".join(f"round(avg(v{i} * slope) + 1e-9, 6) as by_{F10[i]}" if i in used
+                      else f"round(0::double + 1e-9, 6) as by_{F10[i]}" for i in range(len(F10)))
+    whole = (1 << m) - 1
+    return f""",
+asked as (select * from (select transaction_id, {own}, {_tree_logit(lambda i: x(F10[i]))} as logit
+  from j, sc where is_test) where least(1 / (1 + exp(-logit)), 0.999::double) >= 0.05),
+sets as (select unnest(range({whole + 1}))::int as s),
+fs as (select a.transaction_id, b.transaction_id as background, s, {mixed} as f
+  from asked a, (select transaction_id, {base} from bg) b, sets),
+v as (select transaction_id, background, {values},
+  max(f) filter (s = {whole}) as fx, max(f) filter (s = 0) as fb
+  from (select *, [{weights}] as w from fs) group by transaction_id, background),
+z as (select *, case when abs(fx - fb) > 1e-9 then (1 / (1 + exp(-fx)) - 1 / (1 + exp(-fb))) / (fx - fb)
+  else 1 / (1 + exp(-fb)) * (1 - 1 / (1 + exp(-fb))) end as slope from v)
+select transaction_id, round(least(1 / (1 + exp(-any_value(fx))), 0.999::double) + 1e-9, 6) as probability, {parts}
+from z group by transaction_id"""
+
+
 def report() -> str:
     values = [
         ("Alert", 1, "Alert Level", "alert_level", None),
@@ -483,6 +526,12 @@ select unnest(range(11))::int as position, unnest([""" + ", ".join(f"'{n}'" for
  as input, true as at_optimum, (select count(*) from j where not is_test) as n_rows"""
     out["boosted_attribution"] = EPISODE_F + risk() + """
 select transaction_id, 10 as n_inputs, true as adds_up from j where is_test and is_fraud = 1"""
+    logit = _tree_logit(lambda i: x(F10[i]))
+    out["tree_models_round_trip"] = RISK + f""",
+p as (select r.*, least(1 / (1 + exp(-({logit}))), 0.999::double) as prob from r, sc)""" + similarity_cte("p") + f"""
+select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, similarity_pct,
+ {LEVEL} as alert_level from sim"""
+    out["tree_attribution"] = RISK + BG + _coalitions()
     out["trained_held_out"] = EPISODE_F + risk() + """,
 q as (select count(*) as n, count(*) filter (is_fraud = 1) as p from j where is_test)
 select unnest(['trajectory', 'transaction']) as model, n as test_set_size,

@@ -17,6 +17,7 @@ from spendtrace.functions.columns import hash_bucket
 from spendtrace.operators.learn import (
     Scaler, class_weights, normalised, read_scaler, scaler_stats,
 )
+from spendtrace.operators.trees import TreeModel
 
 # Adds the column `score` to rows that have the input columns.
 Score = Callable[[DataFrame], DataFrame]
@@ -38,6 +39,26 @@ class BoostedModel:
         return found.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop(
             "_x", "rawPrediction", "probability", "prediction")
 
+    def portable(self) -> TreeModel:
+        """The trees as plain numbers. The library's probability is logistic(2 * margin)."""
+        trees = [_nodes(tree._call_java("rootNode"), 2.0 * weight)
+                 for tree, weight in zip(self.trees.trees, self.trees.treeWeights)]
+        return TreeModel(0.0, trees, self.scaler)
+
+
+def _nodes(root, scale: float) -> list[list[float]]:
+    """Nodes of one of the library's trees, breadth first, its leaf values times `scale`."""
+    nodes, waiting = [[]], [(0, root)]
+    for at, node in waiting:
+        if node.getClass().getSimpleName() == "LeafNode":
+            nodes[at] = [scale * node.prediction()]
+        else:
+            split, left = node.split(), len(nodes)
+            nodes += [[], []]
+            nodes[at] = [split.featureIndex(), split.threshold(), left, left + 1]
+            waiting += [(left, node.leftChild()), (left + 1, node.rightChild())]
+    return nodes
+
 
 def fit_boosted_model(train: DataFrame, max_iter: int = 20, depth: int = 4) -> BoostedModel:
     """Class-weighted boosted trees; a validation part of the rows ends the boosting."""

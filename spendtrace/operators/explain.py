@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from spendtrace import contract as C
 from spendtrace.functions.columns import display_name
 from spendtrace.operators.learn import TransactionModel, normalised_inputs
+from spendtrace.operators.trees import TreeModel, tree_contributions
 
 
 def logit_contributions(model: TransactionModel, background: list[list[float]]) -> list[Column]:
@@ -20,28 +21,28 @@ def logit_contributions(model: TransactionModel, background: list[list[float]])
             for x, m, w in zip(normalised_inputs(model.scaler), means, model.weights)]
 
 
-def add_probability_contributions(rows: DataFrame, model: TransactionModel,
+def add_probability_contributions(rows: DataFrame, model: TransactionModel | TreeModel,
                                   background: list[list[float]],
                                   when: Column | None = None,
                                   name: str = "contributions") -> DataFrame:
-    """Expected gradients of the probability, as one array in input order.
-
-    The contribution of input i is the mean over background rows b of
-    (x_i - b_i) times the gradient of the probability, averaged along the line
-    from b to x. For a logistic model that average has a closed form, the
-    weight times the slope s_b = (p(x) - p(b)) / (logit(x) - logit(b)). So there
-    is no sampling, the contributions add up to p(x) minus the mean background
-    probability, and a row needs eleven sums over the background: of s_b, and
-    of s_b * b_i for each input, one matrix product per batch of rows. Rows for
-    which `when` does not hold, or with a null input, get null.
+    """How much each input moved the probability, as one array in input order.
+
+    For each background row b the change of the logit is split among the inputs
+    and scaled to the change of the probability by the slope
+    s_b = (p(x) - p(b)) / (logit(x) - logit(b)); the contributions are the means
+    over the background. So nothing is sampled and they add up to p(x) minus the
+    mean background probability. Rows for which `when` does not hold, or with a
+    null input, get null.
+
+    For the linear model the part of input i is its weight times (x_i - b_i), and
+    the result is the expected gradient of the probability; a row needs eleven
+    sums over the background, of s_b and of s_b * b_i for each input, one matrix
+    product per batch of rows. For trees it is the Shapley value of the input
+    between x and b, see `tree_contributions`.
     """
-    # Measured from the first background row, so that an input on which all rows
-    # agree moves nothing at all.
-    start = np.array(background[0], dtype=float)
-    base = np.array(background, dtype=float) - start
     logits = np.array([model.background_value(b) for b in background])
     probabilities = 1.0 / (1.0 + np.exp(-logits))
-    scale = np.array(model.weights) / len(background)
+    split = _tree_split if isinstance(model, TreeModel) else _linear_split
 
     @pandas_udf("array<double>")
     def explained(logit: pd.Series, probability: pd.Series, wanted: pd.Series,
@@ -55,7 +56,7 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
             flat = np.abs(step) <= 1e-9
             slopes = np.where(flat, probabilities * (1 - probabilities),
                               rise / np.where(flat, 1.0, step))
-            moved = ((x[use] - start) * slopes.sum(axis=1, keepdims=True) - slopes @ base) * scale
+            moved = split(model, x[use], np.array(background, dtype=float), slopes / len(background))
             for i, values in zip(np.flatnonzero(use), moved):
                 out[i] = values
         return pd.Series(out)
@@ -66,6 +67,22 @@ def add_probability_contributions(rows: DataFrame, model: TransactionModel,
         model.logit(inputs), model.probability(inputs), wanted, *inputs))
 
 
+def _linear_split(model: TransactionModel, x: np.ndarray, background: np.ndarray,
+                  slopes: np.ndarray) -> np.ndarray:
+    # Measured from the first background row, so that an input on which all rows
+    # agree moves nothing at all.
+    start = background[0]
+    moved = (x - start) * slopes.sum(axis=1, keepdims=True) - slopes @ (background - start)
+    return moved * np.array(model.weights)
+
+
+def _tree_split(model: TreeModel, x: np.ndarray, background: np.ndarray,
+                slopes: np.ndarray) -> np.ndarray:
+    parts = [tree_contributions(model, x[i:i + 4096], background, slopes[i:i + 4096])
+             for i in range(0, len(x), 4096)]
+    return np.concatenate(parts)
+
+
 def top_reasons(contributions: Column, top: int = C.TOP_REASONS) -> Column:
     """The largest positive contributions, largest first; empty when there are none."""
     named = F.transform(contributions, lambda value, i: F.struct(

@@ -131,7 +131,7 @@ class TransactionModel:
 @dataclass(frozen=True)
 class RiskModels:
     trajectory: TrajectoryModel
-    transaction: TransactionModel
+    transaction: TransactionModel  # or trees.TreeModel, which has the same methods
     background: list[list[float]]  # scaled training rows, at most BACKGROUND_ROWS
 
 
@@ -246,19 +246,3 @@ def stationarity(train: DataFrame, model: TransactionModel,
     best = sums.select(F.least(*found).alias("b") if len(found) > 1 else found[0].alias("b"))
     return best.select(F.posexplode("b.g").alias("position", "gradient")).select(
         "position", F.get(F.array(*map(F.lit, names)), F.col("position")).alias("input"), "gradient")
-
-
-def to_json(models: RiskModels) -> str:
-    return json.dumps({
-        "trajectory": vars(models.trajectory), "transaction": vars(models.transaction),
-        "background": models.background})
-
-
-def from_json(text: str) -> RiskModels:
-    found = json.loads(text)
-    for name in ("trajectory", "transaction"):
-        found[name]["scaler"] = [tuple(s) for s in found[name]["scaler"]]
-        if not math.isfinite(found[name]["intercept"]):
-            raise ValueError(f"{name} model has no finite intercept")
-    return RiskModels(TrajectoryModel(**found["trajectory"]),
-                      TransactionModel(**found["transaction"]), found["background"])

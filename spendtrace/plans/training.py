@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
+from spendtrace.operators.boosted import fit_boosted_model
 from spendtrace.operators.features import add_point_features, log_history
 from spendtrace.operators.learn import (
     RiskModels, add_split, background_sample, fit_trajectory_model, fit_transaction_model,
@@ -36,10 +37,11 @@ def training_table(log: DataFrame, is_home: Column | None = None,
 
 
 def train(log: DataFrame, is_home: Column | None = None, max_rows: int | None = None,
-          regs: tuple[float, ...] = (0.01,)) -> Trained:
+          regs: tuple[float, ...] = (0.01,), trees: bool = False) -> Trained:
     """Stage 1 on the windows, then stage 2 on the features and stage-1 scores.
 
-    Several `regs` are compared on a validation part of the training rows.
+    Several `regs` are compared on a validation part of the training rows. With
+    `trees` stage 2 is boosted trees.
     """
     table = training_table(log, is_home, max_rows)
     windows = table.filter("not is_test").select(
@@ -51,6 +53,6 @@ def train(log: DataFrame, is_home: Column | None = None, max_rows: int | None =
         .withColumn("risk_score", F.round(F.col("p_trajectory") * 100, 2)).drop("steps"),
         "stage2")
     rows = narrow.filter("not is_test")
-    transaction = fit_transaction_model(rows, regs)
+    transaction = fit_boosted_model(rows).portable() if trees else fit_transaction_model(rows, regs)
     background = read_background(background_sample(rows, transaction.scaler))
     return Trained(RiskModels(trajectory, transaction, background), narrow)

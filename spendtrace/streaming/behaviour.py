@@ -162,13 +162,98 @@ class RunningBehaviour(StatefulProcessor):
         state["steps"] = [*state["steps"], features][-C.SEQUENCE_LENGTH:]
 
 
+class WaitingRows:
+    """Rows of a customer by time, from which the earliest are taken.
+
+    Rows lie under their second. The seconds that have rows are listed per hour,
+    the hours per day and the days in one record, so adding a row writes its
+    second and at most three short lists, however many rows wait, and taking
+    rows reads only the lists on the way to them.
+    """
+
+    SPANS = (86_400 * SECOND, 3600 * SECOND, SECOND)
+
+    def __init__(self, handle: StatefulProcessorHandle, columns: T.StructType):
+        rows = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in columns)
+        self.at = columns.names.index("event_micros")
+        self.rows = handle.getMapState("waiting", "second bigint", f"rows array<struct<{rows}>>")
+        self.lists = handle.getMapState("waiting_lists", "span bigint, number bigint", "parts array<bigint>")
+
+    def add(self, rows: list[tuple]) -> None:
+        by_second: dict[int, list[tuple]] = {}
+        for row in rows:
+            by_second.setdefault(int(row[self.at]) // SECOND, []).append(row)
+        entered: dict[tuple[int, int], set[int]] = {}
+        for second, new in by_second.items():
+            held = self.rows.getValue((second,))
+            self.rows.updateValue((second,), ([*map(tuple, held[0] if held else []), *new],))
+            if held is None:
+                parent = (0, 0)
+                for span in self.SPANS:
+                    part = second * SECOND // span
+                    entered.setdefault(parent, set()).add(part)
+                    parent = (span, part)
+        for node, parts in entered.items():
+            known = self._parts(node)
+            if not parts <= set(known):
+                self.lists.updateValue(node, (sorted({*known, *parts}),))
+
+    def first(self) -> int | None:
+        """The start of the earliest second with rows, in microseconds."""
+        node = (0, 0)
+        for span in self.SPANS:
+            parts = self._parts(node)
+            if not parts:
+                return None
+            node = (span, parts[0])
+        return node[1] * SECOND
+
+    def take(self, passed: int) -> list[tuple]:
+        """Remove and return the rows before `passed`, second by second."""
+        taken: list[tuple] = []
+        self._take((0, 0), 0, passed, taken)
+        return taken
+
+    def _take(self, node: tuple[int, int], level: int, passed: int, taken: list[tuple]) -> bool:
+        """Take below a node; whether nothing is left of it."""
+        span, parts = self.SPANS[level], self._parts(node)
+        left = []
+        for i, part in enumerate(parts):
+            if part * span >= passed:
+                left += parts[i:]
+                break
+            gone = (self._take_second(part, passed, taken) if span == SECOND
+                    else self._take((span, part), level + 1, passed, taken))
+            if not gone:
+                left.append(part)
+        if not left and parts:
+            self.lists.removeKey(node)
+        elif len(left) < len(parts):
+            self.lists.updateValue(node, (left,))
+        return not left
+
+    def _take_second(self, second: int, passed: int, taken: list[tuple]) -> bool:
+        rows = [tuple(r) for r in self.rows.getValue((second,))[0]]
+        taken += [r for r in rows if r[self.at] < passed]
+        left = [r for r in rows if r[self.at] >= passed]
+        if left:
+            self.rows.updateValue((second,), (left,))
+        else:
+            self.rows.removeKey((second,))
+        return not left
+
+    def _parts(self, node: tuple[int, int]) -> list[int]:
+        held = self.lists.getValue(node)
+        return [int(p) for p in held[0]] if held else []
+
+
 class OrderedBehaviour(RunningBehaviour):
     """Takes rows in event order across micro-batches.
 
     A row waits until the watermark has passed its time, so rows that arrive
-    within the delay are taken in their place. Waiting rows are map entries by
-    time, one timer stands at the earliest of them, and whatever is due is taken
-    before a row that arrives behind the watermark.
+    within the delay are taken in their place. One timer stands at the earliest
+    of them, and whatever is due is taken before a row that arrives behind the
+    watermark.
     """
 
     def __init__(self, columns: T.StructType):
@@ -177,56 +262,36 @@ class OrderedBehaviour(RunningBehaviour):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        rows = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in self.columns)
-        self.waiting = handle.getMapState(
-            "waiting", "at bigint", f"rows array<struct<{rows}>>")
-        self.times = handle.getValueState("times", "at array<bigint>")
+        self.waiting = WaitingRows(handle, self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         yield from self._release(passed)
-        batch = pd.concat(list(rows))[self.columns.names]
-        late = batch["event_micros"] < passed
-        if late.any():
-            yield self._take(batch[late])
-        later = batch[~late]
-        if len(later):
-            times = self._waiting_times()
-            known = set(times)
-            for at, group in later.groupby("event_micros"):
-                at = int(at)
-                held = list(self.waiting.getValue((at,))[0]) if at in known else []
-                self.waiting.updateValue((at,), ([tuple(r) for r in held] + _records(group),))
-                if at not in known:
-                    insort(times, at)
-            self.times.update((times,))
-            self._wake(times)
+        batch = pd.concat(list(rows))
+        if len(batch):
+            batch = batch[self.columns.names]
+            late = batch["event_micros"] < passed
+            if late.any():
+                yield self._take(batch[late])
+            if not late.all():
+                self.waiting.add(_records(batch[~late]))
+        self._wake()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._release(timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _waiting_times(self) -> list[int]:
-        return [int(t) for t in self.times.get()[0]] if self.times.exists() else []
+        self._wake()
 
     def _release(self, passed: int) -> Iterator[pd.DataFrame]:
         """Take all waiting rows before `passed`, in order; the rest stay where they are."""
-        times = self._waiting_times()
-        due = bisect_left(times, passed)
-        if not due:
-            self._wake(times)
-            return
-        held: list[tuple] = []
-        for at in times[:due]:
-            held += [tuple(r) for r in self.waiting.getValue((at,))[0]]
-            self.waiting.removeKey((at,))
-        self.times.update((times[due:],))
-        self._wake(times[due:])
-        yield self._take(pd.DataFrame(held, columns=self.columns.names))
-
-    def _wake(self, times: list[int]) -> None:
-        """Keep a timer just after the earliest waiting row."""
-        if times:
-            self.handle.registerTimer(times[0] // 1000 + 1)
+        due = self.waiting.take(passed)
+        if due:
+            yield self._take(pd.DataFrame(due, columns=self.columns.names))
+
+    def _wake(self) -> None:
+        """Keep a timer at the end of the second of the earliest waiting row."""
+        first = self.waiting.first()
+        if first is not None:
+            self.handle.registerTimer((first + SECOND) // 1000)
 
 
 def _entry(value) -> str:

@@ -10,6 +10,7 @@ from spendtrace.operators import evaluate as E
 from spendtrace.operators import explain as X
 from spendtrace.operators import boosted as B
 from spendtrace.operators import learn as L
+from spendtrace.operators import trees as TR
 from checks import catalog
 from spendtrace.plans import reports
 
@@ -61,7 +62,7 @@ def test_class_weight_is_at_least_one(spark):
 def test_models_survive_text(spark):
     models = L.RiskModels(L.fixed_trajectory_model(), L.fixed_transaction_model(PLAIN),
                           [[0.5] * 10])
-    assert L.from_json(L.to_json(models)) == models
+    assert TR.from_json(TR.to_json(models)) == models
 
 
 def test_trajectory_model_matches_plain_sum(spark):
@@ -243,8 +244,9 @@ def test_coalitions_of_a_linear_score_are_its_terms(spark):
 def test_boosted_reasons_of_all_rows_above_the_threshold(spark, small):
     model, background = catalog.boosted(spark, small)
     assert len(background) == C.BACKGROUND_ROWS
-    asked = {r.transaction_id for r in model.score(catalog.training_rows(spark, small)).filter(
-        F.col("score") >= C.REASON_THRESHOLD).collect()}
+    score = model.probability(L.normalised_inputs(model.scaler))
+    asked = {r.transaction_id for r in catalog.training_rows(spark, small).filter(
+        score >= C.REASON_THRESHOLD).collect()}
     got = catalog.boosted_reasons(spark, small).select("transaction_id", "adds_up").collect()
     assert len(got) == len(asked) and {r.transaction_id for r in got} == asked
     assert all(r.adds_up for r in got)

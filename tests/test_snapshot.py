@@ -1,9 +1,11 @@
 """Snapshots: merged, carried on, and as the base of batches, against whole histories."""
 
+import random
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendtrace.operators import snapshot as SN
 from spendtrace.plans import scoring
@@ -149,3 +151,70 @@ def test_rows_that_break_rules_do_not_end_a_stream(spark, tmp_path):
      .foreachBatch(lambda batch, _: seen.extend((r.transaction_id, r.n_prior, r.amount_zscore) for r in batch.collect()))
      .trigger(availableNow=True).start().awaitTermination())
     assert [s[:2] for s in seen] == [("t00000", 0), ("t00003", 1)] and all(s[2] == 0 for s in seen)
+
+
+class Held:
+    """A map state that counts what is written."""
+
+    def __init__(self):
+        self.values, self.written = {}, 0
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+        self.written += len(repr((key, value)))
+
+    def removeKey(self, key):
+        self.values.pop(key, None)
+
+
+class Handle:
+    def __init__(self):
+        self.maps = []
+
+    def getMapState(self, *_):
+        self.maps.append(Held())
+        return self.maps[-1]
+
+    def written(self):
+        return sum(m.written for m in self.maps)
+
+
+COLUMNS = T.StructType([T.StructField("event_micros", T.LongType()), T.StructField("id", T.StringType())])
+
+
+def test_waiting_rows_come_out_in_order():
+    pick = random.Random(3)
+    handle = Handle()
+    waiting = B.WaitingRows(handle, COLUMNS)
+    held, taken = [], []
+    for step in range(200):
+        new = [(pick.randrange(0, 3 * 86_400_000_000), f"{step}-{i}") for i in range(pick.randrange(0, 6))]
+        new += [(new[0][0], f"{step}-again")] if new else []
+        waiting.add(new)
+        held += new
+        assert waiting.first() == (min(h[0] for h in held) // 1_000_000 * 1_000_000 if held else None)
+        if step % 7 == 0:
+            passed = pick.randrange(0, 3 * 86_400_000_000)
+            due = waiting.take(passed)
+            assert sorted(due) == sorted(h for h in held if h[0] < passed)
+            seconds = [d[0] // 1_000_000 for d in due]
+            assert seconds == sorted(seconds)
+            held = [h for h in held if h[0] >= passed]
+    assert sorted(waiting.take(1 << 60)) == sorted(held) and waiting.first() is None
+    assert not any(m.values for m in handle.maps)
+
+
+def test_bytes_written_for_a_row_do_not_grow_with_the_rows_that_wait():
+    costs = []
+    for rows in (200, 20_000):
+        handle = Handle()
+        waiting = B.WaitingRows(handle, COLUMNS)
+        waiting.add([(i * 86_400_000_000 * 30 // rows, "x") for i in range(rows)])
+        before = handle.written()
+        for i in range(50):
+            waiting.add([(i * 40_000_000_000 + 17, "y")])
+        costs.append((handle.written() - before) / 50)
+    assert costs[1] < 3 * costs[0] + 2000 and costs[1] < 4000
