@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    MAX_MEMO, byte_texts, crc_fold, mix, schema_with, small_or_shuffled, table, text_chunks,
+    MAX_MEMO, byte_texts, crc_fold, mix, schema_with, set_aside, small_or_shuffled, table, text_chunks,
 )
 
 SLOT_BITS = 18
@@ -211,7 +211,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = HELD_OUT_FOLD
     """
     known = labels.filter(F.col("quality").isNotNull()).groupBy(
         F.col("doc_id").alias("_labelled")).agg(F.min("quality").alias("label"))
-    return docs.filter(crc_fold(F.col("doc_id"), folds) != 0).join(
+    return docs.select("doc_id", "text").filter(crc_fold(F.col("doc_id"), folds) != 0).join(
         small_or_shuffled(known), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "label")
 
 
@@ -224,7 +224,10 @@ def classifier_query(spark, folder: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of `docs` that the classifier does not reject, with the columns of `docs`."""
-    weights = fit(labelled_rows(docs, labels))
-    scored = score(docs.select("*"), weights, threshold)
-    return scored.filter(F.col("predicted") == 1).select(*docs.columns)
+    """Rows of `docs` that the classifier does not reject, with the columns of `docs`.
+
+    Columns may have any names; their values are returned as they are.
+    """
+    inner, back = set_aside(docs, ("doc_id", "text"))
+    scored = score(inner, fit(labelled_rows(inner, labels)), threshold)
+    return scored.filter(F.col("predicted") == 1).select(*back)

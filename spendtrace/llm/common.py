@@ -72,6 +72,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_aside(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """`df` with all but the needed columns under names that no operator uses.
+
+    The columns returned with it give every column its own name back, in order.
+    """
+    wanted = {n.lower() for n in needed}
+    names = [c if c.lower() in wanted else f"kept{i}" for i, c in enumerate(df.columns)]
+    inner = df.select(*[quoted(c).alias(n) for c, n in zip(df.columns, names)])
+    return inner, [F.col(n).alias(c) for c, n in zip(df.columns, names)]
+
+
 def schema_with(df: DataFrame, added: str) -> StructType:
     """The columns of `df` and those of a DDL string behind them."""
     return StructType(df.schema.fields + StructType.fromDDL(added).fields)

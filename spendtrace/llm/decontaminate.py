@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtrace.llm.common import free_name, let, small_or_shuffled, table
+from spendtrace.llm.common import let, set_aside, small_or_shuffled, table
 from spendtrace.session import materialize
 
 SPAN = 10
@@ -177,14 +177,14 @@ def contaminate(docs: DataFrame, items: DataFrame, span: int = SPAN,
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows of `docs` in which no word is hit, with all their columns."""
-    bad = contaminate(docs, items, span).filter("contaminated").select(
+    """Rows of `docs` in which no word is hit, with all their columns, whatever these are called."""
+    inner, back = set_aside(docs, ("doc_id", "text"))
+    bad = contaminate(inner, items, span).filter("contaminated").select(
         F.col("doc_id").alias("_bad_id"), F.col("_digest").alias("_bad_digest")).distinct()
     bad = materialize(bad, "contaminated")
-    name = free_name(docs, "_digest")
-    keyed = docs.withColumn(name, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    keyed = inner.withColumn("_digest", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return keyed.join(small_or_shuffled(bad), keyed["doc_id"].eqNullSafe(F.col("_bad_id"))
-                      & (keyed[name] == F.col("_bad_digest")), "left_anti").drop(name)
+                      & (keyed["_digest"] == F.col("_bad_digest")), "left_anti").select(*back)
 
 
 def decontaminate_query(spark, folder: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrace.llm.common import (
-    byte_texts, free_name, mix, run_hashes, schema_with, small_or_shuffled, table, text_chunks,
+    byte_texts, mix, run_hashes, schema_with, set_aside, small_or_shuffled, table, text_chunks,
     word_hashes,
 )
 from spendtrace.llm.components import connected_components
@@ -414,10 +414,8 @@ def one_of_each(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
     the one with the smallest digest of the text; of rows equal in both, any one.
     Rows are told apart by id and text, so equal or null ids do not shrink.
     """
-    columns, names = docs.columns, []
-    for wanted in ("_text1", "_text2", "_id", "_low", "_high", "_row"):
-        names.append(free_name(docs, wanted))
-    text1, text2, own, low, high, row = names
+    docs, back = set_aside(docs, ("doc_id", "text"))
+    text1, text2, own, low, high, row = "_text1", "_text2", "_id", "_low", "_high", "_row"
     marked = docs.withColumns({
         text1: F.xxhash64("text"), text2: F.xxhash64(F.lit(1), "text")})
     described, named = named_sets(marked.select(
@@ -436,9 +434,9 @@ def one_of_each(docs: DataFrame, width: int = WORDS_PER_SHINGLE,
     found = marked.alias("m").join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (
         F.col(f"m.{text1}") == F.col(f"k.{text1}")) & (F.col(f"m.{text2}") == F.col(f"k.{text2}")))
     # Rows without words are numbered, so that each stays.
-    return found.select(*columns, low, high, F.when(
+    return found.select(*docs.columns, low, high, F.when(
         F.col(row).isNull(), F.monotonically_increasing_id()).alias(row)).dropDuplicates(
-        [low, high, row]).select(*columns)
+        [low, high, row]).select(*back)
 
 
 def jaccard_query(spark, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtrace.llm.common import WORD, table
+from spendtrace.llm.common import WORD, quoted, set_aside, table
 from spendtrace.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -88,18 +88,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: int = LARGE
     A document takes at most `factor` copies.
 
     Null text has size 0 and takes what the order gives it, 0 words. Null
-    sources form one source, ordered last. Null ids are treated as one id.
-    Rows with equal ids draw the same number; equal rows cannot be told apart
-    and any of them may be the one taken. An empty table gives no rows. Other
-    columns are kept; those named like a result are replaced.
+    sources form one source, ordered last. A row's number follows from its id,
+    text and source, so rows with null or repeated ids and different texts are
+    drawn apart; rows equal in all three draw the same number, cannot be told
+    apart, and any of them may be the one taken. An empty table gives no rows.
+    Other columns are kept, whatever their names; those named like a result are
+    replaced.
     """
     made = {"size", "source_size", "target", "copies", "taken"}
-    kept = [c for c in keep or docs.columns if c.lower() not in made]
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in made or c == doc_weight])
+    needed = ("doc_id", "text", "source", *([doc_weight] if doc_weight else []))
+    names = [c for c in keep or docs.columns if c.lower() not in made]
+    docs = docs.select(*[quoted(c) for c in dict.fromkeys([*needed, *names])])
+    docs, back = set_aside(docs, needed)
+    kept = [column for column, name in zip(back, dict.fromkeys([*needed, *names])) if name in names]
     weight = F.col(doc_weight).cast("double") if doc_weight else F.lit(1.0)
-    counted = docs.withColumn("_w", weight).withColumn("size", n_words(F.col("text")))
-    narrow = materialize(counted.select("doc_id", "source", "_w", "size"), "mixture-sizes")
-    base = narrow if set(kept) <= {"doc_id", "source"} else counted
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                      F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+                      F.coalesce(F.col("source").cast("string"), F.lit("null")))
+    counted = docs.withColumn("_w", weight).withColumn("size", n_words(F.col("text"))).withColumn(
+        "_u", uniform(key, seed))
+    narrow = materialize(counted.select("doc_id", "source", "_w", "_u", "size"), "mixture-sizes")
+    base = narrow if set(names) <= {"doc_id", "source"} else counted
     totals = materialize(narrow.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_sum")),
         "mixture-sources")
@@ -112,8 +121,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: int = LARGE
     per_source = materialize(per_source, "mixture-targets")
 
     wanted = F.least(F.col("_rate") * F.col("_w"), F.lit(float(factor)))
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(id_text, seed)
+    u = F.col("_u")
 
     def rank(rows: DataFrame) -> DataFrame:
         return (
@@ -175,6 +183,12 @@ def expand_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     ).drop("_copy")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as a corpus: a row per copy, with the columns of `docs` as they are."""
+    inner, back = set_aside(docs, ("doc_id", "text", "source"))
+    return expand_copies(mix(inner, **options), inner.columns).select(*back)
+
+
 def mixture_query(spark, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), keep=["doc_id", "source"]).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
@@ -182,7 +196,7 @@ def mixture_query(spark, folder: str) -> DataFrame:
 
 MIXTURE_SQL = rf"""
 with base as (
-  select doc_id, source,
+  select doc_id, source, md5(coalesce(text, '')) as digest,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 sizes as (select source, sum(size)::bigint as source_size from base group by source),
 weighed as (select *, [5,2,1][1 + ((row_number() over (order by source nulls last)) - 1) % 3] as weight
@@ -200,7 +214,7 @@ targets as (select source, source_size,
 drawn as (select b.doc_id, b.source, b.size, t.source_size, t.target,
     least(case when t.source_size > 0 then t.target / t.source_size::double else 0.0 end, 3.0::double)
       as wanted,
-    (('0x' || substr(md5('{SEED}:' || coalesce(b.doc_id::varchar, 'null')), 1, 13))::bigint + 0.5::double)
+    (('0x' || substr(md5('{SEED}:' || coalesce(b.doc_id::varchar, 'null') || ':' || b.digest || ':' || coalesce(b.source, 'null')), 1, 13))::bigint + 0.5::double)
       / 4503599627370496.0::double as u
   from base b join targets t on b.source is not distinct from t.source),
 ranked as (select *, floor(wanted)::bigint as whole, wanted - floor(wanted)::bigint as p from drawn),

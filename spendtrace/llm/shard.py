@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from spendtrace.llm.common import free_name, table
+from spendtrace.llm.common import free_name, set_aside, table
 from spendtrace.session import materialize
 
 SHARDS = 24
@@ -105,9 +105,11 @@ def place_rows(docs: DataFrame, shards: int = SHARDS,
     Nulls, repeats and empty tables are treated as by `place`. Runs are shorter
     here, since whole texts move with the rows.
     """
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("shard", "slot")])
-    rows = kept.withColumn("shard", shard_of(F.col("doc_id"), shards))
-    return with_slots(rows, [F.col("doc_id"), F.xxhash64("text")], shards, rows_per_run)
+    inner, back = set_aside(docs, ("doc_id", "text"))
+    kept = [column for column, name in zip(back, docs.columns) if name.lower() not in ("shard", "slot")]
+    rows = inner.withColumn("shard", shard_of(F.col("doc_id"), shards))
+    placed = with_slots(rows, [F.col("doc_id"), F.xxhash64("text")], shards, rows_per_run)
+    return placed.select(*kept, "shard", "slot")
 
 
 def shard_query(spark, folder: str) -> DataFrame:

@@ -498,3 +498,33 @@ def test_pipeline_stages(spark, small):
             assert corpus_pipeline.run(spark, small).count() == len(rows)
         assert all(r.text == left[r.doc_id].text for r in rows)
         docs, left = out, {r.doc_id: r for r in rows}
+
+
+CLASHING = """label _labelled score predicted _w _q _p _u _s _x _at _room _bucket _rate _whole _bad_id _bad_digest
+_digest size target copies taken source_size _copy _more _prior _used kept0 kept3 low high n n_words text1 text2
+_text1 _text2 _id _low _high _row _c _d _f k m component digest stage _run _n _offset _at2 a.b we`ird""".split()
+
+
+def test_columns_of_any_name_come_through_every_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    marked = docs.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id")).alias(c) for i, c in enumerate(CLASHING)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialize(stage(spark, marked, small), "stage")
+        if name != "sharding":
+            assert out.columns == marked.columns
+        rows = out.collect()
+        assert len(rows) > 100
+        for r in rows:
+            assert all(r[c] == f"{i}:{r.doc_id}" for i, c in enumerate(CLASHING))
+
+
+def test_rows_with_null_ids_are_drawn_apart(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), "id").alias("text"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    got = mixture.mix(rows).filter("doc_id is null").groupBy("source", "copies").count().collect()
+    by = {(r.source, r.copies): r["count"] for r in got}
+    for s in "ab":
+        # every share of copies that the source has, its rows without ids have too
+        shares = [n for (t, _), n in by.items() if t == s]
+        assert len(shares) == 2 and min(shares) > 100, by
