@@ -12,7 +12,7 @@ from spendtrace.llm.classifier import accepted
 from spendtrace.llm.common import table
 from spendtrace.llm.decontaminate import without_contaminated
 from spendtrace.llm.jaccard import one_of_each
-from spendtrace.llm.mixture import expand_copies, mix
+from spendtrace.llm.mixture import mixed_documents
 from spendtrace.llm.shard import place_rows
 from spendtrace.session import materialize
 
@@ -34,7 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mix of the sources takes."""
-    return expand_copies(mix(docs), docs.columns)
+    return mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
