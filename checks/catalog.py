@@ -25,6 +25,7 @@ from spendtrace.operators import profile as P
 from spendtrace.operators import rings as R
 from spendtrace.operators import sequences as S
 from spendtrace.operators import snapshot as SN
+from spendtrace.operators import trajectory as TJ
 from spendtrace.operators import trees as TR
 from spendtrace.operators import validate as V
 from spendtrace.plans import reports, scoring
@@ -564,6 +565,24 @@ def tree_models(spark: SparkSession, folder: str) -> L.RiskModels:
     return L.RiskModels(models.trajectory, TR.fixed_tree_model(models.transaction.scaler), models.background)
 
 
+def risk_scores_trees(spark, folder):
+    """The trajectory risk of every row under fixed trees on the window."""
+    log, large = _episodes(spark, folder)
+    return scoring.with_risk(log, TJ.fixed_trajectory_trees(), fx.episode_home(), large=large).select(
+        "customer_id", "transaction_id", "n_prior", "risk_score")
+
+
+def trajectory_steps(spark, folder):
+    """The validation AUC of stage 1 after each tree, which steps were watched and which one is kept."""
+    log = fx.episode_log(spark, folder)
+    history = FT.add_point_features(FT.log_history(log), fx.episode_home())
+    rows = L.add_split(S.sequences(history)).filter("not is_test")
+    grown = TJ.grow_trajectory_trees(materialize(rows, "windows"), max_steps=15)
+    return spark.createDataFrame(
+        [(step, round(auc, 6), step <= grown.stopped, step == grown.chosen) for step, auc in grown.curve],
+        "step int, validation_auc double, watched boolean, chosen boolean")
+
+
 def tree_models_round_trip(spark, folder):
     """A tree model stored, loaded and used by the scoring of a log."""
     path = new_folder(spark, "models")
@@ -935,7 +954,7 @@ def stream_rejected(spark, folder):
 QUERIES: list[Query] = [
     batch_score_from_snapshot, batch_score_carried, customer_snapshots, stream_score_continued,
     stream_behaviour_continued, stream_checked_scored, stream_rejected,
-    tree_models_round_trip, tree_attribution,
+    tree_models_round_trip, tree_attribution, risk_scores_trees, trajectory_steps,
     csv_log_round_trip, feature_store_round_trip, sequence_store_round_trip,
     batch_csv_mixed_headers, batch_unparsed_values, missing_columns, features_recomputed,
     models_round_trip, background_stored, metrics_refresh, history_from_nothing,

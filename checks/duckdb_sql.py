@@ -7,6 +7,7 @@ import math
 from spendtrace import contract as C
 from spendtrace.operators import learn as L
 from spendtrace.operators import snapshot as SN
+from spendtrace.operators import trajectory as TJ
 from spendtrace.operators import trees as TR
 from checks.catalog import BATCH_CUT, HALF, TIMELINE_CUSTOMER
 
@@ -324,14 +325,14 @@ select s.customer_id, cast(s.i as int) as step, {steps}
 from s join f b on b.customer_id = s.customer_id and b.n = greatest(cnt - 10 + i, 0)"""
 
 
-def _tree_logit(value) -> str:
+def _tree_logit(value, trees=TR.FIXED_TREES, intercept=TR.FIXED_TREE_INTERCEPT) -> str:
     """The fixed trees in SQL; `value` names the scaled input of a number."""
     def of(tree, at):
         if len(tree[at]) == 1:
             return f"{tree[at][0]}::double"
         i, threshold, left, right = tree[at]
         return f"case when {value(i)} <= {threshold}::double then {of(tree, left)} else {of(tree, right)} end"
-    return f"{TR.FIXED_TREE_INTERCEPT}::double + " + " + ".join(of(t, 0) for t in TR.FIXED_TREES)
+    return f"{intercept}::double + " + " + ".join(of(t, 0) for t in trees)
 
 
 def _coalitions() -> str:
@@ -531,6 +532,16 @@ select transaction_id, 10 as n_inputs, true as adds_up from j where is_test and
 p as (select r.*, least(1 / (1 + exp(-({logit}))), 0.999::double) as prob from r, sc)""" + similarity_cte("p") + f"""
 select transaction_id, risk_score, round(prob * 100, 2) as fraud_probability, similarity_pct,
  {LEVEL} as alert_level from sim"""
+    def entry(i: int) -> str:  # padded in front with the earliest vector, all zeros without one
+        step, f = divmod(i, len(F9))
+        back = C.SEQUENCE_LENGTH - step
+        return (f"case when n >= {back} then lag({F9[f]}::double, {back}) over w when n > 0"
+                f" then first_value({F9[f]}::double) over w else 0 end")
+
+    window = _tree_logit(entry, TJ.FIXED_WINDOW_TREES, TJ.FIXED_WINDOW_INTERCEPT)
+    out["risk_scores_trees"] = EPISODE_F + f"""
+select customer_id, transaction_id, n as n_prior, round(100 / (1 + exp(-({window}))), 2) as risk_score
+from f window w as ({OWN})"""
     out["tree_attribution"] = RISK + BG + _coalitions()
     out["trained_held_out"] = EPISODE_F + risk() + """,
 q as (select count(*) as n, count(*) filter (is_fraud = 1) as p from j where is_test)

@@ -41,12 +41,12 @@ class BoostedModel:
 
     def portable(self) -> TreeModel:
         """The trees as plain numbers. The library's probability is logistic(2 * margin)."""
-        trees = [_nodes(tree._call_java("rootNode"), 2.0 * weight)
+        trees = [library_nodes(tree._call_java("rootNode"), 2.0 * weight)
                  for tree, weight in zip(self.trees.trees, self.trees.treeWeights)]
         return TreeModel(0.0, trees, self.scaler)
 
 
-def _nodes(root, scale: float) -> list[list[float]]:
+def library_nodes(root, scale: float) -> list[list[float]]:
     """Nodes of one of the library's trees, breadth first, its leaf values times `scale`."""
     nodes, waiting = [[]], [(0, root)]
     for at, node in waiting:

@@ -60,6 +60,23 @@ def auc_roc(rows: DataFrame, probability: str, label: str,
                F.round(pairs / positives / negatives, 4)).alias("auc_roc"))
 
 
+def auc_by(rows: DataFrame, key: str, score: str, label: str, max_rows: int | None = None) -> DataFrame:
+    """(key, auc_roc): the exact area, not rounded, for each value of `key`.
+
+    Scores are combined per key and value first; a key with very many different
+    scores is cut into ranges of them.
+    """
+    scores = materialize(rows.groupBy(key, F.col(score).alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"),
+        F.count_if(F.col(label) != 1).alias("_neg")), "scores")
+    ranked = running_total(split_history(
+        scores, key=key, order=("_score",), max_rows=max_rows), "_neg", "_below")
+    pairs = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
+    positives, negatives = F.sum("_pos"), F.sum("_neg")
+    return ranked.rows().groupBy(key).agg(F.when(
+        (positives > 0) & (negatives > 0), pairs / positives / negatives).alias("auc_roc"))
+
+
 def metrics(rows: DataFrame, probability: str, label: str, model: str,
             threshold: float = C.DECISION_THRESHOLD) -> DataFrame:
     """The metrics record of one model: a single row, confusion matrix nested."""

@@ -7,7 +7,6 @@ logs, batches and streams, in attribution, and in the store of models.
 from __future__ import annotations
 
 import itertools
-import json
 import math
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -18,9 +17,17 @@ from pyspark.sql import functions as F
 
 from spendtrace import contract as C
 from spendtrace.functions.columns import logistic, total
-from spendtrace.operators.learn import (
-    RiskModels, Scaler, TrajectoryModel, TransactionModel, normalised_inputs,
-)
+from spendtrace.operators.learn import Scaler, normalised_inputs
+
+
+def tree_value(tree: list[list[float]], inputs, at: int = 0) -> Column:
+    """The value of a tree; `inputs` gives the column of a number. A null goes to the right."""
+    node = tree[at]
+    if len(node) == 1:
+        return F.lit(float(node[0]))
+    side, threshold, left, right = node
+    return F.when(inputs[int(side)] <= F.lit(float(threshold)), tree_value(tree, inputs, int(left))).otherwise(
+        tree_value(tree, inputs, int(right)))
 
 
 @dataclass(frozen=True)
@@ -37,16 +44,7 @@ class TreeModel:
 
     def logit(self, inputs: list[Column]) -> Column:
         """Nested conditions, one path of which is evaluated per tree."""
-
-        def value(tree: list[list[float]], at: int) -> Column:
-            node = tree[at]
-            if len(node) == 1:
-                return F.lit(float(node[0]))
-            side, threshold, left, right = node
-            return F.when(inputs[int(side)] <= F.lit(float(threshold)), value(tree, int(left))).otherwise(
-                value(tree, int(right)))
-
-        return total([F.lit(float(self.intercept)), *[value(t, 0) for t in self.trees]])
+        return total([F.lit(float(self.intercept)), *[tree_value(t, inputs) for t in self.trees]])
 
     def probability(self, inputs: list[Column]) -> Column:
         return logistic(self.logit(inputs))
@@ -164,27 +162,3 @@ FIXED_TREES = [
 
 def fixed_tree_model(scaler: Scaler) -> TreeModel:
     return TreeModel(FIXED_TREE_INTERCEPT, FIXED_TREES, scaler)
-
-
-# --- stored models ------------------------------------------------------------------
-
-def to_json(models: RiskModels) -> str:
-    """Both models and the background; trees are told by their `trees`."""
-
-    def numbers(model) -> dict:
-        return {name: getattr(model, name) for name in model.__dataclass_fields__}
-
-    return json.dumps({
-        "trajectory": numbers(models.trajectory), "transaction": numbers(models.transaction),
-        "background": models.background})
-
-
-def from_json(text: str) -> RiskModels:
-    found = json.loads(text)
-    for name in ("trajectory", "transaction"):
-        found[name]["scaler"] = [tuple(s) for s in found[name]["scaler"]]
-        if not math.isfinite(found[name]["intercept"]):
-            raise ValueError(f"{name} model has no finite intercept")
-    kind = TreeModel if "trees" in found["transaction"] else TransactionModel
-    return RiskModels(TrajectoryModel(**found["trajectory"]), kind(**found["transaction"]),
-                      found["background"])

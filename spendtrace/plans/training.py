@@ -15,6 +15,7 @@ from spendtrace.operators.learn import (
     read_background,
 )
 from spendtrace.operators.sequences import add_steps
+from spendtrace.operators.trajectory import grow_trajectory_trees
 from spendtrace.plans.reports import model_metrics
 from spendtrace.session import materialize
 
@@ -41,12 +42,13 @@ def train(log: DataFrame, is_home: Column | None = None, max_rows: int | None =
     """Stage 1 on the windows, then stage 2 on the features and stage-1 scores.
 
     Several `regs` are compared on a validation part of the training rows. With
-    `trees` stage 2 is boosted trees.
+    `trees` both stages are boosted trees, of which a validation part decides
+    the number.
     """
     table = training_table(log, is_home, max_rows)
     windows = table.filter("not is_test").select(
         "transaction_id", F.col("steps").alias("seq"), F.col("is_fraud").alias("label"))
-    trajectory = fit_trajectory_model(windows, regs)
+    trajectory = grow_trajectory_trees(windows).model if trees else fit_trajectory_model(windows, regs)
     # the second fit and the metrics read narrow rows, without the windows
     narrow = materialize(
         table.withColumn("p_trajectory", trajectory.probability(F.col("steps")))

@@ -10,7 +10,7 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import hash_bucket
 from spendtrace.operators.learn import RiskModels
 from spendtrace.operators.snapshot import Snapshot, from_rows, one_table
-from spendtrace.operators.trees import from_json, to_json
+from spendtrace.operators.stored import from_json, to_json
 from spendtrace.session import materialize
 from spendtrace.sources.manifest import (
     KeyedTable, commit, files_with, listed_hashes, new_run, newest, schema_of, to_merge,

@@ -10,7 +10,7 @@ from spendtrace.operators import evaluate as E
 from spendtrace.operators import explain as X
 from spendtrace.operators import boosted as B
 from spendtrace.operators import learn as L
-from spendtrace.operators import trees as TR
+from spendtrace.operators import stored
 from checks import catalog
 from spendtrace.plans import reports
 
@@ -62,7 +62,7 @@ def test_class_weight_is_at_least_one(spark):
 def test_models_survive_text(spark):
     models = L.RiskModels(L.fixed_trajectory_model(), L.fixed_transaction_model(PLAIN),
                           [[0.5] * 10])
-    assert TR.from_json(TR.to_json(models)) == models
+    assert stored.from_json(stored.to_json(models)) == models
 
 
 def test_trajectory_model_matches_plain_sum(spark):

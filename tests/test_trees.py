@@ -12,6 +12,8 @@ from spendtrace import contract as C
 from spendtrace.operators import boosted as BT
 from spendtrace.operators import learn as L
 from spendtrace.operators import snapshot as SN
+from spendtrace.operators import stored
+from spendtrace.operators import trajectory as TJ
 from spendtrace.operators import trees as TR
 from spendtrace.operators.explain import add_probability_contributions
 from spendtrace.plans import scoring
@@ -92,14 +94,14 @@ def test_portable_form_has_the_librarys_values(spark):
     assert len(model.trees) == len(fitted.trees.trees)
 
 
-TREES = L.RiskModels(MODELS.trajectory, TR.fixed_tree_model(SCALER), MODELS.background)
+TREES = L.RiskModels(TJ.fixed_trajectory_trees(), TR.fixed_tree_model(SCALER), MODELS.background)
 
 
 def test_stored_trees_in_every_scoring_job(spark, tmp_path):
     writers.save_models(spark, TREES, str(tmp_path / "models"))
     models = writers.load_models(spark, str(tmp_path / "models"))
     assert isinstance(models.transaction, TR.TreeModel) and models == TREES
-    assert isinstance(TR.from_json(TR.to_json(MODELS)).transaction, L.TransactionModel)
+    assert isinstance(stored.from_json(stored.to_json(MODELS)).transaction, L.TransactionModel)
     rows = random_log(customers=3, rows=24)
     log, cut = log_of(spark, rows), START + timedelta(days=1)
     late = F.col("timestamp") >= F.lit(cut)
@@ -116,3 +118,46 @@ def test_stored_trees_in_every_scoring_job(spark, tmp_path):
                        str(tmp_path / "check")).awaitTermination()
     got = values(writers.read_scored(spark, out))
     assert got.keys() == want.keys() and all(close(got[k], want[k], 1e-6) for k in want)
+
+
+def plain_value(tree, x, at=0):
+    node = tree[at]
+    return node[0] if len(node) == 1 else plain_value(tree, x, int(node[2] if x[int(node[0])] <= node[1] else node[3]))
+
+
+def windows(spark, n=1200):
+    """Fraud follows a foreign place in the last step together with logins in the one before."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        seq = rng.normal(size=(10, 9)).round(2)
+        fraud = int(seq[9, 4] > 0.4 and seq[8, 5] > 0.1) if rng.random() < 0.95 else int(rng.random() < 0.5)
+        rows.append((f"t{i}", seq.tolist(), fraud))
+    return spark.createDataFrame(rows, "transaction_id string, seq array<array<double>>, label int")
+
+
+def test_trees_grow_while_the_validation_part_gets_better(spark):
+    table = windows(spark).cache()
+    grown = TJ.grow_trajectory_trees(table, max_steps=12, depth=2)
+    aucs = dict(grown.curve)
+    assert list(aucs) == list(range(1, 13)) and len(grown.model.trees) == grown.chosen
+    watched = {k: v for k, v in aucs.items() if k <= grown.stopped}
+    assert aucs[grown.chosen] == max(watched.values()) > 0.85
+    assert all(aucs[k] < aucs[grown.chosen] for k in range(1, grown.chosen))
+    held = table.filter(L.hash_bucket("transaction_id", 1 << 20) % 100 < C.VALIDATION_PERCENT).collect()
+    scores = [sum(plain_value(t, sum(r.seq, [])) for t in grown.model.trees) for r in held]
+    pairs = [(a > b) + 0.5 * (a == b) for a, r in zip(scores, held) if r.label for b, q in zip(scores, held) if not q.label]
+    assert aucs[grown.chosen] == pytest.approx(np.mean(pairs), abs=1e-9)
+    got = {r.transaction_id: r.p for r in table.select("transaction_id", grown.model.probability(F.col("seq")).alias("p")).collect()}
+    assert all(got[r.transaction_id] == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-9) for r, s in zip(held, scores))
+
+
+def test_step_that_is_kept():
+    assert TJ.best_step([(1, 0.6), (2, 0.7), (3, 0.69), (4, 0.7)]) == (2, 4)
+    assert TJ.best_step([(i, 1 - i / 100) for i in range(1, 20)]) == (1, 6)
+    assert TJ.best_step([(1, 0.5), (2, 0.4), (3, 0.4), (4, 0.9)], patience=2) == (1, 3)
+
+
+def test_one_class_keeps_all_trees(spark):
+    table = windows(spark, 60).withColumn("label", F.when(F.col("transaction_id") == "t1", 1).otherwise(0))
+    assert TJ.grow_trajectory_trees(table, max_steps=2, depth=1).chosen == 2
