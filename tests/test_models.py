@@ -119,6 +119,7 @@ def test_logit_contributions_add_up(spark):
 
 
 def test_reasons_are_positive_sorted_and_four(spark):
+    # Fixed input: given contributions.
     values = [0.1, -0.2, 0.5, 0.0, 0.3, 0.2, 0.05, 0.4, -0.1, 0.01]
     rows = spark.createDataFrame([(values,), ([-0.1] * 10,), (None,)], "c array<double>")
     got = [r[0] for r in rows.select(X.top_reasons(F.col("c"))).collect()]

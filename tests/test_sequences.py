@@ -74,6 +74,7 @@ def test_profile_as_of_each_row(spark, max_rows):
                 assert close(got[r[1]][f"std_{f}"], std, 1e-6)
 
 
+# Fixed inputs: given feature vectors and their similarities.
 @pytest.mark.parametrize("current,similar,deviation", [
     ([0.15, 0, 0, 0, 0, 0.3, 0, 1, 98], 98.17, 0.054),
     ([1.2, 0, 0, 0, 0, 1.0, 0, 2, 140], 71.2, 0.985),

@@ -13,6 +13,7 @@ from spendtrace.plans import reports
 from spendtrace.sources import readers, writers
 from tests.helpers import SCHEMA, START, random_log, row
 
+# Fixed input: a given batch file.
 SAMPLE = """customer_id,amount,merchant_category,device_id,location,failed_logins_24h
 CUST_0001,1500,grocery,,,0
 CUST_0002,92000,electronics,DEV_UNKNOWN_1234,Lagos,5

@@ -52,7 +52,7 @@ def by_coalitions(value, x, b):
 def test_attribution_equals_all_coalitions():
     rng = np.random.default_rng(4)
     model = random_trees(rng)
-    x, background = rng.normal(size=(5, 10)).round(1), rng.normal(size=(7, 10)).round(1)
+    x, background = rng.normal(size=(3, 10)).round(1), rng.normal(size=(4, 10)).round(1)
     background[0] = x[0]
     got = TR.tree_contributions(model, x, background)
     for row, found in zip(x, got):
