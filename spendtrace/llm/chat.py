@@ -1,7 +1,7 @@
 """Chat formatting: a state machine over roles and a declarative template.
 
-A template names, per role, the text before and after a turn's body and whether
-the body counts for the loss. `format_chats` emits the conversation as segments
+A template names the text before and after a turn's body, the same for all
+roles, and the roles whose bodies count for the loss. `format_chats` emits the conversation as segments
 with a flag each; their texts joined are the formatted conversation. Control
 strings inside bodies are escaped, so the formatted text can be read back.
 
