@@ -1,11 +1,14 @@
 """Divergence rules, classifier, language models and extraction against plain definitions."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +334,119 @@ def test_malformed_markup(page, text):
     assert extract.main_text(page) == text
 
 
+WORDS = {
+    "en": "the of and to in house river table morning walked garden window letter stone colour".split(),
+    "de": "der die und das mit haus fluss tisch morgen gegangen garten fenster brief stein farbe".split(),
+    "pl": "i w na nie się dom rzeka stół ranek szedł ogród okno list kamień kolor".split(),
+}
+
+
+def rendered_page(rng: random.Random, landmark: str) -> tuple[str, str]:
+    """A page from a random tree, and the text of its article."""
+    lang = rng.choice(list(WORDS))
+    words = WORDS[lang]
+
+    def prose(least: int, most: int) -> str:
+        return " ".join(rng.choice(words[:5]) if rng.random() < 0.4 else rng.choice(words[5:])
+                        for _ in range(rng.randint(least, most)))
+
+    def links(n: int) -> str:
+        return "".join(f"<li><a href='/{i}'>{prose(1, 3)}</a></li>" for i in range(n))
+
+    body, lines = [], []
+    for i in range(rng.randint(4, 9)):
+        text = prose(40, 120) if i % 3 == 0 else prose(2, 30)
+        lines.append(text)
+        tag = "h2" if len(text) < 40 and i and rng.random() < 0.3 else rng.choice(["p", "div", "blockquote"])
+        shown = text.replace(" ", rng.choice([" ", "\n  ", "<b> </b>"]), 1)
+        body.append(f"<{tag}>{shown}</{tag}>")
+        if rng.random() < 0.3:
+            body.append(rng.choice([
+                f"<aside><p>{prose(5, 20)}</p></aside>", f"<div class='advert'>{prose(5, 20)}</div>",
+                f"<script>var a = '<p>{prose(3, 9)}</p>'</script>", f"<!-- <p>{prose(3, 9)}</p> -->",
+                f"<form><p>{prose(3, 9)}</p><input></form>"]))
+    article = f"<{landmark}>{''.join(body)}</{landmark}>"
+    for _ in range(rng.randint(0, 3)):
+        article = f"<div>{article}</div>"
+    if rng.random() < 0.2:
+        article = f"<form action='/'>{article}</form>"
+    page = (f"<html lang='{lang}'><head><title>{prose(2, 5)}</title></head><body><header><p>{prose(2, 5)}</p>"
+            f"</header><nav><ul>{links(6)}</ul></nav>{article}<ul>{links(5)}</ul>"
+            f"<section id='comments'><p>{prose(5, 25)}</p></section><footer>{prose(3, 12)}</footer></body>")
+    return page, "\n".join(lines)
+
+
+@pytest.mark.parametrize("landmark", ["article", "main", "div", "section"])
+def test_random_pages_give_their_article(landmark):
+    rng = random.Random(landmark)
+    pages = [rendered_page(rng, landmark) for _ in range(200)]
+    wrong = [(page, text, extract.main_text(page)) for page, text in pages if extract.main_text(page) != text]
+    assert not wrong, wrong[0]
+
+
+def test_rules_decide_where_the_page_names_no_article(small):
+    """The given pages with their landmarks taken away: what the two passes decide by themselves."""
+    pages = [page or "" for page in pd.read_parquet(f"{small}/../sf0.01/pages.parquet").html]
+    plain = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page) for page in pages]
+    same = sum(extract.main_text(a) == extract.main_text(b) for a, b in zip(pages, plain))
+    assert same >= 0.96 * len(pages)
+    steps = Counter()
+    for page in plain:
+        read = extract.page_of(page)
+        steps.update(step for b, step in zip(read.blocks, extract.decide(read, extract.Rules())) if not b.bad)
+    first = sum(n for (label, _), n in steps.items() if label in (extract.GOOD, extract.BAD))
+    # Density and length decide a part of the blocks, their neighbours the others.
+    assert 0.2 < first / steps.total() < 0.8
+    assert steps[extract.SHORT, extract.GOOD] and steps[extract.NEAR, extract.GOOD]
+
+
+def test_neighbours_share_the_innermost_container():
+    G, B, S, N = extract.GOOD, extract.BAD, extract.SHORT, extract.NEAR
+    # Good and three short blocks in one container, then a bad one elsewhere.
+    assert extract.second_pass([G, S, S, S, B], [0, 3, 3, 3, 1]) == [G, G, G, G, B]
+    # A heading stands with what follows.
+    assert extract.second_pass([B, S, N, G], [0, 1, 1, 1], [False, True, False, False]) == [B, G, G, G]
+    assert extract.second_pass([G, S, B], strict=[True] * 3) == [G, B, B]
+
+
+def test_landmarks_vote():
+    # Unmarked text before an article that holds most of the text is left out, between two it is not.
+    teaser = f"<div>{BODY[:150]}</div>"
+    assert extract.main_text(f"<body>{teaser}<article><p>{BODY}</p></article></body>") == BODY.strip()
+    both = f"<article><p>{BODY}</p></article>{teaser}<article><p>{BODY}</p></article>"
+    assert extract.main_text(both).split("\n") == [BODY.strip(), BODY[:150].strip(), BODY.strip()]
+    # A list of links inside an article is still one.
+    page = f"<article><p>{BODY}</p><ul><li><a href=1>Read this</a><li><a href=2>And that</a></ul></article>"
+    assert extract.main_text(page) == BODY.strip()
+
+
+def test_a_page_inside_a_form():
+    page = f"<body><form><div><p>{BODY}</p></div></form><form><p>Your mail address</p></form></body>"
+    assert extract.main_text(page) == BODY.strip()
+
+
+def test_other_languages_and_scripts():
+    polish = ("Dom stał na wzgórzu i nie było w nim nikogo, a na stole leżał list, w którym król pisał, że nie "
+              "wróci na zimę i że na wiosnę w ogrodzie nie będzie kwiatów. ") * 2
+    chinese = "我的家在山上，我的朋友在城里。他的房子是新的，我的房子是旧的，我们的生活是好的。" * 6
+    for text, lang in ((polish, "pl"), (chinese, "zh")):
+        page = f"<html lang={lang}><body><ul><li><a href=1>{text[:20]}</a></ul><div><p>{text}</p></div></body>"
+        assert extract.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("part", [
+    "<div>", "<div class='ad'>", "<b>", "<p><b>", "<svg>", '<a "', "<!", "</p>", "<li>", "<form>",
+    "<div><p>x", "<!--", "<article>"])
+def test_time_is_linear_in_the_length(part):
+    def seconds(size: int) -> float:
+        start = time.perf_counter()
+        extract.main_text(part * (size // len(part)))
+        return time.perf_counter() - start
+
+    # Eight times the length: 64 times the time if quadratic.
+    assert seconds(400_000) < 24 * max(seconds(50_000), 0.01)
+
+
 def test_extract_table(spark):
     rows = [(1, "u", PAGE, "mine"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "", "y"),
             (3, "w", "<article>" + "<p>word word</p>" * 30_000 + "</article>", "z")]
