@@ -17,6 +17,7 @@ from spendtrace.functions.columns import (
 )
 from spendtrace.operators import boosted as BT
 from spendtrace.operators import evaluate as E
+from spendtrace.operators import daily as D
 from spendtrace.operators import explain as X
 from spendtrace.operators import features as FT
 from spendtrace.operators import history as H
@@ -37,6 +38,7 @@ from spendtrace.sources.readers import scored_as_json, transactions_json
 from checks import replay
 
 BATCH_CUT = "2024-01-25 00:00:00"
+DAILY_HALF = "2024-01-15"
 TIMELINE_CUSTOMER = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,6 +296,34 @@ def feature_summary(spark, folder):
     return _rounded(summary, ["mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
+def feature_summary_daily(spark, folder):
+    """Columns summed from a table of days, beside the exact quartiles.
+
+    The table gets the days one half after the other, and the last day of the first
+    half once more, as when its late rows have come.
+    """
+    features, columns = feature_table(spark, folder), [*C.FEATURES, "is_fraud"]
+    day, half, late = F.to_date("timestamp"), F.lit(DAILY_HALF).cast("date"), F.col("transaction_id") % 5 == 0
+    store = writers.daily_table(new_folder(spark, "daily"))
+    for rows in (features.filter((day < half) | (day == half) & ~late), features.filter(day == half),
+                 features.filter(day > half)):
+        store.put(D.daily_values(rows, day, columns))
+    found = _rounded(D.value_summary(store.read(spark)), ["mean", "std", "min", "q25", "q50", "q75", "max"])
+    exact = E.feature_summary(features, columns).select(
+        "feature", *[F.round(q, 6).alias(f"{q}_exact") for q in ("q25", "q50", "q75")])
+    return found.join(exact, "feature")
+
+
+def auc_weekly(spark, folder):
+    """Area under the curve of each week from counts per day, its greatest error, and the exact area."""
+    rows, day = _test_scores(spark, folder), F.to_date("timestamp")
+    week = F.date_format(F.date_trunc("week", F.col("day")), "yyyy-MM-dd")
+    found = D.auc_summary(D.daily_scores(rows, day, "probability", "is_fraud").withColumn("week", week), "week")
+    exact = E.auc_by(rows.withColumn("day", day).withColumn("week", week), "week", "probability", "is_fraud")
+    return _rounded(found.join(exact.withColumnRenamed("auc_roc", "auc_exact"), "week"),
+                    ["auc_roc", "auc_error", "auc_exact"])
+
+
 def dataset_size(spark, folder):
     return E.dataset_size(fx.episode_log(spark, folder))
 
@@ -966,7 +996,7 @@ QUERIES: list[Query] = [
     feat_velocity_1h, feat_velocity_1h_ties, failed_logins_24h_derived, point_features,
     point_features_orders, point_features_hot, point_features_skewed, scores_skewed,
     scores_skewed_null_key,
-    feature_summary, dataset_size,
+    feature_summary, feature_summary_daily, auc_weekly, dataset_size,
     sequences_long, sequences_long_orders, sequence_label_rate, latest_sequence_padded,
     customer_profile, profile_prefix, similarity, split_counts, scaler_stats,
     seq_scaler_stats, class_weights, background_sample, normalised_clipped,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from spendtrace import contract as C
+from spendtrace.operators import daily as D
 from spendtrace.operators import learn as L
 from spendtrace.operators import snapshot as SN
 from spendtrace.operators import trajectory as TJ
@@ -306,6 +307,35 @@ select feature, count(v) as count, round(avg(v), 6) as mean, round(stddev_samp(v
  round(max(v), 6) as max from ({rows}) group by feature"""
 
 
+def summary_by_buckets() -> str:
+    """Quartiles by buckets of relative width over all rows at once, beside the exact ones."""
+    rows = unpivot("f", "select '{c}' as feature, {c}::double as v from {source}", [*F9, "is_fraud"])
+    width, near = f"{D.WIDTH!r}::double", f"{1 - D.RELATIVE_ERROR!r}::double"
+    ranks = [(f"q{int(share * 100)}", share) for share in (0.25, 0.5, 0.75)]
+    at = ", ".join(
+        f"max(shown) filter (upto - n <= {f}((total - 1) * {share}::double)"
+        f" and {f}((total - 1) * {share}::double) < upto) as {q}_{f}"
+        for q, share in ranks for f in ("floor", "ceil"))
+    between = ", ".join(
+        f"round({q}_floor + ({q}_ceil - {q}_floor) * ((total - 1) * {share}::double"
+        f" - floor((total - 1) * {share}::double)), 6) as {q}" for q, share in ranks)
+    return EPISODE_F + f""",
+vs as ({rows}),
+bk as (select feature, v, case when abs(v) < {D.LEAST_VALUE!r}::double then 0
+  else sign(v) * ({D.SHIFT} + ceil(ln(abs(v)) / {width})) end as b from vs),
+ct as (select feature, b, count(*) as n, min(v) as low, max(v) as high from bk group by feature, b),
+pl as (select feature, n, sum(n) over (partition by feature) as total,
+  sum(n) over (partition by feature order by b) as upto,
+  greatest(low, least(high, case when b = 0 then 0
+    else sign(b) * exp((abs(b) - {D.SHIFT}) * {width}) * {near} end)) as shown from ct),
+qt as (select feature, total, {at} from pl group by feature, total),
+ex as (select feature, count(v) as count, round(avg(v), 6) as mean, round(stddev_samp(v), 6) as std,
+  round(min(v), 6) as min, round(max(v), 6) as max,
+  {", ".join(f"round(quantile_cont(v, {share}), 6) as {q}_exact" for q, share in ranks)}
+  from vs group by feature)
+select ex.*, {between} from ex join qt using (feature)"""
+
+
 def stats_long(cte: str, source: str, columns, suffix: str = "") -> str:
     rows = unpivot(source, "select '{c}' as feature, {c}::double as v from {source}", columns)
     return cte + suffix + f"""
@@ -450,6 +480,7 @@ select transaction_id, risk_score, similarity_pct, round(az, 6) as avg_z_deviati
 select customer_id, transaction_id, {FEATURE_OUT}, risk_score, similarity_pct,
  round(az, 6) as avg_z_deviation from sim"""
     out["feature_summary"] = summary_stats()
+    out["feature_summary_daily"] = summary_by_buckets()
     out["dataset_size"] = f"""
 select count(*) as n_rows, count(distinct customer_id) as n_customers,
  round(avg(is_fraud) * 100, 3) as fraud_rate_pct from ({EPISODES})"""
@@ -521,6 +552,26 @@ rk as (select is_fraud, avg(i) over (partition by prob) as rank
 select round((sum(rank) filter (is_fraud = 1)
   - count(*) filter (is_fraud = 1) * (count(*) filter (is_fraud = 1) + 1) / 2)
  / count(*) filter (is_fraud = 1) / count(*) filter (is_fraud <> 1), 4) as auc_roc from rk"""
+    out["auc_weekly"] = SCORED + f""",
+t as (select strftime(date_trunc('week', timestamp), '%Y-%m-%d') as week, is_fraud, {PROBABILITY} as prob
+ from j, sc where is_test),
+bk as (select week, is_fraud, floor(least(greatest(case when prob >= 1 then {D.ODDS_LIMIT}::double
+   else ln(prob / (1 - prob)) end, -{D.ODDS_LIMIT}::double), {D.ODDS_LIMIT}::double) * {D.ODDS_STEPS}) as b
+ from t),
+ct as (select week, b, count(*) filter (is_fraud = 1) as p, count(*) filter (is_fraud <> 1) as q
+ from bk group by week, b),
+cu as (select *, sum(q) over (partition by week order by b) - q as below from ct),
+rk as (select week, is_fraud, avg(i) over (partition by week, prob) as rank
+ from (select *, row_number() over (partition by week order by prob) as i from t)),
+ex as (select week, (sum(rank) filter (is_fraud = 1)
+  - count(*) filter (is_fraud = 1) * (count(*) filter (is_fraud = 1) + 1) / 2)
+ / nullif(count(*) filter (is_fraud = 1), 0) / nullif(count(*) filter (is_fraud <> 1), 0) as auc
+ from rk group by week)
+select week, cast(sum(p) + sum(q) as bigint) as n,
+ round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0)::double, 6) as auc_roc,
+ round(sum(p * q / 2) / nullif(sum(p) * sum(q), 0)::double, 6) as auc_error,
+ round(any_value(auc), 6) as auc_exact
+from cu join ex using (week) group by week"""
     names = ["intercept", *F10]
     out["trained_optimum"] = EPISODE_F + risk() + """
 select unnest(range(11))::int as position, unnest([""" + ", ".join(f"'{n}'" for n in names) + """])

@@ -181,6 +181,11 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").parquet(path)
 
 
+def daily_table(path: str) -> KeyedTable:
+    """Daily summaries of columns (operators.daily); a day that is counted again takes its place."""
+    return KeyedTable(path, ("day", "feature"))
+
+
 # --- snapshots of behaviour ------------------------------------------------------------
 
 def snapshot_table(path: str) -> KeyedTable:
