@@ -7,9 +7,13 @@ take one file at a time as binary.
 
 The reader checks each record: version line, header lines, Content-Length, the
 two line ends after the block, and the block digest. After a failed check it
-searches for the next version line (or, in compressed archives, the next member
-that inflates to one) and goes on there; what it passed over is reported as a
-gap with file, first and last byte and reason.
+searches for the next valid version line (or, in compressed archives, the next valid
+member) and goes on there; what it passed over is reported as a gap with file, first
+and last byte and reason. A record that only its digest condemns is passed over as a
+whole, so nothing quoted inside it is taken for a record. The inflated bytes of a member
+are salvaged in the same way, and of a member that breaks off the records are kept that
+are whole, have a digest and are followed by another. What cannot be told apart: a record
+quoted from the start of a line inside one with a damaged length.
 """
 
 from __future__ import annotations
@@ -101,7 +105,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 class Rejected(Exception):
-    """Why bytes at some place are not a record."""
+    """Why bytes at some place are not a record, and where a condemned one ends."""
+
+    def __init__(self, reason: str, stop: int | None = None) -> None:
+        super().__init__(reason)
+        self.stop = stop
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -132,7 +140,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Rejected("block does not end where it should")
     block = data[start:stop]
     if not digest_agrees(headers.get("warc-block-digest"), block):
-        raise Rejected("block digest differs")
+        raise Rejected("block digest differs", stop + 4)
     return headers, block, stop + 4
 
 
@@ -145,54 +153,97 @@ def digest_agrees(stated: str | None, block: bytes) -> bool:
     return value.lower() == digest.hex() or value.upper() == base64.b32encode(digest).decode()
 
 
-def inflate_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at `at`, or Rejected."""
-    unzip = zlib.decompressobj(wbits=31)
+def inflate(data: bytes, at: int, step: int = 1 << 20) -> tuple[bytes, int | None, str]:
+    """What the gzip member at `at` holds, its end, and why it has none."""
+    unzip, parts = zlib.decompressobj(wbits=31), []
+    view = memoryview(data)
     try:
-        content = unzip.decompress(memoryview(data)[at:]) + unzip.flush()
-    except zlib.error as error:
-        raise Rejected("broken member") from error
+        while at < len(data) and not unzip.eof:
+            parts.append(unzip.decompress(view[at:at + step]))
+            at += step
+    except zlib.error:
+        return b"".join(parts), None, "broken member"
     if not unzip.eof:
-        raise Rejected("unfinished member")
-    return content, len(data) - len(unzip.unused_data)
+        return b"".join(parts), None, "unfinished member"
+    return b"".join(parts), min(at, len(data)) - len(unzip.unused_data), ""
+
 
+Found = tuple[int, int, str | None, dict | None, bytes | None]
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict | None, bytes | None]]:
+
+def salvage(data: bytes) -> Iterator[Found]:
     """(start, stop, reason, headers, block) of all records and gaps of an archive.
 
-    Records have no reason; gaps have nothing else. Starts and stops of a
-    compressed archive are those of the member. Together they cover the file.
+    Records have no reason; gaps have nothing else. Together they cover the file.
+    Starts and stops of a compressed archive are those of the member, for gaps inside
+    a member too, whose reason names their bytes.
     """
     packed = data.startswith(MEMBER) or (VERSION not in data and MEMBER in data)
-    mark = MEMBER if packed else VERSION
+    return salvage_members(data) if packed else salvage_records(data)
+
+
+def salvage_records(data: bytes) -> Iterator[Found]:
     at, gap, why = 0, None, ""
     while at < len(data):
         try:
-            if packed:
-                inner, stop = inflate_member(data, at)
-                found, inside = [], 0
-                while inside < len(inner):
-                    headers, block, inside = parse_record(inner, inside)
-                    found.append((headers, block))
-            else:
-                headers, block, stop = parse_record(data, at)
-                found = [(headers, block)]
+            headers, block, stop = parse_record(data, at)
         except Rejected as reason:
             if gap is None:
                 gap, why = at, str(reason)
-            following = data.find(mark, at + 1)
+            following = reason.stop if reason.stop and at_border(data, reason.stop) else data.find(VERSION, at + 1)
             at = len(data) if following < 0 else following
             continue
         if gap is not None:
+            # Found by search: it begins a line, or another record or the end follows it.
+            if data[at - 1:at] != b"\n" and not at_border(data, stop):
+                following = data.find(VERSION, at + 1)
+                at = len(data) if following < 0 else following
+                continue
             yield gap, at, why, None, None
             gap = None
-        for headers, block in found:
-            yield at, stop, None, headers, block
+        yield at, stop, None, headers, block
         at = stop
     if gap is not None:
         yield gap, len(data), why, None, None
 
 
+def at_border(data: bytes, at: int) -> bool:
+    return at == len(data) or data.startswith(VERSION, at)
+
+
+def salvage_members(data: bytes) -> Iterator[Found]:
+    at, gap, why = 0, None, ""
+    kept: list[tuple[dict, bytes]] = []  # records of broken members inside the gap
+    while at < len(data):
+        if data.startswith(MEMBER, at):
+            inner, stop, reason = inflate(data, at)
+        else:
+            inner, stop, reason = b"", None, "no member"
+        found = list(salvage_records(inner))
+        if stop is not None and any(why_not is None for _, _, why_not, _, _ in found):
+            if gap is not None:
+                yield from ((gap, at, None, *record) for record in kept)
+                yield gap, at, why, None, None
+                gap, kept = None, []
+            for low, high, why_not, headers, block in found:
+                yield (at, stop, why_not and f"{why_not}, bytes {low} to {high} of the member",
+                       headers, block)
+            at = stop
+            continue
+        if gap is None:
+            gap, why = at, reason or (found[0][2] if found else "empty member")
+        if stop is not None:
+            at = stop  # whole, but without a record
+            continue
+        kept += [(headers, block) for _, high, why_not, headers, block in found
+                 if why_not is None and "warc-block-digest" in headers and inner.startswith(VERSION, high)]
+        following = data.find(MEMBER, at + 1)
+        at = len(data) if following < 0 else following
+    if gap is not None:
+        yield from ((gap, len(data), None, *record) for record in kept)
+        yield gap, len(data), why, None, None
+
+
 def http_payload(headers: dict[str, str], block: bytes) -> bytes:
     """The body behind the HTTP header, or the whole block of other records."""
     if headers.get("content-type", "").startswith("application/http"):

@@ -369,6 +369,71 @@ def test_salvage_of_compressed_members():
     assert gaps[-1][1] == len(data)
 
 
+def recovered(data):
+    return [h["warc-record-id"][10:-1] for _, _, r, h, _ in warc.salvage(data) if r is None]
+
+
+@pytest.mark.parametrize("before", [b"quoted: ", b"quoted:\r\n", b"quoted\r\n\r\n"])
+def test_a_quoted_record_is_not_one(before):
+    quoting = bytearray(one_record(1, before + one_record(99, b"forged " * 9) + b"\r\n and so on"))
+    quoting[-8] ^= 1
+    first, last = one_record(0, b"a" * 99), one_record(2, b"b" * 99)
+    assert recovered(first + bytes(quoting) + last) == ["0", "2"]
+    gaps = [x[:3] for x in warc.salvage(first + bytes(quoting) + last) if x[2]]
+    assert gaps == [(len(first), len(first) + len(quoting), "block digest differs")]
+    # The end of the archive is a border too.
+    assert recovered(first + bytes(quoting)) == ["0"]
+
+
+def test_a_quoted_record_in_one_of_damaged_length():
+    quoting = one_record(1, b"quoted: " + one_record(99, b"forged " * 9) + b" and so on")
+    damaged = quoting.replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    assert recovered(one_record(0, b"a") + damaged + one_record(2, b"b")) == ["0", "2"]
+
+
+def test_records_around_damage_inside_a_member():
+    records = [one_record(i, b"page %d " % i * 50) for i in range(5)]
+    broken = bytearray(records[1])
+    broken[-20] ^= 1
+    member = gzip.compress(records[0] + bytes(broken) + records[2])
+    data = member + gzip.compress(records[3])
+    found = list(warc.salvage(data))
+    assert recovered(data) == ["0", "2", "3"]
+    gap, = [x for x in found if x[2]]
+    low, high = len(records[0]), len(records[0] + broken)
+    assert gap[:3] == (0, len(member), f"block digest differs, bytes {low} to {high} of the member")
+    # An archive compressed as a whole, and one that is cut off.
+    whole = gzip.compress(b"".join(records))
+    assert recovered(whole) == list("01234")
+    cut = whole[:-9]
+    assert recovered(cut) == list("0123")
+    assert [x[:3] for x in warc.salvage(cut) if x[2]] == [(0, len(cut), "unfinished member")]
+    assert recovered(cut + gzip.compress(one_record(7, b"x"))) == list("01237")
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_random_damage_leaves_the_other_records(seed):
+    rng = random.Random(seed)
+    bodies = [bytes(rng.choice(b"ab \r\n<WARC/1.") for _ in range(rng.randint(0, 400))) for _ in range(12)]
+    records = [one_record(i, body) for i, body in enumerate(bodies)]
+    for packed in (False, True):
+        parts = [gzip.compress(r) if packed else r for r in records]
+        hurt = sorted(rng.sample(range(1, 12), 3))
+        for i in hurt:
+            # Bytes of the block are changed or lost.
+            part, at = bytearray(parts[i]), len(parts[i]) - rng.randint(10, 18)
+            if rng.random() < 0.5:
+                part[at] ^= 255
+            else:
+                del part[at:at + 3]
+            parts[i] = bytes(part)
+        data = b"".join(parts)
+        assert recovered(data) == [str(i) for i in range(12) if i not in hurt]
+        spans = sorted({x[:2] for x in warc.salvage(data)})
+        assert spans[0][0] == 0 and spans[-1][1] == len(data)
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_pages_come_back(spark, tmp_path):
     body = "<p>é</p>WARC/1.1\r\n\r\n" * 20
     rows = [(3, "http://x/\r\na b", body, 1), (1, "u", body, 1), (1, "u", body, 1), (2, None, None, 1),
