@@ -24,15 +24,17 @@ RELATIVE_ERROR = 0.005
 LEAST_VALUE = 1e-9  # anything nearer to zero counts as zero
 WIDTH = math.log((1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR))
 SHIFT = 4000  # makes the number of the least value's bucket positive
+BEYOND = 1 << 30  # bucket of the infinite value
 ODDS_LIMIT = 20.0
 ODDS_STEPS = 200  # buckets of the log odds to one
 
 
 def value_bucket(value: Column) -> Column:
-    """The bucket of a value; buckets are in the order of the values."""
+    """The bucket of a value; buckets are in the order of the values, with NaN last."""
     size = F.abs(value)
     number = F.ceil(F.ln(size) / WIDTH).cast("int") + SHIFT
-    return F.when(size < LEAST_VALUE, 0).when(value < 0, -number).otherwise(number)
+    return F.when(F.isnan(value), BEYOND + 1).when(size == math.inf, F.signum(value).cast("int") * BEYOND).when(
+        size < LEAST_VALUE, 0).when(value < 0, -number).otherwise(number)
 
 
 def bucket_value(bucket: Column) -> Column:
@@ -54,15 +56,20 @@ def daily_values(rows: DataFrame, day: Column, columns: list[str]) -> DataFrame:
     A bucket has its number, rows, least and greatest value, mean, and the sum of the
     squared differences from that mean. Rows are combined per bucket before the shuffle.
     """
-    long = rows.select(day.alias("day"), F.explode(F.array(*[
+    finite = rows.select(day.alias("day"), *[F.when(F.abs(v) < math.inf, v).alias(c) for c, v in (
+        (c, F.col(c).cast("double")) for c in columns)])
+    return _lists(value_buckets(finite, columns, "day"), ["day", "feature"],
+                  ["bucket", "n", "low", "high", "middle", "squares"])
+
+
+def value_buckets(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """(keys, feature, bucket, n, low, high, middle, squares): a row per bucket, nulls left out."""
+    long = rows.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in columns])).alias("p")).select("day", "p.*").filter(
-        F.col("value").isNotNull() & (F.abs("value") < math.inf))
-    buckets = long.withColumn("bucket", value_bucket(F.col("value"))).groupBy(
-        "day", "feature", "bucket").agg(
+        for c in columns])).alias("p")).select(*keys, "p.*").filter(F.col("value").isNotNull())
+    return long.withColumn("bucket", value_bucket(F.col("value"))).groupBy(*keys, "feature", "bucket").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.avg("value").alias("middle"), (F.var_pop("value") * F.count("*")).alias("squares"))
-    return _lists(buckets, ["day", "feature"], ["bucket", "n", "low", "high", "middle", "squares"])
 
 
 def daily_scores(rows: DataFrame, day: Column, score: str, label: str) -> DataFrame:
@@ -84,34 +91,65 @@ def value_summary(daily: DataFrame) -> DataFrame:
 
     Quartiles interpolate between the two rows around them, like the exact ones.
     """
-    counts = daily.select("feature", F.inline("buckets"))
+    placed = merged_buckets(daily.select("feature", F.inline("buckets")))
+    value = bucket_value(F.col("bucket"))
+    shown = F.greatest("low", F.least(F.col("high"), value))
+    return moments(placed, *[
+        F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), shown)).alias(name)
+        for name, rank in quartile_ranks().items()]).select(
+        "feature", "count", "mean", "std", "min", *between_ranks(), "max")
+
+
+def placed_buckets(buckets: DataFrame) -> DataFrame:
+    """Buckets, one row each, with the count and mean of their column and the rows below each."""
+    column = Window.partitionBy("feature")  # a row per bucket
+    off = F.col("middle") - F.col("mean")
+    return buckets.withColumns({
+        "count": F.sum("n").over(column),
+        "mean": F.sum(F.col("n") * F.col("middle")).over(column) / F.sum("n").over(column),
+        "below": F.sum("n").over(column.orderBy("bucket")) - F.col("n")}).withColumn(
+        "squares", F.col("squares") + F.col("n") * off * off)
+
+
+def merged_buckets(counts: DataFrame) -> DataFrame:
+    """Buckets of many days summed and placed."""
     # one row per column of the table, so the list to broadcast is a short one
     totals = counts.groupBy("feature").agg(
         F.sum("n").alias("count"), (F.sum(F.col("n") * F.col("middle")) / F.sum("n")).alias("mean"))
     off = F.col("middle") - F.col("mean")
-    merged = counts.join(F.broadcast(totals), "feature").groupBy("feature", "count", "mean", "bucket").agg(
+    return counts.join(F.broadcast(totals), "feature").groupBy("feature", "count", "mean", "bucket").agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.sum(F.col("squares") + F.col("n") * off * off).alias("squares"))
-    value = bucket_value(F.col("bucket"))
-    placed = merged.withColumns({
-        "upto": F.sum("n").over(Window.partitionBy("feature").orderBy("bucket")),  # a row per bucket
-        "shown": F.greatest("low", F.least(F.col("high"), value))})
-    picks = {}
-    for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        position = (F.col("count") - 1) * share
-        for end, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-            picks[f"{name}_{end}"] = F.max(F.when(
-                (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("shown")))
-        picks[f"{name}_part"] = F.max(position - F.floor(position))
-    found = placed.groupBy("feature", "count", "mean").agg(
-        F.sum("squares").alias("squares"),
-        F.min("low").alias("min"), F.max("high").alias("max"),
-        *[pick.alias(name) for name, pick in picks.items()])
-    return found.select(
-        "feature", "count", "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("std"), "min",
-        *[(F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q)
-          for q in ("q25", "q50", "q75")], "max")
+        F.sum(F.col("squares") + F.col("n") * off * off).alias("squares")).withColumn(
+        # a row per bucket
+        "below", F.sum("n").over(Window.partitionBy("feature").orderBy("bucket")) - F.col("n"))
+
+
+def moments(placed: DataFrame, *more: Column) -> DataFrame:
+    """(feature, count, mean, std, min, max) from placed buckets, with more aggregates."""
+    return placed.groupBy("feature", "count", "mean").agg(
+        F.sum("squares").alias("_squares"), F.min("low").alias("min"), F.max("high").alias("max"),
+        *more).withColumn("std", F.when(
+            F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1)))).drop("_squares")
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def quartile_ranks() -> dict[str, Column]:
+    """The places of the rows around each quartile, from 0, by the name of their column."""
+    places = {name: (F.col("count") - 1) * share for name, share in QUARTILES.items()}
+    return {f"{name}_{end}": f(place) for name, place in places.items()
+            for end, f in (("low", F.floor), ("high", F.ceil))}
+
+
+def between_ranks() -> list[Column]:
+    """The quartiles, interpolated from the values of the columns of `quartile_ranks`."""
+    found = []
+    for name, share in QUARTILES.items():
+        place = (F.col("count") - 1) * share
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        found.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found
 
 
 def auc_summary(daily: DataFrame, *span: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrace import contract as C
+from spendtrace.operators import daily as D
 from spendtrace.operators.history import running_total, split_history
 from spendtrace.session import materialize
 
@@ -93,48 +94,37 @@ def feature_summary(features: DataFrame, columns: list[str],
                     max_rows: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column, one row each.
 
-    Quartiles are exact and interpolate. They come from running counts over the
-    distinct values of a column, which are cut into ranges when there are many.
+    Quartiles are exact and interpolate. Buckets of values, combined before their
+    shuffle, tell in which bucket the rows around a quartile lie. Only the rows of
+    those buckets are counted by value, and not where a bucket has one value; running
+    counts over them are cut into ranges when there are many.
     """
-    long = features.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in columns])).alias("p")).select("p.*").filter(F.col("value").isNotNull())
-    # One row of moments for the whole table, then one row per column.
-    wide = features.agg(*[F.struct(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max")).alias(f"_{i}")
-        for i, v in enumerate(F.col(c).cast("double") for c in columns)])
-    stats = materialize(wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}.{x}").alias(x)
-            for x in ("count", "mean", "std", "min", "max")])
-        for i, c in enumerate(columns)])).alias("s")).select("s.*").filter(
-        F.col("count") > 0), "moments")
-    counts = materialize(
-        long.groupBy("feature", "value").agg(F.count("*").alias("_n")), "values")
-    ranked = running_total(split_history(
-        counts, key="feature", order=("value",), max_rows=max_rows), "_n", "_below").rows()
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_below") <= rank)
-                            & (rank < F.col("_below") + F.col("_n")), F.col("value")))
-
-    # one row per column of the table, so the list to broadcast is a short one
-    placed = ranked.join(F.broadcast(stats.select("feature", "count")), "feature")
-    quarters = []
-    for name, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        position = (F.col("count") - 1) * share
-        quarters += [value_at(F.floor(position)).alias(f"{name}_low"),
-                     value_at(F.ceil(position)).alias(f"{name}_high"),
-                     F.max(position - F.floor(position)).alias(f"{name}_part")]
-    found = placed.groupBy("feature").agg(*quarters)
-
-    def between(name: str) -> Column:
-        low, high, part = (F.col(f"{name}_{x}") for x in ("low", "high", "part"))
-        return (low + (high - low) * part).alias(name)
-
-    return stats.join(found, "feature").select(
-        "feature", "count", "mean", "std", "min",
-        between("q25"), between("q50"), between("q75"), "max")
+    placed = materialize(D.placed_buckets(D.value_buckets(features, columns)), "buckets")
+    ranks = D.quartile_ranks()
+    held = F.array(*[F.struct(F.lit(name).alias("name"), rank.alias("rank")) for name, rank in ranks.items()])
+    wanted = placed.select("feature", "bucket", "low", "high", "below", "n", F.explode(held).alias("r")).filter(
+        (F.col("below") <= F.col("r.rank")) & (F.col("r.rank") < F.col("below") + F.col("n"))).select(
+        "feature", "bucket", "low", "high", F.col("r.name").alias("name"),
+        (F.col("r.rank") - F.col("below")).alias("rank"))
+    known = wanted.filter("low <=> high").select("feature", "name", F.col("low").alias("value"))
+    # At most one row per column and rank: a short list, whatever the size of the table.
+    spans = sorted({(r.feature, r.bucket, r.low, r.high)
+                    for r in wanted.filter("not low <=> high").collect()})
+    if spans:
+        rows = features.select(F.explode(F.array(*[F.when(
+            F.col(c).cast("double").between(low, high),
+            F.struct(F.concat_ws(" ", F.lit(c), F.lit(bucket)).alias("span"), F.col(c).cast("double").alias("value")))
+            for c, bucket, low, high in spans])).alias("p")).filter("p is not null").select("p.*")
+        counts = materialize(rows.groupBy("span", "value").agg(F.count("*").alias("_n")), "values")
+        ranked = running_total(split_history(
+            counts, key="span", order=("value",), max_rows=max_rows), "_n", "_below").rows()
+        asked = wanted.select("feature", "name", "rank", F.concat_ws(" ", "feature", "bucket").alias("span"))
+        known = known.unionByName(ranked.join(F.broadcast(asked), "span").filter(
+            (F.col("_below") <= F.col("rank")) & (F.col("rank") < F.col("_below") + F.col("_n"))).select(
+            "feature", "name", "value"))
+    found = known.groupBy("feature").pivot("name", list(ranks)).agg(F.first("value"))
+    return D.moments(placed).join(found, "feature").select(
+        "feature", "count", "mean", "std", "min", *D.between_ranks(), "max")
 
 
 def dataset_size(log: DataFrame) -> DataFrame:

@@ -84,3 +84,25 @@ def test_a_day_counted_again_takes_its_place(spark, tmp_path):
     assert got["count"] == 3 and got.mean == pytest.approx(8)
     one = store.read(spark, spark.createDataFrame([("b",)], "day string"))
     assert D.value_summary(one).first()["count"] == 1
+
+
+def test_exact_quartiles_from_the_rows_of_a_few_buckets(spark, rows):
+    data = rows.toPandas()
+    for max_rows in (None, 50):
+        got = {r.feature: r for r in E.feature_summary(rows, COLUMNS, max_rows).collect()}
+        assert sorted(got) == sorted(set(COLUMNS) - {"empty"})
+        for name, r in got.items():
+            values = data[name].dropna().to_numpy(float)
+            assert [r.q25, r.q50, r.q75] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-12)
+            assert (r["count"], r.min, r.max) == (len(values), values.min(), values.max())
+            assert r.std == pytest.approx(values.std(ddof=1), rel=1e-6)
+
+
+def test_exact_quartiles_of_odd_values(spark):
+    inf = float("inf")
+    rows = spark.createDataFrame([(-inf, 1.0), (-inf, None), (-2.0, None), (3.0, None), (inf, None), (inf, None)],
+                                 "x double, y double")
+    got = {r.feature: r for r in E.feature_summary(rows, ["x", "y"]).collect()}
+    assert (got["x"].min, got["x"].max, got["x"].q50) == (-inf, inf, 0.5)
+    assert (got["y"].std, got["y"].q25, got["y"].q75) == (None, 1.0, 1.0)
+    assert E.feature_summary(rows.limit(0), ["x"]).count() == 0
