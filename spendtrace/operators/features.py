@@ -104,7 +104,7 @@ def cut_state(history: History) -> History:
         .drop(*[c for c in inside if c != "n_prior"], LEAD, "_w", "_step", "_kind",
               *[f"_w_{v}" for v in values], *[f"amount_{x}" for x in ("n0", "mean0", "m20")])
     )
-    return replace(history, cut=cut, cut_order=history.order)
+    return replace(runs, whole=history.whole, cut=cut, cut_order=history.order)
 
 
 def feature_columns(is_home: Column) -> dict[str, Column]:
@@ -197,7 +197,7 @@ def failed_logins_trailing(log: DataFrame, failed: Column,
 
     history = split_history(timed, order=("_t", "transaction_id"),
                             cut_order=("_t", "_kind", "transaction_id"),
-                            expand=with_marks, max_rows=max_rows)
+                            expand=with_marks, max_rows=max_rows).dealt()
     trailing = history.group().orderBy("_t").rangeBetween(-span, -1)
     whole = history.whole.withColumn(
         "failed_logins_24h",

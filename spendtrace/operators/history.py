@@ -22,9 +22,13 @@ RUN = "_run"
 LEAD = "_lead"
 ORDER = ("timestamp", "transaction_id")
 
-# Rows of one customer that one window task may hold; it sorts and spills well
-# below executor memory at this size.
-MAX_ROWS_PER_RUN = 2_000_000
+# Rows that one window task is meant to hold. Its sorts then take some 0.6 GB,
+# however long the log is and however few tasks a session would make of it.
+ROWS_PER_TASK = 150_000
+
+# Rows of one customer that one window task may hold: a larger run asked for is
+# cut down to this.
+MAX_ROWS_PER_RUN = ROWS_PER_TASK
 
 # Most keys a broadcast list of split customers may hold.
 MAX_SPLIT_KEYS = 500_000
@@ -36,7 +40,11 @@ MAX_RANGES = 10_000
 
 @dataclass(frozen=True)
 class History:
-    """`whole`: customers that fit one group. `cut`: the others, by run, or None."""
+    """`whole`: customers that fit one group. `cut`: the others, by run, or None.
+
+    `cut_tasks` is the number of tasks the cut part is dealt to for its windows,
+    0 where Spark may choose, and `is_dealt` whether it has been.
+    """
 
     whole: DataFrame
     cut: DataFrame | None
@@ -44,6 +52,8 @@ class History:
     order: tuple[str, ...]
     cut_order: tuple[str, ...]
     max_rows: int
+    cut_tasks: int = 0
+    is_dealt: bool = False
 
     def group(self, *extra: str):
         """Unordered window per customer."""
@@ -73,7 +83,14 @@ class History:
 
     def settled(self) -> History:
         """Write the cut part once, before it is read for totals and for rows."""
-        return self if self.cut is None else replace(self, cut=materialize(self.cut, "runs"))
+        return self if self.cut is None else replace(
+            self, cut=materialize(self.cut, "runs"), is_dealt=False)
+
+    def dealt(self) -> History:
+        """The cut part with its runs in tasks of bounded size, for windows over it."""
+        if self.cut is None or not self.cut_tasks or self.is_dealt:
+            return self
+        return replace(self, cut=self.cut.repartition(self.cut_tasks, RUN), is_dealt=True)
 
     def carried(self, aggregates: dict[str, Column], running: dict[str, Column],
                 by: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +164,7 @@ class History:
         rows = self.cut.withColumns({LEAD: F.lit(1), "_w": counts} | {
             f"_w_{v}": counts for v in values})
         return replace(self, cut=rows.unionByName(lead, allowMissingColumns=True),
-                       cut_order=(LEAD, *self.cut_order))
+                       cut_order=(LEAD, *self.cut_order), is_dealt=False).dealt()
 
 
 def run_moments(name: str, value: Column) -> list[Column]:
@@ -186,7 +203,7 @@ def moments_before(per_run: DataFrame, columns: list[str], by: list[str]) -> Dat
 
 @dataclass(frozen=True)
 class LargeKeys:
-    """Keys with more than `max_rows` rows, or None.
+    """Keys with more than `max_rows` rows, or None. `rows` counts those of all keys.
 
     A list of up to `MAX_SPLIT_KEYS` is broadcast; a longer one is joined with a
     shuffle, whose large partitions adaptive execution splits.
@@ -196,6 +213,7 @@ class LargeKeys:
     total: int
     max_rows: int
     count: int = 0
+    rows: int = 0
 
     def only(self, rows: DataFrame, key: str) -> DataFrame:
         return rows.join(self._list(key), F.col(key).eqNullSafe(F.col("_large")), "left_semi")
@@ -210,16 +228,32 @@ class LargeKeys:
 
 def find_large(rows: DataFrame, key: str, max_rows: int | None = None) -> LargeKeys:
     """Count rows per key, combined before the shuffle, over the key column alone."""
-    limit = max_rows or MAX_ROWS_PER_RUN
+    limit = min(max_rows or MAX_ROWS_PER_RUN, MAX_ROWS_PER_RUN)
     sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
     above = F.col("_rows") > limit
     check = sizes.agg(
         F.count_if(above).alias("keys"),
-        F.coalesce(F.sum(F.when(above, F.col("_rows"))), F.lit(0)).alias("rows")).first()
+        F.coalesce(F.sum(F.when(above, F.col("_rows"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("all")).first()
     if not check["keys"]:
-        return LargeKeys(None, 0, limit)
+        return LargeKeys(None, 0, limit, rows=check["all"])
     keys = materialize(sizes.filter(above).select(key), "large-keys")
-    return LargeKeys(keys, check["rows"], limit, check["keys"])
+    return LargeKeys(keys, check["rows"], limit, check["keys"], check["all"])
+
+
+def by_key(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """Rows of a key in one task, and about `ROWS_PER_TASK` of the `count` rows in each.
+
+    Left alone, Spark joins the parts of a shuffle until there are hardly more
+    than it has cores, so that what a task holds grows with the table. One task's
+    rows are left alone.
+    """
+    return rows if count <= ROWS_PER_TASK else rows.repartition(_tasks(rows, count), *keys)
+
+
+def _tasks(rows: DataFrame, count: int) -> int:
+    """Tasks of about `ROWS_PER_TASK` rows, and no fewer than there are cores."""
+    return max(math.ceil(count / ROWS_PER_TASK), rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def semi_join(rows: DataFrame, wanted: DataFrame, key: str, large: LargeKeys) -> DataFrame:
@@ -249,7 +283,7 @@ def split_history(log: DataFrame, key: str = "customer_id",
     cut_order = cut_order or order
     large = large or find_large(log, key, max_rows)
     if large.keys is None:
-        return History(log, None, key, order, cut_order, large.max_rows)
+        return History(by_key(log, large.rows, key), None, key, order, cut_order, large.max_rows)
     cut, rows = large.only(log, key), large.total
     if expand is not None:
         cut, rows = expand(cut), 2 * rows
@@ -264,14 +298,17 @@ def split_history(log: DataFrame, key: str = "customer_id",
         place = F.monotonically_increasing_id() % (1 << 33)
         run = run * (1 << 32) + F.floor(place / large.max_rows).cast("bigint")
     cut = materialize(cut.withColumn(RUN, run), "runs")
-    return History(large.without(log, key), cut, key, order, cut_order, large.max_rows)
+    # runs meet in a task by their hash: twice as many tasks keep that to a few
+    tasks = 2 * _tasks(cut, rows) if rows > ROWS_PER_TASK else 0
+    whole = by_key(large.without(log, key), large.rows - large.total, key)
+    return History(whole, cut, key, order, cut_order, large.max_rows, tasks)
 
 
 def positions(history: History, name: str = "n_prior") -> History:
     """Number of earlier rows of the same customer."""
     whole = history.whole.withColumn(
         name, F.row_number().over(history.ordered()).cast("bigint") - 1)
-    cut = history.cut
+    cut = history.dealt().cut
     if cut is not None:
         before = history.carried({"_rows": F.count("*")}, {"_before": F.sum("_rows")})
         cut = (
@@ -280,7 +317,7 @@ def positions(history: History, name: str = "n_prior") -> History:
             .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
             .drop("_before")
         )
-    return history.derive(whole, cut)
+    return history.dealt().derive(whole, cut)
 
 
 def running_total(history: History, column: str, name: str) -> History:
@@ -291,7 +328,7 @@ def running_total(history: History, column: str, name: str) -> History:
         return F.coalesce(F.sum(column).over(window.rowsBetween(*frame)), F.lit(0))
 
     whole = history.whole.withColumn(name, total(history.ordered()))
-    cut = history.cut
+    cut = history.dealt().cut
     if cut is not None:
         before = history.carried({"_sum": F.sum(column)}, {"_before": F.sum("_sum")})
         cut = (
@@ -300,14 +337,14 @@ def running_total(history: History, column: str, name: str) -> History:
             .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
             .drop("_before")
         )
-    return history.derive(whole, cut)
+    return history.dealt().derive(whole, cut)
 
 
 def first_seen(history: History, column: str, name: str) -> History:
     """1 on the first row of a customer with this value of `column`, else 0."""
     whole = history.whole.withColumn(
         name, F.when(F.row_number().over(history.ordered(column)) == 1, 1).otherwise(0))
-    cut = history.cut
+    cut = history.dealt().cut
     if cut is not None:
         before = history.carried(
             {"_rows": F.count("*")}, {"_before": F.sum("_rows")}, by=(column,))
@@ -317,14 +354,14 @@ def first_seen(history: History, column: str, name: str) -> History:
         ).withColumn(
             name, F.when((F.col("_nth") == 1) & F.col("_before").isNull(), 1).otherwise(0),
         ).drop("_nth", "_before")
-    return history.derive(whole, cut)
+    return history.dealt().derive(whole, cut)
 
 
 def seen_count(history: History, column: str, name: str) -> History:
     """Number of earlier rows of the customer with the same value of `column`."""
     whole = history.whole.withColumn(
         name, F.row_number().over(history.ordered(column)).cast("bigint") - 1)
-    cut = history.cut
+    cut = history.dealt().cut
     if cut is not None:
         before = history.carried(
             {"_rows": F.count("*")}, {"_before": F.sum("_rows")}, by=(column,))
@@ -333,7 +370,7 @@ def seen_count(history: History, column: str, name: str) -> History:
                 name, F.row_number().over(history.run_ordered(column)).cast("bigint") - 1),
             before, history.key, (column,),
         ).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
-    return history.derive(whole, cut)
+    return history.dealt().derive(whole, cut)
 
 
 def merge_moments(n_a: Column, mean_a: Column, m2_a: Column,

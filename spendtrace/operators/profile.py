@@ -23,6 +23,7 @@ def prior_profile(history: History) -> History:
         raw[f"_mean_{f}"] = F.avg(f).over(prior)
         raw[f"_std_{f}"] = F.stddev_pop(f).over(prior)
     whole = history.whole.withColumns(raw)
+    written, history = history, history.dealt()
     cut = history.cut
     if cut is not None:
         prior = history.run_ordered().rowsBetween(Window.unboundedPreceding, -1)
@@ -40,7 +41,7 @@ def prior_profile(history: History) -> History:
             merged[f"_std_{f}"] = F.sqrt(m2 / count)
         cut = (
             cut.withColumns(inside)
-            .transform(join_carry, history.carried_moments(C.FEATURES), history.key)
+            .transform(join_carry, written.carried_moments(C.FEATURES), history.key)
             .withColumns(merged)
             .drop(*inside, *[f"{f}_{x}" for f in C.FEATURES for x in ("n0", "mean0", "m20")])
         )

@@ -31,13 +31,14 @@ def add_steps(history: History, length: int = C.SEQUENCE_LENGTH) -> History:
     frame = (-length, -1)
     whole = history.whole.withColumn(
         "steps", F.collect_list(vector()).over(history.ordered().rowsBetween(*frame)))
+    written, history = history.cut, history.dealt()
     cut = history.cut
     if cut is not None:
         # The last rows of each run; runs may be short, so as many runs back as
         # there are steps always hold enough rows.
         newest = history.run_group().orderBy(*[F.col(c).desc() for c in history.cut_order])
         tails = (
-            cut.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= length)
+            written.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= length)
             .groupBy(history.key, RUN)
             .agg(F.array_sort(F.collect_list(
                 F.struct((-F.col("_back")).alias("at"), vector().alias("vec")))).alias("_tail"))

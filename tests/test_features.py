@@ -34,6 +34,30 @@ def test_only_large_customers_are_cut(spark):
     assert biggest < 80  # rows and expiry marks of one customer
 
 
+def test_tasks_hold_few_rows_however_large_a_run_is_asked_for(spark, monkeypatch):
+    """A longer log makes more tasks, not larger ones, and features stay the same."""
+    rows = random_log(customers=1, rows=300, seed=3) + [
+        (f"s{i % 60}", *r[1:]) for i, r in enumerate(random_log(customers=1, rows=600, seed=5), 300)]
+    rows = [(r[0], f"t{i:05d}", *r[2:]) for i, r in enumerate(rows)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(H, "ROWS_PER_TASK", 40)
+    monkeypatch.setattr(H, "MAX_ROWS_PER_RUN", 40)
+    history = FT.log_history(log, max_rows=1000)
+    assert history.whole.rdd.getNumPartitions() == 15
+    runs = history.cut.groupBy(H.RUN).count()
+    assert runs.count() >= 15 and runs.agg(F.max("count")).first()[0] <= 80
+    dealt = FT.add_point_features(history).cut
+    assert dealt.rdd.getNumPartitions() == 30
+    got = by_id(FT.point_features(log, max_rows=1000), C.FEATURES)
+    want = plain_features(rows, C.HOME_LOCATIONS)
+    assert [k for k in want if not close(got[k], want[k])] == []
+    one = {r.transaction_id: r for r in behaviour(log, max_rows=1000).rows().collect()}
+    monkeypatch.undo()
+    two = {r.transaction_id: r for r in behaviour(log).rows().collect()}
+    columns = [*C.FEATURES, "n_prior", *profile_columns(), "steps"]
+    assert [k for k in two if not close([one[k][c] for c in columns], [two[k][c] for c in columns], 1e-6)] == []
+
+
 def test_one_customer_with_a_third_of_all_rows(spark):
     rows = random_log(customers=1, rows=300, seed=3)
     rows += [row(f"s{i}", 5000 + i, START + timedelta(minutes=i)) for i in range(600)]
