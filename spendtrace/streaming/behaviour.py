@@ -7,10 +7,10 @@ expressions the batch jobs use. Work per row does not grow with the history.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ STATS = ("n bigint, mean double, m2 double, last bigint, hours array<bigint>,"
          " recent array<bigint>, steps array<array<double>>,"
          " f_mean array<double>, f_m2 array<double>")
 
+STAT_NAMES = [part.split()[0] for part in STATS.split(", ")]
+
 WIDTH = len(C.FEATURES)
 KEPT = ["customer_id", "transaction_id", "event_micros", "amount", "merchant_category",
         "device_id", "location", "failed_logins_24h"]
@@ -62,16 +64,20 @@ class RunningBehaviour(StatefulProcessor):
                     [float(v) for v in row.f_mean], [float(v) for v in row.f_m2]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+        batch = _together(rows)
         if len(batch):
             yield self._take(batch)
 
     def _take(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """The rows in event order, with what the customer did before each."""
-        batch = batch.sort_values(["event_micros", "transaction_id"], kind="stable")
+        """The rows in event order, with what the customer did before each.
+
+        Customers bring a few rows at a time, so plain lists are used: a call into
+        numpy or pandas costs more than the work on a row.
+        """
+        columns = {c: batch[c].tolist() for c in batch.columns}
+        order = _event_order(columns["event_micros"], columns["transaction_id"])
         state = self._load()
         counts: dict[tuple[str, str], int] = {}
-        changed: set[tuple[str, str]] = set()
 
         def count(kind: str, value) -> int:
             entry = (kind, _entry(value))
@@ -80,83 +86,86 @@ class RunningBehaviour(StatefulProcessor):
                 counts[entry] = 0 if held is None else held[0]
             found = counts[entry]
             counts[entry] += 1
-            changed.add(entry)
             return found
 
-        out = []
-        for row in batch.itertuples(index=False):
-            of_category = count("category", row.merchant_category)
-            new_device = count("device", row.device_id) == 0
-            new_location = count("location", row.location) == 0
-            features = self._features(state, row, of_category, new_device, new_location)
-            out.append(self._profile(state) | {
-                "is_late": bool(row.event_micros < state["last"]), "n_prior": state["n"],
-                "features": features, "steps": list(state["steps"])})
-            self._advance(state, row, features)
-        for entry in changed:
-            self.seen.updateValue(entry, (counts[entry],))
-        self.stats.update(tuple(
-            v.tolist() if isinstance(v, np.ndarray) else v for v in state.values()))
-        return pd.concat([batch[KEPT].reset_index(drop=True), pd.DataFrame(out)], axis=1)
+        out = {name: [] for name in ("means", "stds", "is_late", "n_prior", "features", "steps")}
+        at_hour = columns["event_hour"]
+        foreign, logins = columns["foreign"], columns["failed_logins_24h"]
+        for i in order:
+            at, amount = int(columns["event_micros"][i]), float(columns["amount"][i])
+            of_category = count("category", columns["merchant_category"][i])
+            new_device = count("device", columns["device_id"][i]) == 0
+            new_location = count("location", columns["location"][i]) == 0
+            features = self._features(state, at, amount, at_hour[i], foreign[i], logins[i],
+                                      of_category, new_device, new_location)
+            means, stds = self._profile(state)
+            for name, value in (("means", means), ("stds", stds), ("is_late", at < state["last"]),
+                                ("n_prior", state["n"]), ("features", features),
+                                ("steps", list(state["steps"]))):
+                out[name].append(value)
+            self._advance(state, at, amount, at_hour[i], features)
+        for entry, number in counts.items():
+            self.seen.updateValue(entry, (number,))
+        self.stats.update(tuple(state.values()))
+        return pd.DataFrame({c: batch[c].array.take(order) for c in KEPT} | out)
 
     def close(self) -> None:
         pass
 
     def _load(self) -> dict:
-        names = [part.split()[0] for part in STATS.split(", ")]
-        if self.stats.exists():
-            state = dict(zip(names, self.stats.get()))
-        else:
-            state = dict(zip(names, (0, 0.0, 0.0, -(1 << 62), [0] * 24, [], [],
-                                     [0.0] * WIDTH, [0.0] * WIDTH)))
+        held = self.stats.get()
+        if held is None:
+            return dict(zip(STAT_NAMES, (0, 0.0, 0.0, -(1 << 62), [0] * 24, [], [],
+                                         [0.0] * WIDTH, [0.0] * WIDTH)))
+        state = dict(zip(STAT_NAMES, held))
         for name in ("f_mean", "f_m2"):
-            state[name] = np.array(state[name], dtype=float)
+            state[name] = [float(v) for v in state[name]]
         for name in ("hours", "recent"):
             state[name] = [int(v) for v in state[name]]
         state["steps"] = [[float(v) for v in step] for step in state["steps"]]
         return state
 
     @staticmethod
-    def _features(state, row, of_category, new_device, new_location) -> list[float]:
-        n, amount = state["n"], float(row.amount)
+    def _features(state, at, amount, hour, foreign, logins, of_category, new_device,
+                  new_location) -> list[float]:
+        n = state["n"]
         mean = state["mean"] if n else amount
         spread = (state["m2"] / n) ** 0.5 if n > 1 else max(0.3 * mean, 1.0)
         spread = max(spread, 0.1 * mean, 1.0)
         near = C.VELOCITY_SECONDS * SECOND
         return [
-            float(np.clip((amount - mean) / spread, -C.ZSCORE_LIMIT, C.ZSCORE_LIMIT)),
-            float(n > 0 and state["hours"][row.event_hour] / n < C.UNUSUAL_FREQUENCY),
+            min(max((amount - mean) / spread, -C.ZSCORE_LIMIT), C.ZSCORE_LIMIT),
+            float(n > 0 and state["hours"][hour] / n < C.UNUSUAL_FREQUENCY),
             float(new_device),
             float(new_location),
-            float(row.foreign),
-            float(row.failed_logins_24h),
+            float(foreign),
+            float(logins),
             float(n == 0 or of_category / n < C.UNUSUAL_FREQUENCY),
-            float(bisect_right(state["recent"], row.event_micros + near)
-                  - bisect_left(state["recent"], row.event_micros - near)),
-            float(np.clip(amount / max(mean, 1e-6) * 100, 0.0, C.PCT_LIMIT)),
+            float(bisect_right(state["recent"], at + near) - bisect_left(state["recent"], at - near)),
+            min(max(amount / max(mean, 1e-6) * 100, 0.0), C.PCT_LIMIT),
         ]
 
     @staticmethod
-    def _profile(state) -> dict:
+    def _profile(state) -> tuple[list[float], list[float]]:
         n = state["n"]
-        means = state["f_mean"] if n else np.zeros(WIDTH)
-        stds = np.sqrt(state["f_m2"] / n) if n > 1 else np.ones(WIDTH)
-        return {"means": means.tolist(), "stds": stds.tolist()}
+        return (list(state["f_mean"]) if n else [0.0] * WIDTH,
+                [math.sqrt(v / n) for v in state["f_m2"]] if n > 1 else [1.0] * WIDTH)
 
     @staticmethod
-    def _advance(state, row, features) -> None:
+    def _advance(state, at, amount, hour, features) -> None:
         state["n"] += 1
         n = state["n"]
-        gap = float(row.amount) - state["mean"]
+        gap = amount - state["mean"]
         state["mean"] += gap / n
-        state["m2"] += gap * (float(row.amount) - state["mean"])
-        vector = np.array(features)
-        gaps = vector - state["f_mean"]
-        state["f_mean"] = state["f_mean"] + gaps / n
-        state["f_m2"] = state["f_m2"] + gaps * (vector - state["f_mean"])
-        state["hours"][row.event_hour] += 1
-        state["last"] = max(state["last"], int(row.event_micros))
-        insort(state["recent"], int(row.event_micros))
+        state["m2"] += gap * (amount - state["mean"])
+        means, spreads = state["f_mean"], state["f_m2"]
+        for k, value in enumerate(features):
+            gap = value - means[k]
+            means[k] += gap / n
+            spreads[k] += gap * (value - means[k])
+        state["hours"][hour] += 1
+        state["last"] = max(state["last"], at)
+        insort(state["recent"], at)
         oldest = state["last"] - C.VELOCITY_SECONDS * SECOND
         del state["recent"][:bisect_left(state["recent"], oldest)]
         state["steps"] = [*state["steps"], features][-C.SEQUENCE_LENGTH:]
@@ -267,7 +276,7 @@ class OrderedBehaviour(RunningBehaviour):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         yield from self._release(passed)
-        batch = pd.concat(list(rows))
+        batch = _together(rows)
         if len(batch):
             batch = batch[self.columns.names]
             late = batch["event_micros"] < passed
@@ -294,9 +303,24 @@ class OrderedBehaviour(RunningBehaviour):
             self.handle.registerTimer((first + SECOND) // 1000)
 
 
+def _together(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    parts = list(chunks)
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
+def _event_order(micros: list, ids: list) -> list[int]:
+    """Places of the rows by time and id, null ids last at their time."""
+    return sorted(range(len(ids)), key=lambda i: (
+        (micros[i], 1, 0) if _is_null(ids[i]) else (micros[i], 0, ids[i])))
+
+
+def _is_null(value) -> bool:
+    return value is None or value is pd.NA or value != value
+
+
 def _entry(value) -> str:
     """A value as it is written in the map; null is a value of its own."""
-    return "" if pd.isna(value) else "=" + str(value)
+    return "" if _is_null(value) else "=" + str(value)
 
 
 def _records(frame: pd.DataFrame) -> list[tuple]:

@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,3 +219,51 @@ def test_bytes_written_for_a_row_do_not_grow_with_the_rows_that_wait():
             waiting.add([(i * 40_000_000_000 + 17, "y")])
         costs.append((handle.written() - before) / 50)
     assert costs[1] < 3 * costs[0] + 2000 and costs[1] < 4000
+
+
+class _Held:
+    """A value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_a_customers_rows_cost_few_state_calls_and_no_frame_each(monkeypatch):
+    """Two batches of a customer: values as from plain sums, one frame made per batch."""
+    taker = B.RunningBehaviour()
+    taker.stats, taker.seen, made = _Held(), _Held(), []
+    rows = [("c", f"t{i}", 7_000_000_000 * i, 10.0 + i, "fuel", None if i % 2 else "d", "Pune", 0, i % 24, 1)
+            for i in range(40)]
+    names = [*B.KEPT, "event_hour", "foreign"]
+    batches = [pd.DataFrame(part[::-1], columns=names) for part in (rows[:25], rows[25:])]
+    make = pd.DataFrame
+    monkeypatch.setattr(pd, "DataFrame", lambda *a, **b: made.append(1) or make(*a, **b))
+    got = [next(taker.handleInputRows(("c",), iter([b]), None)) for b in batches]
+    monkeypatch.undo()
+    assert len(made) == 2
+    # the record and four values (a category, two devices, a place), read and written once a batch
+    assert (taker.stats.calls, taker.seen.calls) == (4, 16)
+    out = pd.concat(got, ignore_index=True)
+    assert out["transaction_id"].tolist() == [r[1] for r in rows]
+    assert out["n_prior"].tolist() == list(range(40)) and not out["is_late"].any()
+    for i in (0, 1, 24, 25, 39):
+        amounts = [r[3] for r in rows[:i]]
+        mean = sum(amounts) / i if i else rows[i][3]
+        assert out["features"][i][8] == pytest.approx(min(rows[i][3] / mean * 100, 1000.0))
+        past = [f[0] for f in out["features"][:i]]
+        assert out["means"][i][0] == pytest.approx(sum(past) / i if i else 0.0)
+        assert len(out["steps"][i]) == min(i, 10)
