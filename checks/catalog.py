@@ -895,8 +895,12 @@ def _before(at: str):
 
 
 def _snapshot(spark, log, path, home, max_rows=None):
-    """The snapshot of a log, written to the store of snapshots and read back."""
-    writers.put_snapshot(SN.snapshot_of(scoring.behaviour(log, home, max_rows).rows()), path)
+    """The snapshot of a log, written to the store of snapshots and read back.
+
+    The behaviour is written once: the parts of a snapshot each read it.
+    """
+    rows = materialize(scoring.behaviour(log, home, max_rows).rows(), "behaviour")
+    writers.put_snapshot(SN.snapshot_of(rows), path)
     return writers.read_snapshot(spark, path)
 
 
