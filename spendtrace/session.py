@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings a session needs for the plans in this package to come out as meant.
 # The co-partition switch lets a join on (customer, run, x) reuse rows that are
 # already hash-partitioned on (customer, run). The small least size keeps all
-# cores busy on short logs; on long ones the advisory size decides.
+# cores busy on short logs; on long ones the advisory size decides, which bounds
+# what a task reads. Files are read in small pieces, each at least a row group,
+# so that what a task decodes and caches of a table does not grow with it.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 _local_roots: dict[str, str] = {}
 
 
+# Bytes of a row group in the tables that `materialize` writes.
+ROW_GROUP_BYTES = 8 << 20
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
@@ -92,5 +100,5 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from spendtrace import session
 from spendtrace import contract as C
 from spendtrace.functions.columns import generated_transaction_id, sequential_transaction_id
 from spendtrace.operators import learn as L
@@ -186,3 +187,21 @@ def test_report_has_fallback_sentence(spark):
     assert got["t1", "New Device"] == "+0.123"
     assert ("t2", C.NO_REASONS_SENTENCE) in got
     assert got["t1", "Amount"] == "Rs. 5.00"
+
+
+def test_a_written_table_is_read_in_small_pieces(spark, monkeypatch):
+    """One file of a written table makes several tasks, so none decodes and caches all of it."""
+    monkeypatch.setattr(session, "ROW_GROUP_BYTES", 1 << 20)
+    rows = spark.range(0, 600_000, 1, 1).select("id", F.rand(7).alias("x"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert before in ("16m", "16777216b")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    try:
+        table = session.materialize(rows)
+        pieces = table.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in pieces) == 600_000
+        assert len(pieces) > 2 and max(r["count"] for r in pieces) < 400_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
