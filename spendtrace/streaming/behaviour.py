@@ -7,11 +7,15 @@ expressions the batch jobs use. Work per row does not grow with the history.
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left, bisect_right, insort
+import json
+import pickle
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +25,11 @@ from spendtrace import contract as C
 from spendtrace.functions.columns import flag, micros
 from spendtrace.operators.features import SECOND, home_city
 from spendtrace.operators.learn import RiskModels
-from spendtrace.operators.snapshot import Snapshot, one_table
+from spendtrace.operators.snapshot import KINDS, Snapshot
 from spendtrace.operators.validate import RULES, violation_list, with_defaults, with_violations
 from spendtrace.plans.scoring import score_behaviour
+from spendtrace.streaming import packed
+from spendtrace.streaming.running import HOURS, STRETCH, Past, earlier
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,12 +37,20 @@ STATS = ("n bigint, mean double, m2 double, last bigint, hours array<bigint>,"
          " recent array<bigint>, steps array<array<double>>,"
          " f_mean array<double>, f_m2 array<double>")
 
-STAT_NAMES = [part.split()[0] for part in STATS.split(", ")]
-
-WIDTH = len(C.FEATURES)
 KEPT = ["customer_id", "transaction_id", "event_micros", "amount", "merchant_category",
         "device_id", "location", "failed_logins_24h"]
 
+# Values of a customer that are kept in its record; further ones are entries of a map.
+IN_RECORD = 256
+# Customers of a page of records, on average at most.
+PER_PAGE = 8
+# Rows that leave the state together.
+ROWS_OUT = 16_384
+# Rows of one packed table that waits for the watermark.
+ROWS_WAITING = 8_192
+# A waiting table that is due in part goes on in this many parts, unless it is small.
+PARTS, SMALL = 8, 64
+
 
 class RunningBehaviour(StatefulProcessor):
     """State of one customer.
@@ -51,124 +65,228 @@ class RunningBehaviour(StatefulProcessor):
         self.stats = handle.getValueState("stats", STATS)
         self.seen = handle.getMapState("seen", "kind string, value string", "n bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Rows of `snapshot.one_table`: one with what is bounded, the others one value each."""
-        for row in initialState.itertuples(index=False):
-            if row.kind is not None:
-                self.seen.updateValue((row.kind, _entry(row.value)), (int(row.n),))
-            else:
-                steps = [[float(v) for v in step] for step in row.steps]
-                self.stats.update((
-                    int(row.n), float(row.mean), float(row.m2), int(row.last),
-                    [int(v) for v in row.hours], sorted(int(v) for v in row.recent), steps,
-                    [float(v) for v in row.f_mean], [float(v) for v in row.f_m2]))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _together(rows)
         if len(batch):
             yield self._take(batch)
 
     def _take(self, batch: pd.DataFrame) -> pd.DataFrame:
-        """The rows in event order, with what the customer did before each.
-
-        Customers bring a few rows at a time, so plain lists are used: a call into
-        numpy or pandas costs more than the work on a row.
-        """
-        columns = {c: batch[c].tolist() for c in batch.columns}
-        order = _event_order(columns["event_micros"], columns["transaction_id"])
-        state = self._load()
-        counts: dict[tuple[str, str], int] = {}
-
-        def count(kind: str, value) -> int:
-            entry = (kind, _entry(value))
-            if entry not in counts:
-                held = self.seen.getValue(entry)
-                counts[entry] = 0 if held is None else held[0]
-            found = counts[entry]
-            counts[entry] += 1
-            return found
-
-        out = {name: [] for name in ("means", "stds", "is_late", "n_prior", "features", "steps")}
-        at_hour = columns["event_hour"]
-        foreign, logins = columns["foreign"], columns["failed_logins_24h"]
-        for i in order:
-            at, amount = int(columns["event_micros"][i]), float(columns["amount"][i])
-            of_category = count("category", columns["merchant_category"][i])
-            new_device = count("device", columns["device_id"][i]) == 0
-            new_location = count("location", columns["location"][i]) == 0
-            features = self._features(state, at, amount, at_hour[i], foreign[i], logins[i],
-                                      of_category, new_device, new_location)
-            means, stds = self._profile(state)
-            for name, value in (("means", means), ("stds", stds), ("is_late", at < state["last"]),
-                                ("n_prior", state["n"]), ("features", features),
-                                ("steps", list(state["steps"]))):
-                out[name].append(value)
-            self._advance(state, at, amount, at_hour[i], features)
-        for entry, number in counts.items():
-            self.seen.updateValue(entry, (number,))
-        self.stats.update(tuple(state.values()))
-        return pd.DataFrame({c: batch[c].array.take(order) for c in KEPT} | out)
+        """The rows in event order, with what the customer did before each."""
+        ids = batch["transaction_id"].tolist()
+        order = _event_order(batch["event_micros"].tolist(), ids)
+        columns = {c: batch[c].array.take(order) for c in batch.columns}
+        held = self.stats.get()
+        past = Past() if held is None else Past.of(held)
+        before = {}
+        for kind, column in KINDS.items():
+            entries = [_entry(v) for v in columns[column]]
+            known = {e: self.seen.getValue((kind, e)) for e in dict.fromkeys(entries)}
+            counts = {e: 0 if n is None else n[0] for e, n in known.items()}
+            before[kind] = np.empty(len(entries), dtype=np.int64)
+            for i, entry in enumerate(entries):
+                before[kind][i] = counts[entry]
+                counts[entry] += 1
+            for entry, number in counts.items():
+                self.seen.updateValue((kind, entry), (number,))
+        numbers = {c: np.asarray(columns[c]) for c in NUMBERS}
+        taken = [*_stretches(past, numbers, before, 0, len(ids))]
+        self.stats.update(past.values())
+        out = {name: [v for part in taken for v in part[name].tolist()]
+               for name in ("means", "stds", "is_late", "n_prior", "features")}
+        out["steps"] = [s for part in taken for s in _steps(part)]
+        return pd.DataFrame({c: columns[c] for c in KEPT} | out)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> dict:
-        held = self.stats.get()
-        if held is None:
-            return dict(zip(STAT_NAMES, (0, 0.0, 0.0, -(1 << 62), [0] * 24, [], [],
-                                         [0.0] * WIDTH, [0.0] * WIDTH)))
-        state = dict(zip(STAT_NAMES, held))
-        for name in ("f_mean", "f_m2"):
-            state[name] = [float(v) for v in state[name]]
-        for name in ("hours", "recent"):
-            state[name] = [int(v) for v in state[name]]
-        state["steps"] = [[float(v) for v in step] for step in state["steps"]]
-        return state
-
-    @staticmethod
-    def _features(state, at, amount, hour, foreign, logins, of_category, new_device,
-                  new_location) -> list[float]:
-        n = state["n"]
-        mean = state["mean"] if n else amount
-        spread = (state["m2"] / n) ** 0.5 if n > 1 else max(0.3 * mean, 1.0)
-        spread = max(spread, 0.1 * mean, 1.0)
-        near = C.VELOCITY_SECONDS * SECOND
-        return [
-            min(max((amount - mean) / spread, -C.ZSCORE_LIMIT), C.ZSCORE_LIMIT),
-            float(n > 0 and state["hours"][hour] / n < C.UNUSUAL_FREQUENCY),
-            float(new_device),
-            float(new_location),
-            float(foreign),
-            float(logins),
-            float(n == 0 or of_category / n < C.UNUSUAL_FREQUENCY),
-            float(bisect_right(state["recent"], at + near) - bisect_left(state["recent"], at - near)),
-            min(max(amount / max(mean, 1e-6) * 100, 0.0), C.PCT_LIMIT),
-        ]
-
-    @staticmethod
-    def _profile(state) -> tuple[list[float], list[float]]:
-        n = state["n"]
-        return (list(state["f_mean"]) if n else [0.0] * WIDTH,
-                [math.sqrt(v / n) for v in state["f_m2"]] if n > 1 else [1.0] * WIDTH)
-
-    @staticmethod
-    def _advance(state, at, amount, hour, features) -> None:
-        state["n"] += 1
-        n = state["n"]
-        gap = amount - state["mean"]
-        state["mean"] += gap / n
-        state["m2"] += gap * (amount - state["mean"])
-        means, spreads = state["f_mean"], state["f_m2"]
-        for k, value in enumerate(features):
-            gap = value - means[k]
-            means[k] += gap / n
-            spreads[k] += gap * (value - means[k])
-        state["hours"][hour] += 1
-        state["last"] = max(state["last"], at)
-        insort(state["recent"], at)
-        oldest = state["last"] - C.VELOCITY_SECONDS * SECOND
-        del state["recent"][:bisect_left(state["recent"], oldest)]
-        state["steps"] = [*state["steps"], features][-C.SEQUENCE_LENGTH:]
+
+NUMBERS = {"event_micros": np.int64, "amount": np.float64, "event_hour": np.int64, "foreign": np.float64,
+           "failed_logins_24h": np.float64}
+
+
+def _stretches(past: Past, numbers: dict, before: dict, start: int, end: int) -> Iterator[dict]:
+    """What `past` says of the rows from `start` to `end`, some thousand at a time.
+
+    `before` has the earlier uses of each row's values.
+    """
+    seen_at = past.hours
+    hours = numbers["event_hour"][start:end].astype(np.int64)
+    of_hour = seen_at[hours] + earlier(hours)
+    for a in range(start, end, STRETCH):
+        rows = slice(a, min(a + STRETCH, end))
+        at, amount, hour, foreign, logins = (numbers[c][rows].astype(kind) for c, kind in NUMBERS.items())
+        yield past.take(at, amount, of_hour[rows.start - start:rows.stop - start], hour, foreign, logins,
+                        before["category"][rows], before["device"][rows] == 0, before["location"][rows] == 0)
+
+
+def _steps(part: dict) -> list[list]:
+    vectors, leads = np.concatenate([part["lead"], part["features"]]), len(part["lead"])
+    return [vectors[max(0, i - C.SEQUENCE_LENGTH):i].tolist()
+            for i in range(leads, len(vectors))]
+
+
+class BucketBehaviour(RunningBehaviour):
+    """State of the customers of a bucket, whose rows are taken together.
+
+    A customer's record has what `RunningBehaviour` keeps and up to `IN_RECORD`
+    of its values; further values are entries of a map, read when a row names
+    them. Records lie in pages of a few customers, so work follows the rows and
+    customers of a micro-batch, not those of the bucket.
+    """
+
+    def __init__(self, customer: T.DataType):
+        self.customer = customer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        key = T.StructField("customer", self.customer)
+        kind, value = (T.StructField(c, T.StringType()) for c in ("kind", "value"))
+        self.records = Pages(handle.getValueState("size", "customers bigint, pages bigint"),
+                             handle.getMapState("pages", "page bigint", "records binary"))
+        self.seen = handle.getMapState("seen", T.StructType([key, kind, value]), "n bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Packed rows of a snapshot, as `_initial_state` makes them.
+
+        A bucket may come in several parts; a customer's rows may be in any of them.
+        """
+        self.records.open()
+        for data in initialState["rows"].dropna():
+            table = packed.from_bytes(data)
+            for customer, kind, value, n in zip(*(table[c].to_pylist() for c in INITIAL)):
+                held = self.records.get(customer)
+                if kind is None:
+                    told = json.loads(value)
+                    held.past = Past.of([told[c] for c in PAST])
+                else:
+                    self._use(customer, held, (kind, _entry(value)), n, 0)
+        self.records.close()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        table = _unpacked(rows)
+        if table is not None:
+            yield from self._take(table)
+
+    def _take(self, table: pa.Table) -> Iterator[pd.DataFrame]:
+        """Packed rows, each customer's in event order, with what it did before each."""
+        table = table.take(pc.sort_indices(table, sort_keys=[
+            (c, "ascending") for c in ("customer_id", "event_micros", "transaction_id")])).combine_chunks()
+        customer, names = _codes(table["customer_id"])
+        numbers = {c: table[c].to_numpy() for c in NUMBERS}
+        self.records.open()
+        records = [self.records.get(name) for name in names]
+        before = {kind: self._before(kind, customer, names, records, table[column])
+                  for kind, column in KINDS.items()}
+        rows = table.select(KEPT)
+        ends = np.searchsorted(customer, np.arange(len(names)), "right").tolist()
+        start = since = 0
+        parts: list[dict] = []
+        for held, end in zip(records, ends):
+            for part in _stretches(held.past, numbers, before, start, end):
+                parts.append(part)
+                start += len(part["features"])
+                if start - since >= ROWS_OUT:
+                    yield _out(rows.slice(since, start - since), parts)
+                    since, parts = start, []
+        self.records.close()
+        if parts:
+            yield _out(rows.slice(since), parts)
+
+    def _before(self, kind: str, customer: np.ndarray, names: list, records: list[Record], column) -> np.ndarray:
+        """Earlier uses of each row's value by its customer; the records count the new ones."""
+        value, values = _codes(column)
+        entries = [_entry(v) for v in values]
+        pairs, at, uses = np.unique(customer * len(entries) + value, return_inverse=True, return_counts=True)
+        known = np.empty(len(pairs), dtype=np.int64)
+        for i, (pair, new) in enumerate(zip(pairs.tolist(), uses.tolist())):
+            who, what = divmod(pair, len(entries))
+            entry, held = (kind, entries[what]), records[who]
+            known[i] = self._used(names[who], held, entry)
+            self._use(names[who], held, entry, new, known[i])
+        return known[at] + earlier(at)
+
+    def _used(self, customer, held: Record, entry: tuple[str, str]) -> int:
+        name = "".join(entry)
+        if name in held.used or not held.more:
+            return held.used.get(name, 0)
+        found = self.seen.getValue((customer, *entry))
+        return 0 if found is None else int(found[0])
+
+    def _use(self, customer, held: Record, entry: tuple[str, str], new: int, known: int) -> None:
+        """Count `new` uses of a value that had `known`."""
+        name = "".join(entry)
+        if name in held.used or (not held.more and len(held.used) < IN_RECORD):
+            held.used[name] = int(known + new)
+        else:
+            held.more = True
+            self.seen.updateValue((customer, *entry), (int(known + new),))
+
+
+class Record:
+    """A customer's past and the values it has used; `more` if there are others in the map."""
+
+    def __init__(self, past: Past, used: dict[str, int], more: bool = False):
+        self.past, self.used, self.more = past, used, more
+
+
+class Pages:
+    """Records of a bucket's customers, `PER_PAGE` to a page on average.
+
+    Pages are numbered from 0 and a customer's is found from a hash and the
+    number of pages. As customers come, one page after the other is split, so
+    a new customer moves the records of a page and never those of the bucket.
+    """
+
+    def __init__(self, size, pages):
+        self.size, self.pages = size, pages
+
+    def open(self) -> None:
+        """Forget what was read; for each stretch of rows."""
+        self.told = self.size.get() or (0, 1)
+        self.customers, self.number = (int(v) for v in self.told)
+        self.read: dict[int, dict] = {}
+        self.asked: dict = {}
+
+    def get(self, customer) -> Record:
+        """The record of a customer, which `close` writes."""
+        if customer not in self.asked:
+            held = self._page(self._place(customer)).get(customer)
+            self.customers += held is None
+            self.asked[customer] = Record(Past(), {}) if held is None else Record(
+                Past.from_bytes(held[0]), *held[1:])
+        return self.asked[customer]
+
+    def close(self) -> None:
+        """Write the pages of the customers that were asked for."""
+        changed = set()
+        for customer, held in self.asked.items():
+            place = self._place(customer)
+            self._page(place)[customer] = (held.past.to_bytes(), held.used, held.more)
+            changed.add(place)
+        while self.customers > PER_PAGE * self.number:
+            changed |= self._split()
+        for place in changed:
+            self.pages.updateValue((place,), (pickle.dumps(self.read[place], protocol=5),))
+        if (self.customers, self.number) != tuple(self.told):
+            self.size.update((self.customers, self.number))
+        self.read, self.asked = {}, {}
+
+    def _split(self) -> set[int]:
+        source = self.number - (1 << self.number.bit_length() - 1)
+        page, new = self._page(source), self.number
+        self.number += 1
+        self.read[new] = {c: page.pop(c) for c in [*page] if self._place(c) == new}
+        return {source, new}
+
+    def _page(self, place: int) -> dict:
+        if place not in self.read:
+            held = self.pages.getValue((place,))
+            self.read[place] = {} if held is None else pickle.loads(bytes(held[0]))
+        return self.read[place]
+
+    def _place(self, customer) -> int:
+        known, level = zlib.crc32(str(customer).encode()), self.number.bit_length()
+        place = known % (1 << level)
+        return place if place < self.number else known % (1 << level - 1)
 
 
 class WaitingRows:
@@ -256,34 +374,35 @@ class WaitingRows:
         return [int(p) for p in held[0]] if held else []
 
 
-class OrderedBehaviour(RunningBehaviour):
+class OrderedBehaviour(BucketBehaviour):
     """Takes rows in event order across micro-batches.
 
     A row waits until the watermark has passed its time, so rows that arrive
     within the delay are taken in their place. One timer stands at the earliest
     of them, and whatever is due is taken before a row that arrives behind the
     watermark.
-    """
 
-    def __init__(self, columns: T.StructType):
-        self.columns = columns
+    Rows wait in packed tables of consecutive times, filed under their first
+    row. One that is due in part goes on as several smaller ones, so a row is
+    written again a few times at most, however slowly the watermark moves.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = WaitingRows(handle, self.columns)
+        self.waiting = WaitingRows(handle, T.StructType([
+            T.StructField("event_micros", T.LongType()), T.StructField("rows", T.BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         yield from self._release(passed)
-        batch = _together(rows)
-        if len(batch):
-            batch = batch[self.columns.names]
-            late = batch["event_micros"] < passed
-            if late.any():
-                yield self._take(batch[late])
-            if not late.all():
-                self.waiting.add(_records(batch[~late]))
+        table = _unpacked(rows)
+        if table is not None:
+            late = pc.less(table["event_micros"], passed)
+            behind = table.filter(late)
+            if len(behind):
+                yield from self._take(behind)
+            self._wait(table.filter(pc.invert(late)), ROWS_WAITING)
         self._wake()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -291,10 +410,22 @@ class OrderedBehaviour(RunningBehaviour):
         self._wake()
 
     def _release(self, passed: int) -> Iterator[pd.DataFrame]:
-        """Take all waiting rows before `passed`, in order; the rest stay where they are."""
-        due = self.waiting.take(passed)
+        """Take all waiting rows before `passed`, in order; the rest go on waiting."""
+        due = []
+        for _, data in self.waiting.take(passed):
+            table = packed.from_bytes(data)
+            count = int(np.searchsorted(table["event_micros"].to_numpy(), passed))
+            due.append(table.slice(0, count))
+            self._wait(table.slice(count), max(SMALL, len(table) // PARTS))
         if due:
-            yield self._take(pd.DataFrame(due, columns=self.columns.names))
+            yield from self._take(pa.concat_tables(due))
+
+    def _wait(self, table: pa.Table, most: int) -> None:
+        """File rows in tables of up to `most` rows, earliest first."""
+        if len(table):
+            table = table.take(pc.sort_indices(table, sort_keys=[("event_micros", "ascending")])).combine_chunks()
+            parts = [table.slice(a, most) for a in range(0, len(table), most)]
+            self.waiting.add([(part["event_micros"][0].as_py(), packed.to_bytes(part)) for part in parts])
 
     def _wake(self) -> None:
         """Keep a timer at the end of the second of the earliest waiting row."""
@@ -303,6 +434,28 @@ class OrderedBehaviour(RunningBehaviour):
             self.handle.registerTimer((first + SECOND) // 1000)
 
 
+INITIAL = ["customer_id", "kind", "value", "n"]
+# The fields of a customer's record, as in STATS.
+PAST = [part.split()[0] for part in STATS.split(", ")]
+
+
+def _unpacked(chunks: Iterator[pd.DataFrame]) -> pa.Table | None:
+    tables = [packed.from_bytes(data) for chunk in chunks for data in chunk["rows"] if data is not None]
+    return pa.concat_tables(tables) if tables else None
+
+
+def _out(rows: pa.Table, parts: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("rows", "vectors", "moments"), ([v] for v in packed.taken(rows, parts)))))
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """Each value as its place among the distinct ones, null one of them."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
 def _together(chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
     parts = list(chunks)
     return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
@@ -323,11 +476,6 @@ def _entry(value) -> str:
     return "" if _is_null(value) else "=" + str(value)
 
 
-def _records(frame: pd.DataFrame) -> list[tuple]:
-    return [tuple(None if pd.isna(v) else v for v in r)
-            for r in frame.astype(object).itertuples(index=False, name=None)]
-
-
 def takeable() -> Column:
     """Whether a row can enter the state: it breaks no row rule and has a time."""
     whole = F.coalesce("failed_logins_24h", F.lit(-1)) >= 0
@@ -349,8 +497,10 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None, delay: s
     than one already taken from the customer is marked `is_late` and is scored
     against the state as it is.
 
-    One customer's rows of a micro-batch go to one task, so the bytes a trigger
-    takes (see `read_transactions`) bound what a very active customer can bring.
+    The keys of the state are buckets of customers, and rows reach it packed by
+    bucket. One customer's rows of a micro-batch go to one task, so the bytes a
+    trigger takes (see `read_transactions`) bound what a very active customer can
+    bring.
     """
     is_home = home_city() if is_home is None else is_home
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -369,12 +519,15 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None, delay: s
         T.StructField("means", array), T.StructField("stds", array),
         T.StructField("is_late", T.BooleanType()), T.StructField("n_prior", T.LongType()),
         T.StructField("features", array), T.StructField("steps", T.ArrayType(array))])
-    states = prepared.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=RunningBehaviour() if delay is None else OrderedBehaviour(columns),
-        outputStructType=schema, outputMode="Append",
+    processor = BucketBehaviour if delay is None else OrderedBehaviour
+    states = _by_bucket(prepared).transformWithStateInPandas(
+        statefulProcessor=processor(columns["customer_id"].dataType),
+        outputStructType=packed.TAKEN, outputMode="Append",
         timeMode="None" if delay is None else "EventTime",
         initialState=None if snapshot is None else _initial_state(snapshot, columns))
-    states = states.withColumn(
+    # A bucket's rows leave in tables, so those of a very active customer are scored by all tasks.
+    tasks = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = states.repartition(tasks).mapInArrow(packed.unpack(schema.names), schema).withColumn(
         "timestamp", F.timestamp_micros("event_micros").cast(at_type)).drop("event_micros")
     whole_numbers = set(C.FEATURES) - {"amount_zscore", "amount_pct_of_avg"}
     named = {}
@@ -386,10 +539,20 @@ def running_behaviour(stream: DataFrame, is_home: Column | None = None, delay: s
     return states.withColumns(named).drop("features", "means", "stds")
 
 
+def _by_bucket(rows: DataFrame):
+    return rows.withColumn("bucket", packed.bucket_of()).mapInArrow(
+        packed.pack, packed.PACKED).groupBy("bucket")
+
+
 def _initial_state(snapshot: Snapshot, columns: T.StructType):
-    rows = one_table(snapshot).withColumn(
-        "customer_id", F.col("customer_id").cast(columns["customer_id"].dataType))
-    return rows.groupBy("customer_id")
+    """One row per value of a customer, and one without a kind whose value is its record.
+
+    The record is text: a column of lists costs Spark's way to Arrow the square of a batch.
+    """
+    record = F.to_json(F.struct(*PAST)).alias("value")
+    rows = snapshot.customers.select("customer_id", F.lit(None).cast("string").alias("kind"), record, "n").unionByName(
+        snapshot.values.select("customer_id", "kind", "value", "n"))
+    return _by_bucket(rows.withColumn("customer_id", F.col("customer_id").cast(columns["customer_id"].dataType)))
 
 
 def score_stream(stream: DataFrame, models: RiskModels, is_home: Column | None = None,
