@@ -86,22 +86,23 @@ def checked(spark: SparkSession, rows: DataFrame, models: RiskModels) -> tuple[D
 
 def scored_in_order(spark: SparkSession, sf_dir: str, models: RiskModels,
                     parts: int = 4) -> DataFrame:
-    """The log in shuffled files, one per micro-batch, scored in event order.
+    """The log in shuffled parts, one per micro-batch, scored in event order.
 
-    The delay covers the whole log; a last file far in the future moves the
-    watermark past every row.
+    Every part is as many files as tasks can write side by side. The delay covers
+    the whole log; a last file far in the future moves the watermark past every row.
     """
     log = fx.episode_log(spark, sf_dir)
     log = materialize(log.withColumn("timestamp", F.col("timestamp").cast("timestamp")), "log")
     folder, out, checkpoint = (new_folder(spark, n) for n in ("arrivals", "scored", "stream"))
     part = F.pmod(F.xxhash64("transaction_id"), F.lit(parts))
+    files = min(spark.sparkContext.defaultParallelism, log.rdd.getNumPartitions())
     for i in range(parts):
-        log.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+        log.filter(part == i).coalesce(files).write.mode("append").parquet(folder)
     end = log.limit(1).withColumns({
         "timestamp": F.col("timestamp") + F.expr("interval 4000 days"),
         "transaction_id": F.lit(-1).cast("bigint"), "customer_id": F.lit(-1).cast("bigint")})
     end.coalesce(1).write.mode("append").parquet(folder)
-    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files)
               .parquet(folder))
     with _state_partitions(spark):
         scored = score_stream(stream, models, fx.episode_home(), with_reasons=False, delay="400 days")

@@ -11,9 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import replay
+from spendtrace.plans import scoring
 from spendtrace.streaming import behaviour as B
 from spendtrace.streaming import packed, running
-from tests.helpers import close
+from tests.helpers import close, random_log
+from tests.test_scoring import MODELS, log_of
 
 HOUR = 3_600_000_000
 SCHEMA = pa.schema([
@@ -277,3 +280,21 @@ def test_rows_are_packed_by_bucket_whatever_their_batches(spark):
     rows = [(r.bucket, v) for r in got for v in packed.from_bytes(bytes(r.rows)).to_pylist()]
     assert sorted(v["id"] for _, v in rows) == list(range(5000))
     assert all(v["customer_id"] % 7 == bucket and v["none"] is None for bucket, v in rows)
+
+
+def test_arrivals_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """Several files a part, several micro-batches, and the scores of the whole log."""
+    log = log_of(spark, random_log(customers=12, rows=30)).withColumn(
+        "customer_id", F.substring("customer_id", 2, 5).cast("bigint")).withColumn(
+        "transaction_id", F.substring("transaction_id", 2, 9).cast("bigint"))
+    log = log.withColumn("location", F.lit("CITY_1")).repartition(6)
+    monkeypatch.setattr(replay.fx, "episode_log", lambda *_: log)
+    monkeypatch.setattr(replay, "new_folder", lambda _, label: str(tmp_path / label))
+    got = {r.transaction_id: r for r in replay.scored_in_order(spark, "", MODELS).collect()}
+    assert len([*(tmp_path / "arrivals").glob("*.parquet")]) > 2 * 4 + 1
+    assert len([*(tmp_path / "stream" / "commits").glob("[0-9]*")]) >= 4
+    want = {r.transaction_id: r for r in scoring.score_log(log, MODELS, replay.fx.episode_home(), with_reasons=False).collect()}
+    assert got.keys() == want.keys() and len(want) == 360
+    for k, w in want.items():
+        assert close([got[k].risk_score, got[k].fraud_probability, got[k].similarity_pct],
+                     [w.risk_score, w.fraud_probability, w.similarity_pct], 1e-6) and not got[k].is_late
