@@ -112,5 +112,6 @@ def _laid_out(rows: bytes, vectors: bytes, moments: bytes, names: list[str]) ->
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(
-        pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+    """Each row as a list; what is not a number, as from a snapshot's null, is null."""
+    ends = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values).ravel(), from_pandas=True))
